@@ -13,8 +13,10 @@ from .exact_dedup import grace_dedup
 from .mixing import mix_sources
 from .near_dedup import near_duplicates
 from .packing import pack_documents
+from .pii import find_pii, spell
 from .sharding import shard_documents
 from .toxicity import fit_toxicity, held_out, score_toxicity
+from .url_filter import judge_urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +29,17 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grace_dedup(table(spark, sf_dir, "documents"))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_pii(table(spark, sf_dir, "documents"))
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
+    return found.select(
+        "doc_id",
+        *(count(k).alias(f"n_{name}") for k, name in enumerate(("email", "ip", "card", "phone"))),
+        F.sha2(spell(F.col("base")), 256).alias("base_sha256"),
+        spell(F.array_sort(F.concat("base", "added"))).alias("spans"),
+    )
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -50,6 +63,10 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"))
+
+
 def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shard_documents(table(spark, sf_dir, "documents"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -66,11 +83,13 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_pii": op2_pii,
     "op3_mix_sources": op3_mix_sources,
     "op4_ann": op4_ann,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_toxicity": op6_toxicity,
     "op7_near_dedup": op7_near_dedup,
+    "op8_url_filter": op8_url_filter,
     "op9_shards": op9_shards,
     "op10_chat_format": op10_chat_format,
 }
