@@ -197,3 +197,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sizes = rows.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size"))
     out = rows.join(sizes, rows["class_id"].eqNullSafe(sizes["class_id"])).drop(sizes["class_id"])
     return out.select(F.col("id").alias(id_col), F.col("rep").alias("text_rep"), "class_id", "class_size", F.col("id").eqNullSafe(F.col("class_id")).alias("kept"))
+
+
+def keep_representatives(docs: DataFrame, id_col: str = "doc_id", **settings) -> DataFrame:
+    """The rows of docs that stand for their class, all columns."""
+    kept = near_duplicates(docs, id_col, **settings).where("kept").select(F.col(id_col).alias("_id")).distinct()
+    return docs.join(kept, docs[id_col].eqNullSafe(kept["_id"]), "left_semi")

@@ -372,5 +372,20 @@ def score_toxicity(docs: DataFrame, net: Network, id_col: str = "doc_id", text_c
     return texts.mapInArrow(run, "id long, score double").withColumnRenamed("id", id_col)
 
 
+def drop_toxic(docs: DataFrame, net: Network, text_col: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows whose text scores below `least`, all columns; no exchange."""
+    sent, at = docs.sparkSession.sparkContext.broadcast(pickle.dumps((net.shape, net.p))), docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(Network(*pickle.loads(sent.value)))
+        for batch in batches:
+            for a in range(0, batch.num_rows, 1024):
+                part = batch.slice(a, 1024)
+                scores = scorer.scores([x or "" for x in part.column(at).to_pylist()])
+                yield part.filter(pa.array(scores < least))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(id_col: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 5 == 0
