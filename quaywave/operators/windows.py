@@ -66,19 +66,30 @@ def variance_of(array: Column, mean: Column, ddof: int = 0) -> Column:
     return F.aggregate(array, F.lit(0.0), lambda a, x: a + (x.cast("double") - mean) * (x.cast("double") - mean)) / (F.size(array) - ddof)
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value evaluated once: a column that a lambda mentions would be evaluated per element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def moments_of(array: str | Column) -> Column:
+    """struct(m, v): mean and population variance of an array."""
+    array = F.col(array) if isinstance(array, str) else array
+    return let(mean_of(array), lambda m: F.struct(m.alias("m"), variance_of(array, m).alias("v")))
+
+
 def with_moments(rows: DataFrame, array: str) -> DataFrame:
-    """Adds m and v (mean, population variance) of an array column, each evaluated once."""
-    return rows.withColumn("m", mean_of(array)).withColumn("v", variance_of(F.col(array), F.col("m")))
+    """Adds m and v (mean, population variance) of an array column."""
+    return rows.withColumn("_s", moments_of(array)).withColumns({"m": F.col("_s.m"), "v": F.col("_s.v")}).drop("_s")
 
 
 def zscore(rows: DataFrame, array: str, floor: float = 1e-6, out: str = "z") -> DataFrame:
     """(x - mean) / (population deviation + floor) within each array."""
-    held = with_moments(rows, array)
-    return held.withColumn(out, F.transform(array, lambda x: (x.cast("double") - F.col("m")) / (F.sqrt("v") + floor))).drop("m", "v")
+    scaled = lambda s: F.transform(array, lambda x: (x.cast("double") - s["m"]) / (F.sqrt(s["v"]) + floor))
+    return rows.withColumn(out, let(moments_of(array), scaled))
 
 
 def remove_dc(rows: DataFrame, array: str, out: str = "centred") -> DataFrame:
-    return rows.withColumn("m", mean_of(array)).withColumn(out, F.transform(array, lambda x: x.cast("double") - F.col("m"))).drop("m")
+    return rows.withColumn(out, let(mean_of(array), lambda m: F.transform(array, lambda x: x.cast("double") - m)))
 
 
 def stratified_sample(rows: DataFrame, label: str, id_col: str, most: int, seed: int) -> DataFrame:

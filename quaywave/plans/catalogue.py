@@ -1,12 +1,4 @@
 """All registered queries of the library's own operators, with their DuckDB texts."""
 
-from __future__ import annotations
-
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
-
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
+from . import signal_queries  # noqa: F401
+from .registry import ORACLES, QUERIES  # noqa: F401
