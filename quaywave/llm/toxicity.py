@@ -59,7 +59,7 @@ _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def hashed(kinds: list[str], shape: Shape) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each word: its bucket, the buckets of its character n-grams (2 to 5, its ends marked), how many those are.
+    """Of each word: its bucket, the buckets of its character n-grams (3 and 4, its ends marked), how many those are.
 
     Words of more than 60 characters give the n-grams of their first and last 30."""
     raw = [f"<{k if len(k) <= 60 else k[:30] + k[-30:]}>" for k in kinds]
@@ -69,11 +69,12 @@ def hashed(kinds: list[str], shape: Shape) -> tuple[np.ndarray, np.ndarray, np.n
     at, owners, found = np.arange(len(code)), [], []
     owner = np.repeat(np.arange(len(raw)), sizes)
     h = code * _GOLD
-    for n in range(2, 6):
+    for n in range(2, 5):
         h = (h[:-1] ^ (h[:-1] >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + code[n - 1 :] * _GOLD if len(h) > 1 else h[:0]
-        good = at[: len(h)] + n <= last[: len(h)]
-        owners.append(owner[: len(h)][good])
-        found.append((h[good] >> np.uint64(20)) % np.uint64(shape.grams))
+        if n > 2:
+            good = at[: len(h)] + n <= last[: len(h)]
+            owners.append(owner[: len(h)][good])
+            found.append((h[good] >> np.uint64(20)) % np.uint64(shape.grams))
     order = np.argsort(np.concatenate(owners), kind="stable")
     words = np.array([zlib.crc32(k.encode("utf-8", "surrogatepass")) % shape.words for k in kinds], dtype=np.int64)
     return words, np.concatenate(found)[order].astype(np.int64), np.bincount(np.concatenate(owners), minlength=len(raw))
@@ -194,22 +195,31 @@ class Network:
         return grad, np.einsum("kng,kdg->nd", d_gates, p["W"], optimize=True)
 
 
-def train(samples: list[tuple[list[list[str]], int]], shape: Shape) -> Network:
-    """samples: the windows (lists of words) of each document, with its label.
+class Lexicon:
+    """Numbers for words: windows are held as small arrays."""
+
+    def __init__(self) -> None:
+        self.at: dict[str, int] = {}
+
+    def encode(self, words: list[str]) -> np.ndarray:
+        return np.array([self.at.setdefault(w, len(self.at)) for w in words], dtype=np.int32)
+
+
+def train(samples: list[tuple[list[np.ndarray], int]], lexicon: Lexicon, shape: Shape) -> Network:
+    """samples: the windows (numbers of the lexicon's words) of each document, with its label.
 
     A document's label says that some window is toxic, not which. In the first epochs all windows of a document
     carry its label; later only the most toxic one of each toxic document does, and clean documents
     give their most toxic window and some others."""
     net, rng = Network.fresh(shape), np.random.default_rng(shape.seed)
-    kinds = sorted({w for wins, _ in samples for win in wins for w in win}) or ["-"]
-    at = {w: i for i, w in enumerate(kinds)}
+    kinds = list(lexicon.at) or ["-"]
     word, grams, sizes = hashed(kinds, shape)
     first = np.cumsum(sizes) - sizes
-    index = np.full((sum(len(w) for w, _ in samples), shape.window), -1, dtype=np.int64)
+    index = np.full((sum(len(w) for w, _ in samples), shape.window), -1, dtype=np.int32)
     owner, label, row = [], [], 0
     for d, (wins, y) in enumerate(samples):
         for win in wins:
-            index[row, : len(win)] = [at[w] for w in win]
+            index[row, : len(win)] = win
             owner.append(d), label.append(y)
             row += 1
     owner, label = np.array(owner, dtype=np.int64), np.array(label, dtype=np.float32)
@@ -295,7 +305,7 @@ class Scorer:
         self.gates[:, a:b], self.gates[:, -1] = made[:, :-1], made[:, -1]
         self.known |= zip(fresh, range(a, b))
 
-    def scores(self, texts: list[str], words_at_once: int = 1 << 18) -> np.ndarray:
+    def scores(self, texts: list[str], words_at_once: int = 1 << 17) -> np.ndarray:
         out, a = np.empty(len(texts)), 0
         while a < len(texts):
             b, held, parts = a, 0, []
@@ -353,8 +363,13 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, shape: Shape = Shape()) ->
 
     rows = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(sample), "doc_id").select(F.col("doc_id").cast("long"), F.col("toxic").cast("int"), "text")
     held = rows.mapInArrow(cut, "id long, y int, windows array<string>").collect()
-    samples = sorted({r["id"]: (r["id"], [w.split() for w in r["windows"]], r["y"]) for r in held}.values())
-    return train([(wins, y) for _, wins, y in samples], shape)
+    lexicon, samples, last = Lexicon(), [], None
+    for r in sorted(held, key=lambda r: r["id"]):
+        if r["id"] != last:
+            samples.append(([lexicon.encode(w.split()) for w in r["windows"]], r["y"]))
+        last = r["id"]
+    del held
+    return train(samples, lexicon, shape)
 
 
 def score_toxicity(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
