@@ -13,11 +13,10 @@ from pyspark.sql import functions as F
 
 from .common import materialize, text_of
 from .components import connected_components
-from .shingles import _GOLD, mix, multisets, overlaps, shingle_hashes
+from .shingles import _GOLD, mix, multisets, shingle_hashes
 
+#: Two texts of overlap 0.8 share no band with probability (1 - 0.8 ** 5) ** 26 = 3e-5.
 BANDS, ROWS = 26, 5
-#: 130 positions of two texts of overlap 0.8 agree on 104 +- 4.6; at 75 there are over six deviations between.
-LEAST_AGREEING = 75
 
 
 def bag_minhash(text: np.ndarray, element: np.ndarray, weight: np.ndarray, texts: int, m: int = BANDS * ROWS) -> np.ndarray:
@@ -74,7 +73,7 @@ def band_keys(signature: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def _chunks(texts: list[bytes], size: int = 2 << 20, rows: int = 1024) -> Iterator[tuple[int, int]]:
+def _chunks(texts: list[bytes], size: int = 1 << 20, rows: int = 1024) -> Iterator[tuple[int, int]]:
     a, held = 0, 0
     for b, text in enumerate(texts):
         if b > a and (held + len(text) > size or b - a >= rows):
@@ -86,8 +85,8 @@ def _chunks(texts: list[bytes], size: int = 2 << 20, rows: int = 1024) -> Iterat
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """id, c1, c2 (128 bits of the content's hash), bands (empty without words), sig (16 bits a position)."""
-    schema = pa.schema([("id", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("bands", pa.list_(pa.int64())), ("sig", pa.binary())])
+    """id, c1, c2 (128 bits of the content's hash), words, bands (empty without words)."""
+    schema = pa.schema([("id", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("words", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -99,61 +98,87 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame
                 text, hashes, words = shingle_hashes(np.frombuffer(b"".join(part), dtype=np.uint8), offsets, k)
                 signature = bag_minhash(*multisets(text, hashes), len(part))
                 keys = band_keys(signature)
-                short = (mix(np.ascontiguousarray(signature).view(np.uint64)) >> np.uint64(48)).astype("<u2")
                 content = np.array([divmod(xxhash.xxh3_128_intdigest(t), 1 << 64) for t in part], dtype=np.uint64).view(np.int64)
                 has = words > 0
                 lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(np.where(has, keys.shape[1], 0))]).astype(np.int32), pa.array(keys[has].ravel()))
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(content[:, 0]), pa.array(content[:, 1]), lists, pa.array([s.tobytes() for s in short], pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(content[:, 0]), pa.array(content[:, 1]), pa.array(words), lists], schema=schema)
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.encode(text_of(text_col), "UTF-8").alias("content"))
-    return texts.mapInArrow(run, "id long, c1 long, c2 long, bands array<long>, sig binary")
+    return texts.mapInArrow(run, "id long, c1 long, c2 long, words long, bands array<long>")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int, least: float) -> DataFrame:
-    """The pairs u, v whose texts overlap by `least` or more, with the overlap."""
-    ids = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.encode(text_of(text_col), "UTF-8").alias("content")).join(ids, "id", "left_semi")
-    rows = pairs.join(texts.select(F.col("id").alias("u"), F.col("content").alias("tu")), "u").join(texts.select(F.col("id").alias("v"), F.col("content").alias("tv")), "v")
-    schema = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("overlap", pa.float64())])
+class Overlaps:
+    """Exact multiset overlaps of one text of a block with all of them, each in one sweep over the block's shingles."""
+
+    def __init__(self, texts: list[bytes], k: int) -> None:
+        offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts], dtype=np.int64)])
+        text, hashes, _ = shingle_hashes(np.frombuffer(b"".join(texts), dtype=np.uint8), offsets, k)
+        text, hashes, self.times = multisets(text, hashes)
+        order = np.argsort(text, kind="stable")
+        self.text, self.times = text[order], self.times[order]
+        self.of = np.searchsorted(self.text, np.arange(len(texts) + 1))
+        names, self.ids = np.unique(hashes[order], return_inverse=True)
+        self.weight = np.bincount(self.text, weights=self.times, minlength=len(texts))
+        self.mark = np.zeros(len(names))
+
+    def centre(self) -> int:
+        """The text whose shingles are the commonest in the block."""
+        spread = np.bincount(self.ids, minlength=len(self.mark))
+        return int(np.argmax(np.bincount(self.text, weights=spread[self.ids] * self.times, minlength=len(self.weight)) / np.maximum(self.weight, 1)))
+
+    def with_all(self, u: int) -> np.ndarray:
+        own = slice(self.of[u], self.of[u + 1])
+        self.mark[self.ids[own]] = self.times[own]
+        both = np.bincount(self.text, weights=np.minimum(self.mark[self.ids], self.times), minlength=len(self.weight))
+        self.mark[self.ids[own]] = 0
+        return both / np.maximum(self.weight + self.weight[u] - both, 1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            left, right = ([x.as_py() for x in batch.column(i)] for i in (2, 3))
-            for a, b in _chunks([x + y for x, y in zip(left, right)]):
-                share = overlaps(left[a:b], right[a:b], k)
-                good = pa.array(share >= least)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(share)], schema=schema).filter(good)
 
-    return rows.select("u", "v", "tu", "tv").mapInArrow(run, "u long, v long, overlap double")
+def _links(k: int, least: float):
+    """Links that connect a block as all its links would.
+
+    From the text at its centre on, members outside the largest class meet all others; two members of
+    one class need no test. So every pair that ends in different classes has been compared exactly."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("rep")
+        reps, us, vs = rows["rep"].to_numpy(), [], []
+        if len(reps) > 1:
+            near, label, met = Overlaps(list(rows["content"]), k), np.arange(len(reps)), np.zeros(len(reps), dtype=bool)
+            u = near.centre()
+            while True:
+                met[u] = True
+                for v in np.flatnonzero(near.with_all(u) >= least):
+                    if label[v] != label[u]:
+                        us.append(reps[u]), vs.append(reps[v])
+                        label[label == label[v]] = label[u]
+                open_ = np.flatnonzero(~met & (label != np.bincount(label).argmax()))
+                if not len(open_):
+                    break
+                u = open_[0]
+        return pd.DataFrame({"u": np.array(us, dtype="int64"), "v": np.array(vs, dtype="int64")})
+
+    return run
 
 
-def _likely(lo: int, hi: int, least: int):
-    """For a block pair of one bucket: each member's likely partners of other classes, ranks lo to hi by agreement."""
+def _links_between(k: int, least: float):
+    """Links from members on side 0 to members on side 1 of other classes; one for each pair of classes."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        left, right = rows[rows["side"] != 1], rows[rows["side"] != 0]
-        us, vs, ns = [], [], []
-        if len(left) and len(right):
-            sv = np.frombuffer(b"".join(right["sig"]), dtype="<u2").reshape(len(right), -1)
-            su = np.frombuffer(b"".join(left["sig"]), dtype="<u2").reshape(len(left), -1)
-            iv, cv = right["rep"].to_numpy(), right["cls"].to_numpy()
-            for u, c, s in zip(left["rep"].to_numpy(), left["cls"].to_numpy(), su):
-                if (cv == c).all():
-                    continue
-                agree = (sv == s).sum(axis=1)
-                likely = np.flatnonzero((agree >= least) & (iv != u))
-                likely = likely[np.lexsort((iv[likely], -agree[likely]))]
-                for v, w in zip(iv[likely[lo:hi]], cv[likely[lo:hi]]):
-                    if w != c:
-                        us.append(min(u, v)), vs.append(max(u, v)), ns.append(0)
-                if (cv[likely[hi:]] != c).any():
-                    us.append(u), vs.append(u), ns.append(1)
-        return pd.DataFrame({"u": np.array(us, dtype="int64"), "v": np.array(vs, dtype="int64"), "more": np.array(ns, dtype="int32")})
+        rows = rows.sort_values(["side", "rep"])
+        reps, cls, side = rows["rep"].to_numpy(), rows["cls"].to_numpy(), rows["side"].to_numpy()
+        near, us, vs, told = Overlaps(list(rows["content"]), k), [], [], set()
+        for u in np.flatnonzero(side == 0):
+            for v in np.flatnonzero((near.with_all(u) >= least) & (side == 1) & (cls != cls[u])):
+                if (cls[u], cls[v]) not in told:
+                    told.add((cls[u], cls[v]))
+                    us.append(reps[u]), vs.append(reps[v])
+        return pd.DataFrame({"u": np.array(us, dtype="int64"), "v": np.array(vs, dtype="int64")})
 
     return run
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, least: float = 0.8, block: int = 1000) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, least: float = 0.8, block: int = 1000, block_words: int = 1 << 20) -> DataFrame:
     """One row per input row: id, text_rep (smallest id with the same text), class_id, class_size, kept.
 
     Two texts are linked if the multisets of their k-word shingles overlap by `least` or more; classes are
@@ -161,37 +186,40 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Null texts equal the empty one; texts without words are linked to equal texts only. An id stands for
     one text (repeated equal rows are fine); rows without an id share the class of their text.
 
-    Equal texts fold first. In each bucket of a band, members are verified against the smallest id: one
-    pair per member, not all pairs. What then still lies in a bucket with another class is compared by
-    whole signatures in blocks, best first and in widening slices until none is left, and only likely
-    partners of other classes are verified: no link between classes is left out, no hot bucket expands."""
+    Equal texts fold first. Texts that share a band are a bucket; of buckets with the same members one
+    remains. Buckets are dealt into blocks of bounded rows and words, and a task compares a block's texts
+    exactly, from the text at its centre on, without emitting pairs: only links that join classes leave it. A
+    hot bucket thus costs its blocks, not their pairs; its blocks meet through the other bands, in which
+    they are dealt otherwise. Buckets of several blocks that still hold several classes then compare
+    every member outside their largest class with all others. So no link between classes is left out."""
     sig = materialize(signatures(docs, id_col, text_col, k), "near-signatures")
-    reps = sig.groupBy("c1", "c2").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
-    reps = materialize(reps, "near-texts")
+    reps = materialize(sig.groupBy("c1", "c2").agg(F.min("id").alias("rep"), F.first("words").alias("words"), F.first("bands").alias("bands")), "near-texts")
+    # Sets of ids grow with the corpus: these joins are never to be broadcast, whatever a size at hand.
     banded = reps.where("rep IS NOT NULL").select("rep", F.explode("bands").alias("key"))
-    buckets = banded.groupBy("key").agg(F.min("rep").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = materialize(banded.join(buckets, "key"), "near-members")
-    stars = members.where("rep <> pivot").select(F.col("pivot").alias("u"), F.col("rep").alias("v")).distinct()
-    links = materialize(verified(stars, docs, id_col, text_col, k, least), "near-links")
+    shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    rows = materialize(banded.join(shared.hint("merge"), "key").join(reps.select("rep", "words").hint("merge"), "rep"), "near-banded")
+    sets = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("words").alias("w"), F.min("rep").alias("low"), F.bit_xor(F.xxhash64("rep")).alias("who"))
+    parts = F.ceil(F.greatest(F.col("n") / F.lit(block), F.col("w") / F.lit(block_words))).cast("int")
+    buckets = sets.groupBy("n", "w", "low", "who").agg(F.min("key").alias("key")).select("key", parts.alias("blocks"))
+    members = rows.join(buckets.hint("merge"), "key").withColumn("own", F.pmod(F.xxhash64("key", "rep"), F.col("blocks")).cast("int"))
+    members = materialize(members.select("key", "rep", "blocks", "own"), "near-members")
+    ids = members.select("rep").distinct()
+    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.encode(text_of(text_col), "UTF-8").alias("content")).join(ids.hint("merge"), "rep", "left_semi")
+    found = members.join(texts, "rep").groupBy("key", "own").applyInPandas(_links(k, least), "u long, v long")
+    links = materialize(found.distinct(), "near-links")
     labels = connected_components(links)
-    lo, hi = 0, 4
-    while True:
-        classed = members.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("cls", F.coalesce("component", "rep"))
-        buckets = classed.groupBy("key").agg(F.min("cls").alias("a"), F.max("cls").alias("b"), F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("who"))
-        # Bands often gather the same members: one bucket of each set of members is enough.
-        mixed = buckets.where("a < b").groupBy("size", "who").agg(F.min("key").alias("key")).select("key")
-        open_rows = classed.join(mixed, "key").select("key", "rep", "cls", F.ceil(F.col("n") / F.lit(block)).cast("int").alias("blocks"))
-        open_rows = open_rows.join(reps.select("rep", "sig"), "rep").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-        dealt = open_rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        dealt = dealt.select("key", "rep", "cls", "sig", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), F.when(F.col("own") == F.col("with"), 2).when(F.col("own") < F.col("with"), 0).otherwise(1).alias("side"))
-        found = materialize(dealt.groupBy("key", "i", "j").applyInPandas(_likely(lo, hi, LEAST_AGREEING), "u long, v long, more int"), "near-likely")
-        pairs = found.where("more = 0").select("u", "v").distinct()
-        if not pairs.isEmpty():
-            links = materialize(links.unionByName(verified(pairs, docs, id_col, text_col, k, least)), "near-links")
-            labels = connected_components(links)
-        if found.where("more = 1").isEmpty():
-            break
-        lo, hi = hi, hi * 8
+    large = members.where("blocks > 1").join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("cls", F.coalesce("component", "rep"))
+    counts = large.groupBy("key", "cls").agg(F.count(F.lit(1)).alias("c"))
+    main = counts.groupBy("key").agg(F.max_by("cls", F.struct("c", "cls")).alias("main"), F.count(F.lit(1)).alias("classes"), F.sum("c").alias("n"), F.max("c").alias("most")).where("classes > 1")
+    mixed = materialize(large.join(main, "key").withColumn("strips", F.ceil((F.col("n") - F.col("most")) / F.lit(block)).cast("int")), "near-mixed")
+    if not mixed.isEmpty():
+        strip = F.pmod(F.xxhash64(F.lit(1), "rep"), F.col("strips")).cast("int")
+        left = mixed.where("cls <> main").select("key", "rep", "cls", strip.alias("j"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), F.lit(0).alias("side"))
+        right = mixed.select("key", "rep", "cls", F.explode(F.sequence(F.lit(0), F.col("strips") - 1)).alias("j"), F.col("own").alias("i"), F.lit(1).alias("side"))
+        both = left.select("key", "i", "j", "rep", "cls", "side").unionByName(right.select("key", "i", "j", "rep", "cls", "side"))
+        more = both.join(texts, "rep").groupBy("key", "i", "j").applyInPandas(_links_between(k, least), "u long, v long")
+        links = materialize(links.unionByName(more.distinct()), "near-links")
+        labels = connected_components(links)
     classes = reps.select("c1", "c2", "rep").join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").select("c1", "c2", "rep", F.coalesce("component", "rep").alias("class_id"))
     rows = sig.select("id", "c1", "c2").join(classes, ["c1", "c2"])
     sizes = rows.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size"))

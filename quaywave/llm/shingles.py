@@ -73,19 +73,3 @@ def multisets(text: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndar
     own = own[order]
     first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.zeros(0, np.int64)
     return text[order[first]], hashes[order[first]], np.diff(np.concatenate([first, [len(own)]]))
-
-
-def overlaps(data: list[bytes], other: list[bytes], k: int = 5) -> np.ndarray:
-    """Multiset Jaccard of the shingles of data[i] and other[i]; 0 where neither has any."""
-    sides = []
-    for texts in (data, other):
-        offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts], dtype=np.int64)])
-        text, hashes, _ = shingle_hashes(np.frombuffer(b"".join(texts), dtype=np.uint8), offsets, k)
-        own = mix(hashes ^ mix(text.astype(np.uint64) * _GOLD))
-        order = np.argsort(own)
-        keys, first, n = np.unique(own[order], return_index=True, return_counts=True)
-        sides.append((keys, text[order][first], n, np.bincount(text, minlength=len(texts))))
-    (ka, ta, na, wa), (kb, _, nb, wb) = sides
-    _, ia, ib = np.intersect1d(ka, kb, assume_unique=True, return_indices=True)
-    both = np.bincount(ta[ia], weights=np.minimum(na[ia], nb[ib]), minlength=len(data))
-    return both / np.maximum(wa + wb - both, 1)
