@@ -50,10 +50,9 @@ def shard_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Equal texts are a group and share a shard. Groups are dealt by hash into at most `units` units, which
     the packing places; so the plan is of bounded size whatever the number of groups. A group over
-    `heavy` of a shard's share stands alone, and is split into parts of about that size by the hash of
-    the id: there are at most shards / heavy such groups, and no shard could be near its share if a
-    group larger than a shard stayed whole. slot counts a shard's rows from 0, without gaps, as running
-    sums over units. Null texts are empty; repeated rows are sharded as often as they occur."""
+    `heavy` of a shard's share is a unit of its own: there are at most shards / heavy of those. One over
+    half a share is split, into parts of a sixteenth by the hash of the id: no shard could be near its
+    share otherwise. slot counts a shard's rows from 0, without gaps, as running sums over units. Null texts are empty; repeated rows are sharded as often as they occur."""
     spark = docs.sparkSession
     text = text_of(text_col)
     rows = materialize(
@@ -67,9 +66,10 @@ def shard_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "shard-rows",
     )
     total = rows.agg(F.sum("size").alias("s")).first()["s"] or 0
-    part = max(1.0, total / shards * heavy)
+    share = max(1.0, total / shards)
     groups = rows.groupBy("group").agg(F.sum("size").alias("bytes"))
-    big = materialize(groups.where(F.col("bytes") > part).select("group", F.ceil(F.col("bytes") / F.lit(part)).cast("int").alias("parts")), "shard-heavy")
+    parts = F.when(F.col("bytes") > share / 2, F.ceil(F.col("bytes") * 16 / F.lit(share))).otherwise(1).cast("int")
+    big = materialize(groups.where(F.col("bytes") > share * heavy).select("group", parts.alias("parts")), "shard-heavy")
     # At most shards / heavy groups can exceed total / shards * heavy bytes: small enough to send to every task.
     dealt = rows.join(F.broadcast(big), "group", "left")
     light = F.pmod(F.xxhash64(F.lit(3), "group"), F.lit(units))
@@ -86,6 +86,6 @@ def shard_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = spark.createDataFrame(plan, "unit string, shard int, before long")
     inside: Column = F.row_number().over(Window.partitionBy("unit").orderBy(F.xxhash64(F.lit(13), "id"), "id", "text_crc32"))
     return (
-        dealt.join(F.broadcast(placed), "unit")  # at most units + 2 * shards / heavy rows
+        dealt.join(F.broadcast(placed), "unit")  # at most units + shards / heavy + 16 * shards + 2 * shards rows
         .select(F.col("id").alias(id_col), "size", "text_crc32", "shard", (F.col("before") + inside - 1).cast("long").alias("slot"))
     )
