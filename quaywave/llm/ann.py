@@ -30,7 +30,7 @@ class Settings:
     beam: int = 64
     replicas: int = 4
     replica_ratio: float = 1.10
-    probe_ratio: float = 1.25
+    probe_ratio: float = 1.6
     block: int = 4096
     seed: int = 5
 
