@@ -175,7 +175,7 @@ def grace_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, all columns; of repeated rows with one id and text a single one."""
-    kept = grace_dedup(docs, id_col, text_col).where("kept").select(id_col, F.col("text_sha256").alias("_sha")).distinct()
-    rows = docs.withColumn("_sha", F.sha2(text_of(text_col), 256))
-    joined = rows.join(kept, [rows[id_col].eqNullSafe(kept[id_col]), rows["_sha"] == kept["_sha"]], "left_semi")
-    return joined.drop("_sha")
+    kept = grace_dedup(docs, id_col, text_col).where("kept").select(id_col, F.col("text_sha256").alias("__quaywave_sha")).distinct()
+    rows = docs.withColumn("__quaywave_sha", F.sha2(text_of(text_col), 256))
+    joined = rows.join(kept, [rows[id_col].eqNullSafe(kept[id_col]), rows["__quaywave_sha"] == kept["__quaywave_sha"]], "left_semi")
+    return joined.drop("__quaywave_sha")

@@ -122,6 +122,6 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", **settings) -> DataFrame:
     """The mix itself: each row of docs as often as mix_sources takes it, all columns. Ids are unique."""
-    copies = mix_sources(docs, id_col, **settings).where("copies > 0").select(F.col(id_col).alias("_id"), F.col("copies").cast("int").alias("_copies"))
-    rows = docs.join(copies, docs[id_col].eqNullSafe(copies["_id"]))
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    copies = mix_sources(docs, id_col, **settings).where("copies > 0").select(F.col(id_col).alias("__quaywave_id"), F.col("copies").cast("int").alias("__quaywave_copies"))
+    rows = docs.join(copies, docs[id_col].eqNullSafe(copies["__quaywave_id"]))
+    return rows.withColumn("__quaywave_copy", F.explode(F.sequence(F.lit(1), F.col("__quaywave_copies")))).select(*docs.columns)

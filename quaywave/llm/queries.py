@@ -16,7 +16,7 @@ from .packing import pack_documents
 from .pii import find_pii, spell
 from .sharding import shard_documents
 from .toxicity import fit_toxicity, held_out, score_toxicity
-from .url_filter import judge_urls
+from .url_filter import RULES, judge_urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -81,6 +81,45 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_chats(format_chats(turns))
 
 
+def _url_sql() -> str:
+    """Rules, and block decisions over canonical links and refresh redirects by plain reachability."""
+    low = lambda x: f"translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    host = lambda x: low(f"coalesce(regexp_extract({x}, '(?s)^.*?://([^/?#]*)', 1), '')")
+    path = lambda x: f"coalesce(regexp_extract({x}, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '')"
+
+    def node(x: str) -> str:
+        bare = f"regexp_replace({x}, '(?s)#.*$', '')"
+        head, rest = f"regexp_extract({bare}, '(?s)^(.*?://[^/?#]*)', 1)", f"regexp_extract({bare}, '(?s)^.*?://[^/?#]*(.*)$', 1)"
+        return f"CASE WHEN {head} <> '' THEN {low(head)} || CASE WHEN {rest} LIKE '/%' THEN {rest} ELSE '/' || {rest} END END"
+
+    def case(pick: int) -> str:
+        whens = []
+        for rule in sorted(RULES, key=lambda r: (-len(r[1]), r[1])):
+            name, slash, rest = rule[1].partition("/")
+            whens.append(f"WHEN (host = '{name}' OR host LIKE '%.{name}') AND starts_with(path, '{slash}{rest}') THEN '{rule[pick]}'")
+        return "CASE " + " ".join(whens) + " END"
+
+    return rf"""
+        WITH RECURSIVE tags AS (
+            SELECT url, unnest(regexp_extract_all(html, '(?i)<link\b[^>]*>')) AS tag, 'link' AS kind FROM pages WHERE regexp_matches(html, '(?i)canonical')
+            UNION ALL SELECT url, unnest(regexp_extract_all(html, '(?i)<meta\b[^>]*>')), 'meta' FROM pages WHERE regexp_matches(html, '(?i)http-equiv')),
+        found AS (
+            SELECT url, trim(regexp_replace(regexp_replace(CASE kind
+                WHEN 'link' THEN CASE WHEN regexp_matches(tag, '(?i)\brel\s*=\s*("[^"]*\bcanonical\b|''[^'']*\bcanonical\b|canonical\b)') THEN regexp_extract(tag, '(?i)\bhref\s*=\s*["'']?([^"''\s>]*)', 1) END
+                ELSE CASE WHEN regexp_matches(tag, '(?i)\bhttp-equiv\s*=\s*["'']?refresh\b') THEN regexp_extract(tag, '(?i)\bcontent\s*=\s*["'']?\s*[0-9.]*\s*[;,]\s*url\s*=\s*["'']?([^"''>]*)', 1) END END,
+                '(?i)&amp;', '&', 'g'), '#.*$', '')) AS link FROM tags),
+        whole AS (SELECT url, CASE WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN link
+            WHEN starts_with(link, '//') THEN regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*:)//', 1) || link
+            WHEN starts_with(link, '/') THEN regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) || link END AS link FROM found),
+        edges AS (SELECT {node("url")} AS u, {node("link")} AS v FROM whole),
+        both_ways AS (SELECT u, v FROM edges WHERE u <> v UNION SELECT v, u FROM edges WHERE u <> v),
+        reach(node, other) AS (SELECT u, u FROM both_ways UNION SELECT r.node, b.v FROM reach r JOIN both_ways b ON b.u = r.other),
+        told AS (SELECT node, {case(0)} AS said FROM (SELECT node, {host("other")} AS host, {path("other")} AS path FROM reach)),
+        blocked AS (SELECT node FROM told GROUP BY node HAVING bool_or(said = 'block') AND NOT coalesce(bool_or(said = 'allow'), false)),
+        judged AS (SELECT page_id, host, path, {case(1)} AS rule, {case(0)} AS said, node FROM (SELECT page_id, {host("url")} AS host, {path("url")} AS path, {node("url")} AS node FROM pages))
+        SELECT page_id, host, path, rule, coalesce(said, CASE WHEN node IN (SELECT node FROM blocked) THEN 'block' ELSE 'allow' END) AS verdict FROM judged"""
+
+
 QUERIES: dict[str, Query] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_pii": op2_pii,
@@ -95,6 +134,7 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op8_url_filter": _url_sql(),
     "op1_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
