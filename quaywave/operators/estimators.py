@@ -72,7 +72,7 @@ def predict_folds(rows: DataFrame, by: list[str], array: str, label: str, fold:
                 frame["model"], frame["predicted"] = name, MODELS[name](scaled[~test], y[~test], scaled[test])
                 out.append(frame)
         columns = [*by, fold, id_col, label, "model", "predicted"]
-        return pd.concat(out)[columns] if out else pd.DataFrame({c: [] for c in columns})
+        return pd.concat(out)[columns] if out else part.iloc[:0].assign(model="", predicted=part[label].iloc[:0])[columns]
 
     schema = ", ".join(f"{c} {kinds[c]}" for c in [*by, fold, id_col, label]) + f", model string, predicted {kinds[label]}"
     return rows.select(*by, fold, id_col, label, array).groupBy(*by).applyInPandas(run, schema)
