@@ -105,6 +105,24 @@ def stockwell_entropy(x: np.ndarray, fs: float, bands, low: float, high: float,
     return np.nan_to_num(np.stack(out, axis=-1), nan=-10.0, posinf=10.0, neginf=-10.0)
 
 
+def stockwell_amplitude_entropy(x: np.ndarray, fs: float, bands, low: float, high: float, count: int = 75, eps: float = 1e-10) -> np.ndarray:
+    """The older form: entropy of the variance of the band's mean amplitude; an empty band gives 0."""
+    frequencies = np.logspace(np.log10(low), np.log10(high), count)
+    size = stockwell(x, fs, frequencies, guard=1e-8).astype(float)
+    out = []
+    for _, lo, hi in bands:
+        inside = (frequencies >= lo) & (frequencies <= hi)
+        v = size[..., inside, :].mean(axis=-2).var(axis=-1) if inside.any() else None
+        out.append(np.zeros(x.shape[:-1]) if v is None else 0.5 * np.log(2 * np.pi * np.e * (v + eps)))
+    return np.stack(out, axis=-1)
+
+
+def filtered_entropy(x: np.ndarray, fs: float, bands, order: int = 4, eps: float = 1e-10) -> np.ndarray:
+    """Entropy of the variance of each band-passed signal: (.., band)."""
+    parts = [zero_phase(butterworth_bandpass(order, lo, min(hi, 0.49 * fs), fs), x).var(axis=-1) for _, lo, hi in bands]
+    return 0.5 * np.log(2 * np.pi * np.e * (np.stack(parts, axis=-1) + eps))
+
+
 def daubechies(order: int) -> np.ndarray:
     """Low-pass filter of the Daubechies wavelet with `order` vanishing moments, by spectral factorisation:
     of the roots of the half-band polynomial those inside the unit circle."""
@@ -217,15 +235,21 @@ def logistic_fit(x: np.ndarray, y: np.ndarray, c: float = 1.0, rounds: int = 50)
     return classes, w[:-1], w[-1]
 
 
-def rbf_svm_fit(x: np.ndarray, y: np.ndarray, c: float = 1.0, gamma: float | None = None, rounds: int = 2000, tol: float = 1e-3) -> tuple:
+def kernel_matrix(x: np.ndarray, z: np.ndarray, gamma: float, degree: int = 0) -> np.ndarray:
+    """exp(-gamma |x - z|^2), or (gamma x.z + 1) ** degree for a degree over 0."""
+    if degree:
+        return (gamma * x @ z.T + 1) ** degree
+    return np.exp(-gamma * np.maximum(0, (x * x).sum(axis=1)[:, None] + (z * z).sum(axis=1)[None, :] - 2 * x @ z.T))
+
+
+def svm_fit(x: np.ndarray, y: np.ndarray, c: float = 1.0, gamma: float | None = None, degree: int = 0, rounds: int = 2000, tol: float = 1e-3) -> tuple:
     """Two-class support vectors by sequential minimal optimisation on the pair that violates most; balanced weights.
 
-    Returns classes, support vectors, coefficients, offset, gamma."""
+    Returns classes, support vectors, coefficients, offset, gamma, degree."""
     classes, index = np.unique(y, return_inverse=True)
     t = np.where(index == 1, 1.0, -1.0)
     gamma = gamma or 1.0 / (x.shape[1] * max(x.var(), 1e-12))
-    squares = (x * x).sum(axis=1)
-    kernel = np.exp(-gamma * np.maximum(0, squares[:, None] + squares[None, :] - 2 * x @ x.T))
+    kernel = kernel_matrix(x, x, gamma, degree)
     limit = c * len(t) / (2 * np.where(t > 0, (t > 0).sum(), (t < 0).sum()))
     alpha, grad = np.zeros(len(t)), -np.ones(len(t))
     for _ in range(rounds):
@@ -245,15 +269,16 @@ def rbf_svm_fit(x: np.ndarray, y: np.ndarray, c: float = 1.0, gamma: float | Non
     score, free = -t * grad, (alpha > 1e-9) & (alpha < limit - 1e-9)
     offset = score[free].mean() if free.any() else (score[up].max() + score[down].min()) / 2
     held = alpha > 1e-9
-    return classes, x[held], (alpha * t)[held], offset, gamma
+    return classes, x[held], (alpha * t)[held], offset, gamma, degree
+
+
+def svm_margin(model: tuple, x: np.ndarray) -> np.ndarray:
+    _, support, coef, offset, gamma, degree = model
+    return kernel_matrix(x, support, gamma, degree) @ coef + offset if len(support) else np.full(len(x), -1.0)
 
 
-def rbf_svm_decide(model: tuple, x: np.ndarray) -> np.ndarray:
-    classes, support, coef, offset, gamma = model
-    if not len(support):
-        return np.full(len(x), classes[0])
-    d = (x * x).sum(axis=1)[:, None] + (support * support).sum(axis=1)[None, :] - 2 * x @ support.T
-    return classes[(np.exp(-gamma * np.maximum(0, d)) @ coef + offset > 0).astype(int)]
+def svm_decide(model: tuple, x: np.ndarray) -> np.ndarray:
+    return model[0][(svm_margin(model, x) > 0).astype(int)]
 
 
 def yeo_johnson(x: np.ndarray, lam: float) -> np.ndarray:

@@ -43,6 +43,14 @@ def stockwell_entropy(column: str | Column, fs: float, bands, low: float = 1.0,
     return _stacked(column, lambda x: kernels.stockwell_entropy(x, fs, bands, low, high, count))
 
 
+def stockwell_amplitude_entropy(column: str | Column, fs: float, bands, low: float = 1.0, high: float = 50.0, count: int = 75) -> Column:
+    return _stacked(column, lambda x: kernels.stockwell_amplitude_entropy(x, fs, bands, low, high, count))
+
+
+def filtered_entropy(column: str | Column, fs: float, bands) -> Column:
+    return _stacked(column, lambda x: kernels.filtered_entropy(x, fs, bands))
+
+
 def wavelet_log_variance(column: str | Column, order: int = 4, level: int = 5) -> Column:
     return _stacked(column, lambda x: kernels.wavelet_log_variance(x, order, level))
 

@@ -27,28 +27,28 @@ def _linear(fit) -> Callable:
     return run
 
 
-def _svm(x: np.ndarray, y: np.ndarray, z: np.ndarray) -> np.ndarray:
-    """One against the rest where there are more than two classes."""
-    classes = np.unique(y)
-    if len(classes) == 2:
-        return kernels.rbf_svm_decide(kernels.rbf_svm_fit(x, y), z)
-    votes = []
-    for c in classes:
-        _, support, coef, offset, gamma = kernels.rbf_svm_fit(x, (y == c).astype(int))
-        d = (z * z).sum(axis=1)[:, None] + (support * support).sum(axis=1)[None, :] - 2 * z @ support.T
-        votes.append(np.exp(-gamma * np.maximum(0, d)) @ coef + offset)
-    return classes[np.argmax(np.stack(votes), axis=0)]
+def _svm(degree: int = 0) -> Callable:
+    """Kernel machines; one against the rest where there are more than two classes."""
+
+    def run(x: np.ndarray, y: np.ndarray, z: np.ndarray) -> np.ndarray:
+        classes = np.unique(y)
+        if len(classes) == 2:
+            return kernels.svm_decide(kernels.svm_fit(x, y, degree=degree), z)
+        margins = [kernels.svm_margin(kernels.svm_fit(x, (y == c).astype(int), degree=degree), z) for c in classes]
+        return classes[np.argmax(np.stack(margins), axis=0)]
+
+    return run
 
 
 def _bagged(x: np.ndarray, y: np.ndarray, z: np.ndarray, times: int = 5) -> np.ndarray:
     rng, classes, votes = np.random.default_rng(0), np.unique(y), []
     for _ in range(times):
         pick = rng.integers(0, len(x), len(x))
-        votes.append(_svm(x[pick], y[pick], z) if len(np.unique(y[pick])) > 1 else np.full(len(z), y[pick][0]))
+        votes.append(_svm()(x[pick], y[pick], z) if len(np.unique(y[pick])) > 1 else np.full(len(z), y[pick][0]))
     return classes[np.argmax(np.stack([(np.stack(votes) == c).sum(axis=0) for c in classes]), axis=0)]
 
 
-MODELS: dict[str, Callable] = {"lda": _linear(kernels.lda_fit), "ridge": _linear(kernels.ridge_fit), "logistic": _linear(kernels.logistic_fit), "rbf_svm": _svm, "bagged_svm": _bagged}
+MODELS: dict[str, Callable] = {"lda": _linear(kernels.lda_fit), "ridge": _linear(kernels.ridge_fit), "logistic": _linear(kernels.logistic_fit), "rbf_svm": _svm(), "poly_svm": _svm(3), "bagged_svm": _bagged}
 
 
 def predict_folds(rows: DataFrame, by: list[str], array: str, label: str, fold: str, id_col: str, models: list[str]) -> DataFrame:
@@ -97,7 +97,7 @@ def nested_grid(rows: DataFrame, by: list[str], array: str, label: str, fold: st
                 return 0.0
             mean, std = x[train].mean(axis=0), x[train].std(axis=0)
             z = (x - mean) / np.where(std == 0, 1, std)
-            return float((kernels.rbf_svm_decide(kernels.rbf_svm_fit(z[train], y[train], c, gamma), z[test]) == y[test]).mean())
+            return float((kernels.svm_decide(kernels.svm_fit(z[train], y[train], c, gamma), z[test]) == y[test]).mean())
 
         for f in np.unique(folds):
             test = folds == f

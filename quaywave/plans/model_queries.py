@@ -11,7 +11,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import functions as F
 
 from ..functions import kernels, transforms
-from ..operators import estimators, spectral
+from ..operators import estimators, spectral, windows
 from ..streaming.hopping import hopping_features
 from .registry import query, r6, table, trials
 
@@ -35,6 +35,34 @@ def stockwell_de(spark, d):
     return _values(rows, "vec_id", "de", "de")
 
 
+@query()
+def stockwell_amplitude_de(spark, d):
+    rows = trials(spark, d).withColumn("de", transforms.stockwell_amplitude_entropy("embedding", FS, spectral.BANDS_DE))
+    return _values(rows, "vec_id", "de", "de")
+
+
+@query()
+def band_filtered_de(spark, d):
+    rows = trials(spark, d).withColumn("de", transforms.filtered_entropy("embedding", FS, spectral.safe_bands(spectral.BANDS_DE, FS)))
+    return _values(rows, "vec_id", "de", "de")
+
+
+@query()
+def filter_per_window(spark, d):
+    """The older order: windows first, each filtered on its own; numbers at the edges differ from whole trials."""
+    cut = windows.cut_windows(trials(spark, d), "embedding", 32, 16)
+    rows = cut.withColumn("x", transforms.remove_hum(transforms.bandpass("samples", FS, 1.0, 50.0), FS))
+    return rows.select("vec_id", "window_idx", F.posexplode("x").alias("idx", "filtered")).select("vec_id", "window_idx", "idx", r6("filtered"))
+
+
+@query()
+def welch_band_power(spark, d):
+    """Log power of three bands over the Welch density."""
+    spectrum = spectral.bins(spectral.welch(trials(spark, d), "embedding", FS, 32, 64), "vec_id", "psd", FS / 32)
+    bands = spectral.band_table(spark, [("theta", 4.0, 7.0), ("alpha", 8.0, 12.0), ("beta", 13.0, 25.0)])
+    return spectral.band_power(spectrum, "vec_id", bands).select("vec_id", "band", r6("log_power"))
+
+
 @query()
 def wavelet_logvar(spark, d):
     return _values(trials(spark, d).withColumn("w", transforms.wavelet_log_variance("embedding")), "vec_id", "w", "logvar")
@@ -79,6 +107,22 @@ def csp_logpower(spark, d):
     return long.groupBy("vec_id", "component").agg(r6(F.ln(F.avg(F.col("v") * F.col("v")) + 1e-10), "log_power"))
 
 
+@query()
+def csp_one_vs_rest(spark, d):
+    """Patterns of each of the three classes against the rest: the rest's covariance is a difference of sums."""
+    rows = trials(spark, d)
+    series = rows.select("vec_id", "y", F.posexplode(F.array(*[F.transform(F.sequence(F.lit(0), F.lit(7)), lambda c, t=t: F.get("embedding", c * 8 + t)) for t in range(8)])).alias("t", "x"))
+    sums = transforms.second_moments(series, ["y"], "x").collect()  # one row per class
+    total, n = sum(np.array(r["products"]) for r in sums), sum(r["n"] for r in sums)
+    parts = []
+    for r in sorted(sums, key=lambda r: r["y"]):
+        own = np.array(r["products"])
+        parts.append(kernels.csp_filters((own / r["n"]).reshape(8, 8), ((total - own) / (n - r["n"])).reshape(8, 8), 2))
+    projected = series.withColumn("p", transforms.project("x", np.zeros(8), np.concatenate(parts, axis=1)))
+    long = projected.select("vec_id", F.posexplode("p").alias("component", "v"))
+    return long.groupBy("vec_id", "component").agg(r6(F.ln(F.avg(F.col("v") * F.col("v")) + 1e-10), "log_power"))
+
+
 @query()
 def yeo_johnson(spark, d):
     """A power transform per feature: grouped by feature, one likelihood search each, then standardised."""
@@ -218,6 +262,18 @@ def pooled_grid_search(spark, d):
     return spark.createDataFrame(points, "reg double, elastic double, accuracy double").select("reg", "elastic", r6("accuracy"))
 
 
+@query()
+def recordings_to_accuracy(spark, d):
+    """The whole way: trials to window features, to a cross-validated ensemble per session, to a summary."""
+    from . import lifecycle
+
+    rows = trials(spark, d).select("subject", "session", "trial", "vec_id", "y", "embedding")
+    recording = rows.select("subject", "session", F.col("vec_id").cast("int").alias("trial_idx"), "y", F.posexplode(F.array(*[F.slice("embedding", 1 + 16 * c, 16) for c in range(4)])).alias("channel", "samples"))
+    table_ = lifecycle.window_table(recording, fs=FS, size=8, step=4, cap=2, pairs=[(0, 1), (2, 3)], channels=4)
+    out = lifecycle.cross_validate(table_.withColumn("group", F.pmod("trial_idx", F.lit(11))), k=3, top=20)
+    return lifecycle.report_table(out).select("classifier", "session", r6("mean"), "folds")
+
+
 @query("""
 WITH w AS (SELECT user_id, value, to_timestamp(floor(epoch(ts) / 1800) * 1800 - k * 1800) AS s FROM events, range(0, 2) r(k))
 SELECT user_id, CAST(s AT TIME ZONE 'UTC' AS TIMESTAMP) AS window_start, CAST(s AT TIME ZONE 'UTC' AS TIMESTAMP) + INTERVAL 1 HOUR AS window_end, count(value) AS n, round(avg(value), 6) + 0.0 AS mean, round(stddev_pop(value), 6) + 0.0 AS std, min(value) AS min, max(value) AS max
