@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -38,6 +40,33 @@ def feature_names(fs: float, channels: int, pairs: int) -> list[str]:
     return [f"{b}_ch{c}" for b in usable for c in range(channels)] + [f"rasm_{b}_pair{p}" for b in usable for p in range(pairs)]
 
 
+#: Columns of a wide feature table that aren't features; all others are, in their order.
+META = ("label", "subject", "session", "trial_id")
+
+
+def feature_columns(wide: DataFrame, meta: tuple[str, ...] = META) -> list[str]:
+    return [c for c in wide.columns if c not in meta]
+
+
+def from_wide(wide: DataFrame, meta: tuple[str, ...] = META) -> DataFrame:
+    """The meta columns and features as one array; names are known at plan time, no job runs."""
+    names = feature_columns(wide, meta)
+    return wide.select(*[c for c in wide.columns if c in meta], F.array(*[F.col(f"`{c}`").cast("double") for c in names]).alias("features"))
+
+
+def to_wide(rows: DataFrame, names: list[str]) -> DataFrame:
+    return rows.select(*[c for c in rows.columns if c != "features"], *[F.get("features", F.lit(i)).cast("float").alias(n) for i, n in enumerate(names)])
+
+
+def run_steps(steps: list[tuple[str, Callable[[], object]]]) -> None:
+    """One after the other; the first failure stops the rest and names its step."""
+    for name, step in steps:
+        try:
+            step()
+        except Exception as error:
+            raise RuntimeError(f"step {name} failed") from error
+
+
 def tensor_rows(windowed: DataFrame) -> DataFrame:
     """The z-scored windows that go to the tensor store beside the features."""
     return windows.zscore(windowed, "samples", out="z")

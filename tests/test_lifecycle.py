@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from quaywave.plans import lifecycle
@@ -32,3 +33,17 @@ def test_pipeline_fits_on_training_rows_alone():
     x[:, 5] = 1.0
     fitted = lifecycle.FoldPipeline(top=4).fit(x, y)
     assert fitted.transform(x[:5]).shape == (5, 4) and 5 not in fitted.keep
+
+
+def test_wide_and_array_forms(spark):
+    names = lifecycle.feature_names(200.0, 2, 1)
+    rows = spark.createDataFrame([(1, 2, 3, [float(i) for i in range(len(names))])], "label int, subject int, session int, features array<double>")
+    wide = lifecycle.to_wide(rows, names)
+    assert lifecycle.feature_columns(wide) == names and lifecycle.from_wide(wide).first() == rows.first()
+
+
+def test_steps_stop_at_the_first_failure():
+    done = []
+    with pytest.raises(RuntimeError, match="step b"):
+        lifecycle.run_steps([("a", lambda: done.append("a")), ("b", lambda: 1 / 0), ("c", lambda: done.append("c"))])
+    assert done == ["a"]
