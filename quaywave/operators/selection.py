@@ -11,25 +11,39 @@ def variance_filter(rows: DataFrame, least: float) -> DataFrame:
     return rows.groupBy("feature_idx").agg(F.var_pop("value").alias("variance")).where(F.col("variance") > least)
 
 
-def anova_f(rows: DataFrame) -> DataFrame:
-    """One-way F of each feature against label, in closed form from count, mean and variance per class: two
-    partial aggregations, the second over classes only."""
-    per = rows.groupBy("feature_idx", "label").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("m"), F.var_pop("value").alias("v"))
+def class_moments(rows: DataFrame) -> DataFrame:
+    """feature_idx, f, variance, lo, hi: one pass over the values, partially aggregated per class; the rest is closed
+    form over classes. f is the one-way analysis of variance against label."""
+    per = rows.groupBy("feature_idx", "label").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("m"), F.var_pop("value").alias("v"), F.min("value").alias("lo"), F.max("value").alias("hi"))
     whole = per.groupBy("feature_idx").agg(
         F.sum("n").alias("total"),
         F.count(F.lit(1)).alias("k"),
         (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("grand"),
         F.sum(F.col("n") * F.col("v")).alias("within"),
         F.sum(F.col("n") * F.col("m") * F.col("m")).alias("squares"),
+        F.min("lo").alias("lo"),
+        F.max("hi").alias("hi"),
     )
     between = F.col("squares") - F.col("total") * F.col("grand") * F.col("grand")
     f = (between / F.nullif(F.col("k") - 1, F.lit(0))) / F.nullif(F.col("within") / F.nullif(F.col("total") - F.col("k"), F.lit(0)), F.lit(0.0))
-    return whole.select("feature_idx", f.alias("f"))
+    return whole.select("feature_idx", f.alias("f"), ((F.col("within") + between) / F.col("total")).alias("variance"), "lo", "hi")
+
+
+def anova_f(rows: DataFrame) -> DataFrame:
+    """One-way F of each feature against label."""
+    return class_moments(rows).select("feature_idx", "f")
+
+
+def feature_scores(rows: DataFrame, bins: int = 10) -> DataFrame:
+    """feature_idx, f, mi, variance: a pass for moments and edges, a pass for the binned counts."""
+    moments = class_moments(rows)
+    return moments.select("feature_idx", "f", "variance").join(binned_mi(rows, bins, moments.select("feature_idx", "lo", "hi")), "feature_idx")
 
 
-def binned_mi(rows: DataFrame, bins: int = 10) -> DataFrame:
+def binned_mi(rows: DataFrame, bins: int = 10, edges: DataFrame | None = None) -> DataFrame:
     """Mutual information (nats) of label and equal-width bins of each feature; a constant feature has one bin."""
-    edges = rows.groupBy("feature_idx").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    if edges is None:
+        edges = rows.groupBy("feature_idx").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
     width = F.nullif((F.col("hi") - F.col("lo")) / bins, F.lit(0.0))
     binned = rows.join(F.broadcast(edges), "feature_idx")  # one row per feature
     binned = binned.withColumn("bin", F.coalesce(F.least(F.floor((F.col("value") - F.col("lo")) / width), F.lit(bins - 1)), F.lit(0)))

@@ -73,9 +73,7 @@ sc AS (SELECT feature_idx, f, mi, variance FROM an JOIN mi USING (feature_idx) J
 
 
 def _scores(spark, d):
-    rows = _long(spark, d, ("vec_id", "y")).withColumnRenamed("y", "label")
-    variance = rows.groupBy("feature_idx").agg(F.var_pop("value").alias("variance"))
-    return selection.anova_f(rows).join(selection.binned_mi(rows), "feature_idx").join(variance, "feature_idx")
+    return selection.feature_scores(_long(spark, d, ("vec_id", "y")).withColumnRenamed("y", "label"))
 
 
 @query(f"WITH {_SCORES} SELECT feature_idx, round(f, 6) AS f FROM an")
