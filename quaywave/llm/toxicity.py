@@ -126,6 +126,15 @@ class Network:
         pad[:, :, : self.shape.hidden] = 40
         return np.concatenate([g, pad], axis=1)
 
+    def gates_of(self, word: np.ndarray, gram: np.ndarray, sizes: np.ndarray, block: int = 1 << 14) -> np.ndarray:
+        """gates(inputs(..)) of a whole lexicon, in blocks that bound what the n-grams' rows take."""
+        ends, parts = np.cumsum(sizes), []
+        for a in range(0, len(word), block):
+            b = min(a + block, len(word))
+            made = self.gates(self.inputs(word[a:b], gram[ends[a] - sizes[a] : ends[b - 1]], sizes[a:b]))
+            parts.append(made if b == len(word) else made[:, :-1])
+        return np.concatenate(parts, axis=1)
+
     def states(self, gates: np.ndarray, index: np.ndarray, trail: list | None = None) -> np.ndarray:
         """index: windows x words into the gates, -1 for padding. Returns states (words, windows, 2h)."""
         h, n, t = self.shape.hidden, *index.shape
@@ -231,7 +240,7 @@ def train(samples: list[tuple[list[np.ndarray], int]], lexicon: Lexicon, shape:
     for epoch in range(shape.epochs if len(samples) else 0):
         rows = learn[rng.random(len(learn)) < shape.early]
         if epoch >= 2:
-            gates = net.gates(net.inputs(word, grams, sizes))
+            gates = net.gates_of(word, grams, sizes)
             score = np.full(len(index), -np.inf)
             score[learn] = net.logits(gates, index[learn])
             order = learn[np.lexsort((-score[learn], owner[learn]))]
@@ -268,7 +277,7 @@ def train(samples: list[tuple[list[np.ndarray], int]], lexicon: Lexicon, shape:
                 square[k][spots] += (total * total).mean(axis=1)
                 net.p[k][spots] -= 5 * rate * total / (np.sqrt(square[k][spots])[:, None] + 1e-6)
     if len(samples) and 0 < label.sum() < len(label):
-        gates = net.gates(net.inputs(word, grams, sizes))
+        gates = net.gates_of(word, grams, sizes)
         top = np.full(len(samples), -np.inf)
         np.maximum.at(top, owner, net.logits(gates, index))
         truth = np.array([y for _, y in samples])
@@ -301,7 +310,7 @@ class Scorer:
         a, b = len(self.known), len(self.known) + len(fresh)
         while b >= self.gates.shape[1] - 1:
             self.gates = np.concatenate([self.gates, np.zeros_like(self.gates)], axis=1)
-        made = self.net.gates(self.net.inputs(*hashed(fresh, self.net.shape)))
+        made = self.net.gates_of(*hashed(fresh, self.net.shape))
         self.gates[:, a:b], self.gates[:, -1] = made[:, :-1], made[:, -1]
         self.known |= zip(fresh, range(a, b))
 
