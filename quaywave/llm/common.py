@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 _own_dir: str | None = None
+_written: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,9 +38,20 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sweep(spark: SparkSession) -> int:
+    """Deletes the tables that this process wrote with materialize(); call it once no result that reads them is needed."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    count = len(_written)
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(conf).delete(path, True)
+    return count
+
+
 def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
@@ -48,13 +60,16 @@ def word_count(column: Column) -> Column:
     return F.regexp_count(column, F.lit(WORD)).cast("long")
 
 
-def rank_within(df: DataFrame, keys: list[str], order: list[Column], spread: int = 256, name: str = "rank") -> DataFrame:
+def rank_within(df: DataFrame, keys: list[str], order: list[Column], spread: int | None = None, name: str = "rank") -> DataFrame:
     """Adds a gapless 0-based rank of each row within its keys (which may not be null).
 
     A group is dealt into `spread` parts by the hash of its ordering columns; parts are counted first
     (a partial aggregation), their offsets are running sums over at most `spread` rows a key, and only
-    the rows of one part are sorted together. So no task ever holds a whole hot group.
+    the rows of one part are sorted together. So no task ever holds a whole hot group. Unless given,
+    spread follows the rows of df (a table at hand: counting reads its footers), some 50000 a part.
     The order is the hash's, not the columns' own: deterministic, and evenly mixed."""
+    if spread is None:
+        spread = min(1 << 16, max(64, df.count() // 50_000))
     part = F.pmod(F.xxhash64(F.lit(7), *order), F.lit(spread)).cast("int")
     rows = df.withColumn("_part", part)
     sizes = rows.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"))
@@ -62,7 +77,7 @@ def rank_within(df: DataFrame, keys: list[str], order: list[Column], spread: int
     offsets = sizes.select(*keys, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     inside = Window.partitionBy(*keys, "_part").orderBy(F.xxhash64(F.lit(11), *order), *order)
     return (
-        rows.join(offsets, [*keys, "_part"])
+        rows.join(offsets.hint("merge"), [*keys, "_part"])
         .withColumn(name, (F.col("_before") + F.row_number().over(inside) - 1).cast("long"))
         .drop("_part", "_before")
     )
