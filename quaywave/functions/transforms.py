@@ -6,15 +6,18 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..ship import ship
 from . import kernels
 
 
 def _stacked(column: str | Column, body: Callable[[np.ndarray], np.ndarray]) -> Column:
     """body over a (rows, n) stack; rows of one length go together, nulls stay null."""
 
+    ship(SparkSession.active())
+
     @F.pandas_udf("array<double>")
     def run(x: pd.Series) -> pd.Series:
         out, sizes = np.empty(len(x), dtype=object), np.array([-1 if v is None else len(v) for v in x])
@@ -62,6 +65,7 @@ def welch_density(column: str | Column, fs: float, nperseg: int) -> Column:
 def second_moments(rows: DataFrame, by: list[str], array: str) -> DataFrame:
     """by, n, total (array), products (flattened outer products): partial sums per batch of rows, so only
     one small matrix per group and task is exchanged."""
+    ship(rows.sparkSession)
     kinds = dict(rows.dtypes)
 
     def part(batches):

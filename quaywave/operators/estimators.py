@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kernels
+from ..ship import ship
 
 
 def soft_vote(probabilities: DataFrame, by: list[str], label: str, p: str) -> DataFrame:
@@ -56,6 +57,7 @@ def predict_folds(rows: DataFrame, by: list[str], array: str, label: str, fold:
 
     Scaling is fitted on the training rows alone. A fold without two classes in training is left out. A group's rows
     meet in one task, as a model of it must; groups are (subject, session) sized."""
+    ship(rows.sparkSession)
     kinds = dict(rows.dtypes)
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
@@ -86,6 +88,7 @@ def nested_grid(rows: DataFrame, by: list[str], array: str, label: str, fold: st
     """by, fold, c, gamma, accuracy: RBF machines, (c, gamma) chosen by inner group folds of the training part.
 
     Inner groups are the outer folds that remain, dealt round; ties go to the first of the grid."""
+    ship(rows.sparkSession)
     kinds = dict(rows.dtypes)
 
     def run(part: pd.DataFrame) -> pd.DataFrame:

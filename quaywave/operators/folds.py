@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..ship import ship
+
 
 def group_key(*parts: str) -> Column:
     return F.concat_ws("_", *[F.col(p).cast("string") for p in parts])
@@ -57,6 +59,7 @@ def stratified_group_kfold(rows: DataFrame, by: list[str], group: str, label: st
 def stratified_group_greedy(rows: DataFrame, by: list[str], group: str, label: str, k: int) -> DataFrame:
     """Each group to the fold that keeps the label shares of folds closest; sequential, one partition's groups per task."""
     counts = rows.groupBy(*by, group, label).agg(F.count(F.lit(1)).alias("c"))
+    ship(rows.sparkSession)
     kinds = dict(counts.dtypes)
 
     def deal(part: pd.DataFrame) -> pd.DataFrame:

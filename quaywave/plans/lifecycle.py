@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kernels, transforms
+from ..ship import ship
 from ..operators import estimators, features, folds, spectral, windows
 
 BANDS = spectral.BANDS_DE
@@ -114,6 +115,7 @@ def cross_validate(table: DataFrame, k: int = 5, top: int = 150, models: tuple[s
 
     table: subject, session, group, y, features. Folds are dealt over groups in Spark, models vote by majority
     as `ensemble`. Folds with one class on either side are left out."""
+    ship(table.sparkSession)
     by = ["subject", "session"]
     dealt = folds.group_kfold_greedy(folds.group_sizes(table, by, "group"), by, "group", k).select(*by, "group", "fold")
     rows = table.join(dealt, [*by, "group"])

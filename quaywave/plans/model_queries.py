@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels, transforms
 from ..operators import estimators, spectral, windows
+from ..ship import ship
 from ..streaming.hopping import hopping_features
 from .registry import query, r6, table, trials
 
@@ -126,6 +127,7 @@ def csp_one_vs_rest(spark, d):
 @query()
 def yeo_johnson(spark, d):
     """A power transform per feature: grouped by feature, one likelihood search each, then standardised."""
+    ship(spark)
     rows = trials(spark, d).select("vec_id", F.posexplode("embedding").alias("feature_idx", "v")).withColumn("v", F.col("v").cast("double"))
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
@@ -138,6 +140,7 @@ def yeo_johnson(spark, d):
 
 @query()
 def knn_mutual_information(spark, d):
+    ship(spark)
     rows = trials(spark, d).select("y", F.posexplode("embedding").alias("feature_idx", "v"))
 
     def run(part: pd.DataFrame) -> pd.DataFrame:

@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..ship import ship
+
 #: Fixed layout of a Neuroscan CNT file: offsets in the 900-byte header and the 75-byte channel records.
 CNT_HEADER, CNT_CHANNEL = 900, 75
 AT_CHANNELS, AT_RATE, AT_EVENTS = 370, 376, 886
@@ -51,6 +53,7 @@ def read_cnt(spark: SparkSession, path: str, ranges: list[tuple[int, int, int]]
 
     ranges: (trial_idx, start, end) in samples; only those are decoded. One row per trial and channel bounds
     the row's size. Files with another rate than `rate`, where given, raise; names that don't parse are skipped."""
+    ship(spark)
     files = keyed_files(spark.read.format("binaryFile").option("pathGlobFilter", "*.cnt").load(path), "path").select("subject", "session", "content")
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -106,6 +109,7 @@ def read_npy(spark: SparkSession, path: str, decimate: int = 1) -> DataFrame:
 
     Decimation happens while decoding, without a full copy. Several files form one collection; rows carry
     their file's key, so no global index is needed."""
+    ship(spark)
     files = keyed_files(spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").load(path), "path").select("subject", "session", "content")
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..ship import ship
+
 
 def hopping_features(stream: DataFrame, key: str, ts: str, value: str, size: str = "2 seconds", step: str = "1 second", late: str = "10 seconds") -> DataFrame:
     """Per key and event-time window: n, mean, deviation, minimum, maximum. Rows later than `late` are dropped by the watermark.
@@ -42,5 +44,6 @@ def counted_windows(stream: DataFrame, key: str, value: str, size: int, step: in
         state.update((held, skip, index))
         yield pd.DataFrame(out, columns=[key, "window_idx", "mean", "std"])
 
+    ship(stream.sparkSession)
     kind = dict(stream.dtypes)[key]
     return stream.select(key, value).groupBy(key).applyInPandasWithState(advance, f"{key} {kind}, window_idx long, mean double, std double", "held array<double>, skip long, idx long", "append", GroupStateTimeout.NoTimeout)
