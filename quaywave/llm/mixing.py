@@ -115,7 +115,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     planned = materialize(lengths.drop("source").join(targets, "key").groupBy("key").applyInPandas(plan, "key string, size long, source_size long, target double, passes long, extra long"), "mix-plan")
     ranked = rank_within(keyed, ["key", "size"], [F.lit(seed), F.col("id")])
     copies = F.col("passes") + F.when(F.col("rank") < F.col("extra"), 1).otherwise(0)
-    return ranked.join(planned, ["key", "size"]).select(
+    return ranked.join(planned.hint("merge"), ["key", "size"]).select(
         F.col("id").alias(id_col), "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken")
     )
 
