@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..ship import ship
+
 #: Fixed template: a turn is OPEN role NEWLINE text CLOSE. BAR never stands unescaped inside a role or text.
 BAR, ESCAPE = "|", "\\"
 OPEN, CLOSE = "<|turn ", "<|end|>\n"
@@ -124,6 +126,7 @@ def format_chats(turns: DataFrame) -> DataFrame:
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), kind.types)], schema=kind)
 
+    ship(turns.sparkSession)
     return _in_order(turns).mapInArrow(run, "conv_id long, target long, text string, loss_start long, loss_end long")
 
 
@@ -155,4 +158,5 @@ def digest_chats(examples: DataFrame) -> DataFrame:
         if state:
             yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(finish(*state), kind.types)], schema=kind)
 
+    ship(examples.sparkSession)
     return examples.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

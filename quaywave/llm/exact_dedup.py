@@ -20,6 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..ship import ship
 from .common import text_of
 
 _HEAD = struct.Struct("<QqQQ")
@@ -134,6 +135,7 @@ def grace_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Null texts equal the empty text. The row with the largest id stays; rows with a null id never stay
     before one with an id, and of repeated rows with the same id each is kept (kept tells by id).
     Extra columns are ignored, an empty table gives an empty result. table_bytes bounds each table."""
+    ship(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.encode(text_of(text_col), "UTF-8").alias("content"))
     partial = pa.schema([("h", pa.int64()), ("top", pa.int64()), ("n", pa.int64()), ("content", pa.binary())])
     whole = pa.schema([("sha", pa.string()), ("top", pa.int64()), ("n", pa.int64())])

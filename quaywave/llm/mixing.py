@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..ship import ship
 from .common import materialize, rank_within, text_of, word_count
 
 WEIGHTS = (3, 1, 2)
@@ -98,6 +99,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     exact lengths, and seeded ranks within (source, length) say which documents fill the counts.
     The plan for a source sees one row per distinct length. Repeated rows count as documents of
     their own, ties in the seeded order fall to the id. Empty tables give empty results."""
+    ship(docs.sparkSession)
     sized = materialize(docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), word_count(text_of(text_col)).alias("size")), "mix-sizes")
     keyed = sized.withColumn("key", F.when(F.col("source").isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), "source")))
     lengths = keyed.groupBy("key", "source", "size").agg(F.count(F.lit(1)).alias("n"))

@@ -11,6 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..ship import ship
 from .common import materialize, text_of
 from .components import connected_components
 from .shingles import _GOLD, mix, multisets, shingle_hashes
@@ -192,6 +193,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     hot bucket thus costs its blocks, not their pairs; its blocks meet through the other bands, in which
     they are dealt otherwise. Buckets of several blocks that still hold several classes then compare
     every member outside their largest class with all others. So no link between classes is left out."""
+    ship(docs.sparkSession)
     sig = materialize(signatures(docs, id_col, text_col, k), "near-signatures")
     reps = materialize(sig.groupBy("c1", "c2").agg(F.min("id").alias("rep"), F.first("words").alias("words"), F.first("bands").alias("bands")), "near-texts")
     # Sets of ids grow with the corpus: these joins are never to be broadcast, whatever a size at hand.

@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..ship import ship
 from .common import materialize, rank_within, text_of
 
 #: The byte-level vocabulary in tiktoken's form, which encodes several times faster; the ids equal those
@@ -65,6 +66,7 @@ def cut_documents(docs: DataFrame, id_col: str, text_col: str, capacity: int, vo
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
 
+    ship(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
     return texts.mapInArrow(cut, "id long, piece int, start long, length long, ids_crc32 long")
 

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..ship import ship
 from .common import text_of
 
 _TOKEN = re.compile(r"[^\W_]+")
@@ -353,6 +354,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, shape: Shape = Shape()) ->
 
     docs: doc_id, text; labels: doc_id, toxic. A document with several labels counts as toxic if one says so.
     Of a longer document, shape.sample_windows seeded windows are seen. Both bounds hold at every size."""
+    ship(docs.sparkSession)
     told = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     parts = [told.where(F.col("toxic") == y).orderBy(F.xxhash64(F.lit(shape.seed), "doc_id"), "doc_id").limit(shape.sample) for y in (0, 1)]
     sample = parts[0].unionByName(parts[1])  # at most 2 * shape.sample rows
@@ -383,6 +385,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, shape: Shape = Shape()) ->
 
 def score_toxicity(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, score. Null texts are empty; a text without words has the score of an empty window."""
+    ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(pickle.dumps((net.shape, net.p)))  # a few MB, by Shape alone
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -398,6 +401,7 @@ def score_toxicity(docs: DataFrame, net: Network, id_col: str = "doc_id", text_c
 
 def drop_toxic(docs: DataFrame, net: Network, text_col: str = "text", least: float = 0.5) -> DataFrame:
     """The rows whose text scores below `least`, all columns; no exchange."""
+    ship(docs.sparkSession)
     sent, at = docs.sparkSession.sparkContext.broadcast(pickle.dumps((net.shape, net.p))), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
