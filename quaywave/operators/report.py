@@ -46,16 +46,21 @@ def histogram(values: DataFrame, value: str, bins: int = 10) -> DataFrame:
     return grid.join(counts, "bin", "left").select("bin", (F.col("lo") + F.col("bin") * (F.col("hi") - F.col("lo")) / bins).alias("low"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def rating(cv: Column) -> Column:
-    """Tiers of the coefficient of variation."""
-    return F.when(cv < 0.10, "excellent").when(cv < 0.20, "good").when(cv < 0.30, "moderate").otherwise("poor")
+def rating(cv: Column, mean: Column) -> Column:
+    """Tiers of steadiness and height; null for what is neither high nor steady."""
+    return (
+        F.when((cv < 0.15) & (mean >= 0.65), "excellent")
+        .when((cv < 0.20) & (mean >= 0.60), "good")
+        .when(mean >= 0.65, "high, inconsistent")
+        .when(cv < 0.20, "consistent, low")
+    )
 
 
 def stability(results: DataFrame, by: list[str], value: str = "accuracy") -> DataFrame:
-    """mean, std (ddof 1), cv = std / mean and its tier; a zero mean has cv null, rated poor."""
-    out = results.groupBy(*by).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"))
+    """mean, std (population), cv = std / mean and its tier; a zero mean has no cv."""
+    out = results.groupBy(*by).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))
     cv = F.col("std") / F.nullif("mean", F.lit(0.0))
-    return out.withColumn("cv", cv).withColumn("tier", rating(F.col("cv")))
+    return out.withColumn("cv", cv).withColumn("tier", rating(F.col("cv"), F.col("mean")))
 
 
 def two_level(results: DataFrame, inner: list[str], outer: list[str], value: str = "accuracy") -> DataFrame:

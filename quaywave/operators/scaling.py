@@ -13,9 +13,11 @@ def long_form(rows: DataFrame, keys: list[str], array: str) -> DataFrame:
     return rows.select(*keys, F.posexplode(array).alias("feature_idx", "v")).select(*keys, "feature_idx", F.col("v").cast("double").alias("value"))
 
 
-def fit_standard(train: DataFrame, by: list[str]) -> DataFrame:
-    """Mean and population deviation; a constant feature scales by 1."""
+def fit_standard(train: DataFrame, by: list[str], eps: float | None = None) -> DataFrame:
+    """Mean and population deviation; a constant feature scales by 1, or every deviation grows by eps if given."""
     out = train.groupBy(*by).agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
+    if eps is not None:
+        return out.withColumn("std", F.col("std") + eps)
     return out.withColumn("std", F.when(F.col("std") == 0, F.lit(1.0)).otherwise(F.col("std")))
 
 

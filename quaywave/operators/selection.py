@@ -54,22 +54,29 @@ def binned_mi(rows: DataFrame, bins: int = 10, edges: DataFrame | None = None) -
     return cells.groupBy("feature_idx").agg(F.sum(c / F.col("n") * F.ln(c * F.col("n") / (F.col("nb") * F.col("nl")))).alias("mi"))
 
 
-def scaled_by_max(x: str) -> Column:
-    top = F.max(x).over(Window.partitionBy())
-    return F.when(top > 0, F.col(x) / top).otherwise(F.lit(0.0))
+def _all():
+    """All rows: one per feature."""
+    return Window.partitionBy()
 
 
-def scaled_by_range(x: str) -> Column:
-    low, high = F.min(x).over(Window.partitionBy()), F.max(x).over(Window.partitionBy())
-    return F.when(high > low, (F.col(x) - low) / (high - low)).otherwise(F.lit(0.0))
+def scaled_by_max(x: Column) -> Column:
+    return F.when(F.max(x).over(_all()) > 0, x / F.nullif(F.max(x).over(_all()), F.lit(0.0))).otherwise(x)
 
 
-def fuse(scores: DataFrame, f: float, mi: float, k: int, variance: float = 0.0, by_range: bool = False) -> DataFrame:
-    """scores: feature_idx, f, mi, variance (one row per feature). Weighted sum of normalised scores, the k
-    largest, ties to the smaller index; where there are no more than k features all stay."""
+def scaled_by_range(x: Column, eps: float = 1e-8) -> Column:
+    low, high = F.min(x).over(_all()), F.max(x).over(_all())
+    return (x - low) / (high - low + eps)
+
+
+def fuse(scores: DataFrame, f: float, mi: float, k: int, variance: float = 0.0, by_range: bool = False, eps: float = 1e-8) -> DataFrame:
+    """scores: feature_idx, f, mi, variance (one row per feature). Weighted sum of normalised scores, then a share of
+    the variance over its maximum; the k largest, ties to the smaller index; where there are no more than k
+    features all stay. Null and NaN scores count as 0."""
     norm = scaled_by_range if by_range else scaled_by_max
-    base = f * norm("f") + mi * norm("mi")
-    fused = scores.withColumn("score", (1 - variance) * base + variance * norm("variance") if variance else base)
+    clean = lambda c: F.coalesce(F.nanvl(F.col(c), F.lit(0.0)), F.lit(0.0))
+    base = f * norm(clean("f")) + mi * norm(clean("mi"))
+    spread = F.col("variance") / (F.max("variance").over(_all()) + eps)
+    fused = scores.withColumn("score", (1 - variance) * base + variance * spread if variance else base)
     return top_k(fused, "score", k)
 
 

@@ -38,11 +38,11 @@ def standard_scale_session(spark, d):
 
 
 @query(f"""
-WITH {L}, s AS (SELECT subject, feature_idx, avg(value) AS m, CASE WHEN stddev_pop(value) = 0 THEN 1 ELSE stddev_pop(value) END AS sd FROM l WHERE subject < 8 GROUP BY ALL)
+WITH {L}, s AS (SELECT subject, feature_idx, avg(value) AS m, stddev_pop(value) + 1e-8 AS sd FROM l WHERE subject < 8 GROUP BY ALL)
 SELECT vec_id, feature_idx, round(coalesce((value - m) / sd, value), 6) + 0.0 AS scaled FROM l LEFT JOIN s USING (subject, feature_idx)""")
 def subject_normalise(spark, d):
     rows = _long(spark, d, ("vec_id", "subject"))
-    stats = scaling.fit_standard(rows.where("subject < 8"), ["subject", "feature_idx"])
+    stats = scaling.fit_standard(rows.where("subject < 8"), ["subject", "feature_idx"], eps=1e-8)
     return scaling.transform(rows, stats, ["subject", "feature_idx"], unseen_unchanged=True).select("vec_id", "feature_idx", r6("scaled"))
 
 
@@ -91,17 +91,17 @@ def _fused(score: str, k: int) -> str:
 SELECT feature_idx, CAST(place AS INT) AS place, round(score, 6) AS score FROM q WHERE place <= {k}"""
 
 
-@query(_fused("0.8 * (0.7 * f / max(f) OVER () + 0.3 * mi / max(mi) OVER ()) + 0.2 * variance / max(variance) OVER ()", 30))
+@query(_fused("0.8 * (0.7 * f / max(f) OVER () + 0.3 * mi / max(mi) OVER ()) + 0.2 * variance / (max(variance) OVER () + 1e-8)", 30))
 def score_fusion_topk(spark, d):
     return selection.fuse(_scores(spark, d), 0.7, 0.3, 30, variance=0.2).select("feature_idx", "place", r6("score"))
 
 
-@query(_fused("0.6 * f / max(f) OVER () + 0.4 * mi / max(mi) OVER ()", 40))
+@query(_fused("0.8 * (0.6 * f / max(f) OVER () + 0.4 * mi / max(mi) OVER ()) + 0.2 * variance / (max(variance) OVER () + 1e-8)", 40))
 def score_fusion_max(spark, d):
-    return selection.fuse(_scores(spark, d), 0.6, 0.4, 40).select("feature_idx", "place", r6("score"))
+    return selection.fuse(_scores(spark, d), 0.6, 0.4, 40, variance=0.2).select("feature_idx", "place", r6("score"))
 
 
-@query(_fused("0.6 * (f - min(f) OVER ()) / (max(f) OVER () - min(f) OVER ()) + 0.4 * (mi - min(mi) OVER ()) / (max(mi) OVER () - min(mi) OVER ())", 30))
+@query(_fused("0.6 * (f - min(f) OVER ()) / (max(f) OVER () - min(f) OVER () + 1e-8) + 0.4 * (mi - min(mi) OVER ()) / (max(mi) OVER () - min(mi) OVER () + 1e-8)", 30))
 def score_fusion_range(spark, d):
     return selection.fuse(_scores(spark, d), 0.6, 0.4, 30, by_range=True).select("feature_idx", "place", r6("score"))
 
@@ -307,10 +307,11 @@ def report_histogram(spark, d):
     return report.histogram(table(spark, d, "events"), "value").select("bin", r6("low"), "n")
 
 
-@query(f"""WITH {R}, g AS (SELECT subject, avg(accuracy) AS m, stddev_samp(accuracy) AS s FROM r GROUP BY 1)
-SELECT subject, round(m, 6) AS mean, round(s, 6) AS std, round(s / m, 6) AS cv, CASE WHEN s / m < 0.10 THEN 'excellent' WHEN s / m < 0.20 THEN 'good' WHEN s / m < 0.30 THEN 'moderate' ELSE 'poor' END AS tier FROM g""")
+@query(f"""WITH {R}, g AS (SELECT subject, fold, avg(accuracy) AS m, stddev_pop(accuracy) AS s FROM r WHERE model = 'view' GROUP BY ALL)
+SELECT subject, fold, round(m, 6) AS mean, round(s, 6) AS std, round(s / m, 6) AS cv,
+  CASE WHEN s / m < 0.15 AND m >= 0.65 THEN 'excellent' WHEN s / m < 0.20 AND m >= 0.60 THEN 'good' WHEN m >= 0.65 THEN 'high, inconsistent' WHEN s / m < 0.20 THEN 'consistent, low' END AS tier FROM g""")
 def report_cv_tiers(spark, d):
-    return report.stability(results(spark, d), ["subject"]).select("subject", r6("mean"), r6("std"), r6("cv"), "tier")
+    return report.stability(results(spark, d).where("model = 'view'"), ["subject", "fold"]).select("subject", "fold", r6("mean"), r6("std"), r6("cv"), "tier")
 
 
 @query("""WITH m AS (SELECT avg(accuracy) FILTER (model = 'click') AS leaky, avg(accuracy) FILTER (model = 'view') AS honest FROM (SELECT event_type AS model, value / 500 AS accuracy FROM events))
