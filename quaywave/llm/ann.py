@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..ship import ship
 from .common import materialize
 
 
@@ -153,6 +154,7 @@ def nearest_neighbours(vectors: DataFrame, id_col: str = "vec_id", vector_col: s
     whose lists hold fewer than k others, where there are more, is searched in all lists.
     An empty table gives an empty result."""
     s, spark = settings, vectors.sparkSession
+    ship(spark)
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.transform(vector_col, lambda x: x.cast("double")).alias("v")).where("id IS NOT NULL AND v IS NOT NULL")
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = rows.where(finite).where(F.exists("v", lambda x: x != 0))
@@ -188,9 +190,17 @@ def nearest_neighbours(vectors: DataFrame, id_col: str = "vec_id", vector_col: s
     wanted = distinct.join(asked.select(F.col("qkey").alias("key")).distinct(), "key", "left_semi").select("key", "v")
 
     def search(queries: DataFrame) -> DataFrame:
-        """queries: key, v, list. The k + 1 best vectors of each query and block."""
-        left = queries.join(blocks, "list").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-        right = postings.join(blocks, "list").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).drop("blocks")
+        """queries: key, v, list. The k + 1 best vectors of each query, over blocks of its lists.
+
+        A group of the scan is a block of a list's vectors and a block of the queries that open it, so
+        neither many queries of one list nor a long list make a group large."""
+        queries = materialize(queries, "ann-opened")
+        asking = queries.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / F.lit(s.block)).cast("int").alias("askers"))
+        parts = blocks.join(asking, "list")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        one = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
+        left = queries.join(parts, "list").select("key", "v", "list", every("blocks").alias("block"), one("askers").alias("asker"))
+        right = postings.join(parts, "list").select("key", "v", "list", one("blocks").alias("block"), every("askers").alias("asker"))
 
         def scan(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
             out = []
@@ -205,7 +215,7 @@ def nearest_neighbours(vectors: DataFrame, id_col: str = "vec_id", vector_col: s
                         out += [(key, ids[b], line[b]) for b in best]
             return pd.DataFrame(out, columns=["qkey", "key", "score"]).astype({"qkey": "int64", "key": "int64", "score": "float64"})
 
-        found = left.groupBy("list", "block").cogroup(right.groupBy("list", "block")).applyInPandas(scan, "qkey long, key long, score double")
+        found = left.groupBy("list", "block", "asker").cogroup(right.groupBy("list", "block", "asker")).applyInPandas(scan, "qkey long, key long, score double")
         found = found.groupBy("qkey", "key").agg(F.max("score").alias("score"))
         best = Window.partitionBy("qkey").orderBy(F.desc("score"), "key")
         return found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1).drop("r")
