@@ -130,8 +130,13 @@ def replica_lists(graph: CentroidGraph, x: np.ndarray, s: Settings) -> list[list
 
 
 def probe_lists(graph: CentroidGraph, x: np.ndarray, s: Settings) -> list[list[int]]:
+    """All lists within the ratio, nearest first. The beam bounds none: where it ends inside the ratio, all centroids are measured."""
     ids, far = graph.search(x, s.beam)
-    return [[int(c) for c, dc in zip(row, d) if c >= 0 and dc <= s.probe_ratio * d[0] + 1e-9] for row, d in zip(ids, far)]
+    out = [[int(c) for c, dc in zip(row, d) if c >= 0 and dc <= s.probe_ratio * d[0] + 1e-9] for row, d in zip(ids, far)]
+    for i in np.flatnonzero(far[:, -1] <= s.probe_ratio * far[:, 0] + 1e-9):
+        d = np.sqrt(np.maximum(0, 2 - 2 * (graph.centroids @ x[i])))
+        out[i] = [int(c) for c in np.argsort(d, kind="stable") if d[c] <= s.probe_ratio * d.min() + 1e-9]
+    return out
 
 
 def _best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -189,8 +194,13 @@ def nearest_neighbours(vectors: DataFrame, id_col: str = "vec_id", vector_col: s
     blocks = postings.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / F.lit(s.block)).cast("int").alias("blocks"))
     wanted = distinct.join(asked.select(F.col("qkey").alias("key")).distinct(), "key", "left_semi").select("key", "v")
 
+    def top(found: DataFrame) -> DataFrame:
+        found = found.groupBy("qkey", "key").agg(F.max("score").alias("score"))
+        best = Window.partitionBy("qkey").orderBy(F.desc("score"), "key")
+        return found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1).drop("r")
+
     def search(queries: DataFrame) -> DataFrame:
-        """queries: key, v, list. The k + 1 best vectors of each query, over blocks of its lists.
+        """queries: key, v, floor, list. The k + 1 best vectors of each query, over blocks of its lists, but none under its floor.
 
         A group of the scan is a block of a list's vectors and a block of the queries that open it, so
         neither many queries of one list nor a long list make a group large."""
@@ -199,7 +209,7 @@ def nearest_neighbours(vectors: DataFrame, id_col: str = "vec_id", vector_col: s
         parts = blocks.join(asking, "list")
         every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
         one = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
-        left = queries.join(parts, "list").select("key", "v", "list", every("blocks").alias("block"), one("askers").alias("asker"))
+        left = queries.join(parts, "list").select("key", "v", "floor", "list", every("blocks").alias("block"), one("askers").alias("asker"))
         right = postings.join(parts, "list").select("key", "v", "list", one("blocks").alias("block"), every("askers").alias("asker"))
 
         def scan(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
@@ -208,17 +218,16 @@ def nearest_neighbours(vectors: DataFrame, id_col: str = "vec_id", vector_col: s
                 y, ids = np.stack(p["v"].to_numpy()), p["key"].to_numpy()
                 norm = np.linalg.norm(y, axis=1)
                 for a in range(0, len(q), 512):
-                    x, keys = np.stack(q["v"].to_numpy()[a : a + 512]), q["key"].to_numpy()[a : a + 512]
+                    x, keys, floors = np.stack(q["v"].to_numpy()[a : a + 512]), q["key"].to_numpy()[a : a + 512], q["floor"].to_numpy()[a : a + 512]
                     score = (x @ y.T) / (np.linalg.norm(x, axis=1)[:, None] * norm)
-                    for key, line in zip(keys, score):
+                    for key, line, floor in zip(keys, score, floors):
                         best = _best(line, ids, k + 1)
+                        best = best[line[best] >= floor]
                         out += [(key, ids[b], line[b]) for b in best]
             return pd.DataFrame(out, columns=["qkey", "key", "score"]).astype({"qkey": "int64", "key": "int64", "score": "float64"})
 
         found = left.groupBy("list", "block", "asker").cogroup(right.groupBy("list", "block", "asker")).applyInPandas(scan, "qkey long, key long, score double")
-        found = found.groupBy("qkey", "key").agg(F.max("score").alias("score"))
-        best = Window.partitionBy("qkey").orderBy(F.desc("score"), "key")
-        return found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1).drop("r")
+        return top(found)
 
     def answers(found: DataFrame, queries: DataFrame) -> DataFrame:
         """A result row never needs more of the vectors than the k + 1 nearest, nor more ids of one than k + 1."""
@@ -228,13 +237,21 @@ def nearest_neighbours(vectors: DataFrame, id_col: str = "vec_id", vector_col: s
         out = out.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
         return out.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
-    probed = wanted.mapInArrow(lists(probe_lists), "key long, v array<double>, lists array<int>").select("key", "v", F.explode("lists").alias("list"))
-    out = materialize(answers(search(probed), asked), "ann-found")
+    # What the nearest lists hold sets a floor that rows of the further ones must reach: none of the k + 1 best is lost.
+    lowest = F.lit(-2.0)
+    probed = materialize(wanted.mapInArrow(lists(probe_lists), "key long, v array<double>, lists array<int>"), "ann-probed")
+    found = materialize(search(probed.select("key", "v", lowest.alias("floor"), F.explode(F.slice("lists", 1, s.beam)).alias("list"))), "ann-near")
+    more = probed.where(F.size("lists") > s.beam)
+    if not more.isEmpty():
+        floors = found.groupBy(F.col("qkey").alias("key")).agg(F.when(F.count(F.lit(1)) > k, F.min("score") - 1e-12).alias("least"))
+        more = more.join(floors, "key", "left").select("key", "v", F.coalesce("least", lowest).alias("floor"), F.explode(F.slice("lists", s.beam + 1, F.size("lists"))).alias("list"))
+        found = top(found.unionByName(search(more)))
+    out = materialize(answers(found, asked), "ann-found")
     total = rows.agg(F.count(F.lit(1)).alias("n")).first()["n"]
     short = asked.join(out.groupBy("query_id").agg(F.count(F.lit(1)).alias("got")), "query_id", "left").where(F.coalesce("got", F.lit(0)) < min(k, total - 1)).select("query_id", "qkey")
     short = materialize(short, "ann-short")
     if short.isEmpty():
         return out
     every_list = F.array(*[F.lit(r["list"]) for r in blocks.select("list").collect()])  # at most most_centroids
-    whole = distinct.join(short.select(F.col("qkey").alias("key")).distinct(), "key", "left_semi").select("key", "v", F.explode(every_list).alias("list"))
+    whole = distinct.join(short.select(F.col("qkey").alias("key")).distinct(), "key", "left_semi").select("key", "v", lowest.alias("floor"), F.explode(every_list).alias("list"))
     return out.join(short, "query_id", "left_anti").unionByName(answers(search(whole), short))

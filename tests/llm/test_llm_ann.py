@@ -1,6 +1,6 @@
 import numpy as np
 
-from quaywave.llm.ann import CentroidGraph, Settings, balanced_centroids, nearest_neighbours
+from quaywave.llm.ann import CentroidGraph, Settings, balanced_centroids, nearest_neighbours, probe_lists
 
 
 def brute(rows, every=50, k=5):
@@ -60,3 +60,21 @@ def test_graph_search_finds_the_nearest_centroid_and_sizes_are_even():
     assert sizes.max() < 4 * sizes.mean()
     ids, far = CentroidGraph(c, 16, 1).search(x[:500], 32)
     assert (ids[:, 0] == np.argmax(x[:500] @ c.T, axis=1)).mean() > 0.97 and (np.diff(far, axis=1) >= -1e-9).all()
+
+
+def test_the_ratio_alone_selects_the_lists():
+    rng = np.random.default_rng(4)
+    x, c = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in (rng.normal(size=(50, 64)), rng.normal(size=(300, 64))))
+    far = np.sqrt(2 - 2 * x @ c.T)
+    for ratio in (1.05, 1.2, 1.6):
+        told = [set(np.flatnonzero(d <= ratio * d.min() + 1e-9)) for d in far]
+        got = [set(row) for row in probe_lists(CentroidGraph(c, 24, 1), x, Settings(beam=16, probe_ratio=ratio))]
+        assert sum(len(a & b) for a, b in zip(got, told)) >= 0.95 * sum(map(len, told)) and max(map(len, got)) > (16 if ratio > 1.05 else 0)
+
+
+def test_lists_beyond_the_beam_are_read_without_loss(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(3000, 64)).astype(np.float32))]
+    out = nearest_neighbours(table(spark, rows), settings=Settings(list_size=40, sample=2000, beam=8, block=64)).collect()
+    told = brute(rows)
+    assert len(out) == 5 * len(told) and sum(r["vec_id"] == told[r["query_id"]][r["rank"] - 1][0] for r in out) >= 0.99 * len(out)
