@@ -183,7 +183,7 @@ def random_search(rows, by, array, label, fold, times=16, seed=0):
 
 @query()
 def search_log_uniform(spark, d):
-    out = random_search(_folded(spark, d).withColumn("fold", F.col("trial")), ["session"], "embedding", "y", "fold", times=8)
+    out = random_search(_folded(spark, d).withColumn("fold", F.col("trial")), ["session"], "embedding", "y", "fold", times=50)
     return out.select("session", "fold", r6("c"), r6("gamma"), r6("accuracy"))
 
 
@@ -199,22 +199,27 @@ def _pooled(spark, d):
 
 _COMMON = {"featuresCol": "features", "labelCol": "target"}
 _ESTIMATORS = {
-    "forest": lambda: RandomForestClassifier(numTrees=20, maxDepth=6, featureSubsetStrategy="sqrt", weightCol="weight", seed=7, **_COMMON),
+    "forest": lambda: RandomForestClassifier(numTrees=150, maxDepth=12, minInstancesPerNode=2, featureSubsetStrategy="sqrt", weightCol="weight", seed=7, **_COMMON),
     # Extremely randomised trees have no Spark form: a forest without bootstrap on fewer features stands in.
-    "extra_trees_substitute": lambda: RandomForestClassifier(numTrees=20, maxDepth=8, featureSubsetStrategy="log2", bootstrap=False, weightCol="weight", seed=8, **_COMMON),
-    "gbt": lambda: GBTClassifier(maxIter=5, maxDepth=3, weightCol="weight", seed=7, **_COMMON),
-    "mlp": lambda: MultilayerPerceptronClassifier(layers=[64, 16, 2], maxIter=20, seed=7, **_COMMON),
+    "extra_trees_substitute": lambda: RandomForestClassifier(numTrees=100, maxDepth=10, featureSubsetStrategy="log2", bootstrap=False, weightCol="weight", seed=8, **_COMMON),
+    "gbt": lambda: GBTClassifier(maxIter=100, maxDepth=5, stepSize=0.1, weightCol="weight", seed=7, **_COMMON),
+    "mlp": lambda: MultilayerPerceptronClassifier(layers=[64, 64, 32, 2], maxIter=300, seed=7, **_COMMON),
     "logistic_pooled": lambda: LogisticRegression(regParam=0.01, weightCol="weight", **_COMMON),
 }
 
 
-def _ml_probabilities(rows, names, fold=0):
-    train, test = rows.where(F.col("fold") != fold), rows.where(F.col("fold") == fold)
+_FOLDS = (0, 1, 2)
+
+
+def _ml_probabilities(rows, names, folds=_FOLDS):
+    """Every row of the folds, scored by models fitted on the other rows."""
     out = None
-    for name in names:
-        scored = _ESTIMATORS[name]().fit(train).transform(test)
-        part = scored.select("vec_id", "target", F.lit(name).alias("model"), vector_to_array("probability")[1].alias("p1"))
-        out = part if out is None else out.unionByName(part)
+    for fold in folds:
+        train, test = rows.where(F.col("fold") != fold), rows.where(F.col("fold") == fold)
+        for name in names:
+            scored = _ESTIMATORS[name]().fit(train).transform(test)
+            part = scored.select("vec_id", "fold", "target", F.lit(name).alias("model"), vector_to_array("probability")[1].alias("p1"))
+            out = part if out is None else out.unionByName(part)
     return out
 
 
@@ -222,7 +227,7 @@ def _ml_accuracy(name):
     def run(spark, d):
         out = _ml_probabilities(_pooled(spark, d), [name])
         hit = ((F.col("p1") > 0.5).cast("double") == F.col("target")).cast("double")
-        return out.groupBy("model").agg(F.count(F.lit(1)).alias("n"), r6(F.avg(hit), "accuracy"))
+        return out.groupBy("fold", "model").agg(F.count(F.lit(1)).alias("n"), r6(F.avg(hit), "accuracy"))
 
     run.__name__ = f"{name}_fold_accuracy"
     return query()(run)
@@ -236,21 +241,22 @@ for _name in _ESTIMATORS:
 def voting_ensemble(spark, d):
     """Soft voting of a forest, boosted trees and a logistic model."""
     p = _ml_probabilities(_pooled(spark, d), ["forest", "gbt", "logistic_pooled"])
-    both = p.select("vec_id", F.explode(F.array(F.struct(F.lit(0).alias("cls"), (1 - F.col("p1")).alias("p")), F.struct(F.lit(1).alias("cls"), F.col("p1").alias("p")))).alias("x")).select("vec_id", "x.*")
-    return estimators.soft_vote(both, ["vec_id"], "cls", "p").select("vec_id", "cls", r6("p"))
+    both = p.select("vec_id", "fold", F.explode(F.array(F.struct(F.lit(0).alias("cls"), (1 - F.col("p1")).alias("p")), F.struct(F.lit(1).alias("cls"), F.col("p1").alias("p")))).alias("x")).select("vec_id", "fold", "x.*")
+    return estimators.soft_vote(both, ["vec_id", "fold"], "cls", "p").select("vec_id", "fold", "cls", r6("p"))
 
 
 @query()
 def stacking_ensemble(spark, d):
-    """Out-of-fold probabilities of two models, joined on the row key, feed a logistic model."""
+    """Out-of-fold probabilities of two models, joined on the row key, feed a logistic model; so for each fold."""
     rows, names = _pooled(spark, d), ["forest", "logistic_pooled"]
-    meta = None
-    for fold in (1, 2):
-        part = _ml_probabilities(rows.where("fold <> 0"), names, fold)
-        meta = part if meta is None else meta.unionByName(part)
-    wide = lambda p: p.groupBy("vec_id", "target").pivot("model", names).agg(F.first("p1")).select("vec_id", "target", array_to_vector(F.array(*names)).alias("features"))
-    final = LogisticRegression(featuresCol="features", labelCol="target", regParam=0.01).fit(wide(meta))
-    return final.transform(wide(_ml_probabilities(rows, names))).select("vec_id", F.col("prediction").cast("int").alias("cls"), r6(vector_to_array("probability")[1], "p"))
+    wide = lambda p: p.groupBy("vec_id", "fold", "target").pivot("model", names).agg(F.first("p1")).select("vec_id", "fold", "target", array_to_vector(F.array(*names)).alias("features"))
+    out = None
+    for fold in _FOLDS:
+        meta = _ml_probabilities(rows.where(F.col("fold") != fold), names, [f for f in _FOLDS if f != fold])
+        final = LogisticRegression(featuresCol="features", labelCol="target", regParam=0.01).fit(wide(meta))
+        part = final.transform(wide(_ml_probabilities(rows, names, [fold])))
+        out = part if out is None else out.unionByName(part)
+    return out.select("vec_id", "fold", F.col("prediction").cast("int").alias("cls"), r6(vector_to_array("probability")[1], "p"))
 
 
 @query()
