@@ -115,3 +115,39 @@ def fast_ica(x: np.ndarray, rounds: int = 200, seed: int = 0) -> np.ndarray:
         if done:
             break
     return kernels.fix_signs(w.T).T
+
+
+def fit_ica(rows: DataFrame, array: str, mean: np.ndarray, whiten: np.ndarray, rounds: int = 200, seed: int = 0) -> np.ndarray:
+    """fast_ica of (array - mean) @ whiten over all rows: a round is one row of sums, the parts added in their order."""
+    ship(rows.sparkSession)
+    rng, d = np.random.default_rng(seed), whiten.shape[1]
+
+    def decorrelate(w: np.ndarray) -> np.ndarray:
+        u, _, v = np.linalg.svd(w)
+        return u @ v
+
+    def sums(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        def part(batches):
+            n, products, slopes = 0, np.zeros((d, d)), np.zeros(d)
+            for batch in batches:
+                x = (np.stack(batch[array].to_numpy()).astype(float) - mean) @ whiten
+                g = np.tanh(x @ w.T)
+                n, products, slopes = n + len(x), products + g.T @ x, slopes + (1 - g * g).sum(axis=0)
+            yield pd.DataFrame({"sums": [np.concatenate([[float(n)], slopes, products.ravel()])]})
+
+        parts = held.mapInPandas(part, "sums array<double>").select(F.spark_partition_id().alias("p"), "sums")
+        total = F.aggregate(F.array_sort(F.collect_list(F.struct("p", "sums"))), F.array_repeat(F.lit(0.0), 1 + d + d * d), lambda a, x: F.zip_with(a, x["sums"], lambda u, v: u + v))
+        out = np.array(parts.agg(total.alias("s")).first()["s"])
+        return out[1 + d :].reshape(d, d) / out[0], out[1 : 1 + d] / out[0]
+
+    held = rows.where(F.col(array).isNotNull()).select(array).persist()
+    w = decorrelate(rng.normal(size=(d, d)))
+    for _ in range(rounds):
+        products, slopes = sums(w)
+        fresh = decorrelate(products - np.diag(slopes) @ w)
+        done = np.abs(np.abs((fresh * w).sum(axis=1)) - 1).max() < 1e-8
+        w = fresh
+        if done:
+            break
+    held.unpersist()
+    return kernels.fix_signs(w.T).T

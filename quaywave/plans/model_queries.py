@@ -84,15 +84,16 @@ def pca_variance(spark, d):
 
 @query()
 def ica_unmix(spark, d):
-    """Independent components of the first eight principal ones, fitted on a bounded sample of 2000 rows."""
+    """Independent components of the first twenty principal ones, fitted on all rows."""
     rows = trials(spark, d)
-    mean, components, _ = transforms.fit_pca(transforms.second_moments(rows, [], "embedding").first(), 0.95)
-    components = components[:, :8]
-    sample = np.array([r["embedding"] for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(2000).select("embedding").collect()], dtype=float)
-    scores = (sample - mean) @ components
-    scale = scores.std(axis=0)
-    unmix = transforms.fast_ica((scores - scores.mean(axis=0)) / np.where(scale == 0, 1, scale))
-    return _values(rows.withColumn("s", transforms.project("embedding", mean, components / np.where(scale == 0, 1, scale) @ unmix.T)), "vec_id", "s", "source")
+    moments = transforms.second_moments(rows, [], "embedding").first()
+    mean, components, _ = transforms.fit_pca(moments, 1.0)
+    components = components[:, :20]
+    cov = np.array(moments["products"]).reshape(len(mean), -1) / moments["n"] - np.outer(mean, mean)
+    scale = np.sqrt(np.maximum(np.diag(components.T @ cov @ components), 0))
+    white = components / np.where(scale == 0, 1, scale)
+    unmix = transforms.fit_ica(rows, "embedding", mean, white)
+    return _values(rows.withColumn("s", transforms.project("embedding", mean, white @ unmix.T)), "vec_id", "s", "source")
 
 
 @query()
