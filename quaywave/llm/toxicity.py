@@ -44,8 +44,16 @@ class Shape:
     seed: int = 7
 
 
-def tokens(text: str) -> list[str]:
-    return _TOKEN.findall(text.lower())
+def tokens(text: str, most: int = 60) -> list[str]:
+    """Runs of letters and digits; of a longer run, pieces of `most` characters that overlap by half, so no middle is lost."""
+    out = []
+    for run in _TOKEN.findall(text.lower()):
+        if len(run) <= most:
+            out.append(run)
+        else:
+            starts = range(0, len(run) - most, most // 2)
+            out += [run[a : a + most] for a in (*starts, len(run) - most)]
+    return out
 
 
 def windows_of(n: int, shape: Shape) -> list[int]:
@@ -60,10 +68,8 @@ _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def hashed(kinds: list[str], shape: Shape) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each word: its bucket, the buckets of its character n-grams (3 and 4, its ends marked), how many those are.
-
-    Words of more than 60 characters give the n-grams of their first and last 30."""
-    raw = [f"<{k if len(k) <= 60 else k[:30] + k[-30:]}>" for k in kinds]
+    """Of each word: its bucket, the buckets of its character n-grams (3 and 4, its ends marked), how many those are."""
+    raw = [f"<{k}>" for k in kinds]
     code = np.frombuffer("".join(raw).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
     sizes = np.array([len(r) for r in raw])
     last = np.repeat(np.cumsum(sizes), sizes)

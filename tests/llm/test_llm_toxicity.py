@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quaywave.llm.toxicity import Lexicon, Network, Scorer, Shape, drop_toxic, fit_toxicity, held_out, score_toxicity, tokens, train, windows_of
+from quaywave.llm.toxicity import Lexicon, Network, Scorer, Shape, drop_toxic, fit_toxicity, hashed, held_out, score_toxicity, tokens, train, windows_of
 
 SMALL = Shape(window=8, stride=6, words=512, grams=1024, epochs=14, batch=64)
 
@@ -98,3 +98,12 @@ def test_held_out_accuracy_on_the_tables(spark, sf):
     seen = score_toxicity(docs, net).join(labels.where(held_out()), "doc_id").select("score", "toxic").toPandas()
     hit = (seen["score"] >= 0.5) == (seen["toxic"] == 1)
     assert hit[seen["toxic"] == 1].mean() >= 0.9 and hit[seen["toxic"] == 0].mean() >= 0.97
+
+
+def test_the_middle_of_a_long_run_is_read():
+    run = "".join(np.random.default_rng(9).choice(list("abcdefgh"), 1000))
+    for text in (run[:60], run[:61], run[:90], run):
+        got = tokens(text)
+        assert max(map(len, got)) <= 60 and all(any(text[a : a + 30] in g for g in got) for a in range(max(1, len(text) - 29)))
+    grams = [set(hashed(tokens(text), Shape())[1].tolist()) for text in (run, run[:500] + "zzworse" + run[507:], "zzworse")]
+    assert len(grams[1] - grams[0]) >= 8 and len(grams[2] - grams[1]) <= 4  # all but those with an end mark
