@@ -279,8 +279,8 @@ def recordings_to_accuracy(spark, d):
 
     rows = trials(spark, d).select("subject", "session", "trial", "vec_id", "y", "embedding")
     recording = rows.select("subject", "session", F.col("vec_id").cast("int").alias("trial_idx"), "y", F.posexplode(F.array(*[F.slice("embedding", 1 + 16 * c, 16) for c in range(4)])).alias("channel", "samples"))
-    table_ = lifecycle.window_table(recording, fs=FS, size=8, step=4, cap=2, pairs=[(0, 1), (2, 3)], channels=4)
-    out = lifecycle.cross_validate(table_.withColumn("group", F.pmod("trial_idx", F.lit(11))), k=3, top=20)
+    table_ = lifecycle.window_table(recording, fs=FS, size=8, step=4, cap=20, pairs=[(0, 1), (2, 3)], channels=4)
+    out = lifecycle.cross_validate(table_.withColumn("group", F.pmod("trial_idx", F.lit(11))), k=3, top=150)
     return lifecycle.report_table(out).select("classifier", "session", r6("mean"), "folds")
 
 
