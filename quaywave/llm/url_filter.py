@@ -33,11 +33,26 @@ def rule_of(host: Column, path: Column, rules: tuple[tuple[str, str], ...]) -> t
     return rule, verdict
 
 
+def _relative(link: Column, url: Column) -> Column:
+    """Path and query of a link against the page's path: . and .. steps taken, a query alone keeps the path."""
+    base, query = path_of(url), F.regexp_extract(link, r"(?s)^[^?]*(\?.*)$", 1)
+    steps = F.concat(F.regexp_extract(base, r"(?s)^/(.*/)[^/]*$", 1), F.regexp_extract(link, r"(?s)^([^?]*)", 1))
+
+    def step(acc: Column, x: Column) -> Column:
+        return F.when(x == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).when(x == ".", acc).otherwise(F.concat(acc, F.array(x)))
+
+    parts = F.split(steps, "/", -1)
+    taken = F.aggregate(parts, F.array().cast("array<string>"), step)
+    taken = F.when(F.element_at(parts, -1).isin(".", ".."), F.concat(taken, F.array(F.lit("")))).otherwise(taken)
+    return F.concat(F.when(F.startswith(link, F.lit("?")), base).otherwise(F.concat(F.lit("/"), F.array_join(taken, "/"))), query)
+
+
 def resolve(link: Column, url: Column) -> Column:
-    """An absolute or rooted link as a node; null for anything else. Fragments aren't part of a node."""
+    """A link of a page as a node; null for none and for those of other schemes (mailto:). Fragments aren't part of a node."""
     link = F.trim(F.regexp_replace(F.regexp_replace(link, "(?i)&amp;", "&"), "#.*$", ""))
     scheme, root = F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*:)//", 1), F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
     whole = F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), link).when(F.startswith(link, F.lit("//")), F.concat(scheme, link)).when(F.startswith(link, F.lit("/")), F.concat(root, link))
+    whole = whole.when((link != "") & (root != "") & ~link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.concat(root, _relative(link, url)))
     return node_of(whole)
 
 

@@ -91,3 +91,19 @@ def test_sql_says_the_same_of_linked_pages(spark, tmp_path):
 def test_plan_has_no_python(spark):
     plan = judge_urls(pages_of(spark, [("http://q.net/1", link("http://b.com/de/"))]))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_relative_links_are_resolved(spark):
+    from urllib.parse import urljoin
+
+    from pyspark.sql import functions as F
+
+    from quaywave.llm.url_filter import resolve
+
+    cases = [(u, x) for u in ("http://h.net/a/b/c?q=1/2#f", "http://h.net/a/", "http://h.net/", "http://h.net/a") for x in ("page.html", "../en/1", "?id=3", "./x", "..", ".", "../../../z", "x?y=../1", "d/")]
+    frame = spark.createDataFrame(cases, "url string, link string").select("url", "link", resolve(F.col("link"), F.col("url")).alias("node"))
+    assert all(r["node"] == urljoin(r["url"], r["link"]) for r in frame.collect())
+    none = spark.createDataFrame([("http://h.net/", "mailto:a@b.c"), ("http://h.net/", ""), ("h.net", "x")], "url string, link string")
+    assert none.where(resolve(F.col("link"), F.col("url")).isNotNull()).count() == 0
+    rows = [("http://q.net/a/1", link("../b/2?x")), ("http://q.net/b/2?x", link("http://b.com/de/1"))]
+    assert [r["verdict"] for r in judge_urls(pages_of(spark, rows)).collect()] == ["block", "block"]
