@@ -41,7 +41,14 @@ def encoder(vocabulary: str = VOCABULARY) -> Callable[[str], list[int]]:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
             special = {"<|endoftext|>": 50256} if 50256 not in ranks.values() else {}
             model = tiktoken.Encoding("public", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
-            _encoders[vocabulary] = lambda text: model.encode(text, allowed_special="all")
+
+            def encode(text: str) -> list[int]:
+                try:
+                    return model.encode(text, allowed_special="all")
+                except ValueError:  # its pattern gives up on very long white space; `tokenizers` does not
+                    return encoder(vocabulary.removesuffix(".tiktoken") + ".json")(text)
+
+            _encoders[vocabulary] = encode
     return _encoders[vocabulary]
 
 

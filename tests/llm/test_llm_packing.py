@@ -107,3 +107,10 @@ def test_hot_length(docs_of):
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "byte_bpe_50k.tiktoken"])
 def test_vocabulary_is_a_parameter(name):
     assert list(encoder(name)("the end"))
+
+
+def test_very_long_white_space_is_encoded():
+    from quaywave.llm.packing import encoder
+
+    for text in (" " * 1_000_000, "a" + " \n" * 1_000_000 + "b"):
+        assert encoder()(text) == encoder("byte_bpe_50k.json")(text)
