@@ -10,7 +10,7 @@ def test_every_fold_is_tested(spark, sf):
     assert model_queries._ml_probabilities(rows, ["logistic_pooled"]).select("vec_id").distinct().count() == sum(sizes.values())
 
 
-def test_models_have_the_sizes_of_the_reference():
+def test_models_have_the_sizes_of_the_reference(spark):
     made = {k: f() for k, f in model_queries._ESTIMATORS.items()}
     assert [(m.getNumTrees(), m.getMaxDepth()) for m in (made["forest"], made["extra_trees_substitute"])] == [(150, 12), (100, 10)]
     assert (made["gbt"].getMaxIter(), made["gbt"].getMaxDepth()) == (100, 5)
