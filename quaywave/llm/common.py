@@ -34,12 +34,26 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it back: cuts the lineage and survives lost executors."""
+    """Writes df as Parquet in the shared folder and reads it back: cuts the lineage and survives lost executors.
+
+    The table goes when the driver's JVM ends, or before that by discard() or sweep()."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._quaywave_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the table of a materialize() result that nothing reads any more."""
+    spark, path = df.sparkSession, df._quaywave_path
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    _written.remove(path)
 
 
 def sweep(spark: SparkSession) -> int:
@@ -52,6 +66,26 @@ def sweep(spark: SparkSession) -> int:
     return count
 
 
+def spread_join(many: DataFrame, one: DataFrame, keys: list[str], salt: list[str], how: str = "inner", sizes: DataFrame | None = None) -> DataFrame:
+    """many.join(one, keys, how), "inner" or "left", where any key of `many` may be hot and `one` holds a key once at most.
+
+    Keys with over 1 / parts of the rows of `many` are fewer than `parts`: so many rows at most are broadcast.
+    Their rows are dealt by the hash of the columns `salt`, and their row of `one` is repeated for each
+    share; so no task gets much over 1 / parts of the rows on account of a key. `many` should be a table at hand:
+    its rows are counted and grouped first; sizes (keys, _n: rows of `many`) spares the grouping. Null keys match nothing."""
+    total = many.count()
+    parts = max(256, min(1 << 16, total // 50_000))
+    limit = max(1, total // parts)
+    if sizes is None:
+        sizes = many.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    hot = sizes.where(F.col("_n") > limit)
+    hot = F.broadcast(hot.select(*keys, F.ceil(F.col("_n") / F.lit(limit)).cast("int").alias("_shares")))  # fewer than `parts` rows
+    share = F.pmod(F.xxhash64(F.lit(17), *salt), F.coalesce("_shares", F.lit(1))).cast("int")
+    left = many.join(hot, keys, "left").withColumn("_share", share).drop("_shares")
+    right = one.join(hot, keys, "left").withColumn("_share", F.explode(F.sequence(F.lit(0), F.coalesce("_shares", F.lit(1)) - 1))).drop("_shares")
+    return left.join(right.hint("merge"), [*keys, "_share"], how).drop("_share")
+
+
 def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
@@ -60,22 +94,27 @@ def word_count(column: Column) -> Column:
     return F.regexp_count(column, F.lit(WORD)).cast("long")
 
 
-def rank_within(df: DataFrame, keys: list[str], order: list[Column], spread: int | None = None, name: str = "rank") -> DataFrame:
+def rank_within(df: DataFrame, keys: list[str], order: list[Column], spread: int | None = None, name: str = "rank", counted: DataFrame | None = None, ties: list[Column] | None = None, beside: DataFrame | None = None) -> DataFrame:
     """Adds a gapless 0-based rank of each row within its keys (which may not be null).
 
     A group is dealt into `spread` parts by the hash of its ordering columns; parts are counted first
     (a partial aggregation), their offsets are running sums over at most `spread` rows a key, and only
     the rows of one part are sorted together. So no task ever holds a whole hot group. Unless given,
     spread follows the rows of df (a table at hand: counting reads its footers), some 50000 a part.
-    The order is the hash's, not the columns' own: deterministic, and evenly mixed."""
+    The order is the hash's, not the columns' own: deterministic, and evenly mixed. `counted` is a slimmer
+    table with the same keys and ordering columns, row for row, to count on; `ties` order rows that `order` can't.
+    The columns of `beside` (one row a key) join the offsets, and so the rows, without another exchange of these."""
+    counted = df if counted is None else counted
     if spread is None:
-        spread = min(1 << 16, max(64, df.count() // 50_000))
+        spread = min(1 << 16, max(64, counted.count() // 50_000))
     part = F.pmod(F.xxhash64(F.lit(7), *order), F.lit(spread)).cast("int")
     rows = df.withColumn("_part", part)
-    sizes = rows.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = counted.withColumn("_part", part).groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(*keys, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy(*keys, "_part").orderBy(F.xxhash64(F.lit(11), *order), *order)
+    if beside is not None:  # at most `spread` rows of offsets a key
+        offsets = offsets.join(beside.hint("merge"), keys)
+    inside = Window.partitionBy(*keys, "_part").orderBy(F.xxhash64(F.lit(11), *order), *order, *(ties or []))
     return (
         rows.join(offsets.hint("merge"), [*keys, "_part"])
         .withColumn(name, (F.col("_before") + F.row_number().over(inside) - 1).cast("long"))

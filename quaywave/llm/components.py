@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize, spread_join
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -13,22 +13,27 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Each round hooks every tree to the smallest grandparent among its neighbours and halves the paths,
     so rounds grow with the logarithm of the longest path. State is written to the shared folder each
-    round; only one number per round reaches the driver. Hubs are met by partial aggregation."""
+    round, the state before it is deleted; only one number per round reaches the driver. A hub, or the root
+    of a giant tree, is a hot key of both joins: spread_join deals its rows. Aggregations are partial."""
     clean = edges.where(F.col("u").isNotNull() & F.col("v").isNotNull() & (F.col("u") != F.col("v")))
     both = clean.select("u", "v").unionByName(clean.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
     both = materialize(both, "cc-edges")
     parents = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("parent"))
-    seen = None
+    seen, old = None, []
     while True:
         parents = materialize(parents, "cc-parents")
         grand = parents.select(F.col("node").alias("parent"), F.col("parent").alias("grand"))
-        state = materialize(parents.join(grand, "parent").select("node", "parent", "grand"), "cc-state")
+        state = materialize(spread_join(parents, grand, ["parent"], ["node"]).select("node", "parent", "grand"), "cc-state")
+        for table in old:
+            discard(table)
+        old = [parents, state]
         now = state.agg(F.sum(F.xxhash64("node", "grand").cast("decimal(38,0)")).alias("s"), F.sum(F.when(F.col("parent") != F.col("grand"), 1).otherwise(0)).alias("deep")).first()
         if seen is not None and now["s"] == seen and not now["deep"] or now["s"] is None:
+            discard(parents), discard(both)
             return state.select("node", F.col("grand").alias("component"))
         seen = now["s"]
-        near = both.join(state.select(F.col("node").alias("v"), F.col("grand").alias("g")), "v").groupBy("u").agg(F.min("g").alias("near"))
-        hooked = state.join(near, F.col("node") == F.col("u"))
+        near = spread_join(both, state.select(F.col("node").alias("v"), F.col("grand").alias("g")), ["v"], ["u"]).groupBy("u").agg(F.min("g").alias("near"))
+        hooked = state.join(near.hint("merge"), F.col("node") == F.col("u"))
         offers = hooked.select(F.col("parent").alias("node"), F.least("near", "grand").alias("offer")).unionByName(
             hooked.select("node", F.least("near", "grand").alias("offer"))
         )

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..ship import ship
@@ -41,7 +41,8 @@ def fit_budget(lengths: list[int], counts: list[int], budget: int, window: int =
     """How many documents of each length to take, none more than there are, to come nearest below budget.
 
     Every length first gives its share in proportion; the longest that still fit bring the rest under
-    `window` words, and the bounded knapsack closes what is left."""
+    `window` words, and the bounded knapsack closes what is left. Where more than `window` words are left
+    for the knapsack, every document not yet taken is longer than what is left: there is nothing to close it with."""
     total = sum(a * b for a, b in zip(lengths, counts))
     if budget >= total:
         return list(counts)
@@ -91,39 +92,66 @@ def source_targets(sizes: DataFrame, share: float, most: float, weights: tuple[i
     return rows.select("source", "source_size", F.when(F.col("full"), F.col("cap")).otherwise(F.least(F.col("cap"), level * F.col("weight"))).alias("target"))
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = WEIGHTS, seed: int = 20240) -> DataFrame:
-    """One row per input row: id, source, size, source_size, target, copies, taken (= copies * size).
+def _key(source: Column) -> Column:
+    return F.when(source.isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), source))
 
-    Sizes are words; null texts have none, a null source is a source of its own and sorts last. Whole
-    passes give every document of a source equally; the rest of the budget is fitted over counts of
-    exact lengths, and seeded ranks within (source, length) say which documents fill the counts.
-    The plan for a source sees one row per distinct length. Repeated rows count as documents of
-    their own, ties in the seeded order fall to the id. Empty tables give empty results."""
-    ship(docs.sparkSession)
-    sized = materialize(docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), word_count(text_of(text_col)).alias("size")), "mix-sizes")
-    keyed = sized.withColumn("key", F.when(F.col("source").isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), "source")))
-    lengths = keyed.groupBy("key", "source", "size").agg(F.count(F.lit(1)).alias("n"))
+
+def _mix(rows: DataFrame, keyed: DataFrame, share: float, most: float, weights: tuple[int, ...], seed: int, ties: list[Column] | None = None) -> DataFrame:
+    """rows with source_size, target, copies. rows and keyed: id, source, size, key and, in rows alone, what else is carried."""
+    id_, key, size, source = (F.col(f"__quaywave_{c}") for c in ("id", "key", "size", "source"))
+    lengths = keyed.groupBy(key, source, size).agg(F.count(F.lit(1)).alias("n"))
+    lengths = lengths.select(key.alias("key"), source.alias("source"), size.alias("size"), "n")
     sizes = lengths.groupBy("key", "source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     targets = source_targets(sizes.drop("key"), share, most, weights)
-    targets = targets.withColumn("key", F.when(F.col("source").isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), "source"))).drop("source")
+    targets = targets.withColumn("key", _key(F.col("source"))).drop("source")
 
-    def plan(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    def plan(_: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("size")
         whole, target = int(rows["source_size"].iloc[0]), float(rows["target"].iloc[0])
         passes = min(int(target // whole), int(most)) if whole else 0
         extra = fit_budget(rows["size"].tolist(), rows["n"].tolist(), int(target) - passes * whole) if whole and passes < most else [0] * len(rows)
         return pd.DataFrame({"key": rows["key"], "size": rows["size"], "source_size": whole, "target": target, "passes": passes, "extra": extra})
 
-    planned = materialize(lengths.drop("source").join(targets, "key").groupBy("key").applyInPandas(plan, "key string, size long, source_size long, target double, passes long, extra long"), "mix-plan")
-    ranked = rank_within(keyed, ["key", "size"], [F.lit(seed), F.col("id")])
-    copies = F.col("passes") + F.when(F.col("rank") < F.col("extra"), 1).otherwise(0)
-    return ranked.join(planned.hint("merge"), ["key", "size"]).select(
-        F.col("id").alias(id_col), "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken")
-    )
+    planned = lengths.drop("source").join(targets.hint("merge"), "key").groupBy("key").applyInPandas(plan, "key string, size long, source_size long, target double, passes long, extra long")
+    planned = materialize(planned.select([F.col(c).alias(f"__quaywave_{c}") for c in planned.columns]), "mix-plan")
+    # The plan of a length goes to every part of its group, so that no group meets it in one task.
+    ranked = rank_within(rows, ["__quaywave_key", "__quaywave_size"], [F.lit(seed), id_], name="__quaywave_rank", counted=keyed, ties=ties, beside=planned)
+    copies = F.col("__quaywave_passes") + F.when(F.col("__quaywave_rank") < F.col("__quaywave_extra"), 1).otherwise(0)
+    return ranked.withColumn("__quaywave_copies", copies.cast("int"))
+
 
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, *others: str) -> DataFrame:
+    source = F.col(source_col).cast("string")
+    own = {"id": F.col(id_col).cast("long"), "source": source, "key": _key(source), "size": word_count(text_of(text_col))}
+    return docs.select(*others, *(c.alias(f"__quaywave_{k}") for k, c in own.items()))
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", **settings) -> DataFrame:
-    """The mix itself: each row of docs as often as mix_sources takes it, all columns. Ids are unique."""
-    copies = mix_sources(docs, id_col, **settings).where("copies > 0").select(F.col(id_col).alias("__quaywave_id"), F.col("copies").cast("int").alias("__quaywave_copies"))
-    rows = docs.join(copies, docs[id_col].eqNullSafe(copies["__quaywave_id"]))
-    return rows.withColumn("__quaywave_copy", F.explode(F.sequence(F.lit(1), F.col("__quaywave_copies")))).select(*docs.columns)
+
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = WEIGHTS, seed: int = 20240) -> DataFrame:
+    """One row per input row: id, source, size, source_size, target, copies, taken (= copies * size).
+
+    Sizes are words; null texts have none, a null source is a source of its own and sorts last. Whole
+    passes give every document of a source equally; the rest of the budget is fitted over counts of
+    exact lengths, and seeded ranks within (source, length) say which documents fill the counts.
+    The plan for a source sees one row per distinct length. Repeated rows count as documents of
+    their own, ties in the seeded order fall to the id. Empty tables give empty results."""
+    ship(docs.sparkSession)
+    keyed = materialize(_sized(docs, id_col, text_col, source_col), "mix-sizes")
+    own = lambda c: F.col(f"__quaywave_{c}")
+    return _mix(keyed, keyed, share, most, weights, seed).select(
+        own("id").alias(id_col), own("source").alias("source"), own("size").alias("size"), own("source_size").alias("source_size"),
+        own("target").alias("target"), own("copies").cast("long").alias("copies"), (own("copies") * own("size")).alias("taken"),
+    )
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = WEIGHTS, seed: int = 20240) -> DataFrame:
+    """The mix itself: each row of docs as often as mix_sources takes it, all columns.
+
+    Whole rows are ranked, not ids: a row that occurs twice is two documents, each taken at most `most`
+    times; so are rows without an id. Rows that differ in nothing are interchangeable, others with
+    one id are told apart by a hash of their columns, so reruns agree. An empty table gives an empty one."""
+    ship(docs.sparkSession)
+    keyed = materialize(_sized(docs, id_col, text_col, source_col), "mix-sizes")
+    rows = _sized(docs, id_col, text_col, source_col, *docs.columns)
+    plain = [F.col(f.name) for f in docs.schema if "map" not in f.dataType.simpleString()]
+    out = _mix(rows, keyed, share, most, weights, seed, [F.xxhash64(*plain)]).where("__quaywave_copies > 0")
+    return out.withColumn("__quaywave_copy", F.explode(F.sequence(F.lit(1), F.col("__quaywave_copies")))).select(*docs.columns)

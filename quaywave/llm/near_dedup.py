@@ -7,12 +7,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..ship import ship
-from .common import materialize, text_of
+from .common import materialize, spread_join, text_of
 from .components import connected_components
 from .shingles import _GOLD, mix, multisets, shingle_hashes
 
@@ -85,35 +84,40 @@ def _chunks(texts: list[bytes], size: int = 1 << 20, rows: int = 1024) -> Iterat
         yield a, len(texts)
 
 
+def fingerprint(text_col: str) -> Column:
+    """128 bits of the SHA-256 of a text (null: empty): what stands for the text in slim tables."""
+    return F.unhex(F.substring(F.sha2(text_of(text_col), 256), 1, 32))
+
+
 def signatures(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """id, c1, c2 (128 bits of the content's hash), words, bands (empty without words)."""
-    schema = pa.schema([("id", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("words", pa.int64()), ("bands", pa.list_(pa.int64()))])
+    """id, rep (fingerprint of the text), words, bands (empty without words)."""
+    schema = pa.schema([("id", pa.int64()), ("rep", pa.binary()), ("words", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0)
-            texts = [x.as_py() for x in batch.column(1)]
+            texts = [x.as_py() for x in batch.column(2)]
             for a, b in _chunks(texts):
                 part = texts[a:b]
-                offsets = np.concatenate([[0], np.cumsum([len(t) for t in part], dtype=np.int64)])
-                text, hashes, words = shingle_hashes(np.frombuffer(b"".join(part), dtype=np.uint8), offsets, k)
-                signature = bag_minhash(*multisets(text, hashes), len(part))
-                keys = band_keys(signature)
-                content = np.array([divmod(xxhash.xxh3_128_intdigest(t), 1 << 64) for t in part], dtype=np.uint64).view(np.int64)
+                text, hashes, words = _shingled(part, k)
+                keys = band_keys(bag_minhash(*multisets(text, hashes), len(part)))
                 has = words > 0
                 lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(np.where(has, keys.shape[1], 0))]).astype(np.int32), pa.array(keys[has].ravel()))
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(content[:, 0]), pa.array(content[:, 1]), pa.array(words), lists], schema=schema)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(words), lists], schema=schema)
+
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), fingerprint(text_col).alias("rep"), F.encode(text_of(text_col), "UTF-8").alias("content"))
+    return texts.mapInArrow(run, "id long, rep binary, words long, bands array<long>")
 
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.encode(text_of(text_col), "UTF-8").alias("content"))
-    return texts.mapInArrow(run, "id long, c1 long, c2 long, words long, bands array<long>")
+
+def _shingled(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts], dtype=np.int64)])
+    return shingle_hashes(np.frombuffer(b"".join(texts), dtype=np.uint8), offsets, k)
 
 
 class Overlaps:
     """Exact multiset overlaps of one text of a block with all of them, each in one sweep over the block's shingles."""
 
     def __init__(self, texts: list[bytes], k: int) -> None:
-        offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts], dtype=np.int64)])
-        text, hashes, _ = shingle_hashes(np.frombuffer(b"".join(texts), dtype=np.uint8), offsets, k)
+        text, hashes, _ = _shingled(texts, k)
         text, hashes, self.times = multisets(text, hashes)
         order = np.argsort(text, kind="stable")
         self.text, self.times = text[order], self.times[order]
@@ -136,100 +140,189 @@ class Overlaps:
 
 
 def _links(k: int, least: float):
-    """Links that connect a block as all its links would.
+    """rows: rep, content, cls (null: a class of its own). Links u, v, overlap that connect a block as all its links would.
 
     From the text at its centre on, members outside the largest class meet all others; two members of
     one class need no test. So every pair that ends in different classes has been compared exactly."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("rep")
-        reps, us, vs = rows["rep"].to_numpy(), [], []
+        reps, found = rows["rep"].to_numpy(), []
         if len(reps) > 1:
-            near, label, met = Overlaps(list(rows["content"]), k), np.arange(len(reps)), np.zeros(len(reps), dtype=bool)
+            near, met = Overlaps(list(rows["content"]), k), np.zeros(len(reps), dtype=bool)
+            label = pd.factorize(rows["cls"].where(rows["cls"].notna(), rows["rep"]))[0]
             u = near.centre()
             while True:
                 met[u] = True
-                for v in np.flatnonzero(near.with_all(u) >= least):
+                overlap = near.with_all(u)
+                for v in np.flatnonzero(overlap >= least):
                     if label[v] != label[u]:
-                        us.append(reps[u]), vs.append(reps[v])
+                        found.append((reps[u], reps[v], overlap[v]))
                         label[label == label[v]] = label[u]
                 open_ = np.flatnonzero(~met & (label != np.bincount(label).argmax()))
                 if not len(open_):
                     break
                 u = open_[0]
-        return pd.DataFrame({"u": np.array(us, dtype="int64"), "v": np.array(vs, dtype="int64")})
+        return pd.DataFrame(found, columns=["u", "v", "overlap"])
 
     return run
 
 
-def _links_between(k: int, least: float):
-    """Links from members on side 0 to members on side 1 of other classes; one for each pair of classes."""
+_LINK = "u binary, v binary, overlap double"
+#: Counters of the shingle frequencies that order a prefix: their number bounds what the driver gathers and sends.
+COUNTERS = 1 << 18
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["side", "rep"])
-        reps, cls, side = rows["rep"].to_numpy(), rows["cls"].to_numpy(), rows["side"].to_numpy()
-        near, us, vs, told = Overlaps(list(rows["content"]), k), [], [], set()
-        for u in np.flatnonzero(side == 0):
-            for v in np.flatnonzero((near.with_all(u) >= least) & (side == 1) & (cls != cls[u])):
-                if (cls[u], cls[v]) not in told:
-                    told.add((cls[u], cls[v]))
-                    us.append(reps[u]), vs.append(reps[v])
-        return pd.DataFrame({"u": np.array(us, dtype="int64"), "v": np.array(vs, dtype="int64")})
 
-    return run
+def tokens_of(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, token): the multiset of shingles as a set, the i-th occurrence of a shingle being a token of its own."""
+    text, hashes, _ = _shingled(texts, k)
+    text, hashes, times = multisets(text, hashes)
+    nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    return np.repeat(text, times), mix(np.repeat(hashes, times) + nth.astype(np.uint64) * _GOLD)
+
+
+def prefixes(texts: list[bytes], k: int, least: float, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text, token): of n tokens of a text the n - ceil(least * n) + 1 that come first by (count, token).
+
+    Two texts of overlap `least` or more share at least ceil(least * n) tokens of each, so one of their prefixes' at least."""
+    text, token = tokens_of(texts, k)
+    order = np.lexsort((token, counts[(token % np.uint64(len(counts))).astype(np.int64)], text))
+    text, token = text[order], token[order]
+    n = np.bincount(text, minlength=len(texts))
+    rank = np.arange(len(text)) - (np.cumsum(n) - n)[text]
+    first = rank < (n - np.ceil(least * n - 1e-9) + 1)[text]
+    return text[first], token[first]
+
+
+def _count_tokens(texts: DataFrame, k: int) -> np.ndarray:
+    """How often tokens fall on each of COUNTERS counters: sums in the task, then one small aggregation."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(COUNTERS, dtype=np.int64)
+        for batch in batches:
+            part = [x.as_py() for x in batch.column(0)]
+            for a, b in _chunks(part):
+                counts += np.bincount((tokens_of(part[a:b], k)[1] % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+        held = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(counts[held])], names=["at", "n"])
+
+    sums = texts.select("content").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()  # at most COUNTERS rows
+    counts = np.zeros(COUNTERS, dtype=np.int64)
+    counts[sums.column("at").to_numpy()] = sums.column("n").to_numpy()
+    return counts
+
+
+def _prefix_links(open_: DataFrame, texts: DataFrame, k: int, least: float, block: int, block_words: int) -> DataFrame:
+    """open_: rep, cls, words. All links between texts of different classes that connect them as all would.
+
+    Texts are grouped by the tokens of their prefixes, the rarest first; of groups with the same members one
+    remains, and none in which all have one class. A group that outgrows a block meets in cells of two blocks
+    each: only texts that share the same rare shingles and yet aren't one class cost more than their number."""
+    held = materialize(open_.join(texts.hint("merge"), "rep").select("rep", "cls", "words", "content"), "near-open")
+    counts = held.sparkSession.sparkContext.broadcast(_count_tokens(held, k))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            part = [x.as_py() for x in batch.column(3)]
+            for a, b in _chunks(part):
+                text, token = prefixes(part[a:b], k, least, counts.value)
+                rows = batch.slice(a, b - a).take(pa.array(text))
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), rows.column(2), pa.array(token.view(np.int64))], names=["rep", "cls", "words", "token"])
+
+    rows = materialize(held.mapInArrow(run, "rep binary, cls binary, words long, token long"), "near-prefixes")
+    sets = rows.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.sum("words").alias("w"), F.min("rep").alias("low"), F.bit_xor(F.xxhash64("rep")).alias("who"), (F.min("cls") != F.max("cls")).alias("mixed"))
+    groups = sets.where("n > 1 AND mixed").groupBy("n", "w", "low", "who").agg(F.min("token").alias("token"))
+    groups = materialize(groups.select("token", F.col("n").alias("_n"), _blocks(block, block_words)), "near-groups")
+    cells = spread_join(rows, groups.drop("_n"), ["token"], ["rep"], sizes=groups.select("token", "_n"))
+    own = F.pmod(F.xxhash64("token", "rep"), F.col("blocks")).cast("int")
+    cells = cells.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = cells.select("rep", "cls", "token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    return cells.join(held.select("rep", "content").hint("merge"), "rep").groupBy("token", "i", "j").applyInPandas(_links(k, least), _LINK)
+
+
+def _blocks(block: int, block_words: int) -> Column:
+    return F.ceil(F.greatest(F.col("n") / F.lit(block), F.col("w") / F.lit(block_words))).cast("int").alias("blocks")
+
+
+def _solve(docs: DataFrame, id_col: str, text_col: str, k: int, least: float, block: int, block_words: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows: id, rep; texts: rep, low, rows, component; links: u, v, overlap). rep stands for a text, low is its smallest id."""
+    ship(docs.sparkSession)
+    sig = materialize(signatures(docs, id_col, text_col, k), "near-signatures")
+    reps = materialize(sig.groupBy("rep").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("rows"), F.first("words").alias("words"), F.first("bands").alias("bands")), "near-texts")
+    # Sets of ids grow with the corpus: these joins are never to be broadcast, whatever a size at hand.
+    banded = reps.select("rep", "words", F.explode("bands").alias("key"))
+    sets = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("words").alias("w"), F.min("rep").alias("low"), F.bit_xor(F.xxhash64("rep")).alias("who")).where("n > 1")
+    buckets = materialize(sets.groupBy("n", "w", "low", "who").agg(F.min("key").alias("key")).select("key", F.col("n").alias("_n"), _blocks(block, block_words)), "near-buckets")
+    members = spread_join(banded, buckets.drop("_n"), ["key"], ["rep"], sizes=buckets.select("key", "_n"))
+    members = materialize(members.select("key", "rep", "words", "blocks", F.pmod(F.xxhash64("key", "rep"), F.col("blocks")).cast("int").alias("own")), "near-members")
+    wanted = members.select("rep").distinct()
+    # One content a text: copies fold in the map-side part, and the joins by rep need no further exchange.
+    texts = docs.select(fingerprint(text_col).alias("rep"), F.encode(text_of(text_col), "UTF-8").alias("content")).groupBy("rep").agg(F.first("content").alias("content"))
+    texts = texts.join(wanted.hint("merge"), "rep", "left_semi")
+    compared = members.select("key", "own", "rep", F.lit(None).cast("binary").alias("cls")).join(texts.hint("merge"), "rep")
+    links = materialize(compared.groupBy("key", "own").applyInPandas(_links(k, least), _LINK), "near-links")
+    labels = connected_components(links)
+    large = members.where("blocks > 1")
+    if not large.isEmpty():
+        large = materialize(large.join(labels.select(F.col("node").alias("rep"), "component").hint("merge"), "rep", "left").select("key", "rep", "words", F.coalesce("component", "rep").alias("cls")), "near-large")
+        split = large.groupBy("key").agg(F.min("cls").alias("a"), F.max("cls").alias("b"), F.count(F.lit(1)).alias("_n")).where("a <> b").select("key", "_n")
+        open_ = materialize(spread_join(large, split.select("key"), ["key"], ["rep"], sizes=split).select("rep", "cls", "words").distinct(), "near-doubt")
+        if not open_.isEmpty():
+            links = materialize(links.unionByName(_prefix_links(open_, texts, k, least, block, block_words)), "near-links")
+            labels = connected_components(links)
+    out = reps.select("rep", "low", "rows").join(labels.select(F.col("node").alias("rep"), "component").hint("merge"), "rep", "left")
+    return sig.select("id", "rep"), materialize(out.select("rep", "low", "rows", F.coalesce("component", "rep").alias("component")), "near-classes"), links
+
+
+def _classes(texts: DataFrame) -> DataFrame:
+    """component, class_id (smallest id), class_size (rows), stands (the text that has that id)."""
+    first = F.min_by("rep", F.struct(F.col("low").isNull(), "low", "rep"))
+    return texts.groupBy("component").agg(F.min("low").alias("class_id"), F.sum("rows").alias("class_size"), first.alias("stands"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, least: float = 0.8, block: int = 1000, block_words: int = 1 << 20) -> DataFrame:
-    """One row per input row: id, text_rep (smallest id with the same text), class_id, class_size, kept.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, least: float = 0.8, block: int = 250, block_words: int = 1 << 18) -> DataFrame:
+    """One row per input row: id, text_rep (smallest id with the same text), class_id, class_size (rows), kept.
 
     Two texts are linked if the multisets of their k-word shingles overlap by `least` or more; classes are
-    the connected components of the links and of equal texts, named by their smallest id, which is kept.
-    Null texts equal the empty one; texts without words are linked to equal texts only. An id stands for
-    one text (repeated equal rows are fine); rows without an id share the class of their text.
+    the connected components of the links and of equal texts, named by their smallest id, which is kept. So a
+    text may be less than `least` alike to the one that is kept for it, by a chain of links.
+    Null texts equal the empty one; texts without words are linked to equal texts only. Rows are told by
+    their texts, so ids may repeat or be null; a class in which no row has an id has a null class_id, and
+    its own class_size. Extra columns are ignored, an empty table gives an empty result.
 
     Equal texts fold first. Texts that share a band are a bucket; of buckets with the same members one
     remains. Buckets are dealt into blocks of bounded rows and words, and a task compares a block's texts
     exactly, from the text at its centre on, without emitting pairs: only links that join classes leave it. A
     hot bucket thus costs its blocks, not their pairs; its blocks meet through the other bands, in which
-    they are dealt otherwise. Buckets of several blocks that still hold several classes then compare
-    every member outside their largest class with all others. So no link between classes is left out."""
-    ship(docs.sparkSession)
-    sig = materialize(signatures(docs, id_col, text_col, k), "near-signatures")
-    reps = materialize(sig.groupBy("c1", "c2").agg(F.min("id").alias("rep"), F.first("words").alias("words"), F.first("bands").alias("bands")), "near-texts")
-    # Sets of ids grow with the corpus: these joins are never to be broadcast, whatever a size at hand.
-    banded = reps.where("rep IS NOT NULL").select("rep", F.explode("bands").alias("key"))
-    shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    rows = materialize(banded.join(shared.hint("merge"), "key").join(reps.select("rep", "words").hint("merge"), "rep"), "near-banded")
-    sets = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("words").alias("w"), F.min("rep").alias("low"), F.bit_xor(F.xxhash64("rep")).alias("who"))
-    parts = F.ceil(F.greatest(F.col("n") / F.lit(block), F.col("w") / F.lit(block_words))).cast("int")
-    buckets = sets.groupBy("n", "w", "low", "who").agg(F.min("key").alias("key")).select("key", parts.alias("blocks"))
-    members = rows.join(buckets.hint("merge"), "key").withColumn("own", F.pmod(F.xxhash64("key", "rep"), F.col("blocks")).cast("int"))
-    members = materialize(members.select("key", "rep", "blocks", "own"), "near-members")
-    ids = members.select("rep").distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.encode(text_of(text_col), "UTF-8").alias("content")).join(ids.hint("merge"), "rep", "left_semi")
-    found = members.join(texts, "rep").groupBy("key", "own").applyInPandas(_links(k, least), "u long, v long")
-    links = materialize(found.distinct(), "near-links")
-    labels = connected_components(links)
-    large = members.where("blocks > 1").join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("cls", F.coalesce("component", "rep"))
-    counts = large.groupBy("key", "cls").agg(F.count(F.lit(1)).alias("c"))
-    main = counts.groupBy("key").agg(F.max_by("cls", F.struct("c", "cls")).alias("main"), F.count(F.lit(1)).alias("classes"), F.sum("c").alias("n"), F.max("c").alias("most")).where("classes > 1")
-    mixed = materialize(large.join(main, "key").withColumn("strips", F.ceil((F.col("n") - F.col("most")) / F.lit(block)).cast("int")), "near-mixed")
-    if not mixed.isEmpty():
-        strip = F.pmod(F.xxhash64(F.lit(1), "rep"), F.col("strips")).cast("int")
-        left = mixed.where("cls <> main").select("key", "rep", "cls", strip.alias("j"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), F.lit(0).alias("side"))
-        right = mixed.select("key", "rep", "cls", F.explode(F.sequence(F.lit(0), F.col("strips") - 1)).alias("j"), F.col("own").alias("i"), F.lit(1).alias("side"))
-        both = left.select("key", "i", "j", "rep", "cls", "side").unionByName(right.select("key", "i", "j", "rep", "cls", "side"))
-        more = both.join(texts, "rep").groupBy("key", "i", "j").applyInPandas(_links_between(k, least), "u long, v long")
-        links = materialize(links.unionByName(more.distinct()), "near-links")
-        labels = connected_components(links)
-    classes = reps.select("c1", "c2", "rep").join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").select("c1", "c2", "rep", F.coalesce("component", "rep").alias("class_id"))
-    rows = sig.select("id", "c1", "c2").join(classes, ["c1", "c2"])
-    sizes = rows.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size"))
-    out = rows.join(sizes, rows["class_id"].eqNullSafe(sizes["class_id"])).drop(sizes["class_id"])
-    return out.select(F.col("id").alias(id_col), F.col("rep").alias("text_rep"), "class_id", "class_size", F.col("id").eqNullSafe(F.col("class_id")).alias("kept"))
-
-
-def keep_representatives(docs: DataFrame, id_col: str = "doc_id", **settings) -> DataFrame:
-    """The rows of docs that stand for their class, all columns."""
-    kept = near_duplicates(docs, id_col, **settings).where("kept").select(F.col(id_col).alias("_id")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["_id"]), "left_semi")
+    they are dealt otherwise. Members of buckets of several blocks that still hold several classes then
+    meet by their rarest shingles (_prefix_links), which misses no pair. So no link between classes is left out."""
+    rows, texts, _ = _solve(docs, id_col, text_col, k, least, block, block_words)
+    # Each of the three is a table at hand; classes and texts may be hot.
+    named = spread_join(texts, _classes(texts).drop("stands"), ["component"], ["rep"])
+    named = materialize(named.select("rep", F.col("low").alias("text_rep"), "class_id", "class_size"), "near-named")
+    sizes = texts.select("rep", F.col("rows").alias("_n"))
+    return spread_join(rows, named, ["rep"], ["id"], sizes=sizes).select(F.col("id").alias(id_col), "text_rep", "class_id", "class_size", F.col("id").eqNullSafe(F.col("class_id")).alias("kept"))
+
+
+def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, least: float = 0.8, block: int = 250, block_words: int = 1 << 18) -> DataFrame:
+    """u, v (smallest ids of two texts), overlap: the exact links that connect the classes of near_duplicates.
+
+    Pairs that add nothing to a class aren't among them; a text without any id shows as null."""
+    _, texts, links = _solve(docs, id_col, text_col, k, least, block, block_words)
+    at = lambda c: texts.select(F.col("rep").alias(c), F.col("low").alias(f"{c}_id"))
+    out = links.join(at("u").hint("merge"), "u").join(at("v").hint("merge"), "v")
+    return out.select(F.col("u_id").alias("u"), F.col("v_id").alias("v"), "overlap")
+
+
+def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, least: float = 0.8, block: int = 250, block_words: int = 1 << 18) -> DataFrame:
+    """The rows of docs that stand for their class, all columns: exactly one for each class.
+
+    That is the row with the class's smallest id; in a class without ids, one of its smallest text. Of
+    repeated rows a single one stays, the first by a hash of its columns. An empty table gives an empty one."""
+    _, texts, _ = _solve(docs, id_col, text_col, k, least, block, block_words)
+    stands = _classes(texts).select(F.col("stands").alias("__quaywave_rep"))
+    names = docs.columns
+    plain = [F.col(f.name) for f in docs.schema if "map" not in f.dataType.simpleString()]
+    first = F.min_by(F.struct(*names), F.struct(F.col(id_col).isNull(), F.col(id_col).cast("long"), F.xxhash64(*plain)))
+    rows = docs.groupBy(fingerprint(text_col).alias("__quaywave_rep")).agg(first.alias("__quaywave_row"))
+    return rows.join(stands.hint("merge"), "__quaywave_rep", "left_semi").select("__quaywave_row.*")

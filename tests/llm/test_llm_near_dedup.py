@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 
 from quaywave.llm.components import connected_components
-from quaywave.llm.near_dedup import Overlaps, bag_minhash, keep_representatives, near_duplicates
+from quaywave.llm.near_dedup import COUNTERS, Overlaps, bag_minhash, keep_representatives, near_duplicates, near_links, prefixes
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -93,6 +93,50 @@ def test_edges(docs_of, edge):
     assert near_duplicates(docs_of(edge).limit(0)).count() == 0
 
 
+def test_prefixes_of_like_texts_meet():
+    texts = [t.encode() for _, t in corpus(5)][:70] + [b"same " * 50, b"same " * 55, b"a", b"a b c d e f", b""]
+    text, token = prefixes(texts, 5, 0.8, np.random.default_rng(0).integers(0, 9, COUNTERS))
+    sets = [set(token[text == i].tolist()) for i in range(len(texts))]
+    like = [(i, j) for i in range(len(texts)) for j in range(i) if jaccard(shingles(texts[i].decode()), shingles(texts[j].decode())) >= 0.8]
+    assert len(like) > 100 and all(sets[i] & sets[j] for i, j in like)
+
+
+def template(seed, groups=40, each=3):
+    """Texts that share a long passage, and so bands, but are alike only within their small groups."""
+    rng = random.Random(seed)
+    words, rows = [f"w{k}" for k in range(3000)], []
+    passage = [rng.choice(words) for _ in range(70)]
+    for g in range(groups):
+        own = [rng.choice(words) for _ in range(24)]
+        for _ in range(each):
+            copy = passage + own
+            copy[rng.randrange(len(copy))] = rng.choice(words)
+            rows.append((len(rows), " ".join(copy)))
+    return rows
+
+
+def test_a_bucket_of_many_classes_over_many_blocks(docs_of):
+    rows = template(3)
+    told = classes(rows)
+    assert len(set(told.values())) > 20
+    for block in (5, 250):
+        out = near_duplicates(docs_of(rows), block=block).collect()
+        assert {r["doc_id"]: r["class_id"] for r in out} == told
+    text = dict(rows)
+    links = near_links(docs_of(rows), block=5).collect()
+    assert all(abs(r["overlap"] - jaccard(shingles(text[r["u"]]), shingles(text[r["v"]]))) < 1e-12 and r["overlap"] >= 0.8 for r in links)
+    assert len({min(r["u"], r["v"]) for r in links} | {max(r["u"], r["v"]) for r in links}) == sum(n for n in Counter(told.values()).values() if n > 1)
+
+
+def test_rows_without_ids_and_repeated_rows(docs_of):
+    base = " ".join(f"w{k}" for k in range(40))
+    rows = [(None, base), (None, "other words here"), (None, base + " more"), (4, "x y z"), (4, "x y z"), (4, "another text of that id")]
+    out = [(r["doc_id"], r["class_id"], r["class_size"]) for r in near_duplicates(docs_of(rows)).collect()]
+    assert sorted(out, key=str) == sorted([(None, None, 2), (None, None, 1), (None, None, 2), (4, 4, 2), (4, 4, 2), (4, 4, 1)], key=str)
+    kept = [(r["doc_id"], r["text"]) for r in keep_representatives(docs_of(rows)).collect()]
+    assert len(kept) == 4 and {t for _, t in kept} >= {"x y z", "other words here", "another text of that id"}
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(i, i + 1) for i in range(300, 340)] + [(500, k) for k in range(501, 560)] + [(None, 3), (4, 4)]
