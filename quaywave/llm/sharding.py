@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_of, word_count
+from .common import materialize, rank_within, text_of, word_count
 
 
 def place(vectors: np.ndarray, shards: int) -> np.ndarray:
@@ -50,9 +50,11 @@ def shard_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Equal texts are a group and share a shard. Groups are dealt by hash into at most `units` units, which
     the packing places; so the plan is of bounded size whatever the number of groups. A group over
-    `heavy` of a shard's share is a unit of its own: there are at most shards / heavy of those. One over
-    half a share is split, into parts of a sixteenth by the hash of the id: no shard could be near its
-    share otherwise. slot counts a shard's rows from 0, without gaps, as running sums over units. Null texts are empty; repeated rows are sharded as often as they occur."""
+    `heavy` of a shard's share is a unit of its own: there are at most shards / heavy of those. Only a group
+    over a whole share is split, into parts of a sixteenth by the hash of the id: no shard could hold it.
+    slot counts a shard's rows from 0, without gaps: ranks within units, made in counted parts, and running
+    sums over units. Null texts are empty; repeated rows are sharded as often as they occur; ties in
+    the packing go to the lowest shard. Extra columns are ignored, an empty table gives an empty result."""
     spark = docs.sparkSession
     text = text_of(text_col)
     rows = materialize(
@@ -68,7 +70,7 @@ def shard_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     total = rows.agg(F.sum("size").alias("s")).first()["s"] or 0
     share = max(1.0, total / shards)
     groups = rows.groupBy("group").agg(F.sum("size").alias("bytes"))
-    parts = F.when(F.col("bytes") > share / 2, F.ceil(F.col("bytes") * 16 / F.lit(share))).otherwise(1).cast("int")
+    parts = F.when(F.col("bytes") > share, F.ceil(F.col("bytes") * 16 / F.lit(share))).otherwise(1).cast("int")
     big = materialize(groups.where(F.col("bytes") > share * heavy).select("group", parts.alias("parts")), "shard-heavy")
     # At most shards / heavy groups can exceed total / shards * heavy bytes: small enough to send to every task.
     dealt = rows.join(F.broadcast(big), "group", "left")
@@ -84,8 +86,8 @@ def shard_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         plan.append((unit, int(shard), filled[shard]))
         filled[shard] += n
     placed = spark.createDataFrame(plan, "unit string, shard int, before long")
-    inside: Column = F.row_number().over(Window.partitionBy("unit").orderBy(F.xxhash64(F.lit(13), "id"), "id", "text_crc32"))
+    ranked = rank_within(dealt, ["unit"], [F.col("id"), F.col("text_crc32")], spread=min(1 << 16, max(64, rows.count() // 50_000)))
     return (
-        dealt.join(F.broadcast(placed), "unit")  # at most units + shards / heavy + 16 * shards + 2 * shards rows
-        .select(F.col("id").alias(id_col), "size", "text_crc32", "shard", (F.col("before") + inside - 1).cast("long").alias("slot"))
+        ranked.join(F.broadcast(placed), "unit")  # at most units + shards / heavy + 17 * shards rows
+        .select(F.col("id").alias(id_col), "size", "text_crc32", "shard", (F.col("before") + F.col("rank")).cast("long").alias("slot"))
     )

@@ -31,6 +31,18 @@ def test_bytes_are_even_and_small_groups_whole(docs_of):
     assert all(len(s) == 1 for t, s in homes.items() if not t.startswith("hot"))
 
 
+def test_a_group_of_nearly_a_share_stays_whole(docs_of):
+    rows = [(i, "big " * 50 if i < 70 else f"text {i} " * 10) for i in range(4000)]
+    out = shard_documents(docs_of(rows)).collect()
+    check(rows, out)
+    load = Counter()
+    for r in out:
+        load[r["shard"]] += r["size"]
+    mean = sum(load.values()) / 24
+    assert 0.5 * mean < 70 * 208 < mean
+    assert len({r["shard"] for r in out if r["doc_id"] < 70}) == 1 and max(load.values()) < 1.02 * mean
+
+
 def test_edges(docs_of, edge):
     check(edge, shard_documents(docs_of(edge)).collect())
     assert shard_documents(docs_of(edge).limit(0)).count() == 0
