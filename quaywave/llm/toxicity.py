@@ -25,7 +25,7 @@ _TOKEN = re.compile(r"[^\W_]+")
 
 @dataclass(frozen=True)
 class Shape:
-    """Sizes of the network and of its training; sample and windows bound what training may see."""
+    """Sizes of the network and of its training; sample bounds the documents that training sees, each of them whole."""
 
     window: int = 48
     stride: int = 36
@@ -36,7 +36,6 @@ class Shape:
     hidden: int = 12
     attend: int = 12
     sample: int = 2000  # documents of each label
-    sample_windows: int = 24  # windows of each sampled document
     early: float = 0.5  # share of the windows that each of the first two epochs sees
     epochs: int = 7
     batch: int = 512
@@ -358,8 +357,9 @@ class Scorer:
 def fit_toxicity(docs: DataFrame, labels: DataFrame, shape: Shape = Shape()) -> Network:
     """Trains on at most shape.sample documents of each label (those first by a seeded hash of the id).
 
-    docs: doc_id, text; labels: doc_id, toxic. A document with several labels counts as toxic if one says so.
-    Of a longer document, shape.sample_windows seeded windows are seen. Both bounds hold at every size."""
+    docs: doc_id, text; labels: doc_id, toxic. A document with several labels counts as toxic if one says so;
+    of a doc_id that repeats, the text that sorts first is seen. Of a sampled document all windows are seen. Null labels,
+    ids and texts are left out or empty; without rows of both labels the network is a fresh or one-sided one, which still scores."""
     ship(docs.sparkSession)
     told = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     parts = [told.where(F.col("toxic") == y).orderBy(F.xxhash64(F.lit(shape.seed), "doc_id"), "doc_id").limit(shape.sample) for y in (0, 1)]
@@ -367,30 +367,26 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, shape: Shape = Shape()) ->
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for key, y, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                words = tokens(text)
-                starts = windows_of(len(words), shape)
-                if len(starts) > shape.sample_windows:
-                    pick = np.random.default_rng([shape.seed, key & 0xFFFFFFFF]).permutation(len(starts))
-                    starts = sorted(starts[i] for i in pick[: shape.sample_windows])
-                rows.append((key, y, [" ".join(words[s : s + shape.window]) for s in starts]))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.list_(pa.string())))], names=["id", "y", "windows"])
+            words = [" ".join(tokens(text)) for text in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(words, pa.string())], names=["id", "y", "words"])
 
     rows = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(sample), "doc_id").select(F.col("doc_id").cast("long"), F.col("toxic").cast("int"), "text")
-    held = rows.mapInArrow(cut, "id long, y int, windows array<string>").collect()
+    held = rows.mapInArrow(cut, "id long, y int, words string").collect()
     lexicon, samples, last = Lexicon(), [], None
-    for r in sorted(held, key=lambda r: r["id"]):
+    for r in sorted(held, key=lambda r: (r["id"], r["words"])):
         if r["id"] != last:
-            samples.append(([lexicon.encode(w.split()) for w in r["windows"]], r["y"]))
+            words = lexicon.encode(r["words"].split())
+            samples.append(([words[s : s + shape.window] for s in windows_of(len(words), shape)], r["y"]))
         last = r["id"]
     del held
     return train(samples, lexicon, shape)
 
 
 def score_toxicity(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, score. Null texts are empty; a text without words has the score of an empty window."""
+    """One row per input row: id, score. Null texts are empty; a text without words has the score of an empty window.
+
+    Whole texts are read, whatever their length. Repeated rows score alike, null ids stay null, extra columns are
+    ignored, an empty table gives an empty result."""
     ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(pickle.dumps((net.shape, net.p)))  # a few MB, by Shape alone
 
@@ -406,7 +402,9 @@ def score_toxicity(docs: DataFrame, net: Network, id_col: str = "doc_id", text_c
 
 
 def drop_toxic(docs: DataFrame, net: Network, text_col: str = "text", least: float = 0.5) -> DataFrame:
-    """The rows whose text scores below `least`, all columns; no exchange."""
+    """The rows whose text scores below `least`, all columns; no exchange.
+
+    Repeated rows stay or go together; null ids and texts (empty) are fine; an empty table gives an empty one."""
     ship(docs.sparkSession)
     sent, at = docs.sparkSession.sparkContext.broadcast(pickle.dumps((net.shape, net.p))), docs.columns.index(text_col)
 

@@ -11,9 +11,11 @@ import test_llm_mixing
 import test_llm_near_dedup
 import test_llm_pii
 import test_llm_sharding
+import test_llm_toxicity
 
 from quaywave.llm.packing import encoder, pieces_of
 from quaywave.llm.queries import QUERIES
+from quaywave.llm.toxicity import fit_toxicity, held_out
 
 COLUMNS = {
     "op1": ["doc_id", "keep_id", "group_size", "kept", "text_sha256"],
@@ -87,6 +89,14 @@ def test_toxicity_rows(spark, sf, rows):
     assert all(r["predicted"] == (r["score"] >= 0.5) and 0 <= r["score"] <= 1 and r["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0) for i, r in out.items())
 
 
+def test_toxicity_scores_equal_a_slow_pass(spark, sf, rows):
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    net = fit_toxicity(docs, labels.where(~held_out()))
+    out = {r["doc_id"]: r["score"] for r in named("op6")(spark, sf).collect()}
+    few = [(i, t) for i, t, _ in rows if t and len(t) < 6000]
+    assert len(few) > 150 and all(abs(out[i] - test_llm_toxicity.slow_score(net, t)) < 1e-3 for i, t in few)
+
+
 def test_near_copies(spark, sf, rows):
     told = test_llm_near_dedup.classes([(i, t) for i, t, _ in rows])
     assert {r["doc_id"]: r["class_id"] for r in named("op7")(spark, sf).collect()} == told
@@ -96,3 +106,13 @@ def test_shards(spark, sf, rows):
     out = named("op9")(spark, sf).collect()
     test_llm_sharding.check(rows, out)
     assert {r["law"] for r in out} == {"bytes"} and {r["grown_shard"] for r in out} == {None}
+    load, homes, weight = Counter(), defaultdict(set), Counter()
+    texts = {i: t or "" for i, t, _ in rows}
+    for r in out:
+        load[r["shard"]] += r["size"]
+        homes[texts[r["doc_id"]]].add(r["shard"])
+        weight[texts[r["doc_id"]]] += r["size"]
+    share = sum(load.values()) / 24
+    assert all(len(homes[t]) == 1 for t, n in weight.items() if n <= share)
+    heaviest = max(n for n in weight.values())
+    assert max(load.values()) <= max(1.02 * share, heaviest) and (heaviest > share / 2 or min(load.values()) >= 0.98 * share)

@@ -71,6 +71,43 @@ def test_learns_and_scores_the_same_in_any_batch():
     assert np.allclose(one, [Scorer(net, memory=10).scores([t], words_at_once=5)[0] for _, t, _ in fresh], atol=1e-5)
 
 
+def slow_score(net, text):
+    """One window, one word, one direction at a time."""
+    p, h, words = net.p, net.shape.hidden, tokens(text)
+    sig = lambda v: 1 / (1 + np.exp(-v))
+    inputs = []
+    for w in words:
+        word, grams, n = hashed([w], net.shape)
+        inputs.append(np.concatenate([p["E"][word[0]], sum(p["C"][g] for g in grams) / np.sqrt(n[0])]).astype(float))
+
+    def walk(xs, k):
+        state, out = np.zeros(h), []
+        for x in xs:
+            g, u = x @ p["W"][k] + p["b"][k][0], state @ p["U"][k]
+            z, r = sig(g[:h] + u[:h]), sig(g[h : 2 * h] + u[h : 2 * h])
+            state = z * state + (1 - z) * np.tanh(g[2 * h :] + r * u[2 * h :])
+            out.append(state)
+        return out
+
+    best = -np.inf
+    for a in windows_of(len(words), net.shape):
+        xs = inputs[a : a + net.shape.window]
+        if not xs:
+            continue
+        both = [np.concatenate(s) for s in zip(walk(xs, 0), walk(xs[::-1], 1)[::-1])]
+        e = [np.tanh(s @ p["A"] + p["a"]) @ p["v"] for s in both]
+        alpha = np.exp(np.array(e) - max(e))
+        pooled = sum(a * s for a, s in zip(alpha / alpha.sum(), both))
+        best = max(best, pooled @ p["o"] + p["c"][0])
+    return 1 / (1 + np.exp(-np.clip(best, -30, 30)))
+
+
+def test_scores_equal_a_slow_pass_over_every_window():
+    net = Network.fresh(SMALL)
+    rows = [t for _, t, _ in texts(40, 8)] + ["a", "a b c d e f g h", "x y " * 30, "w" * 400]
+    assert np.allclose(Scorer(net).scores(rows), [slow_score(net, t) for t in rows], atol=1e-4)
+
+
 def test_frames(spark, docs_of, edge):
     rows = [(i + 100, t) for i, t, _ in texts(300, 2)] + edge
     labels = spark.createDataFrame([(i + 100, y, "clash") for i, _, y in texts(300, 2)] + [(100, None, "x"), (None, 1, "x"), (9999, 1, "x")], "doc_id long, toxic int, text string")
