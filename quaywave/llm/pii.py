@@ -1,16 +1,19 @@
 """Personal data: base patterns, and identifiers found from the contexts that the base spans stand in.
 
-DataFrame functions only. Seeds are the base spans. Each span or candidate token (a run with a digit that
-no base span touches) is an instance; the words next to it are its patterns. Scores pass to and fro over
-the graph of patterns and instances: a pattern is worth the share of its instances that count as found,
-an instance the noisy-or of its patterns."""
+DataFrame functions only. Seeds are the base spans; the words next to an instance are its patterns. Patterns
+that hold enough different seeds are counted over every word of the corpus; those that hold little else are
+worth their share of known instances, and every word that stands in one is a new instance, worth the noisy-or of
+its patterns. What is taken adds to its other patterns in the next round: scores pass to and fro over the graph.
+
+All steps are linear in the length of a text: positions are sums over blocks, words are read in chunks."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, text_of
+from ..operators.windows import let
+from .common import materialize, spread_join, text_of
 
 #: Base kinds in their order. The patterns match what the plain ones match from left to right
 #: ([A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+ and so on): possessive, and begun only where a run or the
@@ -20,27 +23,79 @@ EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++){3}"
 CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){12,18}(?![\x20-]?[0-9])"
 PHONE = r"\+[0-9][\x20().0-9-]+(?<=[0-9])(?<!\+[0-9])"
-TOKEN = r"(?<![A-Za-z0-9._%+:@-])(?=[A-Za-z._%+:@-]*+[0-9])[A-Za-z0-9]++(?:[._%+:@-]++[A-Za-z0-9]++)*+"
-_SPANS = "array<struct<kind:int,start:int,end:int,value:string,left:string,right:string>>"
+#: A word runs to white space, or to the colon or equals sign of a label ("mail:x"). Group 1 is its core, without
+#: what is neither letter nor digit at its ends; words without either have an empty core.
+_P, _A = r"[^\s\p{L}\p{N}]", r"[\p{L}\p{N}]"
+WORD = rf"\s*+(?=\S){_P}*+([A-Za-z]{{2,}}+(?=[:=]++[^\s/])|{_A}++(?:{_P}++{_A}++)*+)?{_P}*+"
+CHUNK = rf"(?:{WORD}){{1,128}}+\s*+"
+_SPANS = "array<struct<kind:int,start:int,end:int,value:string,patterns:array<string>>>"
+_SPAN = "array<struct<kind:int,start:int,end:int>>"
+
+
+def _sums(lengths: Column, start: Column) -> Column:
+    zero = F.struct(start.cast("int").alias("at"), F.array().cast("array<int>").alias("out"))
+    step = lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+    return F.aggregate(lengths, zero, step, lambda acc: acc["out"])
+
+
+def running(lengths: Column, block: int = 128, levels: int = 2) -> Column:
+    """What adds up before each element. An array longer than a block is summed by blocks, and so are those
+    sums, `levels` deep: a plain running sum copies its array at every step."""
+
+    def blocked(x: Column) -> Column:
+        index = F.sequence(F.lit(0), F.floor((F.size(x) - 1) / F.lit(block)).cast("int"))
+        part = lambda j: F.slice(x, j * F.lit(block) + 1, F.lit(block))
+        sums = F.transform(index, lambda j: F.aggregate(part(j), F.lit(0), lambda a, n: a + n))
+        starts = running(sums, block, levels - 1) if levels > 1 else _sums(sums, F.lit(0))
+        return F.flatten(F.transform(F.arrays_zip(starts.alias("at"), index.alias("j")), lambda y: _sums(part(y["j"]), y["at"])))
+
+    return let(lengths, lambda x: F.when(F.size(x) <= block, _sums(x, F.lit(0))).otherwise(blocked(x)))
+
+
+def _plain(x: Column) -> Column:
+    """Digits made alike, letters small."""
+    return F.lower(F.regexp_replace(x, "[0-9]++", "0"))
+
+
+def _cores(x: Column) -> Column:
+    return F.regexp_extract_all(_plain(x), F.lit(WORD), F.lit(1))
+
+
+def _at(words: Column, i: Column) -> Column:
+    return F.coalesce(F.get(words, i), F.lit(""))
+
+
+def _patterns(left2: Column, left1: Column, right1: Column) -> tuple[Column, Column]:
+    """The two words to the left of an instance, and the one on either side; null where those are no words."""
+    one = F.when(left1 != "", F.concat(F.lit("L:"), left2, F.lit(" "), left1))
+    return one, F.when((left1 != "") & (right1 != ""), F.concat(F.lit("B:"), left1, F.lit(" _ "), right1))
+
 
+def spans_of(text: Column, pattern: str, kind: int, good=None, context: int = 200) -> Column:
+    """All matches, with code-point positions: the lengths of what lies between and of the matches add up.
 
-def spans_of(text: Column, pattern: str, kind: int, good=None, context: int = 48) -> Column:
-    """All matches, with code-point positions: the lengths of what lies between and of the matches add up."""
-    parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,value:string>>").alias("out"))
+    A match's patterns come from what lies around it, which the split has already cut out."""
+    none, empty = F.array().cast(_SPANS), F.array(F.lit(""))
+    hits, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
 
-    def step(acc: Column, part: Column) -> Column:
-        at = acc["at"] + F.length(part["gap"])
-        found = F.array(F.struct(at.alias("start"), part["hit"].alias("value")))
-        keep = part["hit"].isNotNull() & (F.lit(True) if good is None else good(part["hit"]))
-        return F.struct((at + F.coalesce(F.length(part["hit"]), F.lit(0))).alias("at"), F.when(keep, F.concat(acc["out"], found)).otherwise(acc["out"]).alias("out"))
+    def build(x: Column) -> Column:
+        hit, gap, n = x["hit"], x["gap"], F.size(x["hit"])
+        starts = running(F.transform(F.arrays_zip(gap.alias("g"), hit.alias("h")), lambda y: F.length(y["g"]) + F.coalesce(F.length(y["h"]), F.lit(0))))
+        near = F.arrays_zip(
+            hit.alias("hit"), F.slice(gap, F.lit(1), n).alias("gap"), F.slice(gap, F.lit(2), n).alias("next"), F.slice(starts, F.lit(1), n).alias("at"),
+            F.slice(F.concat(empty, hit), F.lit(1), n).alias("hit0"), F.slice(F.concat(empty, gap), F.lit(1), n).alias("gap0"), F.slice(F.concat(hit, empty), F.lit(2), n).alias("hit1"),
+        )
+        return F.transform(near if good is None else F.filter(near, lambda y: good(y["hit"])), full)
 
-    def full(x: Column) -> Column:
-        end, low = x["start"] + F.length(x["value"]), F.greatest(x["start"] - context, F.lit(0))
-        left, right = F.substring(text, low + 1, x["start"] - low), F.substring(text, end + 1, F.lit(context))
-        return F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), end.alias("end"), x["value"].alias("value"), left.alias("left"), right.alias("right"))
+    def full(y: Column) -> Column:
+        start, few = y["at"] + F.length(y["gap"]), F.lit(context)
+        left = F.concat(F.right(y["gap0"], few), F.right(y["hit0"], few), F.right(y["gap"], few))
+        right = F.concat(F.left(y["next"], few), F.left(y["hit1"], few))
+        left, right = F.regexp_replace(left, rf"(?<!{_P}){_P}++$", ""), F.regexp_replace(right, rf"^{_P}++", "")
+        both = let(_cores(left), lambda c: F.array(*_patterns(_at(c, F.size(c) - 2), _at(c, F.size(c) - 1), _at(_cores(right), F.lit(0)))))
+        return F.struct(F.lit(kind).alias("kind"), start.alias("start"), (start + F.length(y["hit"])).alias("end"), y["hit"].alias("value"), both.alias("patterns"))
 
-    return F.transform(F.aggregate(parts, start, step, lambda acc: acc["out"]), full)
+    return F.when(text.rlike(pattern), let(F.struct(hits.alias("hit"), gaps.alias("gap")), build)).otherwise(none)
 
 
 def _digits(x: Column) -> Column:
@@ -61,80 +116,171 @@ def is_card(x: Column) -> Column:
     return F.call_function("luhn_check", _digits(x))
 
 
-def is_token(x: Column) -> Column:
-    return F.length(x).between(5, 64)
+def _fingerprint(text: Column) -> Column:
+    return F.unhex(F.substring(F.sha2(text, 256), 1, 32))
 
 
 def find_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """row (unique), id, base (array of spans), tokens (candidates): slim, written once."""
+    """id, text (its fingerprint), base (array of spans with their patterns): slim, written once."""
     text = F.col("text")
     none = F.array().cast(_SPANS)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
-    rows = rows.select(
-        F.monotonically_increasing_id().alias("row"),
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text")).select(
         "id",
+        _fingerprint(text).alias("text"),
         F.concat(
             F.when(F.contains(text, F.lit("@")), spans_of(text, EMAIL, 0)).otherwise(none),
             spans_of(text, IP, 1, is_ip),
             spans_of(text, CARD, 2, is_card),
             F.when(F.contains(text, F.lit("+")), spans_of(text, PHONE, 3, is_phone)).otherwise(none),
         ).alias("base"),
-        spans_of(text, TOKEN, -1, is_token).alias("tokens"),
     )
     return materialize(rows, "pii-spans")
 
 
-def _patterns() -> Column:
-    """The words around an instance, digits made alike: two to the left, and one on either side."""
-    plain = lambda x: F.lower(F.regexp_replace(x, "[0-9]+", "0"))
-    left2 = F.regexp_extract(plain(F.col("left")), r"(\S+\s+\S+\s*|^\S+\s*)$", 1)
-    left1 = F.regexp_extract(plain(F.col("left")), r"(\S+\s*)$", 1)
-    right1 = F.regexp_extract(plain(F.col("right")), r"^(\s*\S+)", 1)
-    both = [F.concat(F.lit("L:"), left2), F.concat(F.lit("B:"), left1, F.lit(" _ "), right1)]
-    return F.filter(F.array(*both), lambda p: F.length(F.trim(p)) > 4)
-
-
-def bootstrap(found: DataFrame, rounds: int = 3, support: int = 3, worth: float = 0.6, accept: float = 0.7) -> DataFrame:
-    """row, kind, start, end of the tokens that contexts of base spans give away.
-
-    A pattern needs `support` different values among what it found, of one kind, and is worth their share of
-    all its instances (one more counted, against chance); a token is taken at a score of `accept`. What is
-    taken counts in the next round."""
-    base = found.select("row", F.explode("base").alias("s")).select("row", "s.*")
-    tokens = found.select("row", F.explode("tokens").alias("s")).select("row", "s.*")
-    both = base.unionByName(tokens)
-    reach = Window.partitionBy("row").orderBy("start", "kind", "end")
-    known = lambda x: F.when(F.col("kind") >= 0, x)
-    before = F.max(known(F.col("end"))).over(reach.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.min(known(F.col("start"))).over(reach.rowsBetween(1, Window.unboundedFollowing))
-    free = (F.col("kind") >= 0) | ((F.coalesce(before, F.lit(0)) <= F.col("start")) & (F.coalesce(after, F.col("end")) >= F.col("end")))
-    edges = both.withColumn("free", free).where("free").select("row", "kind", "start", "end", "value", F.explode(_patterns()).alias("pattern"))
-    edges = materialize(edges, "pii-edges")
-    taken = edges.where("kind >= 0").select("row", "start", "end", F.col("kind").alias("as"), F.lit(1.0).alias("score")).distinct()
+def words_of(docs: DataFrame, text_col: str) -> DataFrame:
+    """Every word of every text: text (its fingerprint), start (of its chunk), pieces (of the chunk), i (its own), one, two (its patterns).
+
+    Texts are cut into chunks of at most 128 words, each with the words next to it, so that what is done
+    with a word depends on its chunk and not on its text. All is one stage of generated code without an exchange."""
+    empty = F.array(F.lit(""))
+    rows = docs.select(text_of(text_col).alias("text"))
+
+    def cut(chunks: Column) -> Column:
+        starts = running(F.transform(chunks, F.length))
+        return F.arrays_zip(chunks.alias("chunk"), starts.alias("start"), F.slice(F.concat(empty, chunks), F.lit(1), F.size(chunks)).alias("before"), F.slice(F.concat(chunks, empty), F.lit(2), F.size(chunks)).alias("after"))
+
+    chunks = rows.select(_fingerprint(F.col("text")).alias("text"), F.explode(let(F.regexp_extract_all("text", F.lit(CHUNK), F.lit(0)), cut)).alias("c")).select("text", "c.*")
+    # Lower case may change what a word is (the Kelvin sign): such a chunk keeps its case.
+    raw = F.regexp_extract_all("chunk", F.lit(WORD), F.lit(1))
+    cores = let(_cores(F.col("chunk")), lambda low: let(raw, lambda c: F.when(F.size(c) == F.size(low), low).otherwise(c)))
+    tail = let(_cores(F.right("before", F.lit(400))), lambda c: F.array(_at(c, F.size(c) - 2), _at(c, F.size(c) - 1)))
+    head = F.array(_at(_cores(F.left("after", F.lit(200))), F.lit(0)))
+
+    def around(c: Column) -> Column:
+        n = F.size(c)
+        return let(F.concat(tail, c, head), lambda x: F.arrays_zip(F.slice(x, F.lit(1), n).alias("l2"), F.slice(x, F.lit(2), n).alias("l1"), F.slice(x, F.lit(4), n).alias("r1")))
+
+    pieces = F.regexp_extract_all("chunk", F.lit(WORD), F.lit(0))  # of the whole chunk at once, and only where they are asked for
+    words = chunks.select("text", "start", pieces.alias("pieces"), let(cores, around).alias("words")).select("text", "start", "pieces", F.posexplode("words").alias("i", "w"))
+    one, two = _patterns(F.col("w.l2"), F.col("w.l1"), F.col("w.r1"))
+    return words.select("text", "start", "pieces", "i", one.alias("one"), two.alias("two"))
+
+
+def _marks(patterns: DataFrame):
+    """A test that every one of `patterns` passes and few others: marks in a bitmap of 16 bits a pattern.
+
+    The bitmap is one row of at most 2 MB, whatever the number of patterns; beyond a million of these, more others pass."""
+    spark = patterns.sparkSession
+    size = 1 << min(18, max(10, (patterns.count() // 4).bit_length()))  # longs
+    spot = F.pmod(F.xxhash64("pattern"), F.lit(size * 64))
+    marks = patterns.select(F.expr("1L").alias("bit"), spot.alias("spot")).groupBy(F.floor(F.col("spot") / 64).alias("id"))
+    marks = marks.agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("spot") % 64).cast("int"))).alias("bits"))
+    whole = spark.range(size).join(marks, "id", "left").select(F.struct("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits")).alias("x"))
+    bitmap = materialize(whole.agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["bits"]).alias("bitmap")), "pii-marks")
+
+    def test(pattern: Column) -> Column:
+        at = F.pmod(F.xxhash64(pattern), F.lit(size * 64))
+        return pattern.isNotNull() & (F.call_function("shiftright", F.get(bitmap.scalar(), F.floor(at / 64).cast("int")), (at % 64).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1)
+
+    return test
+
+
+def _count(words: DataFrame, patterns: DataFrame) -> DataFrame:
+    """pattern, n: the words that stand in each of `patterns`."""
+    test = _marks(patterns)
+    seen = words.select(F.explode(F.array("one", "two")).alias("pattern")).where(test(F.col("pattern"))).groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
+    return patterns.join(seen.hint("merge"), "pattern", "left").select("pattern", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def _harvest(words: DataFrame, patterns: DataFrame) -> DataFrame:
+    """text, start, end, value, patterns of the words that stand in one of `patterns` (and of a few others)."""
+    test = _marks(patterns)
+    pieces = words.where(test(F.col("one")) | test(F.col("two"))).withColumn("word", F.get("pieces", F.col("i")))
+    before = F.aggregate(F.slice("pieces", F.lit(1), F.col("i")), F.lit(0), lambda a, x: a + F.length(x))
+    start = F.col("start") + before + F.length(F.regexp_extract("word", rf"^\s*+{_P}*+", 0))
+    value = F.regexp_extract("word", WORD, 1)
+    out = pieces.select("text", start.alias("start"), value.alias("value"), F.array("one", "two").alias("patterns")).where("value <> ''")
+    return out.select("text", "start", (F.col("start") + F.length("value")).alias("end"), "value", "patterns").distinct()
+
+
+def _free(harvest: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of harvest that touch no base span: both lie in the order of their text, and look to either side."""
+    base = found.join(harvest.select("text").distinct().hint("merge"), "text", "left_semi").select("text", F.explode("base").alias("s"))
+    base = base.select("text", F.col("s.start").alias("start"), F.col("s.end").alias("end")).distinct()
+    both = base.withColumns({"value": F.lit(None).cast("string"), "patterns": F.lit(None).cast("array<string>")}).unionByName(harvest)
+    # Both frames grow from the first row on, one of them in the reverse order: the others cost the square of a text's rows.
+    on = [F.col("start"), F.col("value").isNotNull(), F.col("end")]
+    one, back = Window.partitionBy("text").orderBy(*on), Window.partitionBy("text").orderBy(*[c.desc() for c in on])
+    known = lambda c: F.when(F.col("value").isNull(), F.col(c))
+    before = F.max(known("end")).over(one.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    after = F.min(known("start")).over(back.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = both.withColumns({"before": before, "after": after}).where("value IS NOT NULL")
+    return rows.where("coalesce(before, 0) <= start AND coalesce(after, end) >= end").drop("before", "after")
+
+
+def bootstrap(docs: DataFrame, found: DataFrame, text_col: str, rounds: int = 3, support: int = 3, worth: float = 0.6, accept: float = 0.7) -> DataFrame | None:
+    """text (fingerprint), kind, start, end of the words that contexts of base spans give away; None if no context does.
+
+    A pattern needs `support` different values of one kind among its known instances, and is worth their
+    share of all the words that stand in it (one more counted, against chance); a word is taken at a score of
+    `accept`. No word is left out for its length, letters or digits. A round reads the texts twice, once to count the
+    patterns that are new to it and once for the words of those that are worth it; rounds end where no pattern is new."""
+    words = words_of(docs, text_col)
+    spans = found.select(F.explode("base").alias("s")).select("s.kind", "s.value", F.explode("s.patterns").alias("pattern")).where("pattern IS NOT NULL")
+    # A value of several words isn't among the single words that stand in its pattern.
+    several = F.when(F.startswith("pattern", F.lit("B:")) & F.col("value").rlike(r"\s"), 1).otherwise(0)
+    known = spans.groupBy("pattern", "kind", "value").agg(F.count(F.lit(1)).cast("double").alias("score"), F.sum(several).alias("several"))
+    known = materialize(known, "pii-known")
+    counted, harvest, reaped, taken = None, None, None, None
     for _ in range(rounds):
-        scored = edges.join(taken, ["row", "start", "end"], "left")
-        total = scored.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
-        values = scored.where("as IS NOT NULL").groupBy("pattern", "as", "value").agg(F.sum("score").alias("score"))
-        kinds = values.groupBy("pattern", "as").agg(F.sum("score").alias("score"), F.count(F.lit(1)).alias("values")).where(F.col("values") >= support)
-        good = kinds.join(total, "pattern").withColumn("worth", F.col("score") / (F.col("n") + 1)).where(F.col("worth") >= worth)
-        offers = edges.where("kind < 0").join(good.select("pattern", "as", "worth"), "pattern")
-        likely = offers.groupBy("row", "start", "end", "as").agg((1 - F.exp(F.sum(F.ln(1 - F.least("worth", F.lit(0.999)))))).alias("score"))
-        best = likely.groupBy("row", "start", "end").agg(F.max(F.struct("score", (-F.col("as")).alias("minus"))).alias("b"))
-        fresh = best.where(F.col("b.score") >= accept).select("row", "start", "end", (-F.col("b.minus")).alias("as"), F.col("b.score").alias("score"))
-        taken = materialize(taken.where("score = 1.0").unionByName(fresh), "pii-taken")
-    return taken.where("score < 1.0").select("row", F.col("as").alias("kind"), "start", "end")
+        held = known
+        if taken is not None:
+            new = taken.select(F.explode("patterns").alias("pattern"), "kind", "value", "score").where("pattern IS NOT NULL")
+            held = known.unionByName(new.withColumn("several", F.lit(0).cast("long"))).groupBy("pattern", "kind", "value").agg(F.sum("score").alias("score"), F.sum("several").alias("several"))
+        strong = held.groupBy("pattern", "kind").agg(F.sum("score").alias("score"), F.sum("several").alias("several"), F.count(F.lit(1)).alias("values"))
+        strong = materialize(strong.where(F.col("values") >= support), "pii-strong")
+        fresh = strong.select("pattern").distinct()
+        if counted is not None:
+            fresh = fresh.join(counted.hint("merge"), "pattern", "left_anti")
+        fresh = materialize(fresh, "pii-fresh")
+        if not fresh.isEmpty():
+            seen = _count(words, fresh)
+            counted = materialize(seen if counted is None else counted.unionByName(seen), "pii-counted")
+        if counted is None:
+            return None
+        share = F.col("score") / (F.greatest(F.col("n") + F.col("several"), F.col("score")) + 1)
+        good = materialize(strong.join(counted.hint("merge"), "pattern").withColumn("worth", share).where(F.col("worth") >= worth).select("pattern", "kind", "worth"), "pii-good")
+        ripe = good.select("pattern").distinct()
+        if reaped is not None:
+            ripe = ripe.join(reaped.hint("merge"), "pattern", "left_anti")
+        ripe = materialize(ripe, "pii-ripe")
+        if ripe.isEmpty():
+            break
+        reaped = materialize(ripe if reaped is None else reaped.unionByName(ripe), "pii-reaped")
+        more = _free(materialize(_harvest(words, ripe), "pii-harvest"), found)
+        harvest = materialize(more if harvest is None else harvest.unionByName(more).distinct(), "pii-words")
+        offers = harvest.select("text", "start", "end", F.explode("patterns").alias("pattern")).join(good.hint("merge"), "pattern")
+        likely = offers.groupBy("text", "start", "end", "kind").agg((1 - F.exp(F.sum(F.ln(1 - F.least("worth", F.lit(0.999)))))).alias("score"))
+        best = likely.groupBy("text", "start", "end").agg(F.max(F.struct("score", (-F.col("kind")).alias("minus"))).alias("b")).where(F.col("b.score") >= accept)
+        best = best.select("text", "start", "end", (-F.col("b.minus")).alias("kind"), F.col("b.score").alias("score"))
+        taken = materialize(best.join(harvest.hint("merge"), ["text", "start", "end"]), "pii-taken")
+    return None if taken is None else taken.select("text", "kind", "start", "end")
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, base and added (arrays of kind, start, end; by kind, then start).
 
     Positions are code points, ends exclusive; kinds number KINDS. Null texts are empty. Whole texts are
-    read, equal rows give equal results, an empty table an empty one. Added spans never touch base spans."""
+    read, equal texts give equal results, repeated rows and null ids are fine, extra columns are ignored, an empty
+    table gives an empty result. Added spans are single words and never touch base spans."""
     found = find_spans(docs, id_col, text_col)
-    added = bootstrap(found).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("kind", "start", "end"))).alias("added"))
+    added = bootstrap(docs, found, text_col)
     base = F.array_sort(F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))))
-    out = found.select("row", F.col("id").alias(id_col), base.alias("base")).join(added, "row", "left")
-    return out.select(id_col, "base", F.coalesce("added", F.array().cast("array<struct<kind:int,start:int,end:int>>")).alias("added"))
+    if added is None:
+        return found.select(F.col("id").alias(id_col), base.alias("base"), F.array().cast(_SPAN).alias("added"))
+    added = added.groupBy("text").agg(F.array_sort(F.collect_list(F.struct("kind", "start", "end"))).alias("added"))
+    out = spread_join(found, added, ["text"], ["id"], "left")
+    return out.select(F.col("id").alias(id_col), base.alias("base"), F.coalesce("added", F.array().cast(_SPAN)).alias("added"))
 
 
 def spell(spans: Column) -> Column:

@@ -1,10 +1,11 @@
 import random
 import re
 from collections import Counter
+from itertools import accumulate
 
 from pyspark.sql import functions as F
 
-from quaywave.llm.pii import KINDS, find_pii, spell
+from quaywave.llm.pii import KINDS, find_pii, running, spell, words_of
 
 BASE = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -56,8 +57,47 @@ def test_contexts_of_seeds_give_away_unseen_identifiers(docs_of):
     assert all(not v for i, v in out.items() if i < 5000) and set(KINDS) >= {"phone"}
 
 
+def test_identifiers_without_digits_and_by_labels(docs_of):
+    rows = [(i, f"note {i} write to user{i}@mail{i}.example.org before lunch, contact:u{i}@x.org (now)") for i in range(1000, 1040)]
+    rows += [(5000, "é😀 just write to (anna.smith) before lunch"), (5001, "contact:anna now"), (5002, "write more of them to anna for lunch"), (5003, "")]
+    rows += [(5004, "write to a@b.cd before lunch"), (None, "write to bob before lunch"), (None, "write to bob before lunch")]
+    out = [(i, added) for i, _, added in spans(find_pii(docs_of(rows)))]
+    told = dict(out)
+    assert told[5000] == "email:18:28" and rows[40][1][18:28] == "anna.smith" and told[5001] == "email:8:12"
+    assert not told[5002] and not told[5003] and not told[5004] and all(not a for i, a in out if i is not None and i < 5000)
+    assert Counter(a for i, a in out if i is None) == Counter({"email:9:12": 2})
+
+
+def test_what_is_taken_supports_patterns_of_later_rounds(docs_of):
+    rows = [(i, f"dial now +1 (201) 555-{i:04} please text{i}") for i in range(1000, 1100)]
+    rows += [(2000 + i, f"dial now x{i}y bitte sehr") for i in range(12)] + [(3000, "so ruf now z9z bitte sehr")]
+    out = {i: added for i, _, added in spans(find_pii(docs_of(rows)))}
+    assert all(out[2000 + i] == f"phone:9:{11 + len(str(i))}" for i in range(12)) and out[3000] == "phone:11:14"
+
+
+def test_positions_over_many_blocks(spark):
+    lengths = list(range(40000))
+    (row,) = spark.createDataFrame([(lengths,)], "x array<int>").select(running(F.col("x")).alias("y"), running(F.col("x"), 8, 3).alias("z"), running(F.slice("x", 1, 5)).alias("few"), running(F.slice("x", 1, 0)).alias("none")).collect()
+    told = [0, *accumulate(lengths)][:-1]
+    assert row["y"] == told and row["z"] == told and row["few"] == told[:5] and row["none"] == []
+
+
+def test_words_tile_a_text(docs_of):
+    text = "é😀  mail:me -- (a.b) http://x.y/z :: " * 60 + "x" * 3000 + " end\n"
+    rows = words_of(docs_of([(1, text)]), "text").orderBy("start", "i").collect()
+    pieces = {}
+    for r in rows:
+        pieces[r["start"]] = r["pieces"]
+    solid = lambda t: "".join(t.split())
+    assert solid("".join("".join(p) for _, p in sorted(pieces.items()))) == solid(text) and all(text[a:].startswith("".join(p)) for a, p in pieces.items())
+    assert len(rows) == sum(map(len, pieces.values())) > 300
+
+
 def test_many_matches_in_one_text(docs_of):
-    text = " ".join(f"u{i}@h{i}.org" for i in range(2000))
+    text = " ".join(f"u{i}@h{i}.org" for i in range(60000)) + " call 555 0123"
+    ((_, base, _),) = spans(find_pii(docs_of([(1, text)])))
+    assert base == brute(text)
+    text = " ".join(f"write to a{i}b" for i in range(60000)) + " 1.2.3.4"
     ((_, base, _),) = spans(find_pii(docs_of([(1, text)])))
     assert base == brute(text)
 
