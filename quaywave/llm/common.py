@@ -86,6 +86,26 @@ def spread_join(many: DataFrame, one: DataFrame, keys: list[str], salt: list[str
     return left.join(right.hint("merge"), [*keys, "_share"], how).drop("_share")
 
 
+def member_test(members: DataFrame, column: str, most: int = 1 << 19):
+    """A test for columns that every value of members.column passes and few others do, at no exchange of what is tested.
+
+    It looks into a bitmap of at least 16 bits a value and of at most `most` longs (4 MB): a scalar subquery, of
+    a size that doesn't grow with the members. Beyond two million of these more others pass; a join tells them."""
+    spark = members.sparkSession
+    size = 1 << min(most.bit_length() - 1, max(10, (members.count() // 4).bit_length()))
+    spot = members.select(F.pmod(F.xxhash64(column), F.lit(size * 64)).alias("spot"))
+    marks = spot.groupBy(F.floor(F.col("spot") / 64).alias("id")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("spot") % 64).cast("int"))).alias("bits"))
+    whole = spark.range(size).join(marks, "id", "left").select(F.struct("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits")).alias("x"))
+    bitmap = materialize(whole.agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["bits"]).alias("bitmap")), "marks")
+
+    def test(value: Column) -> Column:
+        at = F.pmod(F.xxhash64(value), F.lit(size * 64))
+        bits = F.get(bitmap.scalar(), F.floor(at / 64).cast("int"))
+        return value.isNotNull() & (F.call_function("shiftright", bits, (at % 64).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1)
+
+    return test
+
+
 def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 

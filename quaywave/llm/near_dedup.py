@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..ship import ship
-from .common import materialize, spread_join, text_of
+from .common import materialize, member_test, spread_join, text_of
 from .components import connected_components
 from .shingles import _GOLD, mix, multisets, shingle_hashes
 
@@ -255,10 +255,16 @@ def _solve(docs: DataFrame, id_col: str, text_col: str, k: int, least: float, bl
     buckets = materialize(sets.groupBy("n", "w", "low", "who").agg(F.min("key").alias("key")).select("key", F.col("n").alias("_n"), _blocks(block, block_words)), "near-buckets")
     members = spread_join(banded, buckets.drop("_n"), ["key"], ["rep"], sizes=buckets.select("key", "_n"))
     members = materialize(members.select("key", "rep", "words", "blocks", F.pmod(F.xxhash64("key", "rep"), F.col("blocks")).cast("int").alias("own")), "near-members")
-    wanted = members.select("rep").distinct()
-    # One content a text: copies fold in the map-side part, and the joins by rep need no further exchange.
-    texts = docs.select(fingerprint(text_col).alias("rep"), F.encode(text_of(text_col), "UTF-8").alias("content")).groupBy("rep").agg(F.first("content").alias("content"))
-    texts = texts.join(wanted.hint("merge"), "rep", "left_semi")
+    contents = docs.select(fingerprint(text_col).alias("rep"), F.encode(text_of(text_col), "UTF-8").alias("content"))
+
+    def texts_of(wanted: DataFrame) -> DataFrame:
+        """rep, content of the texts that are wanted (and of a few others), so that the rest isn't exchanged.
+
+        One content a text: copies fold in the map-side part, and joins by rep need no further exchange."""
+        test = member_test(wanted, "rep")
+        return contents.where(test(F.col("rep"))).groupBy("rep").agg(F.first("content").alias("content"))
+
+    texts = texts_of(materialize(members.select("rep").distinct(), "near-wanted"))
     compared = members.select("key", "own", "rep", F.lit(None).cast("binary").alias("cls")).join(texts.hint("merge"), "rep")
     links = materialize(compared.groupBy("key", "own").applyInPandas(_links(k, least), _LINK), "near-links")
     labels = connected_components(links)
@@ -268,7 +274,7 @@ def _solve(docs: DataFrame, id_col: str, text_col: str, k: int, least: float, bl
         split = large.groupBy("key").agg(F.min("cls").alias("a"), F.max("cls").alias("b"), F.count(F.lit(1)).alias("_n")).where("a <> b").select("key", "_n")
         open_ = materialize(spread_join(large, split.select("key"), ["key"], ["rep"], sizes=split).select("rep", "cls", "words").distinct(), "near-doubt")
         if not open_.isEmpty():
-            links = materialize(links.unionByName(_prefix_links(open_, texts, k, least, block, block_words)), "near-links")
+            links = materialize(links.unionByName(_prefix_links(open_, texts_of(open_.select("rep")), k, least, block, block_words)), "near-links")
             labels = connected_components(links)
     out = reps.select("rep", "low", "rows").join(labels.select(F.col("node").alias("rep"), "component").hint("merge"), "rep", "left")
     return sig.select("id", "rep"), materialize(out.select("rep", "low", "rows", F.coalesce("component", "rep").alias("component")), "near-classes"), links

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.windows import let
-from .common import materialize, spread_join, text_of
+from .common import materialize, member_test, spread_join, text_of
 
 #: Base kinds in their order. The patterns match what the plain ones match from left to right
 #: ([A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+ and so on): possessive, and begun only where a run or the
@@ -166,35 +166,16 @@ def words_of(docs: DataFrame, text_col: str) -> DataFrame:
     return words.select("text", "start", "pieces", "i", one.alias("one"), two.alias("two"))
 
 
-def _marks(patterns: DataFrame):
-    """A test that every one of `patterns` passes and few others: marks in a bitmap of 16 bits a pattern.
-
-    The bitmap is one row of at most 2 MB, whatever the number of patterns; beyond a million of these, more others pass."""
-    spark = patterns.sparkSession
-    size = 1 << min(18, max(10, (patterns.count() // 4).bit_length()))  # longs
-    spot = F.pmod(F.xxhash64("pattern"), F.lit(size * 64))
-    marks = patterns.select(F.expr("1L").alias("bit"), spot.alias("spot")).groupBy(F.floor(F.col("spot") / 64).alias("id"))
-    marks = marks.agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("spot") % 64).cast("int"))).alias("bits"))
-    whole = spark.range(size).join(marks, "id", "left").select(F.struct("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits")).alias("x"))
-    bitmap = materialize(whole.agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["bits"]).alias("bitmap")), "pii-marks")
-
-    def test(pattern: Column) -> Column:
-        at = F.pmod(F.xxhash64(pattern), F.lit(size * 64))
-        return pattern.isNotNull() & (F.call_function("shiftright", F.get(bitmap.scalar(), F.floor(at / 64).cast("int")), (at % 64).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1)
-
-    return test
-
-
 def _count(words: DataFrame, patterns: DataFrame) -> DataFrame:
     """pattern, n: the words that stand in each of `patterns`."""
-    test = _marks(patterns)
+    test = member_test(patterns, "pattern")
     seen = words.select(F.explode(F.array("one", "two")).alias("pattern")).where(test(F.col("pattern"))).groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
     return patterns.join(seen.hint("merge"), "pattern", "left").select("pattern", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def _harvest(words: DataFrame, patterns: DataFrame) -> DataFrame:
     """text, start, end, value, patterns of the words that stand in one of `patterns` (and of a few others)."""
-    test = _marks(patterns)
+    test = member_test(patterns, "pattern")
     pieces = words.where(test(F.col("one")) | test(F.col("two"))).withColumn("word", F.get("pieces", F.col("i")))
     before = F.aggregate(F.slice("pieces", F.lit(1), F.col("i")), F.lit(0), lambda a, x: a + F.length(x))
     start = F.col("start") + before + F.length(F.regexp_extract("word", rf"^\s*+{_P}*+", 0))
