@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -22,16 +22,19 @@ from .common import materialize
 
 @dataclass(frozen=True)
 class Settings:
-    """sample bounds what the centroids are fitted on; every vector is indexed."""
+    """sample bounds what the centroids are fitted on, tune the further vectors that set the probing ratio; every vector is indexed."""
 
     sample: int = 16384
+    tune: int = 4096
+    aim: float = 0.97  # share of the true neighbours, within the tuning vectors, that the opened lists are to hold
     list_size: int = 192
     most_centroids: int = 4096
     degree: int = 24
     beam: int = 64
-    replicas: int = 4
-    replica_ratio: float = 1.10
-    probe_ratio: float = 1.6
+    replicas: int = 3
+    replica_ratio: float = 1.05
+    probe_ratio: float | None = None  # None: the least one that reaches the aim
+    nearest: float = 0.0  # a nearest distance below this counts as this: a vector that a centroid was fitted on is too near to it
     block: int = 4096
     seed: int = 5
 
@@ -61,7 +64,7 @@ class CentroidGraph:
     def __init__(self, centroids: np.ndarray, degree: int, seed: int) -> None:
         self.centroids, n = centroids, len(centroids)
         degree = min(degree, n - 1)
-        near = np.argsort(-(centroids @ centroids.T), axis=1, kind="stable")[:, : degree + 1]
+        near = np.concatenate([np.argsort(-(centroids[a : a + 256] @ centroids.T), axis=1, kind="stable")[:, : degree + 1] for a in range(0, n, 256)])
         far = np.random.default_rng(seed).integers(0, n, (n, 4))
         self.links = np.concatenate([near, far], axis=1)
         self.entries = np.linspace(0, n - 1, min(n, 16)).astype(np.int64)
@@ -129,13 +132,36 @@ def replica_lists(graph: CentroidGraph, x: np.ndarray, s: Settings) -> list[list
     return out
 
 
+def least_ratio(graph: CentroidGraph, x: np.ndarray, queries: np.ndarray, s: Settings, k: int) -> float:
+    """The distance ratio at which `aim` of the k nearest of x to the queries stand in opened lists.
+
+    Neither x nor the queries are vectors that the centroids were fitted on. A whole table is denser than x, so its
+    neighbours are nearer than these and their lists too: the ratio errs to the safe side."""
+    needed = []
+    for a in range(0, len(queries), 64):
+        q = queries[a : a + 64]
+        near = np.argpartition(-(q @ x.T), min(k, len(x)) - 1, axis=1)[:, :k]
+        far = np.sqrt(np.maximum(0, 2 - 2 * (q @ graph.centroids.T)))
+        for d, own in zip(far, near):
+            needed += [d[lists].min() / max(d.min(), s.nearest, 1e-12) for lists in replica_lists(graph, x[own], s)]
+    return float(np.quantile(needed, s.aim, method="higher")) if needed else 1.0
+
+
+def tuned(graph: CentroidGraph, x: np.ndarray, queries: np.ndarray, s: Settings, k: int) -> Settings:
+    """s with the median distance of the queries to their nearest centroid, and the ratio that is right with it."""
+    if len(queries):
+        s = replace(s, nearest=float(np.median([np.sqrt(max(0, 2 - 2 * (graph.centroids @ q).max())) for q in queries])))
+    return replace(s, probe_ratio=least_ratio(graph, x, queries, s, k) if len(x) else 1.0)
+
+
 def probe_lists(graph: CentroidGraph, x: np.ndarray, s: Settings) -> list[list[int]]:
     """All lists within the ratio, nearest first. The beam bounds none: where it ends inside the ratio, all centroids are measured."""
     ids, far = graph.search(x, s.beam)
-    out = [[int(c) for c, dc in zip(row, d) if c >= 0 and dc <= s.probe_ratio * d[0] + 1e-9] for row, d in zip(ids, far)]
-    for i in np.flatnonzero(far[:, -1] <= s.probe_ratio * far[:, 0] + 1e-9):
+    reach = s.probe_ratio * np.maximum(far[:, 0], s.nearest) + 1e-9
+    out = [[int(c) for c, dc in zip(row, d) if c >= 0 and dc <= most] for row, d, most in zip(ids, far, reach)]
+    for i in np.flatnonzero(far[:, -1] <= reach):
         d = np.sqrt(np.maximum(0, 2 - 2 * (graph.centroids @ x[i])))
-        out[i] = [int(c) for c in np.argsort(d, kind="stable") if d[c] <= s.probe_ratio * d.min() + 1e-9]
+        out[i] = [int(c) for c in np.argsort(d, kind="stable") if d[c] <= s.probe_ratio * max(d.min(), s.nearest) + 1e-9]
     return out
 
 
@@ -155,7 +181,8 @@ def nearest_neighbours(vectors: DataFrame, id_col: str = "vec_id", vector_col: s
     Candidates are all other rows; ties go to the smaller id. Null, zero or non-finite vectors, rows
     without an id and vectors not of the commonest dimension take no part. Rows with an equal vector fold
     into one with its k + 1 smallest ids, which is all that a result can show of them; so copies of one
-    vector are searched once, whatever their number. Lists are cut into blocks of bounded size. A query
+    vector are searched once, whatever their number. Centroids and the probing ratio come from a bounded sample,
+    every vector is indexed. Lists are cut into blocks of bounded size. A query
     whose lists hold fewer than k others, where there are more, is searched in all lists.
     An empty table gives an empty result."""
     s, spark = settings, vectors.sparkSession
@@ -171,10 +198,14 @@ def nearest_neighbours(vectors: DataFrame, id_col: str = "vec_id", vector_col: s
     asked = rows.where(F.pmod("id", F.lit(every)) == 0).join(distinct.select("key", "v"), "v").select(F.col("id").alias("query_id"), F.col("key").alias("qkey"))
     asked = materialize(asked, "ann-queries")
     n = distinct.count()
-    sample = np.array([r["v"] for r in distinct.orderBy(F.xxhash64(F.lit(s.seed), "key"), "key").limit(s.sample).collect()], dtype=np.float64).reshape(-1, max(dims, 1))
+    held = distinct.orderBy(F.xxhash64(F.lit(s.seed), "key"), "key").limit(s.sample + s.tune).select("v").toArrow().column(0).combine_chunks()
+    sample = held.flatten().to_numpy().reshape(-1, max(dims, 1))
     unit = sample / np.maximum(np.linalg.norm(sample, axis=1, keepdims=True), 1e-300)
+    asking, apart, unit = np.split(unit, [min(s.tune, len(unit) // 4) // 8, min(s.tune, len(unit) // 4)])
     many = int(np.clip(n // s.list_size, 1, min(s.most_centroids, max(1, len(unit) // 4))))
     graph = CentroidGraph(balanced_centroids(unit, many, s.seed), s.degree, s.seed) if len(unit) else None
+    if s.probe_ratio is None:
+        s = tuned(graph, apart, asking, s, k) if graph is not None else replace(s, probe_ratio=1.0)
     sent = spark.sparkContext.broadcast(pickle.dumps(graph))  # at most most_centroids vectors and their links
 
     def lists(choose):

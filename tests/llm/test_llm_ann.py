@@ -51,6 +51,16 @@ def test_recall_with_many_lists(spark):
     assert hits / (5 * len(told)) >= 0.9 and len(out) == 5 * len(told)
 
 
+def test_recall_where_lists_outnumber_the_beam(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(9000, 24)).astype(np.float32)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    out = nearest_neighbours(table(spark, rows), every=100, settings=Settings(list_size=6, sample=6000, beam=16)).collect()
+    told = brute(rows, every=100)
+    hits = sum(r["vec_id"] in {i for i, _ in told[r["query_id"]]} for r in out)
+    assert hits / (5 * len(told)) >= 0.9 and len(out) == 5 * len(told)
+
+
 def test_graph_search_finds_the_nearest_centroid_and_sizes_are_even():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(4000, 16))
