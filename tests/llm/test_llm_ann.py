@@ -85,6 +85,6 @@ def test_the_ratio_alone_selects_the_lists():
 def test_lists_beyond_the_beam_are_read_without_loss(spark):
     rng = np.random.default_rng(6)
     rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(3000, 64)).astype(np.float32))]
-    out = nearest_neighbours(table(spark, rows), settings=Settings(list_size=40, sample=2000, beam=8, block=64, probe_ratio=1.6)).collect()
+    out = nearest_neighbours(table(spark, rows), settings=Settings(list_size=40, sample=2000, beam=8, block=64, probe_ratio=1.6, nearest=1.2)).collect()
     told = brute(rows)
     assert len(out) == 5 * len(told) and sum(r["vec_id"] == told[r["query_id"]][r["rank"] - 1][0] for r in out) >= 0.99 * len(out)
