@@ -27,7 +27,7 @@ PHONE = r"\+[0-9][\x20().0-9-]+(?<=[0-9])(?<!\+[0-9])"
 #: what is neither letter nor digit at its ends; words without either have an empty core.
 _P, _A = r"[^\s\p{L}\p{N}]", r"[\p{L}\p{N}]"
 WORD = rf"\s*+(?=\S){_P}*+([A-Za-z]{{2,}}+(?=[:=]++[^\s/])|{_A}++(?:{_P}++{_A}++)*+)?{_P}*+"
-CHUNK = rf"(?:{WORD}){{1,128}}+\s*+"
+CHUNK = r"(?s).{1,4000}+\S*+\s*+"  # some 4000 characters and on to the end of the word
 _SPANS = "array<struct<kind:int,start:int,end:int,value:string,patterns:array<string>>>"
 _SPAN = "array<struct<kind:int,start:int,end:int>>"
 
@@ -53,8 +53,8 @@ def running(lengths: Column, block: int = 128, levels: int = 2) -> Column:
 
 
 def _plain(x: Column) -> Column:
-    """Digits made alike, letters small."""
-    return F.lower(F.regexp_replace(x, "[0-9]++", "0"))
+    """Digits made alike, letters small. The two whose small form would move the ends of words become others first."""
+    return F.lower(F.replace(F.replace(F.regexp_replace(x, "[0-9]++", "0"), F.lit("\u212a"), F.lit("\u03ba")), F.lit("\u0130"), F.lit("\u0131")))
 
 
 def _cores(x: Column) -> Column:
@@ -138,10 +138,10 @@ def find_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def words_of(docs: DataFrame, text_col: str) -> DataFrame:
-    """Every word of every text: text (its fingerprint), start (of its chunk), pieces (of the chunk), i (its own), one, two (its patterns).
+    """Every word of every text: text (its fingerprint), start and pieces (of its chunk), i (its place there), one, two (its patterns).
 
-    Texts are cut into chunks of at most 128 words, each with the words next to it, so that what is done
-    with a word depends on its chunk and not on its text. All is one stage of generated code without an exchange."""
+    Texts are cut into chunks of some 4000 characters, each with the words next to it, so that what is done
+    with a word depends on its chunk and not on its text. All is one stage without an exchange."""
     empty = F.array(F.lit(""))
     rows = docs.select(text_of(text_col).alias("text"))
 
@@ -150,19 +150,14 @@ def words_of(docs: DataFrame, text_col: str) -> DataFrame:
         return F.arrays_zip(chunks.alias("chunk"), starts.alias("start"), F.slice(F.concat(empty, chunks), F.lit(1), F.size(chunks)).alias("before"), F.slice(F.concat(chunks, empty), F.lit(2), F.size(chunks)).alias("after"))
 
     chunks = rows.select(_fingerprint(F.col("text")).alias("text"), F.explode(let(F.regexp_extract_all("text", F.lit(CHUNK), F.lit(0)), cut)).alias("c")).select("text", "c.*")
-    # Lower case may change what a word is (the Kelvin sign): such a chunk keeps its case.
-    raw = F.regexp_extract_all("chunk", F.lit(WORD), F.lit(1))
-    cores = let(_cores(F.col("chunk")), lambda low: let(raw, lambda c: F.when(F.size(c) == F.size(low), low).otherwise(c)))
     tail = let(_cores(F.right("before", F.lit(400))), lambda c: F.array(_at(c, F.size(c) - 2), _at(c, F.size(c) - 1)))
     head = F.array(_at(_cores(F.left("after", F.lit(200))), F.lit(0)))
-
-    def around(c: Column) -> Column:
-        n = F.size(c)
-        return let(F.concat(tail, c, head), lambda x: F.arrays_zip(F.slice(x, F.lit(1), n).alias("l2"), F.slice(x, F.lit(2), n).alias("l1"), F.slice(x, F.lit(4), n).alias("r1")))
-
-    pieces = F.regexp_extract_all("chunk", F.lit(WORD), F.lit(0))  # of the whole chunk at once, and only where they are asked for
-    words = chunks.select("text", "start", pieces.alias("pieces"), let(cores, around).alias("words")).select("text", "start", "pieces", F.posexplode("words").alias("i", "w"))
-    one, two = _patterns(F.col("w.l2"), F.col("w.l1"), F.col("w.r1"))
+    # The cores of a chunk between those next to it: a word's are the second before to the first after it.
+    around = F.concat(tail, _cores(F.col("chunk")), head)
+    pieces = F.regexp_extract_all("chunk", F.lit(WORD), F.lit(0))  # made once a chunk, and only where they are asked for
+    words = chunks.select("text", "start", pieces.alias("pieces"), around.alias("around")).select("text", "start", "pieces", "around", F.posexplode_outer("around").alias("i", "l2"))  # outer: no filter that would read the chunk twice is put before it
+    words = words.where(F.col("i") < F.size("around") - 3)
+    one, two = _patterns(F.col("l2"), F.get("around", F.col("i") + 1), F.get("around", F.col("i") + 3))
     return words.select("text", "start", "pieces", "i", one.alias("one"), two.alias("two"))
 
 
