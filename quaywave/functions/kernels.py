@@ -143,12 +143,21 @@ def daubechies(order: int) -> np.ndarray:
     return h * np.sqrt(2) / h.sum()
 
 
-def wavelet_log_variance(x: np.ndarray, order: int = 4, level: int = 5, eps: float = 1e-10) -> np.ndarray:
-    """log(var + eps) of the approximation and the details of a periodic wavelet decomposition, coarsest first."""
+def wavelet_log_variance(x: np.ndarray, order: int = 4, level: int = 5, eps: float = 1e-10, mode: str = "symmetric") -> np.ndarray:
+    """log(var + eps) of the approximation and the details of a wavelet decomposition, coarsest first.
+
+    mode: at its ends a signal is mirrored ("symmetric", edge samples twice) or begins anew ("periodic")."""
     low = daubechies(order)
     high = low[::-1] * (-1.0) ** np.arange(len(low))
     out, a = [], np.asarray(x, dtype=float)
     for _ in range(level):
+        if mode == "symmetric":
+            size = len(low)
+            wide = np.pad(a, [(0, 0)] * (a.ndim - 1) + [(size - 1, size - 1)], mode="symmetric")
+            parts = np.lib.stride_tricks.sliding_window_view(wide, size, axis=-1)[..., 1::2, :]
+            out.append(parts @ high)
+            a = parts @ low
+            continue
         if a.shape[-1] % 2:
             a = np.concatenate([a, a[..., -1:]], axis=-1)
         n = a.shape[-1]
@@ -203,6 +212,23 @@ def lda_fit(x: np.ndarray, y: np.ndarray, shrinkage: float = 0.1) -> tuple[np.nd
     return classes, w, np.log(prior) - 0.5 * np.einsum("cd,dc->c", means, w)
 
 
+def ledoit_wolf(centred: np.ndarray) -> float:
+    """The shrinkage towards a scaled identity that is best for a covariance of so many centred rows."""
+    n, d = centred.shape
+    cov = centred.T @ centred / n
+    mean = np.trace(cov) / d
+    spread = ((cov - mean * np.eye(d)) ** 2).sum() / d
+    noise = (((centred * centred).sum(axis=1) ** 2).sum() / n - (cov * cov).sum()) / (n * d)
+    return float(np.clip(noise / spread, 0.0, 1.0)) if spread > 0 else 0.0
+
+
+def lda_auto_fit(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """lda_fit with the shrinkage set by the training rows."""
+    classes, index = np.unique(y, return_inverse=True)
+    centred = x - np.stack([x[y == c].mean(axis=0) for c in classes])[index]
+    return lda_fit(x, y, ledoit_wolf(centred))
+
+
 def ridge_fit(x: np.ndarray, y: np.ndarray, alpha: float = 1.0, balanced: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Classes, weights and offsets of weighted least squares on +-1 targets, one column per class."""
     classes, index = np.unique(y, return_inverse=True)
@@ -312,6 +338,19 @@ def yeo_johnson_fit(x: np.ndarray, low: float = -3.0, high: float = 5.0, rounds:
     return (a + b) / 2
 
 
+def kth_distance(x: np.ndarray, k: int) -> np.ndarray:
+    """Of each value the distance to its k-th nearest other: in one dimension the least reach of the k + 1 neighbours in order that hold it."""
+    order = np.argsort(x, kind="stable")
+    v = np.concatenate([np.full(k, -np.inf), x[order], np.full(k, np.inf)])
+    n, out = len(x), np.full(len(x), np.inf)
+    at = np.arange(k, k + n)
+    for j in range(k + 1):
+        out = np.minimum(out, np.maximum(v[at] - v[at - j], v[at - j + k] - v[at]))
+    back = np.empty(n)
+    back[order] = out
+    return back
+
+
 def knn_mutual_information(x: np.ndarray, y: np.ndarray, k: int = 3, seed: int = 0) -> float:
     """Mutual information of a continuous feature and a class by distances to the k-th neighbour of the own class."""
     x = x / max(x.std(), 1e-12) + 1e-10 * np.random.default_rng(seed).standard_normal(len(x))
@@ -323,7 +362,7 @@ def knn_mutual_information(x: np.ndarray, y: np.ndarray, k: int = 3, seed: int =
         if len(own) < 2:
             continue
         kk = min(k, len(own) - 1)
-        d = np.sort(np.abs(own[:, None] - own[None, :]), axis=1)[:, kk]
+        d = kth_distance(own, kk)
         d = d * (1 - 1e-9)  # the k-th neighbour itself stays outside, rounding or not
         m = np.searchsorted(order, own + d, "right") - np.searchsorted(order, own - d, "left")
         terms.append((psi(kk), psi(len(own)), psi(np.maximum(m, 1)), len(own)))

@@ -54,31 +54,47 @@ def filtered_entropy(column: str | Column, fs: float, bands) -> Column:
     return _stacked(column, lambda x: kernels.filtered_entropy(x, fs, bands))
 
 
-def wavelet_log_variance(column: str | Column, order: int = 4, level: int = 5) -> Column:
-    return _stacked(column, lambda x: kernels.wavelet_log_variance(x, order, level))
+def wavelet_log_variance(column: str | Column, order: int = 4, level: int = 5, mode: str = "symmetric") -> Column:
+    return _stacked(column, lambda x: kernels.wavelet_log_variance(x, order, level, mode=mode))
 
 
 def welch_density(column: str | Column, fs: float, nperseg: int) -> Column:
     return _stacked(column, lambda x: kernels.welch_density(x, fs, nperseg)[1])
 
 
-def second_moments(rows: DataFrame, by: list[str], array: str) -> DataFrame:
-    """by, n, total (array), products (flattened outer products): partial sums per batch of rows, so only
-    one small matrix per group and task is exchanged."""
+def second_moments(rows: DataFrame, by: list[str], array: str, held: int = 1000) -> DataFrame:
+    """by, n, total (array), products (flattened outer products).
+
+    A task sums its rows first (of `held` groups at a time), then the entries are summed by position:
+    no row ever holds more than one matrix, whatever the number of tasks."""
     ship(rows.sparkSession)
     kinds = dict(rows.dtypes)
 
     def part(batches):
+        sums: dict = {}
+
+        def out():
+            keys = list(sums)
+            frame = {c: [k[i] for k in keys] for i, c in enumerate(by)}
+            return pd.DataFrame({**frame, "n": [sums[k][0] for k in keys], "entries": [np.concatenate([sums[k][1], sums[k][2].ravel()]) for k in keys]})
+
         for batch in batches:
             for key, group in batch.groupby(by, dropna=False) if by else [((), batch)]:
-                x = np.stack(group[array].to_numpy()).astype(float)
-                key = key if isinstance(key, tuple) else (key,)
-                yield pd.DataFrame({**dict(zip(by, [[k] for k in key])), "n": [len(x)], "total": [x.sum(axis=0)], "products": [(x.T @ x).ravel()]})
-
-    schema = ", ".join([f"{c} {kinds[c]}" for c in by] + ["n long", "total array<double>", "products array<double>"])
-    parts = rows.select(*by, array).mapInPandas(part, schema)
-    add = lambda c: F.aggregate(F.collect_list(c), F.array_repeat(F.lit(0.0), 0), lambda a, x: F.when(F.size(a) == 0, x).otherwise(F.zip_with(a, x, lambda u, v: u + v)))
-    return parts.groupBy(*by).agg(F.sum("n").alias("n"), add("total").alias("total"), add("products").alias("products"))
+                x, key = np.stack(group[array].to_numpy()).astype(float), key if isinstance(key, tuple) else (key,)
+                n, total, products = sums.get(key, (0, 0.0, 0.0))
+                sums[key] = (n + len(x), total + x.sum(axis=0), products + x.T @ x)
+            if len(sums) > held:
+                yield out()
+                sums.clear()
+        if sums:
+            yield out()
+
+    schema = ", ".join([f"{c} {kinds[c]}" for c in by] + ["n long", "entries array<double>"])
+    parts = rows.where(F.col(array).isNotNull()).select(*by, array).mapInPandas(part, schema)
+    entries = parts.select(*by, "n", F.posexplode("entries").alias("at", "v")).groupBy(*by, "at").agg(F.sum("n").alias("n"), F.sum("v").alias("v"))
+    whole = entries.groupBy(*by).agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("at", "v"))), lambda x: x["v"]).alias("e"))  # a matrix
+    d = ((F.sqrt(1 + 4 * F.size("e").cast("double")) - 1) / 2).cast("int")
+    return whole.withColumn("d", F.round(d).cast("int")).select(*by, "n", F.expr("slice(e, 1, d)").alias("total"), F.expr("slice(e, d + 1, d * d)").alias("products"))
 
 
 def fit_pca(moments_row, share: float = 0.95) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

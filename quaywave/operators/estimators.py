@@ -49,7 +49,33 @@ def _bagged(x: np.ndarray, y: np.ndarray, z: np.ndarray, times: int = 5) -> np.n
     return classes[np.argmax(np.stack([(np.stack(votes) == c).sum(axis=0) for c in classes]), axis=0)]
 
 
-MODELS: dict[str, Callable] = {"lda": _linear(kernels.lda_fit), "ridge": _linear(kernels.ridge_fit), "logistic": _linear(kernels.logistic_fit), "rbf_svm": _svm(), "poly_svm": _svm(3), "bagged_svm": _bagged}
+MODELS: dict[str, Callable] = {"lda": _linear(kernels.lda_fit), "lda_auto": _linear(kernels.lda_auto_fit), "ridge": _linear(kernels.ridge_fit), "logistic": _linear(kernels.logistic_fit), "rbf_svm": _svm(), "poly_svm": _svm(3), "bagged_svm": _bagged}
+
+
+def _softmax(scores: np.ndarray) -> np.ndarray:
+    e = np.exp(scores - scores.max(axis=1, keepdims=True))
+    return e / e.sum(axis=1, keepdims=True)
+
+
+def probabilities(name: str, x: np.ndarray, y: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Classes, and for the rows of z the probability of each. Discriminants and logistic scores give posteriors;
+    margins of ridge and kernel machines pass a logistic link of unit scale, bagged machines give shares of votes."""
+    fits = {"lda": kernels.lda_fit, "lda_auto": kernels.lda_auto_fit, "ridge": kernels.ridge_fit, "logistic": kernels.logistic_fit}
+    if name in fits:
+        classes, w, b = fits[name](x, y)
+        return classes, _softmax(z @ w + b)
+    classes = np.unique(y)
+    if name == "bagged_svm":
+        rng, votes = np.random.default_rng(0), []
+        for _ in range(5):
+            pick = rng.integers(0, len(x), len(x))
+            votes.append(_svm()(x[pick], y[pick], z) if len(np.unique(y[pick])) > 1 else np.full(len(z), y[pick][0]))
+        return classes, np.stack([(np.stack(votes) == c).mean(axis=0) for c in classes], axis=1)
+    degree = 3 if name == "poly_svm" else 0
+    if len(classes) == 2:
+        margin = kernels.svm_margin(kernels.svm_fit(x, y, degree=degree), z)
+        return classes, _softmax(np.stack([-margin / 2, margin / 2], axis=1))
+    return classes, _softmax(np.stack([kernels.svm_margin(kernels.svm_fit(x, (y == c).astype(int), degree=degree), z) for c in classes], axis=1))
 
 
 def predict_folds(rows: DataFrame, by: list[str], array: str, label: str, fold: str, id_col: str, models: list[str]) -> DataFrame:

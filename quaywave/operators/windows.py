@@ -95,6 +95,6 @@ def remove_dc(rows: DataFrame, array: str, out: str = "centred") -> DataFrame:
 def stratified_sample(rows: DataFrame, label: str, id_col: str, most: int, seed: int) -> DataFrame:
     """At most `most` rows of each label, those first in a seeded hash order; only slim columns are ranked
     and the window's limit is applied before the exchange."""
-    ranked = rows.withColumn("_h", F.xxhash64(F.lit(seed), F.col(id_col)))
+    ranked = rows.withColumn("_h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string"))))
     ranked = ranked.withColumn("_r", F.row_number().over(Window.partitionBy(label).orderBy("_h", id_col)))
     return ranked.where(F.col("_r") <= most).drop("_h", "_r")

@@ -113,8 +113,8 @@ class FoldPipeline:
 def cross_validate(table: DataFrame, k: int = 5, top: int = 150, models: tuple[str, ...] = ("lda", "ridge", "rbf_svm")) -> DataFrame:
     """classifier, subject, session, fold, accuracy: every session is one grouped task; folds never split a group.
 
-    table: subject, session, group, y, features. Folds are dealt over groups in Spark, models vote by majority
-    as `ensemble`. Folds with one class on either side are left out."""
+    table: subject, session, group, y, features. Folds are dealt over groups in Spark, the models' mean
+    probability decides as `ensemble`. Folds with one class on either side are left out."""
     ship(table.sparkSession)
     by = ["subject", "session"]
     dealt = folds.group_kfold_greedy(folds.group_sizes(table, by, "group"), by, "group", k).select(*by, "group", "fold")
@@ -127,13 +127,12 @@ def cross_validate(table: DataFrame, k: int = 5, top: int = 150, models: tuple[s
             if len(np.unique(y[~test])) < 2 or len(np.unique(y[test])) < 2:
                 continue
             fitted = FoldPipeline(top=top).fit(x[~test], y[~test])
-            a, b, votes = fitted.transform(x[~test]), fitted.transform(x[test]), []
+            a, b, shares = fitted.transform(x[~test]), fitted.transform(x[test]), []
             for name in models:
-                votes.append(estimators.MODELS[name](a, y[~test], b))
-                out.append((name, f, (votes[-1] == y[test]).mean()))
-            classes = np.unique(y)
-            counts = np.stack([(np.stack(votes) == c).sum(axis=0) for c in classes])
-            out.append(("ensemble", f, (classes[counts.argmax(axis=0)] == y[test]).mean()))
+                classes, p = estimators.probabilities(name, a, y[~test], b)
+                shares.append(p)
+                out.append((name, f, (classes[p.argmax(axis=1)] == y[test]).mean()))
+            out.append(("ensemble", f, (classes[np.mean(shares, axis=0).argmax(axis=1)] == y[test]).mean()))
         frame = pd.DataFrame(out, columns=["classifier", "fold", "accuracy"])
         return frame.assign(subject=part["subject"].iloc[0], session=part["session"].iloc[0])[["classifier", "subject", "session", "fold", "accuracy"]]
 

@@ -11,10 +11,11 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import functions as F
 
 from ..functions import kernels, transforms
-from ..operators import estimators, spectral, windows
+from ..operators import estimators, scaling, spectral, windows
 from ..ship import ship
 from ..streaming.hopping import hopping_features
 from .registry import query, r6, table, trials
+from .signal_queries import WELCH
 
 FS = 128.0
 
@@ -56,12 +57,13 @@ def filter_per_window(spark, d):
     return rows.select("vec_id", "window_idx", F.posexplode("x").alias("idx", "filtered")).select("vec_id", "window_idx", "idx", r6("filtered"))
 
 
-@query()
+@query(f"""WITH {WELCH}, b(band, low, high) AS (VALUES ('theta', 4, 7), ('alpha', 8, 12), ('beta', 13, 25))
+SELECT vec_id, band, round(ln(avg(density) + 1e-8), 6) + 0.0 AS log_power FROM dn JOIN b ON bin * 4 BETWEEN low AND high GROUP BY ALL""")
 def welch_band_power(spark, d):
     """Log power of three bands over the Welch density."""
-    spectrum = spectral.bins(spectral.welch(trials(spark, d), "embedding", FS, 32, 64), "vec_id", "psd", FS / 32)
-    bands = spectral.band_table(spark, [("theta", 4.0, 7.0), ("alpha", 8.0, 12.0), ("beta", 13.0, 25.0)])
-    return spectral.band_power(spectrum, "vec_id", bands).select("vec_id", "band", r6("log_power"))
+    rows = spectral.welch(trials(spark, d), "embedding", FS, 32, 64)
+    bands = [("theta", 4.0, 7.0), ("alpha", 8.0, 12.0), ("beta", 13.0, 25.0)]
+    return spectral.band_power(rows, "vec_id", "psd", FS / 32, bands).select("vec_id", "band", r6("log_power"))
 
 
 @query()
@@ -69,7 +71,7 @@ def wavelet_logvar(spark, d):
     return _values(trials(spark, d).withColumn("w", transforms.wavelet_log_variance("embedding")), "vec_id", "w", "logvar")
 
 
-@query()
+@query(f"WITH {WELCH} SELECT vec_id, bin AS idx, round(density, 6) + 0.0 AS density FROM dn")
 def welch_density_arrow(spark, d):
     return _values(trials(spark, d).withColumn("p", transforms.welch_density("embedding", FS, 32)), "vec_id", "p", "density")
 
@@ -109,6 +111,26 @@ def csp_logpower(spark, d):
     return long.groupBy("vec_id", "component").agg(r6(F.ln(F.avg(F.col("v") * F.col("v")) + 1e-10), "log_power"))
 
 
+@query()
+def csp_multiband(spark, d):
+    """Patterns of each of three bands: the channels' series band-passed first, covariances per band and class from one pass."""
+    rows = trials(spark, d).where("y <> 0")
+    channels = rows.select("vec_id", "y", F.posexplode(F.array(*[F.slice("embedding", 1 + 8 * c, 8) for c in range(8)])).alias("c", "x"))
+    bands = [("theta", 4.0, 8.0), ("alpha", 8.0, 13.0), ("beta", 13.0, 30.0)]
+    passed = channels.select("vec_id", "y", "c", F.explode(F.array(*[F.struct(F.lit(b).alias("band"), transforms.bandpass("x", FS, lo, hi).alias("x")) for b, lo, hi in bands])).alias("p"))
+    whole = passed.select("vec_id", "y", "c", "p.band", "p.x").groupBy("vec_id", "y", "band").agg(F.transform(F.array_sort(F.collect_list(F.struct("c", "x"))), lambda v: v["x"]).alias("m"))  # eight channels
+    series = whole.select("vec_id", "y", "band", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda t: F.transform("m", lambda ch: F.get(ch, t)))).alias("t", "x"))
+    sums = {(r["band"], r["y"]): r for r in transforms.second_moments(series, ["band", "y"], "x").collect()}  # one row per band and class
+    cov = {k: np.array(r["products"]).reshape(8, 8) / r["n"] for k, r in sums.items()}
+    out = None
+    for band, _, _ in bands:
+        filters = kernels.csp_filters(cov[band, -1], cov[band, 1], 4)
+        projected = series.where(F.col("band") == band).withColumn("p", transforms.project("x", np.zeros(8), filters))
+        out = projected if out is None else out.unionByName(projected)
+    long = out.select("vec_id", "band", F.posexplode("p").alias("component", "v"))
+    return long.groupBy("vec_id", "band", "component").agg(r6(F.ln(F.avg(F.col("v") * F.col("v")) + 1e-10), "log_power"))
+
+
 @query()
 def csp_one_vs_rest(spark, d):
     """Patterns of each of the three classes against the rest: the rest's covariance is a difference of sums."""
@@ -127,16 +149,11 @@ def csp_one_vs_rest(spark, d):
 
 @query()
 def yeo_johnson(spark, d):
-    """A power transform per feature: grouped by feature, one likelihood search each, then standardised."""
-    ship(spark)
-    rows = trials(spark, d).select("vec_id", F.posexplode("embedding").alias("feature_idx", "v")).withColumn("v", F.col("v").cast("double"))
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        x = part["v"].to_numpy()
-        z = kernels.yeo_johnson(x, kernels.yeo_johnson_fit(x))
-        return part.assign(v=(z - z.mean()) / (z.std() or 1.0))
-
-    return rows.groupBy("feature_idx").applyInPandas(run, "vec_id long, feature_idx int, v double").select("vec_id", "feature_idx", r6("v", "scaled"))
+    """A power transform per feature, fitted by aggregations, then standardised."""
+    rows = scaling.long_form(trials(spark, d), ["vec_id"], "embedding")
+    lam = F.broadcast(scaling.fit_yeo_johnson(rows))  # a row per feature
+    moved = rows.join(lam, "feature_idx").withColumn("value", scaling.yeo_johnson(F.col("value"), F.col("lam"))).drop("lam")
+    return scaling.transform(moved, F.broadcast(scaling.fit_standard(moved, ["feature_idx"])), ["feature_idx"]).select("vec_id", "feature_idx", r6("scaled"))
 
 
 @query()
@@ -157,8 +174,8 @@ def _folded(spark, d):
 
 def _fold_accuracy(name):
     def run(spark, d):
-        out = estimators.predict_folds(_folded(spark, d), ["session"], "embedding", "y", "fold", "vec_id", [name])
-        return estimators.accuracy(out, ["session", "fold", "model"], "y").select("session", "fold", "model", "n", r6("accuracy"))
+        out = estimators.predict_folds(_folded(spark, d), ["subject", "session"], "embedding", "y", "fold", "vec_id", [name])
+        return estimators.accuracy(out, ["subject", "session", "fold", "model"], "y").select("subject", "session", "fold", "model", "n", r6("accuracy"))
 
     run.__name__ = f"{name}_fold_accuracy"
     return query()(run)
@@ -171,8 +188,8 @@ for _name in estimators.MODELS:
 @query()
 def nested_grid(spark, d):
     grid = [(c, g) for c in (0.1, 1.0, 10.0, 100.0) for g in (0.001, 0.01, 0.1, 1.0)]
-    out = estimators.nested_grid(_folded(spark, d).withColumn("fold", F.col("trial")), ["session"], "embedding", "y", "fold", grid)
-    return out.select("session", "fold", "c", "gamma", r6("accuracy"))
+    out = estimators.nested_grid(_folded(spark, d).withColumn("fold", F.col("trial")), ["subject", "session"], "embedding", "y", "fold", grid)
+    return out.select("subject", "session", "fold", "c", "gamma", r6("accuracy"))
 
 
 def random_search(rows, by, array, label, fold, times=16, seed=0):
@@ -184,8 +201,8 @@ def random_search(rows, by, array, label, fold, times=16, seed=0):
 
 @query()
 def search_log_uniform(spark, d):
-    out = random_search(_folded(spark, d).withColumn("fold", F.col("trial")), ["session"], "embedding", "y", "fold", times=50)
-    return out.select("session", "fold", r6("c"), r6("gamma"), r6("accuracy"))
+    out = random_search(_folded(spark, d).withColumn("fold", F.col("trial")), ["subject", "session"], "embedding", "y", "fold", times=50)
+    return out.select("subject", "session", "fold", r6("c"), r6("gamma"), r6("accuracy"))
 
 
 def _pooled(spark, d):

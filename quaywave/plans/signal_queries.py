@@ -23,8 +23,8 @@ _SERIES = """s AS (SELECT user_id, value, CAST(row_number() OVER u - 1 AS INT) A
 
 @query(f"""
 WITH {_SERIES}, w AS (
-  SELECT s.*, CAST(k AS INT) AS window_idx, pos - k * 8 AS in_pos FROM s, range(0, 20) r(k)
-  WHERE n >= 16 AND k <= (n - 16) // 8 AND pos >= k * 8 AND pos < k * 8 + 16),
+  SELECT *, pos - window_idx * 8 AS in_pos FROM (SELECT s.*, CAST(unnest(range(greatest(0, pos // 8 - 1), pos // 8 + 1)) AS INT) AS window_idx FROM s)
+  WHERE window_idx * 8 + 16 <= n AND pos < window_idx * 8 + 16),
 f AS (SELECT user_id, window_idx, avg(value) AS m, stddev_pop(value) AS s, median(value) AS med, quantile_cont(value, 0.9) - quantile_cont(value, 0.1) AS spread,
         var_pop(value) AS act, var_pop(d1) FILTER (in_pos >= 1) AS v1, var_pop(d2) FILTER (in_pos >= 2) AS v2,
         avg(value * value) AS m2, avg(value * value * value) AS m3, kurtosis_pop(value) AS kurt
@@ -36,11 +36,11 @@ SELECT user_id, window_idx, round(m, 6) AS mean, round(s, 6) AS std,
 FROM f""")
 def window_features_events(spark, d):
     series = features.add_differences(_series(spark, d), "user_id", ["ts", "event_id"])
-    cut = windows.explode_windows(windows.number_samples(series, "user_id", ["ts", "event_id"]), 16, 8, cap=20)
+    cut = windows.explode_windows(windows.number_samples(series, "user_id", ["ts", "event_id"]), 16, 8)
     out = features.window_features(cut, ["user_id", "window_idx"])
-    # Values of two decimals make variances that end in an exact half: a nudge settles which way those round.
-    out = out.withColumn("activity", F.col("activity") + 1e-9)
-    return out.select("user_id", "window_idx", *[r6(c) for c in out.columns[2:]])
+    # Values of two decimals make variances that end in an exact half: those are rounded up, whatever their last bit.
+    rounded = lambda c: r6(F.col(c) + 1e-9, c) if c == "activity" else r6(c)
+    return out.select("user_id", "window_idx", *[rounded(c) for c in out.columns[2:]])
 
 
 @query("""
@@ -112,13 +112,13 @@ _DFT = f"""{L}, tw AS (SELECT CAST(f AS INT) AS bin, CAST(t AS INT) AS feature_i
 p AS (SELECT vec_id, bin, bin * {FS / N!r}::DOUBLE AS freq, sum(value * c) * sum(value * c) + sum(value * s) * sum(value * s) AS power FROM l JOIN tw USING (feature_idx) GROUP BY vec_id, bin)"""
 
 
-def _spectrum(spark, d):
-    return spectral.bins(spectral.with_power(trials(spark, d), "embedding", N), "vec_id", "power", FS / N)
+def _power(spark, d):
+    return spectral.with_power(trials(spark, d), "embedding", N)
 
 
 @query(f"WITH {_DFT} SELECT vec_id, bin, round(power, 6) + 0.0 AS power FROM p")
 def dft_power(spark, d):
-    return _spectrum(spark, d).select("vec_id", "bin", r6("power"))
+    return spectral.bins(_power(spark, d), "vec_id", "power", FS / N).select("vec_id", "bin", r6("power"))
 
 
 _BANDS = "b(ord, band, low, high) AS (VALUES " + ", ".join(f"({i}, '{b}', {lo!r}::DOUBLE, {hi!r}::DOUBLE)" for i, (b, lo, hi) in enumerate(spectral.safe_bands(spectral.BANDS_DE, FS))) + ")"
@@ -129,27 +129,29 @@ WITH {_DFT}, {_BANDS}, per AS (SELECT vec_id, band, avg(power) AS m, sum(power)
 whole AS (SELECT vec_id, sum(power) AS t FROM p WHERE freq >= 1 AND freq <= 50 GROUP BY 1)
 SELECT vec_id, band, round(ln(m + 1e-8), 6) + 0.0 AS log_power, round(s / (t + 1e-8), 6) AS relative FROM per JOIN whole USING (vec_id)""")
 def band_power(spark, d):
-    out = spectral.band_power(_spectrum(spark, d), "vec_id", spectral.band_table(spark, spectral.safe_bands(spectral.BANDS_DE, FS)))
+    out = spectral.band_power(_power(spark, d), "vec_id", "power", FS / N, spectral.safe_bands(spectral.BANDS_DE, FS))
     return out.select("vec_id", "band", r6("log_power"), r6("relative"))
 
 
 @query(f"WITH {_DFT} SELECT vec_id, round(sum(freq * power) / (sum(power) + 1e-8), 6) AS centroid FROM p WHERE freq BETWEEN 4 AND 45 GROUP BY 1")
 def spectral_centroid(spark, d):
-    return spectral.centroid(_spectrum(spark, d), "vec_id", 4.0, 45.0).select("vec_id", r6("centroid"))
+    return spectral.centroid(_power(spark, d), "vec_id", "power", FS / N, 4.0, 45.0).select("vec_id", r6("centroid"))
 
 
 @query(f"""
 WITH {_DFT}, q AS (SELECT vec_id, freq, sum(power) OVER (PARTITION BY vec_id ORDER BY freq ROWS UNBOUNDED PRECEDING) AS run, sum(power) OVER (PARTITION BY vec_id) AS total FROM p)
 SELECT vec_id, min(freq) AS edge FROM q WHERE run >= 0.9 * total GROUP BY 1""")
 def spectral_edge(spark, d):
-    return spectral.spectral_edge(_spectrum(spark, d), "vec_id").select("vec_id", "edge")
+    return spectral.spectral_edge(_power(spark, d), "vec_id", "power", FS / N).select("vec_id", "edge")
 
 
-@query(f"""
-WITH {E}, seg AS (SELECT vec_id, CAST(k AS INT) AS k, CAST(t AS INT) AS t, CAST(embedding[k * 16 + t + 1] AS DOUBLE) AS x FROM e, range(0, 3) a(k), range(0, 32) b(t)),
+WELCH = f"""{E}, seg AS (SELECT vec_id, CAST(k AS INT) AS k, CAST(t AS INT) AS t, CAST(embedding[k * 16 + t + 1] AS DOUBLE) AS x FROM e, range(0, 3) a(k), range(0, 32) b(t)),
 c AS (SELECT vec_id, k, t, (x - avg(x) OVER (PARTITION BY vec_id, k)) * (0.5 - 0.5 * cos(2 * pi() * t / 32)) AS x FROM seg),
-p AS (SELECT vec_id, k, CAST(f AS INT) AS bin, sum(x * cos(2 * pi() * f * t / 32)) AS re, sum(x * sin(2 * pi() * f * t / 32)) AS im FROM c, range(0, 17) r(f) GROUP BY ALL)
-SELECT vec_id, bin, round(avg(re * re + im * im) * CASE WHEN bin IN (0, 16) THEN 1 ELSE 2 END / ({FS!r} * 12), 6) + 0.0 AS density FROM p GROUP BY vec_id, bin""")
+p AS (SELECT vec_id, k, CAST(f AS INT) AS bin, sum(x * cos(2 * pi() * f * t / 32)) AS re, sum(x * sin(2 * pi() * f * t / 32)) AS im FROM c, range(0, 17) r(f) GROUP BY ALL),
+dn AS (SELECT vec_id, bin, avg(re * re + im * im) * CASE WHEN bin IN (0, 16) THEN 1 ELSE 2 END / ({FS!r} * 12) AS density FROM p GROUP BY vec_id, bin)"""
+
+
+@query(f"WITH {WELCH} SELECT vec_id, bin, round(density, 6) + 0.0 AS density FROM dn")
 def welch_psd(spark, d):
     out = spectral.welch(trials(spark, d), "embedding", FS, 32, N)
     return out.select("vec_id", F.posexplode("psd").alias("bin", "density")).select("vec_id", "bin", r6("density"))
@@ -163,13 +165,19 @@ def nyquist_bands(spark, d):
     return spark.createDataFrame(rows, "rule string, band string, low double, high double")
 
 
-PAIRS = list(zip((0, 1, 2, 3, 4, 5), (11, 10, 9, 8, 7, 6)))
-_PAIRS = "pr(pair, a, b) AS (VALUES " + ", ".join(f"({i}, {a}, {b})" for i, (a, b) in enumerate(PAIRS)) + ")"
-_SIDES = f"""{E}, {_PAIRS}, s AS (SELECT vec_id, CAST(band AS INT) AS band, CAST(pair AS INT) AS pair, CAST(embedding[band * 12 + a + 1] AS DOUBLE) AS l, CAST(embedding[band * 12 + b + 1] AS DOUBLE) AS r FROM e, pr, range(0, 5) x(band))"""
+def _sides_sql(pairs, channels, bands):
+    named = ", ".join(f"({i}, {a}, {b})" for i, (a, b) in enumerate(pairs))
+    at = lambda side: f"CAST(embedding[band * {channels} + {side} + 1] AS DOUBLE)"
+    return f"{E}, pr(pair, a, b) AS (VALUES {named}), s AS (SELECT vec_id, CAST(band AS INT) AS band, CAST(pair AS INT) AS pair, {at('a')} AS l, {at('b')} AS r FROM e, pr, range(0, {bands}) x(band))"
+
+
+#: The ten pairs need 21 channels, so a vector holds three bands of them; the 27 pairs need 62, so one.
+TEN = list(zip(features.LEFT, features.RIGHT))
+_SIDES, _SIDES62 = _sides_sql(TEN, 21, 3), _sides_sql(features.PAIRS27, 62, 1)
 
 
 def _sides(spark, d):
-    return features.asymmetry(trials(spark, d), "embedding", PAIRS, 12, 5)
+    return features.asymmetry(trials(spark, d), "embedding", TEN, 21, 3)
 
 
 @query(f"WITH {_SIDES} SELECT vec_id, band, pair, round(r - l, 6) + 0.0 AS rasm FROM s")
@@ -182,10 +190,10 @@ def asymmetry_ratio(spark, d):
     return _sides(spark, d).select("vec_id", "band", "pair", r6(features.ratio_left_right(F.col("l"), F.col("r")), "ratio"))
 
 
-@query(f"WITH {_SIDES} SELECT vec_id, band, pair, round(least(greatest(l - r, -500), 500), 6) + 0.0 AS dasm, round(least(greatest(CASE WHEN r + 1e-8 = 0 THEN 0.0 ELSE l / (r + 1e-8) END, -500), 500), 6) + 0.0 AS rasm FROM s")
+@query(f"WITH {_SIDES62} SELECT vec_id, band, pair, round(least(greatest(l - r, -500), 500), 6) + 0.0 AS dasm, round(least(greatest(CASE WHEN r + 1e-8 = 0 THEN 0.0 ELSE l / (r + 1e-8) END, -500), 500), 6) + 0.0 AS rasm FROM s")
 def asymmetry_clipped(spark, d):
     ratio = features.ratio_left_right(F.col("l"), F.col("r"), 1e-8)
-    return _sides(spark, d).select("vec_id", "band", "pair", r6(features.clip(F.col("l") - F.col("r"), -500.0, 500.0), "dasm"), r6(features.clip(ratio, -500.0, 500.0), "rasm"))
+    return features.asymmetry(trials(spark, d), "embedding", features.PAIRS27, 62, 1).select("vec_id", "band", "pair", r6(features.clip(F.col("l") - F.col("r"), -500.0, 500.0), "dasm"), r6(features.clip(ratio, -500.0, 500.0), "rasm"))
 
 
 @query("""
@@ -218,17 +226,17 @@ def channel_correlation(spark, d):
 
 
 @query(f"""
-WITH {L} SELECT vec_id, feature_idx, CASE WHEN vec_id % 7 = 0 THEN -10.0 WHEN vec_id % 11 = 0 THEN 10.0 WHEN vec_id % 13 = 0 THEN -10.0 ELSE round(value, 6) + 0.0 END AS clean FROM l WHERE feature_idx < 4""")
+WITH {L} SELECT vec_id, feature_idx, CASE WHEN vec_id % 7 = 0 THEN -10.0 WHEN vec_id % 11 = 0 THEN 10.0 WHEN vec_id % 13 = 0 THEN -10.0 ELSE round(value, 6) + 0.0 END AS clean FROM l""")
 def clean_nonfinite(spark, d):
     """Rows get NaN and infinities by their id, then cleaning to constants."""
     x = F.when(F.col("vec_id") % 7 == 0, float("nan")).when(F.col("vec_id") % 11 == 0, float("inf")).when(F.col("vec_id") % 13 == 0, float("-inf")).otherwise(F.col("v").cast("double"))
-    rows = trials(spark, d).select("vec_id", F.posexplode(F.slice("embedding", 1, 4)).alias("feature_idx", "v"))
+    rows = trials(spark, d).select("vec_id", F.posexplode("embedding").alias("feature_idx", "v"))
     return rows.select("vec_id", "feature_idx", r6(features.finite_or(x, -10.0, -10.0, 10.0), "clean"))
 
 
 @query(f"""
 WITH {L} SELECT vec_id, CAST(feature_idx // 12 AS INT) AS band, CAST(feature_idx % 12 AS INT) AS channel, CAST(feature_idx % 5 AS INT) AS band_minor, CAST(feature_idx // 5 AS INT) AS channel_major, round(value, 6) + 0.0 AS value FROM l WHERE feature_idx < 60""")
 def reshape_band_channel(spark, d):
-    both = features.unflatten(trials(spark, d).select("vec_id", "embedding"), "embedding", 12, 5)
-    minor = features.unflatten(trials(spark, d).select("vec_id", "embedding"), "embedding", 12, 5, band_major=False).select("vec_id", "feature_idx", F.col("band").alias("band_minor"), F.col("channel").alias("channel_major"))
-    return both.join(minor, ["vec_id", "feature_idx"]).select("vec_id", "band", "channel", "band_minor", "channel_major", r6(F.col("value").cast("double"), "value"))
+    rows = features.unflatten(trials(spark, d).select("vec_id", "embedding"), "embedding", 12, 5)
+    minor, major = features.layout(F.col("feature_idx"), 12, 5, band_major=False)
+    return rows.select("vec_id", "band", "channel", minor.alias("band_minor"), major.alias("channel_major"), r6(F.col("value").cast("double"), "value"))

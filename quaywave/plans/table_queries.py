@@ -55,7 +55,10 @@ def robust_scale_exact(spark, d):
     return scaling.transform(rows.where("vec_id % 5 = 0"), stats, ["feature_idx"]).select("vec_id", "feature_idx", r6("scaled"))
 
 
-@query()
+@query(f"""WITH {L}, t AS (SELECT feature_idx, value, count(*) AS same FROM l GROUP BY ALL),
+u AS (SELECT *, sum(same) OVER (PARTITION BY feature_idx ORDER BY value ROWS UNBOUNDED PRECEDING) AS upto, sum(same) OVER (PARTITION BY feature_idx) AS n FROM t),
+p AS (SELECT feature_idx, value, least(greatest((upto - same / 2 - 0.5) / greatest(n - 1, 1), 1e-7), 1 - 1e-7) AS p FROM u)
+SELECT vec_id, feature_idx, round({scaling.normal_quantile_sql("p")}, 6) + 0.0 AS scaled FROM l JOIN p USING (feature_idx, value)""")
 def quantile_normal(spark, d):
     return scaling.quantile_normal(_long(spark, d), ["feature_idx"]).select("vec_id", "feature_idx", r6("scaled"))
 
@@ -119,11 +122,11 @@ def select_k_best(spark, d):
     return selection.top_k(selection.anova_f(rows), "f", 10).select("feature_idx", "place", r6("f"))
 
 
-@query(f"""WITH {E}, q AS (SELECT vec_id, y, vec_id % 7919 AS h FROM e) SELECT y, least(count(*), 40) AS n FROM q GROUP BY 1""")
+@query(f"""WITH {E} SELECT vec_id, y FROM e QUALIFY row_number() OVER (PARTITION BY y ORDER BY md5('42:' || vec_id), vec_id) <= 40""")
 def stratified_subsample(spark, d):
     from ..operators.windows import stratified_sample
 
-    return stratified_sample(trials(spark, d), "y", "vec_id", 40, 42).groupBy("y").agg(F.count(F.lit(1)).alias("n"))
+    return stratified_sample(trials(spark, d), "y", "vec_id", 40, 42).select("vec_id", "y")
 
 
 # --- folds -------------------------------------------------------------------------------------------------
@@ -169,10 +172,9 @@ def leave_one_group_out(spark, d):
     return folds.leave_one_out(trials(spark, d), "subject")
 
 
-@query(f"WITH {E} SELECT y, count(*) AS n, CAST(5 AS BIGINT) AS folds FROM e GROUP BY 1")
+@query(f"WITH {E} SELECT vec_id, y, CAST((row_number() OVER (PARTITION BY y ORDER BY md5('42:' || vec_id), vec_id) - 1) % 5 AS INT) AS fold FROM e")
 def shuffled_kfold(spark, d):
-    out = folds.shuffled_kfold(trials(spark, d), "y", "vec_id", 5, 42)
-    return out.groupBy("y").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("fold").alias("folds"))
+    return folds.shuffled_kfold(trials(spark, d), "y", "vec_id", 5, 42).select("vec_id", "y", "fold")
 
 
 @query(f"WITH {E} SELECT concat_ws('_', subject, session, trial) AS grp, count(DISTINCT vec_id // 90 % 5) AS folds FROM e GROUP BY 1 HAVING count(DISTINCT vec_id // 90 % 5) > 1")
@@ -359,7 +361,9 @@ def neutral_filter_remap(spark, d):
     return trials(spark, d).where("y <> 0").select("vec_id", "y", (F.col("y") == 1).cast("int").alias("target"))
 
 
-@query("SELECT 'windows match' AS \"check\", true AS ok UNION ALL SELECT 'keys unique', true UNION ALL SELECT 'vector length', true UNION ALL SELECT 'start before end', true")
+@query("""SELECT 'windows match' AS "check", bool_and(len(list_filter(range(0, len(embedding)), lambda s: s % 8 = 0 AND s + 16 <= len(embedding))) = CASE WHEN len(embedding) < 16 THEN 0 ELSE (len(embedding) - 16) // 8 + 1 END) AS ok FROM embeddings
+UNION ALL SELECT 'keys unique', count(vec_id) = count(DISTINCT vec_id) FROM embeddings UNION ALL SELECT 'vector length', bool_and(len(embedding) = 64) FROM embeddings
+UNION ALL SELECT 'start before end', bool_and(a < b) FROM (VALUES (0, 10), (15, 30), (30, 45)) m(a, b)""")
 def validation_checks(spark, d):
     from ..operators.checks import run_checks
 
