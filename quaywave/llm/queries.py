@@ -92,6 +92,20 @@ def _url_sql() -> str:
         head, rest = f"regexp_extract({bare}, '(?s)^(.*?://[^/?#]*)', 1)", f"regexp_extract({bare}, '(?s)^.*?://[^/?#]*(.*)$', 1)"
         return f"CASE WHEN {head} <> '' THEN {low(head)} || CASE WHEN {rest} LIKE '/%' THEN {rest} ELSE '/' || {rest} END END"
 
+    def absolute(link: str, url: str) -> str:
+        """A link against an address: RFC 3986, with . and .. steps taken."""
+        base, query = path(url), f"regexp_extract({link}, '(?s)^[^?]*(\\?.*)$', 1)"
+        root = f"regexp_extract({url}, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1)"
+        steps = f"string_split(regexp_extract({base}, '(?s)^/(.*/)[^/]*$', 1) || regexp_extract({link}, '(?s)^([^?]*)', 1), '/')"
+        taken = f"list_reduce(list_prepend(CAST([] AS VARCHAR[]), list_transform({steps}, lambda x: [x])), lambda a, x: CASE WHEN x[1] = '..' THEN list_slice(a, 1, len(a) - 1) WHEN x[1] = '.' THEN a ELSE list_concat(a, x) END)"
+        ends = f"CASE WHEN list_extract({steps}, -1) IN ('.', '..') THEN [''] ELSE CAST([] AS VARCHAR[]) END"
+        return f"""CASE WHEN regexp_matches({link}, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN {link}
+            WHEN starts_with({link}, '//') THEN regexp_extract({url}, '^([A-Za-z][A-Za-z0-9+.-]*:)//', 1) || {link}
+            WHEN starts_with({link}, '/') THEN {root} || {link}
+            WHEN {link} = '' OR {root} = '' OR regexp_matches({link}, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL
+            WHEN starts_with({link}, '?') THEN {root} || {base} || {query}
+            ELSE {root} || '/' || array_to_string(list_concat({taken}, {ends}), '/') || {query} END"""
+
     def case(pick: int) -> str:
         whens = []
         for rule in sorted(RULES, key=lambda r: (-len(r[1]), r[1])):
@@ -101,16 +115,15 @@ def _url_sql() -> str:
 
     return rf"""
         WITH RECURSIVE tags AS (
-            SELECT url, unnest(regexp_extract_all(html, '(?i)<link\b[^>]*>')) AS tag, 'link' AS kind FROM pages WHERE regexp_matches(html, '(?i)canonical')
-            UNION ALL SELECT url, unnest(regexp_extract_all(html, '(?i)<meta\b[^>]*>')), 'meta' FROM pages WHERE regexp_matches(html, '(?i)http-equiv')),
+            SELECT url, html, unnest(regexp_extract_all(html, '(?i)<link\b[^<>]*>')) AS tag, 'link' AS kind FROM pages WHERE regexp_matches(html, '(?i)canonical')
+            UNION ALL SELECT url, html, unnest(regexp_extract_all(html, '(?i)<meta\b[^<>]*>')), 'meta' FROM pages WHERE regexp_matches(html, '(?i)http-equiv')),
         found AS (
-            SELECT url, trim(regexp_replace(regexp_replace(CASE kind
+            SELECT url, trim(regexp_replace(regexp_replace(regexp_extract(html, '(?i)<base\b[^<>]*\bhref\s*=\s*["'']?([^"''\s>]*)', 1), '(?i)&amp;', '&', 'g'), '#.*$', '')) AS base, trim(regexp_replace(regexp_replace(CASE kind
                 WHEN 'link' THEN CASE WHEN regexp_matches(tag, '(?i)\brel\s*=\s*("[^"]*\bcanonical\b|''[^'']*\bcanonical\b|canonical\b)') THEN regexp_extract(tag, '(?i)\bhref\s*=\s*["'']?([^"''\s>]*)', 1) END
                 ELSE CASE WHEN regexp_matches(tag, '(?i)\bhttp-equiv\s*=\s*["'']?refresh\b') THEN regexp_extract(tag, '(?i)\bcontent\s*=\s*["'']?\s*[0-9.]*\s*[;,]\s*url\s*=\s*["'']?([^"''>]*)', 1) END END,
                 '(?i)&amp;', '&', 'g'), '#.*$', '')) AS link FROM tags),
-        whole AS (SELECT url, CASE WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN link
-            WHEN starts_with(link, '//') THEN regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*:)//', 1) || link
-            WHEN starts_with(link, '/') THEN regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) || link END AS link FROM found),
+        based AS (SELECT url, link, coalesce({node(absolute("base", "url"))}, url) AS base FROM found),
+        whole AS (SELECT url, {absolute("link", "base")} AS link FROM based),
         edges AS (SELECT {node("url")} AS u, {node("link")} AS v FROM whole),
         both_ways AS (SELECT u, v FROM edges WHERE u <> v UNION SELECT v, u FROM edges WHERE u <> v),
         reach(node, other) AS (SELECT u, u FROM both_ways UNION SELECT r.node, b.v FROM reach r JOIN both_ways b ON b.u = r.other),

@@ -166,7 +166,7 @@ class Network:
         pooled = np.einsum("tn,tnk->nk", alpha, out, optimize=True)
         return u, alpha, pooled, pooled @ self.p["o"] + self.p["c"][0]
 
-    def logits(self, gates: np.ndarray, index: np.ndarray, rows: int = 2048) -> np.ndarray:
+    def logits(self, gates: np.ndarray, index: np.ndarray, rows: int = 512) -> np.ndarray:
         parts = [index[a : a + rows] for a in range(0, len(index), rows)]
         return np.concatenate([self.attention(self.states(gates, part), part)[3] for part in parts]) if parts else np.zeros(0, np.float32)
 
@@ -312,13 +312,14 @@ class Scorer:
         self.known: dict[str, int] = {}
         self.gates = np.zeros((2, 1 << 12, 3 * self.net.shape.hidden), np.float32)
 
-    def _learn(self, fresh: list[str]) -> None:
-        a, b = len(self.known), len(self.known) + len(fresh)
-        while b >= self.gates.shape[1] - 1:
+    def _learn(self, fresh: list[str], block: int = 1 << 12) -> None:
+        while len(self.known) + len(fresh) >= self.gates.shape[1] - 1:
             self.gates = np.concatenate([self.gates, np.zeros_like(self.gates)], axis=1)
-        made = self.net.gates_of(*hashed(fresh, self.net.shape))
-        self.gates[:, a:b], self.gates[:, -1] = made[:, :-1], made[:, -1]
-        self.known |= zip(fresh, range(a, b))
+        for k in range(0, len(fresh), block):
+            words, a = fresh[k : k + block], len(self.known)
+            made = self.net.gates_of(*hashed(words, self.net.shape))
+            self.gates[:, a : a + len(words)], self.gates[:, -1] = made[:, :-1], made[:, -1]
+            self.known |= zip(words, range(a, a + len(words)))
 
     def scores(self, texts: list[str], words_at_once: int = 1 << 17) -> np.ndarray:
         out, a = np.empty(len(texts)), 0

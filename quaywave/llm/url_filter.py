@@ -65,15 +65,17 @@ def node_of(url: Column) -> Column:
 
 
 def page_links(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
-    """u, v: a page's node and where its canonical links and refresh redirects lead."""
+    """u, v: a page's node and where its canonical links and refresh redirects lead, against its base address where it names one."""
     html, url = F.col(html_col), F.col(url_col)
-    tag = lambda name: F.regexp_extract_all(html, F.lit(rf"(?i)<{name}\b[^>]*>"), F.lit(0))
+    tag = lambda name: F.regexp_extract_all(html, F.lit(rf"(?i)<{name}\b[^<>]*>"), F.lit(0))
     canonical = F.filter(tag("link"), lambda t: t.rlike(r"""(?i)\brel\s*=\s*(?:"[^"]*\bcanonical\b|'[^']*\bcanonical\b|canonical\b)"""))
     canonical = F.transform(canonical, lambda t: F.regexp_extract(t, r"""(?i)\bhref\s*=\s*["']?([^"'\s>]*)""", 1))
     refresh = F.filter(tag("meta"), lambda t: t.rlike(r"""(?i)\bhttp-equiv\s*=\s*["']?refresh\b"""))
     refresh = F.transform(refresh, lambda t: F.regexp_extract(t, r"""(?i)\bcontent\s*=\s*["']?\s*[0-9.]*\s*[;,]\s*url\s*=\s*["']?([^"'>]*)""", 1))
-    rows = pages.where(html.rlike("(?i)canonical|http-equiv")).select(url.alias("url"), F.explode(F.concat(canonical, refresh)).alias("link"))
-    return rows.select(node_of(F.col("url")).alias("u"), resolve(F.col("link"), F.col("url")).alias("v")).where("u IS NOT NULL AND v IS NOT NULL AND u <> v")
+    base = F.regexp_extract(html, r"""(?i)<base\b[^<>]*\bhref\s*=\s*["']?([^"'\s>]*)""", 1)
+    rows = pages.where(html.rlike("(?i)canonical|http-equiv")).select(url.alias("url"), base.alias("base"), F.explode(F.concat(canonical, refresh)).alias("link"))
+    rows = rows.withColumn("base", F.coalesce(resolve(F.col("base"), F.col("url")), F.col("url")))
+    return rows.select(node_of(F.col("url")).alias("u"), resolve(F.col("link"), F.col("base")).alias("v")).where("u IS NOT NULL AND v IS NOT NULL AND u <> v")
 
 
 def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rules: tuple[tuple[str, str], ...] = RULES, redirects: DataFrame | None = None) -> DataFrame:
