@@ -20,11 +20,18 @@ def window_count_open(n: Column, size: int, step: int) -> Column:
     return F.when(n <= size, F.lit(0)).otherwise(F.floor((n - size - 1) / F.lit(step)) + 1).cast("int")
 
 
-def number_samples(series: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """Adds pos (0-based within the key) and n (samples of the key)."""
-    sizes = series.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    pos = F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1
-    return series.withColumn("pos", pos).join(sizes, key)
+def number_samples(series: DataFrame, key: str, order: list[str], part: Column | None = None) -> DataFrame:
+    """Adds pos (0-based within the key) and n (samples of the key).
+
+    part: a column that grows with the order, such as the day of a time. Then a series is numbered part by
+    part, each from the counts of those before it, and no task sorts more than one part of a series."""
+    rows = series.withColumn("_part", F.lit(0) if part is None else part)
+    sizes = rows.groupBy(key, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    of = Window.partitionBy(key)
+    before = F.coalesce(F.sum("_n").over(of.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select(key, "_part", before.alias("_before"), F.sum("_n").over(of).alias("n"))  # one row per part
+    rank = F.row_number().over(Window.partitionBy(key, "_part").orderBy(*order))
+    return rows.join(sizes, [key, "_part"]).withColumn("pos", (F.col("_before") + rank - 1).cast("int")).drop("_part", "_before")
 
 
 def explode_windows(samples: DataFrame, size: int, step: int, cap: int | None = None, open_end: bool = False) -> DataFrame:

@@ -35,8 +35,8 @@ SELECT user_id, window_idx, round(m, 6) AS mean, round(s, 6) AS std,
   round(sqrt(v2 / (v1 + 1e-8)) / (sqrt(v1 / (act + 1e-8)) + 1e-8), 6) AS complexity
 FROM f""")
 def window_features_events(spark, d):
-    series = features.add_differences(_series(spark, d), "user_id", ["ts", "event_id"])
-    cut = windows.explode_windows(windows.number_samples(series, "user_id", ["ts", "event_id"]), 16, 8)
+    series = windows.number_samples(_series(spark, d), "user_id", ["ts", "event_id"], F.date_trunc("day", "ts"))
+    cut = windows.explode_windows(series, 16, 8)
     out = features.window_features(cut, ["user_id", "window_idx"])
     # Values of two decimals make variances that end in an exact half: those are rounded up, whatever their last bit.
     rounded = lambda c: r6(F.col(c) + 1e-9, c) if c == "activity" else r6(c)

@@ -77,3 +77,18 @@ def test_pca_from_sums_equals_numpy(spark):
 def test_fold_models_skip_single_class_training(spark):
     rows = spark.createDataFrame([(0, f, i, f, [float(i), 1.0]) for f in (0, 1) for i in range(4)], "s int, fold int, id int, y int, x array<double>")
     assert estimators.predict_folds(rows, ["s"], "x", "y", "fold", "id", ["lda"]).count() == 0
+
+
+def test_power_transform_by_aggregations(spark):
+    import numpy as np
+
+    from quaywave.functions import kernels, transforms
+    from quaywave.operators import scaling
+
+    rng = np.random.default_rng(1)
+    x = np.stack([rng.normal(size=300), rng.exponential(size=300) - 0.3, -rng.exponential(size=300)], axis=1)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, x array<double>")
+    lam = {r["feature_idx"]: r["lam"] for r in scaling.fit_yeo_johnson(scaling.long_form(rows, ["id"], "x")).collect()}
+    assert all(abs(lam[f] - kernels.yeo_johnson_fit(x[:, f])) < 1e-4 for f in range(3))
+    r = transforms.second_moments(rows.repartition(7), [], "x").first()
+    assert r["n"] == 300 and np.allclose(r["total"], x.sum(axis=0)) and np.allclose(np.array(r["products"]).reshape(3, 3), x.T @ x)

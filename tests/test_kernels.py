@@ -76,3 +76,32 @@ def test_yeo_johnson_straightens_and_information_tells():
     assert skew(z) < 0.2 < skew(x)
     y = rng.integers(0, 2, 400)
     assert k.knn_mutual_information(y + rng.normal(0, 0.1, 400), y) > 0.5 > k.knn_mutual_information(rng.normal(size=400), y) + 0.3
+
+
+def test_kth_distance_equals_brute_force():
+    rng = np.random.default_rng(3)
+    for x in (rng.normal(size=50), rng.integers(0, 6, 40).astype(float), np.array([1.0, 1.0]), np.zeros(9)):
+        for n in (1, 3, len(x) - 1):
+            n = min(n, len(x) - 1)
+            assert np.allclose(k.kth_distance(x, n), np.sort(np.abs(x[:, None] - x[None, :]), axis=1)[:, n])
+
+
+def test_automatic_shrinkage():
+    rng = np.random.default_rng(4)
+    few, many = rng.normal(size=(12, 30)), rng.normal(size=(4000, 5)) * [1, 2, 3, 4, 5]
+    one, two = (k.ledoit_wolf(x - x.mean(axis=0)) for x in (few, many))
+    assert 0.5 < one <= 1 and two < 0.02 and k.ledoit_wolf(np.zeros((4, 3))) == 0
+    x = few - few.mean(axis=0)
+    s = x.T @ x / len(x)
+    b = np.mean([((np.outer(r, r) - s) ** 2).sum() for r in x]) / len(x)
+    assert np.isclose(one, min(1, b / ((s - np.trace(s) / 30 * np.eye(30)) ** 2).sum()))
+
+
+def test_mirrored_wavelet_ends():
+    x = np.random.default_rng(5).normal(size=(2, 37))
+    low = k.daubechies(4)
+    wide = np.concatenate([x[:, 6::-1], x, x[:, :-8:-1]], axis=1)
+    first = np.stack([wide[:, a : a + 8] @ low for a in range(1, wide.shape[1] - 7, 2)], axis=1)
+    out = k.wavelet_log_variance(x, level=1)
+    assert first.shape[1] == (37 + 7) // 2 and np.allclose(out[:, 0], np.log(first.var(axis=1) + 1e-10))
+    assert k.wavelet_log_variance(x, mode="periodic").shape == k.wavelet_log_variance(x).shape == (2, 6)

@@ -26,6 +26,8 @@ def test_counts_equal_generated_windows(spark):
 def test_row_form_equals_array_form(spark):
     values = [float(v) for v in range(23)]
     series = spark.createDataFrame([(1, k, v) for k, v in enumerate(values)], "key int, t int, value double")
+    parts = windows.number_samples(series, "key", ["t"], F.floor(F.col("t") / 5)).orderBy("t").collect()
+    assert [(r["pos"], r["n"]) for r in parts] == [(k, 23) for k in range(23)]
     cut = windows.explode_windows(windows.number_samples(series, "key", ["t"]), 6, 4, cap=3)
     found = {}
     for r in cut.orderBy("window_idx", "in_pos").collect():
