@@ -36,7 +36,8 @@ class Shape:
     hidden: int = 12
     attend: int = 12
     sample: int = 2000  # documents of each label
-    early: float = 0.5  # share of the windows that each of the first two epochs sees
+    early: float = 0.5  # share of the windows that each of the first two epochs draws
+    early_most: int = 12  # about so many of one document: a long one shall not outweigh the others
     epochs: int = 7
     batch: int = 512
     rate: float = 0.01
@@ -223,8 +224,8 @@ class Lexicon:
 def train(samples: list[tuple[list[np.ndarray], int]], lexicon: Lexicon, shape: Shape) -> Network:
     """samples: the windows (numbers of the lexicon's words) of each document, with its label.
 
-    A document's label says that some window is toxic, not which. In the first epochs all windows of a document
-    carry its label; later only the most toxic one of each toxic document does, and clean documents
+    A document's label says that some window is toxic, not which. In the first epochs drawn windows of a document
+    carry its label; later, of all its windows, only the most toxic one of each toxic document does, and clean documents
     give their most toxic window and some others."""
     net, rng = Network.fresh(shape), np.random.default_rng(shape.seed)
     kinds = list(lexicon.at) or ["-"]
@@ -238,13 +239,14 @@ def train(samples: list[tuple[list[np.ndarray], int]], lexicon: Lexicon, shape:
             owner.append(d), label.append(y)
             row += 1
     owner, label = np.array(owner, dtype=np.int64), np.array(label, dtype=np.float32)
+    many = np.bincount(owner, minlength=len(samples))
     apart = np.arange(len(samples)) % 4 == 3  # every fourth document sets the cut and trains nothing
     learn = np.flatnonzero(~apart[owner]) if len(samples) else owner
     moment = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.p.items() if k not in "EC"}
     square = {k: np.zeros(len(net.p[k]), np.float32) for k in "EC"}
     step = 0
     for epoch in range(shape.epochs if len(samples) else 0):
-        rows = learn[rng.random(len(learn)) < shape.early]
+        rows = learn[rng.random(len(learn)) < np.minimum(shape.early, shape.early_most / many[owner[learn]])]
         if epoch >= 2:
             gates = net.gates_of(word, grams, sizes)
             score = np.full(len(index), -np.inf)
@@ -292,11 +294,11 @@ def train(samples: list[tuple[list[np.ndarray], int]], lexicon: Lexicon, shape:
     return net
 
 
-def _cut(score: np.ndarray, truth: np.ndarray) -> float:
-    """The cut with the fewest errors, the classes weighing the same; the middle of its gap."""
+def _cut(score: np.ndarray, truth: np.ndarray, clean: float = 3.0) -> float:
+    """The cut with the least error rates, that of clean documents counting `clean` times; the middle of its gap."""
     order = np.argsort(score)
     score, truth = score[order], truth[order]
-    miss = np.concatenate([[0], np.cumsum(truth / max(truth.sum(), 1))]) + np.concatenate([np.cumsum(((1 - truth) / max((1 - truth).sum(), 1))[::-1])[::-1], [0]])
+    miss = np.concatenate([[0], np.cumsum(truth / max(truth.sum(), 1))]) + np.concatenate([clean * np.cumsum(((1 - truth) / max((1 - truth).sum(), 1))[::-1])[::-1], [0]])
     k = int(np.argmin(miss))
     return float((score[max(k - 1, 0)] + score[min(k, len(score) - 1)]) / 2)
 
