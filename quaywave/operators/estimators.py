@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import kernels
+from ..functions import kernels, trees
 from ..ship import ship
 
 
@@ -49,7 +49,18 @@ def _bagged(x: np.ndarray, y: np.ndarray, z: np.ndarray, times: int = 5) -> np.n
     return classes[np.argmax(np.stack([(np.stack(votes) == c).sum(axis=0) for c in classes]), axis=0)]
 
 
-MODELS: dict[str, Callable] = {"lda": _linear(kernels.lda_fit), "lda_auto": _linear(kernels.lda_auto_fit), "ridge": _linear(kernels.ridge_fit), "logistic": _linear(kernels.logistic_fit), "rbf_svm": _svm(), "poly_svm": _svm(3), "bagged_svm": _bagged}
+def _likeliest(fit) -> Callable:
+    def run(x: np.ndarray, y: np.ndarray, z: np.ndarray) -> np.ndarray:
+        classes, p = fit(x, y, z)
+        return classes[np.argmax(p, axis=1)]
+
+    return run
+
+
+#: Ensembles that give probabilities themselves.
+ENSEMBLES: dict[str, Callable] = {"extra_trees": trees.extra_trees, "boosted": trees.boosted}
+
+MODELS: dict[str, Callable] = {"lda": _linear(kernels.lda_fit), "lda_auto": _linear(kernels.lda_auto_fit), "ridge": _linear(kernels.ridge_fit), "logistic": _linear(kernels.logistic_fit), "rbf_svm": _svm(), "poly_svm": _svm(3), "bagged_svm": _bagged} | {name: _likeliest(fit) for name, fit in ENSEMBLES.items()}
 
 
 def _softmax(scores: np.ndarray) -> np.ndarray:
@@ -60,6 +71,8 @@ def _softmax(scores: np.ndarray) -> np.ndarray:
 def probabilities(name: str, x: np.ndarray, y: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Classes, and for the rows of z the probability of each. Discriminants and logistic scores give posteriors;
     margins of ridge and kernel machines pass a logistic link of unit scale, bagged machines give shares of votes."""
+    if name in ENSEMBLES:
+        return ENSEMBLES[name](x, y, z)
     fits = {"lda": kernels.lda_fit, "lda_auto": kernels.lda_auto_fit, "ridge": kernels.ridge_fit, "logistic": kernels.logistic_fit}
     if name in fits:
         classes, w, b = fits[name](x, y)
@@ -78,6 +91,12 @@ def probabilities(name: str, x: np.ndarray, y: np.ndarray, z: np.ndarray) -> tup
     return classes, _softmax(np.stack([kernels.svm_margin(kernels.svm_fit(x, (y == c).astype(int), degree=degree), z) for c in classes], axis=1))
 
 
+def _dealt(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Rows dealt by group over a fixed number of tasks: a model costs far more than its bytes say, by which small tasks would be merged."""
+    spark = rows.sparkSession
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *by)
+
+
 def predict_folds(rows: DataFrame, by: list[str], array: str, label: str, fold: str, id_col: str, models: list[str]) -> DataFrame:
     """by, fold, id, label, model, predicted: each model fitted on the other folds of its group.
 
@@ -103,7 +122,7 @@ def predict_folds(rows: DataFrame, by: list[str], array: str, label: str, fold:
         return pd.concat(out)[columns] if out else part.iloc[:0].assign(model="", predicted=part[label].iloc[:0])[columns]
 
     schema = ", ".join(f"{c} {kinds[c]}" for c in [*by, fold, id_col, label]) + f", model string, predicted {kinds[label]}"
-    return rows.select(*by, fold, id_col, label, array).groupBy(*by).applyInPandas(run, schema)
+    return _dealt(rows.select(*by, fold, id_col, label, array), by).groupBy(*by).applyInPandas(run, schema)
 
 
 def accuracy(predictions: DataFrame, by: list[str], label: str) -> DataFrame:
@@ -137,4 +156,4 @@ def nested_grid(rows: DataFrame, by: list[str], array: str, label: str, fold: st
         return pd.DataFrame(out, columns=[*by, fold, "c", "gamma", "accuracy"])
 
     schema = ", ".join(f"{c} {kinds[c]}" for c in [*by, fold]) + ", c double, gamma double, accuracy double"
-    return rows.select(*by, fold, label, array).groupBy(*by).applyInPandas(run, schema)
+    return _dealt(rows.select(*by, fold, label, array), by).groupBy(*by).applyInPandas(run, schema)

@@ -21,10 +21,39 @@ def fit_standard(train: DataFrame, by: list[str], eps: float | None = None) -> D
     return out.withColumn("std", F.when(F.col("std") == 0, F.lit(1.0)).otherwise(F.col("std")))
 
 
+def ranked_values(rows: DataFrame, by: list[str], parts: int = 64) -> DataFrame:
+    """by, value, same, upto, n: each distinct value of a group, its rows, the rows up to it, and all rows.
+
+    Copies of a value fold before the exchange. Distinct values are dealt into ranges at approximate quantiles, so
+    that a task sorts one range and not a group; what lies before a range is a running sum over at most `parts`
+    rows a group. Ranks are exact wherever the ranges end. Null values take no part."""
+    ties = rows.where("value IS NOT NULL").groupBy(*by, "value").agg(F.count(F.lit(1)).alias("same"))
+    ends = ties.groupBy(*by).agg(F.percentile_approx("value", F.array(*[F.lit(i / parts) for i in range(1, parts)]), F.lit(4 * parts)).alias("ends"))
+    # Binary search for how many ends lie below the value: parts is a power of two.
+    steps = F.array(*[F.lit(parts >> k) for k in range(1, parts.bit_length())])
+    passed = F.aggregate(steps, F.lit(0), lambda i, step: F.when(F.get("ends", i + step - 1) < F.col("value"), i + step).otherwise(i))
+    dealt = ties.join(ends, by).withColumn("part", passed).drop("ends")
+    sizes = dealt.groupBy(*by, "part").agg(F.sum("same").alias("rows"))
+    group = Window.partitionBy(*by)
+    before = group.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(*by, "part", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("before"), F.sum("rows").over(group).alias("n"))
+    run = Window.partitionBy(*by, "part").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return dealt.withColumn("run", F.sum("same").over(run)).join(offsets, [*by, "part"]).select(*by, "value", "same", (F.col("run") + F.col("before")).alias("upto"), "n")
+
+
+def exact_quantiles(rows: DataFrame, by: list[str], shares: list[float]) -> DataFrame:
+    """by, q: the quantiles at `shares` with linear interpolation, from the ranks of the distinct values."""
+    place = [F.lit(p) * (F.col("n") - 1) for p in shares]
+    at = lambda i: F.min(F.when(F.col("upto") > i, F.col("value")))
+    ends = [F.struct(at(F.floor(i)).alias("low"), at(F.ceil(i)).alias("high"), F.max(i - F.floor(i)).alias("between")) for i in place]
+    found = ranked_values(rows, by).groupBy(*by).agg(*[e.alias(f"q{k}") for k, e in enumerate(ends)])
+    line = lambda q: F.col(f"{q}.low") * (1 - F.col(f"{q}.between")) + F.col(f"{q}.high") * F.col(f"{q}.between")
+    return found.select(*by, F.array(*[line(f"q{k}") for k in range(len(shares))]).alias("q"))
+
+
 def fit_robust(train: DataFrame, by: list[str]) -> DataFrame:
     """Median and interquartile range with linear interpolation; a zero range scales by 1."""
-    q = F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = train.groupBy(*by).agg(q.alias("q")).select(*by, F.col("q")[1].alias("mean"), (F.col("q")[2] - F.col("q")[0]).alias("std"))
+    out = exact_quantiles(train, by, [0.25, 0.5, 0.75]).select(*by, F.col("q")[1].alias("mean"), (F.col("q")[2] - F.col("q")[0]).alias("std"))
     return out.withColumn("std", F.when(F.col("std") == 0, F.lit(1.0)).otherwise(F.col("std")))
 
 
@@ -61,10 +90,7 @@ def normal_quantile(p: Column) -> Column:
 
 def quantile_normal(rows: DataFrame, by: list[str], edge: float = 1e-7) -> DataFrame:
     """Rank of each value within its feature (ties share the middle), as a normal quantile clipped at `edge`."""
-    counts = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-    ties = rows.groupBy(*by, "value").agg(F.count(F.lit(1)).alias("same"))
-    run = Window.partitionBy(*by).orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranks = ties.withColumn("upto", F.sum("same").over(run)).join(counts, by)
+    ranks = ranked_values(rows, by)
     share = (F.col("upto") - F.col("same") / 2 - 0.5) / F.greatest(F.col("n") - 1, F.lit(1))
     ranks = ranks.withColumn("scaled", normal_quantile(F.least(F.greatest(share, F.lit(edge)), F.lit(1 - edge))))
     return rows.join(ranks.select(*by, "value", "scaled"), [*by, "value"])
