@@ -17,6 +17,8 @@ from .shingles import _GOLD, mix, multisets, shingle_hashes
 
 #: Two texts of overlap 0.8 share no band with probability (1 - 0.8 ** 5) ** 26 = 3e-5.
 BANDS, ROWS = 26, 5
+#: The time of a position that no point fell on.
+NEVER = np.int64(2**63 - 1)
 
 
 def bag_minhash(text: np.ndarray, element: np.ndarray, weight: np.ndarray, texts: int, m: int = BANDS * ROWS) -> np.ndarray:
@@ -26,7 +28,9 @@ def bag_minhash(text: np.ndarray, element: np.ndarray, weight: np.ndarray, texts
     [0,1), [1,2), [2,4), ..., of rate m times the range's width. A point counts if its weight lies below
     the element's; ranges that straddle it thin their points down the hierarchy by a uniform draw. The
     earliest time at each position then agrees between two multisets with probability sum(min) / sum(max).
-    A process stops once its time passes the latest entry of its text's signature: later points change nothing."""
+    A process stops once its time passes the latest entry of its text's signature: later points change nothing.
+    Times are whole numbers of 2 ** -44, so that sums don't depend on how points are drawn in blocks, and thus
+    not on the texts beside this one; positions of a text without elements hold NEVER."""
     own, key, low, width, top = [], [], [], [], []
     level, at = 0, np.arange(len(text))
     while len(at):
@@ -38,16 +42,16 @@ def bag_minhash(text: np.ndarray, element: np.ndarray, weight: np.ndarray, texts
         top.append(weight[at].astype(float))
         level += 1
         at = at[weight[at] > (1 << (level - 1))]
-    signature = np.full(texts * m, np.inf)
+    signature = np.full(texts * m, NEVER)
     if not own:
         return signature.reshape(texts, m)
     own, key, low, width, top = map(np.concatenate, (own, key, low, width, top))
-    time, drawn, latest = np.zeros(len(own)), 0, np.full(texts, np.inf)
+    time, drawn, latest = np.zeros(len(own), dtype=np.int64), 0, np.full(texts, NEVER)
     step = np.uint64(0xD1342543DE82EF95)
     while len(own):
         block = int(np.clip((1 << 17) // len(own), 1, 32))
         h = mix(key[:, None] + step * np.arange(drawn + 1, drawn + block + 1, dtype=np.uint64)[None, :])
-        gaps = -np.log(((h >> np.uint64(11)).astype(float) + 0.5) * 2.0**-53) / (m * width[:, None])
+        gaps = (-np.log(((h >> np.uint64(11)).astype(float) + 0.5) * 2.0**-53) * (2.0**44 / m) / width[:, None]).astype(np.int64)
         times = time[:, None] + np.cumsum(gaps, axis=1)
         other = mix(h ^ step)
         place = (other >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)

@@ -5,7 +5,8 @@ from collections import Counter
 import numpy as np
 
 from quaywave.llm.components import connected_components
-from quaywave.llm.near_dedup import COUNTERS, Overlaps, bag_minhash, keep_representatives, near_duplicates, near_links, prefixes
+from quaywave.llm.near_dedup import COUNTERS, NEVER, Overlaps, _shingled, bag_minhash, keep_representatives, near_duplicates, near_links, prefixes
+from quaywave.llm.shingles import multisets
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -65,7 +66,42 @@ def test_signatures_estimate_weighted_overlap():
         b = np.where(rng.random(300) < 0.7, a, rng.integers(0, top, 300))
         text = np.concatenate([np.zeros((a > 0).sum(), int), np.ones((b > 0).sum(), int)])
         s = bag_minhash(text, np.concatenate([e[a > 0], e[b > 0]]), np.concatenate([a[a > 0], b[b > 0]]), 2, m=8000)
-        assert np.isfinite(s).all() and abs((s[0] == s[1]).mean() - np.minimum(a, b).sum() / np.maximum(a, b).sum()) < 0.03
+        assert (s < NEVER).all() and abs((s[0] == s[1]).mean() - np.minimum(a, b).sum() / np.maximum(a, b).sum()) < 0.03
+
+
+def bits(texts):
+    data = [t.encode() for t in texts]
+    text, hashes, _ = _shingled(data, 5)
+    return bag_minhash(*multisets(text, hashes), len(data))
+
+
+def test_signatures_do_not_depend_on_the_texts_beside():
+    rng = random.Random(5)
+    said = lambda n: " ".join(rng.choice("abcdefghij") * 2 + str(rng.randrange(99)) for _ in range(n))
+    some = [said(n) for n in (1, 6, 12, 25, 60, 400)] + ["ab " * 700]
+    alone = np.concatenate([bits([t]) for t in some])
+    for others in (1, 10, 300, 1000):
+        beside = [said(rng.choice((5, 13, 300))) for _ in range(others)]
+        assert (bits(beside + some)[others:] == alone).all() and (bits(some + beside)[: len(some)] == alone).all()
+
+
+def test_pairs_over_two_files_as_in_one(spark, tmp_path):
+    rng = random.Random(11)
+    words = [f"w{k}" for k in range(5000)]
+    left, right = [], []
+    for k in range(240):
+        n = (6, 13, 25, 40, 60)[k % 5]
+        text = [rng.choice(words) for _ in range(n)]
+        more = text + [rng.choice(words) for _ in range((n - 4) // 4)]  # n - 4 shingles of (n - 4) * 5 / 4: overlap 0.8
+        left.append((2 * k, " ".join(text)))
+        right.append((2 * k + 1, " ".join(more)))
+    filler = [(10_000 + k, " ".join(rng.choice(words) for _ in range(300))) for k in range(300)]
+    schema = "doc_id long, text string"
+    spark.createDataFrame(left + filler, schema).coalesce(1).write.parquet(f"{tmp_path}/a")
+    spark.createDataFrame(right, schema).coalesce(1).write.parquet(f"{tmp_path}/b")
+    told = classes(left + right + filler)
+    for docs in (spark.read.parquet(f"{tmp_path}/a", f"{tmp_path}/b"), spark.createDataFrame(left + right + filler, schema).coalesce(1)):
+        assert {r["doc_id"]: r["class_id"] for r in near_duplicates(docs).collect()} == told
 
 
 def test_exact_overlaps():
