@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from ..operators.windows import let
+from .common import materialize, spread_join
 from .components import connected_components
 
 #: (verdict, host and path) of the default list.
@@ -41,19 +42,27 @@ def _relative(link: Column, url: Column) -> Column:
     def step(acc: Column, x: Column) -> Column:
         return F.when(x == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).when(x == ".", acc).otherwise(F.concat(acc, F.array(x)))
 
-    parts = F.split(steps, "/", -1)
-    taken = F.aggregate(parts, F.array().cast("array<string>"), step)
-    taken = F.when(F.element_at(parts, -1).isin(".", ".."), F.concat(taken, F.array(F.lit("")))).otherwise(taken)
-    return F.concat(F.when(F.startswith(link, F.lit("?")), base).otherwise(F.concat(F.lit("/"), F.array_join(taken, "/"))), query)
+    def walk(parts: Column) -> Column:
+        taken = F.aggregate(parts, F.array().cast("array<string>"), step)
+        ends = F.when(F.element_at(parts, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+        return F.concat(F.lit("/"), F.array_join(F.concat(taken, ends), "/"))
+
+    return F.concat(F.when(F.startswith(link, F.lit("?")), base).otherwise(let(F.split(steps, "/", -1), walk)), query)
 
 
 def resolve(link: Column, url: Column) -> Column:
-    """A link of a page as a node; null for none and for those of other schemes (mailto:). Fragments aren't part of a node."""
+    """A link of a page as a node; null for none and for those of other schemes (mailto:). Fragments aren't part of a node.
+
+    Every part is bound once by let: put into each other as plain columns they would multiply in the plan."""
+
+    def against(x: Column) -> Column:
+        link, url = x["link"], x["url"]
+        scheme, root = F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*:)//", 1), F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
+        whole = F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), link).when(F.startswith(link, F.lit("//")), F.concat(scheme, link)).when(F.startswith(link, F.lit("/")), F.concat(root, link))
+        return whole.when((link != "") & (root != "") & ~link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.concat(root, _relative(link, url)))
+
     link = F.trim(F.regexp_replace(F.regexp_replace(link, "(?i)&amp;", "&"), "#.*$", ""))
-    scheme, root = F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*:)//", 1), F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
-    whole = F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), link).when(F.startswith(link, F.lit("//")), F.concat(scheme, link)).when(F.startswith(link, F.lit("/")), F.concat(root, link))
-    whole = whole.when((link != "") & (root != "") & ~link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.concat(root, _relative(link, url)))
-    return node_of(whole)
+    return let(let(F.struct(link.alias("link"), url.alias("url")), against), node_of)
 
 
 def node_of(url: Column) -> Column:
@@ -61,7 +70,7 @@ def node_of(url: Column) -> Column:
     bare = F.regexp_replace(url, "(?s)#.*$", "")
     head = F.translate(F.regexp_extract(bare, r"(?s)^(.*?://[^/?#]*)", 1), _UPPER, _LOWER)
     rest = F.regexp_extract(bare, r"(?s)^.*?://[^/?#]*(.*)$", 1)
-    return F.when(F.length(head) > 0, F.concat(head, F.when(F.startswith(rest, F.lit("/")), rest).otherwise(F.concat(F.lit("/"), rest))))
+    return let(F.struct(head.alias("head"), rest.alias("rest")), lambda x: F.when(F.length(x["head"]) > 0, F.concat(x["head"], F.when(F.startswith(x["rest"], F.lit("/")), x["rest"]).otherwise(F.concat(F.lit("/"), x["rest"])))))
 
 
 def page_links(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
@@ -73,9 +82,9 @@ def page_links(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
     refresh = F.filter(tag("meta"), lambda t: t.rlike(r"""(?i)\bhttp-equiv\s*=\s*["']?refresh\b"""))
     refresh = F.transform(refresh, lambda t: F.regexp_extract(t, r"""(?i)\bcontent\s*=\s*["']?\s*[0-9.]*\s*[;,]\s*url\s*=\s*["']?([^"'>]*)""", 1))
     base = F.regexp_extract(html, r"""(?i)<base\b[^<>]*\bhref\s*=\s*["']?([^"'\s>]*)""", 1)
-    rows = pages.where(html.rlike("(?i)canonical|http-equiv")).select(url.alias("url"), base.alias("base"), F.explode(F.concat(canonical, refresh)).alias("link"))
-    rows = rows.withColumn("base", F.coalesce(resolve(F.col("base"), F.col("url")), F.col("url")))
-    return rows.select(node_of(F.col("url")).alias("u"), resolve(F.col("link"), F.col("base")).alias("v")).where("u IS NOT NULL AND v IS NOT NULL AND u <> v")
+    rows = pages.where(html.rlike("(?i)canonical|http-equiv")).select(url.alias("url"), base.alias("base"), F.concat(canonical, refresh).alias("links")).where(F.size("links") > 0)
+    against = let(F.coalesce(resolve(F.col("base"), F.col("url")), F.col("url")), lambda b: F.transform("links", lambda link: resolve(link, b)))
+    return rows.select(node_of(F.col("url")).alias("u"), F.explode(against).alias("v")).where("u IS NOT NULL AND v IS NOT NULL AND u <> v")
 
 
 def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rules: tuple[tuple[str, str], ...] = RULES, redirects: DataFrame | None = None) -> DataFrame:
@@ -99,6 +108,8 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     aliases = connected_components(links).withColumns({"host": host_of(F.col("node")), "path": path_of(F.col("node"))}).withColumn("said", said)
     told = aliases.groupBy("component").agg(F.max(F.col("said") == "allow").alias("allow"), F.max(F.col("said") == "block").alias("block"))
     blocked = told.where(F.col("block") & ~F.coalesce("allow", F.lit(False))).select("component", F.lit("block").alias("alias"))
-    named = aliases.select("node", "component").join(blocked, "component").select("node", "alias")
-    out = judged.withColumn("node", node_of(F.col("url"))).join(named, "node", "left")
+    # A giant component and a much repeated url are hot keys of these joins; pages without a node take no part.
+    named = materialize(spread_join(aliases.select("node", "component"), blocked, ["component"], ["node"]).select("node", "alias"), "url-blocked")
+    judged = materialize(judged.withColumn("node", node_of(F.col("url"))), "url-judged")
+    out = spread_join(judged.where("node IS NOT NULL"), named, ["node"], ["id"], "left").unionByName(judged.where("node IS NULL"), allowMissingColumns=True)
     return out.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("said", "alias", F.lit("allow")).alias("verdict"))

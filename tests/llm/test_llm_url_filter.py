@@ -1,6 +1,6 @@
 import re
 
-from quaywave.llm.url_filter import RULES, judge_urls
+from quaywave.llm.url_filter import RULES, judge_urls, page_links
 
 
 def parts(url):
@@ -118,3 +118,18 @@ def test_a_very_long_page_and_repeated_pages(spark):
     long = "<link " * 200_000 + link("http://b.com/de/1")
     rows = [("http://q.net/1", long), ("http://q.net/1", long), (None, long), ("http://q.net/2", "<meta " * 200_000)]
     assert [r["verdict"] for r in judge_urls(pages_of(spark, rows)).orderBy("page_id").collect()] == ["block", "block", "allow", "allow"]
+
+
+def test_links_make_a_small_plan(spark):
+    found = page_links(pages_of(spark, [("http://a.b/", "")]), "url", "html")
+    said = found._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("extended"))
+    assert len(said) < 100_000
+
+
+def test_giant_component_repeated_urls_and_null_urls(spark):
+    chain = [(f"http://s{k}.net/", link(f"http://s{k // 2}.net/")) for k in range(1, 600)]
+    rows = [*chain, ("http://s0.net/", link("http://b.com/de/x")), *[("http://s9.net/", "<p>")] * 500, *[(None, None)] * 500, *[("nothing", "")] * 100, ("http://other.net/", "<p>")]
+    out = judge_urls(pages_of(spark, rows)).collect()
+    assert len(out) == len(rows)
+    said = {r["page_id"]: r["verdict"] for r in out}
+    assert all(said[i] == ("block" if url and ".net/" in url and url != "http://other.net/" else "allow") for i, (url, _) in enumerate(rows))
