@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .alignment import align_documents
 from .ann import nearest_neighbours
 from .chat import digest_chats, format_chats
 from .exact_dedup import grace_dedup
@@ -81,6 +82,13 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_chats(format_chats(turns))
 
 
+def op11_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aligned = align_documents(table(spark, sf_dir, "documents"))
+    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("")
+    texts = aligned.groups().select("row", F.col("id").alias("doc_id"), "n_a", "n_b", "n_groups", digest.alias("groups_sha256"), "n_overlaps")
+    return texts.join(aligned.scores().hint("merge"), "row").select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "n_overlaps")
+
+
 def _url_sql() -> str:
     """Rules, and block decisions over canonical links and refresh redirects by plain reachability."""
     low = lambda x: f"translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -144,6 +152,7 @@ QUERIES: dict[str, Query] = {
     "op8_url_filter": op8_url_filter,
     "op9_shards": op9_shards,
     "op10_chat_format": op10_chat_format,
+    "op11_align": op11_align,
 }
 
 ORACLES: dict[str, str] = {
