@@ -5,12 +5,12 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 from functools import cached_property
-from typing import NamedTuple
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..ship import ship
@@ -83,7 +83,7 @@ class Owners:
 
     def __init__(self, a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, len_a: np.ndarray, len_b: np.ndarray) -> None:
         self.a, self.b, self.n_a, self.n_b = a, b, n_a, n_b
-        own_a, own_b = np.repeat(np.arange(len(a)), len_a[a]), np.repeat(np.arange(len(b)), len_b[b])
+        own_a, own_b = np.repeat(np.arange(len(a), dtype=np.int32), len_a[a]), np.repeat(np.arange(len(b), dtype=np.int32), len_b[b])
         new_a, new_b = (np.concatenate([[True] * (len(x) > 0), x[1:] != x[:-1]]) for x in (own_a, own_b))
         self.overlap_a, self.overlap_b = (x[new_a | new_b] for x in (own_a, own_b))
         last = np.concatenate([np.flatnonzero(new_a & new_b)[1:] - 1, [len(own_a) - 1] * (len(own_a) > 0)]).astype(np.int64)
@@ -93,11 +93,6 @@ class Owners:
         self.link_doc = doc[self.end_a]
         self.n_groups = np.bincount(self.link_doc, minlength=len(n_a))
 
-    @property
-    def link_keys(self) -> np.ndarray:
-        """The id pair of every link as one number."""
-        return self.a[self.end_a].astype(np.int64) << 32 | self.b[self.end_b].astype(np.int64)
-
     def spelled(self, names: np.ndarray, size: int) -> list[str]:
         """Each document's groups as `a1,a2|b1;a3|b2,b3`. names: every id with ',', '|', ';' and nothing after it."""
         after_a, after_b = np.zeros(len(self.a), dtype=np.int64), np.zeros(len(self.b), dtype=np.int64)
@@ -112,8 +107,8 @@ class Owners:
         return ["".join(items[x:y]) for x, y in zip(at[:-1], at[1:])]
 
 
-def _parts(sizes: np.ndarray, most: int = 1 << 21) -> Iterator[tuple[int, int]]:
-    """Runs of rows of at most `most` tokens, or of one row."""
+def _parts(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Runs of rows of at most `most` in all, or of one row."""
     start, held = 0, 0
     for k, n in enumerate(sizes):
         if k > start and held + n > most:
@@ -124,121 +119,114 @@ def _parts(sizes: np.ndarray, most: int = 1 << 21) -> Iterator[tuple[int, int]]:
         yield start, len(sizes)
 
 
-def _owners(batch: pa.RecordBatch, len_a: np.ndarray, len_b: np.ndarray) -> Iterator[tuple[pa.RecordBatch, Owners]]:
-    """The rows of a batch of the tokens table in parts, each with its alignment."""
-    n_a, n_b = (np.asarray(batch.column(c).value_lengths()).astype(np.int64) for c in ("a", "b"))
-    for x, y in _parts(n_a + n_b):
-        part = batch.slice(x, y - x)
-        a, b = (part.column(c).flatten().to_numpy() for c in ("a", "b"))
-        yield part, Owners(a, b, n_a[x:y], n_b[x:y], len_a, len_b)
+def _flat(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+    return np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum())), sizes
+
+
+def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), pa.array(values, pa.int32()))
+
+
+_ALIGNED = "row long, id long, n_a long, n_b long, n_groups long, n_overlaps long, groups string, link_a array<int>, link_b array<int>"
+
 
+def aligned_rows(docs: DataFrame, id_col: str, text_col: str, vocabulary_a: str, vocabulary_b: str) -> DataFrame:
+    """row (any number, distinct), id, n_a, n_b, n_groups, n_overlaps, groups (`a1,a2|b1;a3|b2,b3`), link_a, link_b (the ids linked).
 
-def encode_documents(docs: DataFrame, id_col: str, text_col: str, vocabulary_a: str, vocabulary_b: str) -> DataFrame:
-    """row (any number, distinct), id, a, b: ids by both tokenizers; none where there is no text, or one changes its bytes."""
-    schema = pa.schema([("row", pa.int64()), ("id", pa.int64()), ("a", pa.list_(pa.int32())), ("b", pa.list_(pa.int32()))])
+    A text has no tokens if it is empty or a tokenizer changes its bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, two = Tokens.of(vocabulary_a), Tokens.of(vocabulary_b)
+        size = max(len(one.lengths), len(two.lengths))
+        names = np.array([f"{i}{end}" for end in (",", "|", ";", "") for i in range(size)], dtype=object)
         for batch in batches:
-            column = batch.column(2)
-            for x, y in _parts(np.asarray(pc.binary_length(column)), 1 << 20):
-                texts = [t.as_py() for t in column.slice(x, y - x)]
+            for x, y in _parts(pc.binary_length(batch.column(2)).to_numpy(), 1 << 18):
+                texts = batch.column(2).slice(x, y - x).to_pylist()
                 a, b = one.encode(texts), two.encode(texts)
                 for k, text in enumerate(texts):
                     said = b" " + text.encode()
                     if not text or one.whole(a[k]) != said or two.whole(b[k]) != said:
                         a[k], b[k] = [], []
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(x, y - x), batch.column(1).slice(x, y - x), pa.array(a, schema.types[2]), pa.array(b, schema.types[3])], schema=schema)
+                flat_a, n_a = _flat(a)
+                flat_b, n_b = _flat(b)
+                own = Owners(flat_a, flat_b, n_a, n_b, one.lengths, two.lengths)
+                columns = [batch.column(0).slice(x, y - x), batch.column(1).slice(x, y - x), *(pa.array(n) for n in (n_a, n_b, own.n_groups, own.n_overlaps))]
+                columns += [pa.array(own.spelled(names, size), pa.string()), _lists(flat_a[own.end_a], own.n_groups), _lists(flat_b[own.end_b], own.n_groups)]
+                yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _ALIGNED.split(", ")])
 
     ship(docs.sparkSession)
     texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
-    return texts.mapInArrow(run, "row long, id long, a array<int>, b array<int>")
-
-
-class Alignment(NamedTuple):
-    """tokens: row, id, a, b. pairs: a, b, count, best (whether no id of A has more links with this b)."""
-
-    tokens: DataFrame
-    pairs: DataFrame
-    vocabularies: tuple[str, str]
-
-    def groups(self) -> DataFrame:
-        """row, id, n_a, n_b, n_groups, n_overlaps, groups: every row's alignment, spelled `a1,a2|b1;a3|b2,b3`."""
-        names_of = self.vocabularies
-        schema = pa.schema([("row", pa.int64()), ("id", pa.int64()), *((c, pa.int64()) for c in ("n_a", "n_b", "n_groups", "n_overlaps")), ("groups", pa.string())])
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            len_a, len_b = (Tokens.of(v).lengths for v in names_of)
-            size = max(len(len_a), len(len_b))
-            names = np.array([f"{i}{end}" for end in (",", "|", ";", "") for i in range(size)], dtype=object)
-            for batch in batches:
-                for part, own in _owners(batch, len_a, len_b):
-                    counts = [pa.array(x) for x in (own.n_a, own.n_b, own.n_groups, own.n_overlaps)]
-                    yield pa.RecordBatch.from_arrays([part.column("row"), part.column("id"), *counts, pa.array(own.spelled(names, size), pa.string())], schema=schema)
-
-        return self.tokens.mapInArrow(run, "row long, id long, n_a long, n_b long, n_groups long, n_overlaps long, groups string")
-
-    def scores(self) -> DataFrame:
-        """row, n_links, n_best (links whose pair is best for its b), count_sum (over links).
-
-        The commonest pairs, fewer than HEAD, are looked up where the tokens lie. Only links of the others are
-        exchanged, one row a document and pair; none of these pairs holds over 1 / HEAD of all links, so none is hot."""
-        names_of, spark = self.vocabularies, self.tokens.sparkSession
-        total = self.pairs.agg(F.sum("count")).first()[0] or 0
-        head = self.pairs.where(F.col("count") > F.lit(total // HEAD)).select(F.shiftleft(F.col("a").cast("long"), 32).bitwiseOR(F.col("b").cast("long")).alias("key"), "count", "best").toArrow()
-        order = np.argsort(head.column("key").to_numpy())
-        known = spark.sparkContext.broadcast(tuple(head.column(c).to_numpy()[order] for c in ("key", "count", "best")))
-
-        def links(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Owners, np.ndarray, np.ndarray, np.ndarray]]:
-            len_a, len_b = (Tokens.of(v).lengths for v in names_of)
-            keys = known.value[0]
-            for batch in batches:
-                for part, own in _owners(batch, len_a, len_b):
-                    found = own.link_keys
-                    at = np.minimum(np.searchsorted(keys, found), max(len(keys) - 1, 0))
-                    yield part, own, found, at, keys[at] == found if len(keys) else np.zeros(len(found), dtype=bool)
-
-        def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            _, count, best = known.value
-            for part, own, _, at, held in links(batches):
-                doc = own.link_doc[held]
-                sums = np.zeros((2, len(own.n_a)), dtype=np.int64)
-                np.add.at(sums[0], doc, best[at[held]].astype(np.int64))
-                np.add.at(sums[1], doc, count[at[held]])
-                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(own.n_groups), pa.array(sums[0]), pa.array(sums[1])], names=["row", "n_links", "n_best", "count_sum"])
-
-        def tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for part, own, found, _, held in links(batches):
-                both, n = np.unique(np.stack([own.link_doc[~held], found[~held]]), axis=1, return_counts=True)
-                rows = part.column("row").take(pa.array(both[0]))
-                yield pa.RecordBatch.from_arrays([rows, pa.array((both[1] >> 32).astype(np.int32)), pa.array((both[1] & 0xFFFFFFFF).astype(np.int32)), pa.array(n)], names=["row", "a", "b", "n"])
-
-        slim = self.tokens.select("row", "a", "b")
-        rare = slim.mapInArrow(tails, "row long, a int, b int, n long").join(self.pairs.hint("merge"), ["a", "b"])
-        rare = rare.select("row", F.lit(0).cast("long").alias("n_links"), F.when(F.col("best"), F.col("n")).otherwise(0).cast("long").alias("n_best"), (F.col("n") * F.col("count")).alias("count_sum"))
-        common = slim.mapInArrow(heads, "row long, n_links long, n_best long, count_sum long")
-        return common.unionByName(rare).groupBy("row").agg(*(F.sum(c).alias(c) for c in ("n_links", "n_best", "count_sum")))
-
-
-def align_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary_a: str = A, vocabulary_b: str = B) -> Alignment:
-    """Aligns every text's tokens by a byte-level tokenizer (of space + text) and a sentencepiece one (which adds the space).
+    return texts.mapInArrow(run, _ALIGNED)
+
+
+def _keys(batch: pa.RecordBatch) -> np.ndarray:
+    """The id pair of every link of a batch as one number."""
+    a, b = (batch.column(c).flatten().to_numpy().astype(np.int64) for c in ("link_a", "link_b"))
+    return a << 32 | b
 
-    Groups end where tokens of both end at one byte; the two tokens that do are linked. pairs counts the
-    links of every id pair over the corpus: the links are counted in each batch, then summed.
-    Null and empty texts, and those whose bytes a tokenizer changes (a literal U+2581, say), have no tokens
-    and all zeros. Every row is aligned for itself, so ids may repeat or be null, and copies count as often as
-    they occur. Other columns are ignored; an empty table gives empty tables. A text is aligned whole."""
-    tokens = materialize(encode_documents(docs, id_col, text_col, vocabulary_a, vocabulary_b), "align-tokens")
+
+def count_pairs(rows: DataFrame) -> DataFrame:
+    """a, b, count (links that hold the pair), best (whether no id of A has more links with this b). Counted in each batch, then summed."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        len_a, len_b = Tokens.of(vocabulary_a).lengths, Tokens.of(vocabulary_b).lengths
         for batch in batches:
-            for _, own in _owners(batch, len_a, len_b):
-                keys, n = np.unique(own.link_keys, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array((keys >> 32).astype(np.int32)), pa.array((keys & 0xFFFFFFFF).astype(np.int32)), pa.array(n)], names=["a", "b", "count"])
+            keys, n = np.unique(_keys(batch), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array((keys >> 32).astype(np.int32)), pa.array((keys & 0xFFFFFFFF).astype(np.int32)), pa.array(n)], names=["a", "b", "count"])
 
-    sums = tokens.select("a", "b").mapInArrow(count, "a int, b int, count long").groupBy("a", "b").agg(F.sum("count").alias("count"))
+    sums = rows.select("link_a", "link_b").mapInArrow(count, "a int, b int, count long").groupBy("a", "b").agg(F.sum("count").alias("count"))
     sums = materialize(sums, "align-counts")
     most = F.broadcast(sums.groupBy("b").agg(F.max("count").alias("most")))  # at most B's vocabulary
-    pairs = sums.join(most, "b").select("a", "b", "count", (F.col("count") == F.col("most")).alias("best"))
-    return Alignment(tokens, materialize(pairs, "align-pairs"), (vocabulary_a, vocabulary_b))
+    return sums.join(most, "b").select("a", "b", "count", (F.col("count") == F.col("most")).alias("best"))
+
+
+def link_scores(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """row, n_links, n_best (links whose pair is best for its b), count_sum (of their counts).
+
+    The commonest pairs, fewer than HEAD, are looked up where the rows lie. Only links of the others are
+    exchanged, one row a document and pair; none of these pairs holds over 1 / HEAD of all links, so none is hot."""
+    total = pairs.agg(F.sum("count")).first()[0] or 0
+    head = pairs.where(F.col("count") > F.lit(total // HEAD)).select("a", "b", "count", "best").toArrow()
+    keys = head.column("a").to_numpy().astype(np.int64) << 32 | head.column("b").to_numpy().astype(np.int64)
+    order = np.argsort(keys)
+    # A last key that no link has spares the look-up its ends.
+    known = rows.sparkSession.sparkContext.broadcast((np.append(keys[order], np.int64(2**63 - 1)), *(np.append(head.column(c).to_numpy()[order].astype(np.int64), 0) for c in ("count", "best"))))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, count, best = known.value
+        for batch in batches:
+            sizes = np.asarray(batch.column("link_a").value_lengths()).astype(np.int64)
+            doc, found = np.repeat(np.arange(len(sizes)), sizes), _keys(batch)
+            at = np.searchsorted(keys, found)
+            rare = np.flatnonzero(keys[at] != found)
+            at[rare] = len(keys) - 1
+            before = np.concatenate([[0], np.cumsum(sizes)])
+            sums = [np.diff(np.concatenate([[0], np.cumsum(x[at])])[before]) for x in (best, count)]
+            each = np.bincount(doc[rare], minlength=len(sizes))
+            out = [batch.column("row"), pa.array(sizes), *map(pa.array, sums), _lists(found[rare] >> 32, each), _lists(found[rare] & 0xFFFFFFFF, each)]
+            yield pa.RecordBatch.from_arrays(out, names=["row", "n_links", "n_best", "count_sum", "rare_a", "rare_b"])
+
+    slim = rows.select("row", "link_a", "link_b").mapInArrow(score, "row long, n_links long, n_best long, count_sum long, rare_a array<int>, rare_b array<int>")
+    slim = materialize(slim, "align-scores")
+    rare = slim.where(F.size("rare_a") > 0).select("row", F.explode(F.arrays_zip("rare_a", "rare_b")).alias("x")).groupBy("row", F.col("x.rare_a").alias("a"), F.col("x.rare_b").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    rare = rare.join(pairs.hint("merge"), ["a", "b"]).select("row", F.lit(0).cast("long").alias("n_links"), F.when(F.col("best"), F.col("n")).otherwise(0).cast("long").alias("n_best"), (F.col("n") * F.col("count")).alias("count_sum"))
+    return slim.select(*rare.columns).unionByName(rare).groupBy("row").agg(*(F.sum(c).alias(c) for c in ("n_links", "n_best", "count_sum")))
+
+
+def align_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary_a: str = A, vocabulary_b: str = B, keep: dict[str, Column] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Aligns every text's tokens by a byte-level tokenizer (of space + text) and a sentencepiece one (which adds the space).
+
+    Returns (documents, pairs). documents: id, n_a, n_b, n_groups, n_overlaps, n_links, n_best, count_sum, and `keep`:
+    columns made of the alignment itself, by default groups, spelled `a1,a2|b1;a3|b2,b3`. pairs: a, b, count, best.
+    Groups end where tokens of both end at one byte; the two tokens that do are linked; a pair's count says how
+    many links of the corpus hold it.
+    Null and empty texts, and those whose bytes a tokenizer changes (a literal U+2581, say), have no tokens
+    and all zeros. Every row is aligned for itself, so ids may repeat or be null, and copies count as often as
+    they occur. Other columns are ignored; an empty table gives empty tables. A text is aligned whole."""
+    keep = {"groups": F.col("groups")} if keep is None else keep
+    rows = aligned_rows(docs, id_col, text_col, vocabulary_a, vocabulary_b)
+    names = ["n_a", "n_b", "n_groups", "n_overlaps"]
+    rows = materialize(rows.select("row", "id", *names, *(c.alias(n) for n, c in keep.items()), "link_a", "link_b"), "align-rows")
+    pairs = materialize(count_pairs(rows), "align-pairs")
+    out = rows.drop("link_a", "link_b").join(link_scores(rows, pairs).hint("merge"), "row")
+    return out.select(F.col("id").alias(id_col), *names, "n_links", "n_best", "count_sum", *keep), pairs

@@ -15,6 +15,7 @@ from .mixing import mix_sources
 from .near_dedup import near_duplicates
 from .packing import pack_documents
 from .pii import find_pii, spell
+from .quality import judge_quality
 from .sharding import shard_documents
 from .toxicity import fit_toxicity, held_out, score_toxicity
 from .url_filter import RULES, judge_urls
@@ -83,10 +84,13 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op11_align(spark: SparkSession, sf_dir: str) -> DataFrame:
-    aligned = align_documents(table(spark, sf_dir, "documents"))
-    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("")
-    texts = aligned.groups().select("row", F.col("id").alias("doc_id"), "n_a", "n_b", "n_groups", digest.alias("groups_sha256"), "n_overlaps")
-    return texts.join(aligned.scores().hint("merge"), "row").select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "n_overlaps")
+    digest = {"groups_sha256": F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("")}
+    aligned, _ = align_documents(table(spark, sf_dir, "documents"), keep=digest)
+    return aligned.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "n_overlaps")
+
+
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def _url_sql() -> str:
@@ -153,6 +157,7 @@ QUERIES: dict[str, Query] = {
     "op9_shards": op9_shards,
     "op10_chat_format": op10_chat_format,
     "op11_align": op11_align,
+    "op12_quality": op12_quality,
 }
 
 ORACLES: dict[str, str] = {

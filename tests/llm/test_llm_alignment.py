@@ -51,14 +51,14 @@ ODD = ["<|endoftext|> and <s> </s> <unk> <0x41>", "a▁b", "\x00 nul", "  two  s
 
 def check(spark, docs, rows):
     told, counts = brute(rows)
-    aligned = align_documents(docs)
-    got = aligned.groups().join(aligned.scores(), "row").collect()
-    mine = Counter((r["id"], r["n_a"], r["n_b"], r["groups"], r["n_links"], r["n_best"], r["count_sum"]) for r in got)
+    aligned, pairs = align_documents(docs)
+    got = aligned.collect()
+    mine = Counter((r["doc_id"], r["n_a"], r["n_b"], r["groups"], r["n_links"], r["n_best"], r["count_sum"]) for r in got)
     assert mine == Counter(t[:7] for t in told)
     assert all(r["n_groups"] == r["n_links"] for r in got)
     over = Counter((t[3], t[7]) for t in told if t[7] is not None)
     assert all(over[(r["groups"], r["n_overlaps"])] for r in got if r["n_a"] < 2000)
-    assert {(r["a"], r["b"]): r["count"] for r in aligned.pairs.collect()} == dict(counts)
+    assert {(r["a"], r["b"]): r["count"] for r in pairs.collect()} == dict(counts)
 
 
 def test_against_brute_force_on_edges(spark, docs_of, edge):
@@ -86,5 +86,5 @@ def test_query_digests_the_groups(spark, sf):
 
 def test_empty_table(spark, docs_of):
     docs = docs_of([(1, "a")]).where(F.lit(False))
-    aligned = align_documents(docs)
-    assert aligned.pairs.count() == 0 and aligned.groups().join(aligned.scores(), "row").count() == 0
+    aligned, pairs = align_documents(docs)
+    assert pairs.count() == 0 and aligned.count() == 0
