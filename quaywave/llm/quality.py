@@ -11,8 +11,7 @@ from ..operators.windows import let
 from .common import WORD, materialize, spread_join, text_of
 
 #: Signs that count as symbols.
-SYMBOLS = "#*$%&|<>"
-_SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
+SYMBOLS = "[#*$%&|<>]"
 #: The rules: what they measure, as whole numbers from 0 to 1000 of which larger ones are worse.
 RULES = {
     "symbols": "least(1000, 1000 * n_symbols div greatest(word_chars, 1))",
@@ -52,14 +51,14 @@ def text_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     earlier one; n_repeat_words; n_upper (capital letters). A null text counts as empty."""
     text, size = F.col("text"), lambda c: F.size(c).cast("long")
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD))
-    without = lambda signs: F.length(F.translate(text, signs, ""))
+    without = lambda what: F.length(F.regexp_replace(text, what + "++", ""))
 
     counted = let(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda w: F.struct(size(w).alias("n_words"), _repeated(w).cast("long").alias("n_repeat_words")))
     lined = let(lines, lambda x: F.struct(size(x).alias("n_lines"), (size(x) - size(F.array_distinct(x))).alias("n_dup_lines")))
     rows = docs.select(F.col(id_col).alias("id"), F.col(stratum_col).cast("string").alias("stratum"), text_of(text_col).alias("text"))
     rows = rows.select(
-        "id", "stratum", F.xxhash64(text).alias("text"), counted.alias("w"), lined.alias("l"), without(_SPACES).cast("long").alias("word_chars"),
-        (F.length(text) - without(SYMBOLS)).cast("long").alias("n_symbols"), (F.length(text) - F.length(F.regexp_replace(text, r"\p{Lu}++", ""))).cast("long").alias("n_upper"),
+        "id", "stratum", F.xxhash64(text).alias("text"), counted.alias("w"), lined.alias("l"), without(r"[\x20\x09-\x0D]").cast("long").alias("word_chars"),
+        (F.length(text) - without(SYMBOLS)).cast("long").alias("n_symbols"), (F.length(text) - without(r"\p{Lu}")).cast("long").alias("n_upper"),
     )
     rows = rows.select("id", "stratum", "text", "w.n_words", "word_chars", "n_symbols", "l.n_lines", "l.n_dup_lines", "w.n_repeat_words", "n_upper")
     return rows.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))

@@ -15,6 +15,7 @@ from .mixing import mix_sources
 from .near_dedup import near_duplicates
 from .packing import pack_documents
 from .pii import find_pii, spell
+from .quality import RULES as QUALITY_RULES
 from .quality import judge_quality
 from .sharding import shard_documents
 from .toxicity import fit_toxicity, held_out, score_toxicity
@@ -90,7 +91,7 @@ def op11_align(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judge_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("reason")
 
 
 def _url_sql() -> str:
@@ -145,6 +146,49 @@ def _url_sql() -> str:
         SELECT page_id, host, path, rule, coalesce(said, CASE WHEN node IN (SELECT node FROM blocked) THEN 'block' ELSE 'allow' END) AS verdict FROM judged"""
 
 
+def _quality_sql() -> str:
+    """Counts from exploded words and lines; binomial sums by lgamma; the cutoffs and the verdicts of fit_cutoffs and apply_cutoffs."""
+    measures = ", ".join(f"CAST({text.replace(' div ', ' // ')} AS INT)" for text in QUALITY_RULES.values())
+    rules, risk = len(QUALITY_RULES), 0.05 / len(QUALITY_RULES)
+    return rf"""
+        WITH texts AS (SELECT row_number() OVER () AS row, doc_id, lang, coalesce(text, '') AS text FROM documents),
+        words AS (SELECT row, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM (SELECT row, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM texts)),
+        windows AS (SELECT row, i, word AS a, lead(word) OVER o AS b, lead(word, 2) OVER o AS c FROM words WINDOW o AS (PARTITION BY row ORDER BY i)),
+        twice AS (SELECT row, i FROM (SELECT row, i, count(*) OVER (PARTITION BY row, a, b, c) AS n FROM windows WHERE c IS NOT NULL) WHERE n > 1),
+        covered AS (SELECT row, count(DISTINCT i + k) AS n FROM twice, range(3) r(k) GROUP BY row),
+        counted AS (SELECT row, count(*) AS n, sum(length(word)) AS chars FROM words GROUP BY row),
+        lines AS (SELECT row, unnest(string_split(text, chr(10))) AS line FROM texts),
+        lined AS (SELECT row, count(*) AS n, count(*) - count(DISTINCT line) AS dup FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY row),
+        stats AS (
+            SELECT t.row, doc_id, lang AS stratum, text, coalesce(w.n, 0) AS n_words, CAST(coalesce(chars, 0) AS BIGINT) AS word_chars,
+                   length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+                   coalesce(l.n, 0) AS n_lines, coalesce(dup, 0) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words,
+                   length(text) - length(regexp_replace(text, '\p{{Lu}}', '', 'g')) AS n_upper
+            FROM texts t LEFT JOIN counted w USING (row) LEFT JOIN lined l USING (row) LEFT JOIN covered c USING (row)),
+        measured AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, [{measures}] AS measures FROM stats),
+        told AS (SELECT doc_id, max(quality) = 1 AS good FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
+        held AS (SELECT stratum, bool_or(good) AS good, any_value(measures) AS measures FROM measured JOIN told USING (doc_id) WHERE NOT base_failed GROUP BY stratum, text),
+        shares AS (SELECT stratum, count(*) > (SELECT count(*) FROM held) // 1024 AS named FROM held GROUP BY stratum),
+        each AS (
+            SELECT NOT named AS pooled, CASE WHEN named THEN h.stratum END AS stratum, good, unnest(measures) AS cutoff, unnest(range({rules})) AS rule
+            FROM held h JOIN shares s ON h.stratum IS NOT DISTINCT FROM s.stratum),
+        counts AS (SELECT pooled, stratum, rule, cutoff, count(*) FILTER (good) AS g, count(*) FILTER (NOT good) AS b FROM each GROUP BY ALL),
+        tried AS (SELECT *, sum(g) OVER beyond AS lost, sum(b) OVER beyond AS caught, sum(g) OVER whole AS good, sum(b) OVER whole AS bad FROM counts
+                  WINDOW whole AS (PARTITION BY pooled, stratum, rule), beyond AS (PARTITION BY pooled, stratum, rule ORDER BY cutoff DESC)),
+        sizes AS (SELECT pooled, stratum, CAST(max(good) AS BIGINT) AS n FROM tried GROUP BY ALL),
+        terms AS (SELECT pooled, stratum, n, k, CASE WHEN k <= n THEN exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln({risk!r}) + (n - k) * ln(1 - {risk!r})) ELSE 0 END AS p
+                  FROM (SELECT *, unnest(range(CAST(ceil(n * {risk!r}) AS BIGINT) + 2)) AS k FROM sizes)),
+        sums AS (SELECT *, sum(p) OVER (PARTITION BY pooled, stratum ORDER BY k) AS below FROM terms),
+        limits AS (SELECT pooled, stratum, coalesce(max(k) FILTER (below <= 0.05 / ({rules} * (SELECT count(*) FROM sizes))), -1) AS allowed FROM sums GROUP BY ALL),
+        passed AS (SELECT t.*, caught / greatest(bad, 1) - 50 * lost / greatest(good, 1) AS worth FROM tried t JOIN limits l ON t.pooled = l.pooled AND t.stratum IS NOT DISTINCT FROM l.stratum WHERE lost <= allowed),
+        cutoffs AS (SELECT pooled, stratum, rule, max_by(cutoff, (round(worth, 12), cutoff)) AS cutoff FROM passed WHERE worth > 0 GROUP BY ALL),
+        hit AS (
+            SELECT DISTINCT row FROM measured m JOIN cutoffs c ON m.measures[c.rule + 1] >= c.cutoff
+            AND CASE WHEN EXISTS (SELECT 1 FROM cutoffs o WHERE NOT o.pooled AND o.stratum IS NOT DISTINCT FROM m.stratum)
+                     THEN NOT c.pooled AND c.stratum IS NOT DISTINCT FROM m.stratum ELSE c.pooled END)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND row NOT IN (SELECT row FROM hit) AS kept FROM measured"""
+
+
 QUERIES: dict[str, Query] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_pii": op2_pii,
@@ -162,6 +206,7 @@ QUERIES: dict[str, Query] = {
 
 ORACLES: dict[str, str] = {
     "op8_url_filter": _url_sql(),
+    "op12_quality": _quality_sql(),
     "op1_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256

@@ -28,6 +28,8 @@ COLUMNS = {
     "op8": ["page_id", "host", "path", "rule", "verdict"],
     "op9": ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"],
     "op10": ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"],
+    "op11": ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"],
+    "op12": ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"],
 }
 
 
