@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import re
 from collections.abc import Callable, Iterator
 from functools import cached_property
@@ -16,8 +17,9 @@ from pyspark.sql import functions as F
 from ..ship import ship
 from .common import materialize, text_of
 
-#: Vocabularies by name for public_tokenizers.path, or as paths: byte-level BPE and sentencepiece.
-A, B = "byte_bpe_50k.json", "piece_bpe_32k.model"
+#: Vocabularies by name for public_tokenizers.path, or as paths: byte-level BPE and sentencepiece. A is byte_bpe_50k.json
+#: in tiktoken's form, which encodes several times faster; a test holds the ids of both together on every code point.
+A, B = "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"
 #: Id pairs that hold more than 1 / HEAD of all links are fewer than HEAD, whatever the corpus: these are broadcast.
 HEAD = 1 << 18
 
@@ -51,6 +53,23 @@ class Tokens:
             names = [model.id_to_token(i) or "" for i in range(model.get_vocab_size())]
             self.bytes_of = [bytes(byte[c] for c in x) if all(c in byte for c in x) else x.encode() for x in names]
             self.encode: Callable[[list[str]], list[list[int]]] = lambda texts: [e.ids for e in model.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+        elif path.endswith(".tiktoken"):
+            import public_tokenizers
+            import tiktoken
+
+            with open(path, "rb") as file:
+                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
+            model = tiktoken.Encoding("public", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+            named = {i: x for x, i in ranks.items()}
+            self.bytes_of = [named.get(i, b"") for i in range(max(named) + 1)]
+
+            def encode(text: str) -> list[int]:
+                try:
+                    return model.encode_ordinary(" " + text)
+                except ValueError:  # its pattern gives up on very long white space; `tokenizers` does not
+                    return Tokens.of(vocabulary.removesuffix(".tiktoken") + ".json").encode([text])[0]
+
+            self.encode = lambda texts: [encode(t) for t in texts]
         else:
             import sentencepiece
 
@@ -141,7 +160,7 @@ def aligned_rows(docs: DataFrame, id_col: str, text_col: str, vocabulary_a: str,
         size = max(len(one.lengths), len(two.lengths))
         names = np.array([f"{i}{end}" for end in (",", "|", ";", "") for i in range(size)], dtype=object)
         for batch in batches:
-            for x, y in _parts(pc.binary_length(batch.column(2)).to_numpy(), 1 << 18):
+            for x, y in _parts(pc.binary_length(batch.column(2)).to_numpy(), 1 << 17):
                 texts = batch.column(2).slice(x, y - x).to_pylist()
                 a, b = one.encode(texts), two.encode(texts)
                 for k, text in enumerate(texts):

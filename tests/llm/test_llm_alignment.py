@@ -1,3 +1,4 @@
+import os
 from collections import Counter
 
 import public_tokenizers
@@ -6,9 +7,11 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from quaywave.llm import alignment
-from quaywave.llm.alignment import A, B, Tokens, align_documents
+from quaywave.llm.alignment import B, Tokens, align_documents
 from quaywave.llm.queries import op11_align
 
+A = "byte_bpe_50k.json"
+
 
 def brute(rows):
     """Per row: n_a, n_b, groups text, links, n_best, count_sum, overlaps, by walking end offsets."""
@@ -46,6 +49,18 @@ def brute(rows):
     return [(k, na, nb, g, len(x), sum(counts[p] == best[p[1]] for p in x), sum(counts[p] for p in x), o) for k, na, nb, g, x, o in out], counts
 
 
+def test_both_forms_of_the_vocabulary_give_the_same_ids(spark, sf):
+    json, fast = Tokens.of(A), Tokens.of(alignment.A)
+    assert json.bytes_of[: len(fast.bytes_of)] == fast.bytes_of and len(json.bytes_of) - len(fast.bytes_of) == 1
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = [sep.join(points[k : k + 512]) for k in range(0, len(points), 512) for sep in ("", "a", " ", "'s1 ")]
+    whole = sf if not os.path.isdir("/root/testdata/sf0.1") else "/root/testdata/sf0.1"
+    texts += [r["text"] for r in spark.read.parquet(f"{whole}/documents.parquet").where("text IS NOT NULL").select("text").collect()]
+    texts += [" " * 1_000_000, " \n" * 600_000, "x" * 20_000]
+    for k in range(0, len(texts), 500):
+        assert json.encode(texts[k : k + 500]) == fast.encode(texts[k : k + 500])
+
+
 ODD = ["<|endoftext|> and <s> </s> <unk> <0x41>", "a▁b", "\x00 nul", "  two  spaces ", " 　wide", "naïve façade ﬁne Å", "𝔘𝔫𝔦 😀👩‍👩‍👧", "\r\n\t mixed \n\n lines", "x" * 3000, "日本語のテキスト", "é combining", "🏽", " "]
 
 
