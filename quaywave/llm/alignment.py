@@ -65,7 +65,7 @@ class Tokens:
 
             def encode(text: str) -> list[int]:
                 try:
-                    return model.encode_ordinary(" " + text)
+                    return model.encode(" " + text, disallowed_special=())
                 except ValueError:  # its pattern gives up on very long white space; `tokenizers` does not
                     return Tokens.of(vocabulary.removesuffix(".tiktoken") + ".json").encode([text])[0]
 
