@@ -179,18 +179,22 @@ def aligned_rows(docs: DataFrame, id_col: str, text_col: str, vocabulary_a: str,
     return texts.mapInArrow(run, _ALIGNED)
 
 
-def _keys(batch: pa.RecordBatch) -> np.ndarray:
-    """The id pair of every link of a batch as one number."""
-    a, b = (batch.column(c).flatten().to_numpy().astype(np.int64) for c in ("link_a", "link_b"))
-    return a << 32 | b
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Some rows of a batch at a time, the links of each, and the id pair of every link as one number."""
+    for batch in batches:
+        sizes = np.asarray(batch.column("link_a").value_lengths()).astype(np.int64)
+        for x, y in _parts(sizes, 1 << 18):
+            part = batch.slice(x, y - x)
+            a, b = (part.column(c).flatten().to_numpy().astype(np.int64) for c in ("link_a", "link_b"))
+            yield part, sizes[x:y], a << 32 | b
 
 
 def count_pairs(rows: DataFrame) -> DataFrame:
     """a, b, count (links that hold the pair), best (whether no id of A has more links with this b). Counted in each batch, then summed."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, n = np.unique(_keys(batch), return_counts=True)
+        for _, _, found in _linked(batches):
+            keys, n = np.unique(found, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array((keys >> 32).astype(np.int32)), pa.array((keys & 0xFFFFFFFF).astype(np.int32)), pa.array(n)], names=["a", "b", "count"])
 
     sums = rows.select("link_a", "link_b").mapInArrow(count, "a int, b int, count long").groupBy("a", "b").agg(F.sum("count").alias("count"))
@@ -213,9 +217,8 @@ def link_scores(rows: DataFrame, pairs: DataFrame) -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, count, best = known.value
-        for batch in batches:
-            sizes = np.asarray(batch.column("link_a").value_lengths()).astype(np.int64)
-            doc, found = np.repeat(np.arange(len(sizes)), sizes), _keys(batch)
+        for batch, sizes, found in _linked(batches):
+            doc = np.repeat(np.arange(len(sizes)), sizes)
             at = np.searchsorted(keys, found)
             rare = np.flatnonzero(keys[at] != found)
             at[rare] = len(keys) - 1
