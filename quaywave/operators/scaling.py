@@ -21,6 +21,22 @@ def fit_standard(train: DataFrame, by: list[str], eps: float | None = None) -> D
     return out.withColumn("std", F.when(F.col("std") == 0, F.lit(1.0)).otherwise(F.col("std")))
 
 
+def fit_standard_held_out(rows: DataFrame, by: list[str], fold: str = "fold") -> DataFrame:
+    """by, fold, mean, std: the statistics of each fold's training rows, which are all rows outside it.
+
+    One partial aggregation per fold; the folds' counts, means and variances are then put together, so rows are
+    read once for all folds. A constant feature scales by 1. rows: value, a fold number, of which there are few."""
+    parts = rows.groupBy(*by, fold).agg(F.count("value").alias("n"), F.avg("value").alias("m"), F.var_pop("value").alias("v"))
+    others = parts.groupBy(*by).agg(F.collect_list(F.struct(F.col(fold).alias("f"), "n", "m", "v")).alias("parts"))  # a struct a fold
+    one = others.select(*by, "parts", F.explode(F.transform("parts", lambda p: p["f"])).alias(fold))
+    one = one.withColumn("parts", F.filter("parts", lambda p: (p["f"] != F.col(fold)) & (p["n"] > 0)))
+    add = lambda what: F.aggregate("parts", F.lit(0.0), lambda a, p: a + what(p))
+    one = one.withColumn("n", add(lambda p: p["n"])).withColumn("mean", add(lambda p: p["n"] * p["m"]) / F.nullif("n", F.lit(0.0)))
+    spread = add(lambda p: p["n"] * (p["v"] + (p["m"] - F.col("mean")) * (p["m"] - F.col("mean"))))
+    out = one.withColumn("std", F.sqrt(spread / F.nullif("n", F.lit(0.0))))
+    return out.select(*by, fold, "mean", F.when(F.col("std") == 0, F.lit(1.0)).otherwise(F.col("std")).alias("std"))
+
+
 def ranked_values(rows: DataFrame, by: list[str], parts: int = 64) -> DataFrame:
     """by, value, same, upto, n: each distinct value of a group, its rows, the rows up to it, and all rows.
 

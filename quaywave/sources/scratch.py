@@ -1,4 +1,4 @@
-"""A folder that driver and executors share, for tables that a query writes on its way."""
+"""Folders that driver and executors share, for tables that a query writes on its way or leaves behind."""
 
 from __future__ import annotations
 
@@ -8,14 +8,19 @@ import uuid
 from pyspark.sql import SparkSession
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path under spark.checkpoint.dir, deleted when the driver's JVM ends. Only a local session may leave that unset."""
+def fresh(spark: SparkSession, name: str) -> str:
+    """A new path under spark.checkpoint.dir; what is written there stays. Only a local session may leave that unset."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
         if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.gettempdir()
-    path = f"{named.rstrip('/')}/quaywave-{name}-{uuid.uuid4().hex}"
+    return f"{named.rstrip('/')}/quaywave-{name}-{uuid.uuid4().hex}"
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path, deleted when the driver's JVM ends."""
+    path = fresh(spark, name)
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     return path
