@@ -7,6 +7,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import settle
+
 
 def long_form(rows: DataFrame, keys: list[str], array: str) -> DataFrame:
     """keys, feature_idx, value (double)."""
@@ -37,6 +39,17 @@ def fit_standard_held_out(rows: DataFrame, by: list[str], fold: str = "fold") ->
     return out.select(*by, fold, "mean", F.when(F.col("std") == 0, F.lit(1.0)).otherwise(F.col("std")).alias("std"))
 
 
+def range_ends(rows: DataFrame, by: list[str], value: str, parts: int) -> DataFrame:
+    """by, ends: parts - 1 approximate quantiles of each group. Where two reads must see the same ends, settle() them."""
+    return rows.groupBy(*by).agg(F.percentile_approx(value, F.array(*[F.lit(i / parts) for i in range(1, parts)]), F.lit(4 * parts)).alias("ends"))
+
+
+def part_of(ends: Column, value: Column, parts: int) -> Column:
+    """How many ends lie below the value, by binary search: parts is a power of two."""
+    steps = F.array(*[F.lit(parts >> k) for k in range(1, parts.bit_length())])
+    return F.aggregate(steps, F.lit(0), lambda i, step: F.when(F.get(ends, i + step - 1) < value, i + step).otherwise(i))
+
+
 def ranked_values(rows: DataFrame, by: list[str], parts: int = 64) -> DataFrame:
     """by, value, same, upto, n: each distinct value of a group, its rows, the rows up to it, and all rows.
 
@@ -44,11 +57,8 @@ def ranked_values(rows: DataFrame, by: list[str], parts: int = 64) -> DataFrame:
     that a task sorts one range and not a group; what lies before a range is a running sum over at most `parts`
     rows a group. Ranks are exact wherever the ranges end. Null values take no part."""
     ties = rows.where("value IS NOT NULL").groupBy(*by, "value").agg(F.count(F.lit(1)).alias("same"))
-    ends = ties.groupBy(*by).agg(F.percentile_approx("value", F.array(*[F.lit(i / parts) for i in range(1, parts)]), F.lit(4 * parts)).alias("ends"))
-    # Binary search for how many ends lie below the value: parts is a power of two.
-    steps = F.array(*[F.lit(parts >> k) for k in range(1, parts.bit_length())])
-    passed = F.aggregate(steps, F.lit(0), lambda i, step: F.when(F.get("ends", i + step - 1) < F.col("value"), i + step).otherwise(i))
-    dealt = ties.join(ends, by).withColumn("part", passed).drop("ends")
+    ends = settle(range_ends(ties, by, "value", parts), "range-ends")  # both uses below see the same ends
+    dealt = ties.join(ends, by).withColumn("part", part_of(F.col("ends"), F.col("value"), parts)).drop("ends")
     sizes = dealt.groupBy(*by, "part").agg(F.sum("same").alias("rows"))
     group = Window.partitionBy(*by)
     before = group.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

@@ -6,12 +6,14 @@ import io
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import windows
 from ..ship import ship
 from ..sources import ranges, recordings
-from ..sources.scratch import scratch
+from ..sources.ranges import pushed_down
+from ..sources.scratch import scratch, settle
 from ..streaming.hopping import counted_windows
 from .registry import E, L, R, query, r6, results, table, trials
 
@@ -74,6 +76,31 @@ def npy_decimating_scan(spark, d):
     return rows.withColumn("samples", F.transform("samples", lambda x: r6(x.cast("double"))))
 
 
+@query(f"""WITH {_PLACED} SELECT subject, session, CAST(place AS BIGINT) AS row_idx, CAST(c AS INT) AS channel, list_transform(embedding[c * 16 + 1 : c * 16 + 16], lambda x: round(CAST(x AS DOUBLE), 6) + 0.0) AS samples
+FROM o, range(0, 4) r(c) WHERE subject = 3 AND session < 2""")
+def npy_shards_pushed(spark, d):
+    """Vectors to .npy shards and back; the filter on the keys is the scan's own, which opens no other file."""
+    path = scratch(spark, "shards")
+    order = F.row_number().over(Window.partitionBy("subject", "session").orderBy("vec_id")) - 1
+    ranges.write_npy(trials(spark, d).select("subject", "session", order.alias("row_idx"), F.col("embedding").alias("samples")), path, (4, 16), most=16)
+    with pushed_down(spark):
+        rows = ranges.read_npy_rows(spark, path).where("subject = 3 AND session < 2").drop("global_idx")
+        return settle(rows.withColumn("samples", F.transform("samples", lambda x: r6(x.cast("double")))), "pushed")
+
+
+@query(f"""WITH {_PLACED} SELECT subject, session, place AS trial_idx, CAST(CASE c WHEN 0 THEN 0 ELSE c - 1 END AS INT) AS channel,
+  round(list_sum(list_transform(embedding[c * 16 + 1 : c * 16 + 16], lambda x: floor(CAST(x AS DOUBLE) * 1000))), 6) + 0.0 AS total FROM o, (VALUES (0), (2), (3)) v(c) WHERE subject IN (3, 4) AND place < 5""")
+def cnt_range_pushed(spark, d):
+    """Five trials of two subjects: the other files aren't opened, the other ranges not read."""
+    path = scratch(spark, "cnt")
+    ranges.write_files(_recordings(spark, d, _cnt), path)
+    most = trials(spark, d).groupBy("subject", "session").count().agg(F.max("count").alias("n")).first()["n"] or 0
+    with pushed_down(spark):
+        rows = ranges.read_cnt_ranges(spark, path, [(k, k * 16, k * 16 + 16) for k in range(most)]).where("subject IN (3, 4) AND trial_idx < 5")
+        total = F.aggregate("samples", F.lit(0.0), lambda a, x: a + x.cast("double"))
+        return settle(rows.select("subject", "session", "trial_idx", "channel", r6(total, "total")), "pushed")
+
+
 @query(f"""WITH {E} SELECT DISTINCT subject, session, subject % 2 = 0 AS has_companion FROM e""")
 def file_discovery(spark, d):
     """Keys from file names; which recordings have a companion; other names are skipped."""

@@ -11,10 +11,10 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import functions as F
 
 from ..functions import kernels, transforms
-from ..operators import estimators, scaling, spectral, windows
+from ..operators import estimators, information, scaling, spectral, windows
 from ..ship import ship
 from ..streaming.hopping import hopping_features
-from .registry import query, r6, table, trials
+from .registry import L, query, r6, table, trials
 from .signal_queries import WELCH
 
 FS = 128.0
@@ -156,16 +156,26 @@ def yeo_johnson(spark, d):
     return scaling.transform(moved, F.broadcast(scaling.fit_standard(moved, ["feature_idx"])), ["feature_idx"]).select("vec_id", "feature_idx", r6("scaled"))
 
 
-@query()
-def knn_mutual_information(spark, d):
-    ship(spark)
-    rows = trials(spark, d).select("y", F.posexplode("embedding").alias("feature_idx", "v"))
+def _psi(n: str) -> str:
+    """information.digamma as SQL text."""
+    x = f"(CAST({n} AS DOUBLE) + 6)"
+    f, down = f"(1 / ({x} * {x}))", " + ".join(f"1 / (CAST({n} AS DOUBLE) + {j})" for j in range(6))
+    return f"(ln({x}) - 0.5 / {x} - {f} * (1.0::DOUBLE / 12 - {f} * (1.0::DOUBLE / 120 - {f} / 252)) - ({down}))"
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        mi = kernels.knn_mutual_information(part["v"].to_numpy(dtype=float), part["y"].to_numpy())
-        return pd.DataFrame({"feature_idx": [part["feature_idx"].iloc[0]], "mi": [mi]})
 
-    return rows.groupBy("feature_idx").applyInPandas(run, "feature_idx int, mi double").select("feature_idx", r6("mi"))
+@query(f"""WITH {L}, sd AS (SELECT feature_idx, greatest(stddev_pop(value), 1e-12) AS s FROM l GROUP BY 1),
+p AS (SELECT vec_id, feature_idx, y, value / s + 1e-10 * (CAST('0x' || substr(md5(feature_idx || ':' || vec_id), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE - 0.5) AS x FROM l JOIN sd USING (feature_idx)),
+w AS (SELECT *, count(*) OVER (PARTITION BY feature_idx, y) AS n,
+        [0, {", ".join(f"coalesce(x - lag(x, {i}) OVER o, 'inf'::DOUBLE)" for i in (1, 2, 3))}] AS lo, [0, {", ".join(f"coalesce(lead(x, {i}) OVER o - x, 'inf'::DOUBLE)" for i in (1, 2, 3))}] AS hi
+      FROM p WINDOW o AS (PARTITION BY feature_idx, y ORDER BY x)),
+k AS (SELECT *, least(3, n - 1) AS k FROM w WHERE n > 1),
+r AS (SELECT *, list_min(list_transform(range(0, k + 1), lambda i: greatest(lo[i + 1], hi[k - i + 1]))) * (1 - 1e-9) AS d FROM k),
+m AS (SELECT r.feature_idx, r.y, r.n, r.k, r.vec_id, count(*) AS m FROM r JOIN p ON p.feature_idx = r.feature_idx AND p.x >= r.x - r.d AND p.x <= r.x + r.d GROUP BY ALL)
+SELECT feature_idx, round(greatest(0, {_psi("count(*)")} + (sum({_psi("k")} - {_psi("n")}) - sum({_psi("m")})) / count(*)), 6) + 0.0 AS mi FROM m GROUP BY 1""")
+def knn_mutual_information(spark, d):
+    """The k nearest of the own class by blocks of ranks with a halo; what lies within by running counts over ranges of values."""
+    rows = trials(spark, d).select("vec_id", "y", F.posexplode("embedding").alias("feature_idx", "value"))
+    return information.knn_information(rows, "y", noise=information.tie_break("feature_idx", "vec_id")).select("feature_idx", r6("mi"))
 
 
 def _folded(spark, d):

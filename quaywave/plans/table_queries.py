@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import features, folds, joins, report, scaling, selection
+from ..operators import features, folds, joins, report, scaling, selection, windows
 from .registry import E, L, R, query, r6, results, table, trials
 
 
@@ -245,11 +245,24 @@ def unmatched_anti(spark, d):
 SELECT user_id, trial, label, count(*) AS n, round(sum(value), 4) AS total FROM s JOIN t ON pos >= lo AND pos < hi GROUP BY ALL""")
 def label_samples(spark, d):
     marks = spark.createDataFrame([(0, 0, 10, 1), (1, 15, 30, -1), (2, 30, 45, 0)], "trial int, start int, end int, label int")
-    pos = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
-    rows = joins.label_samples(table(spark, d, "events").select("user_id", "value", "ts", "event_id").withColumn("pos", pos), marks, "pos")
+    series = windows.number_samples(table(spark, d, "events").select("user_id", "value", "ts", "event_id"), "user_id", ["ts", "event_id"], F.date_trunc("day", "ts"))
+    rows = joins.label_samples(series, marks, "pos")
     return rows.groupBy("user_id", "trial", "label").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
+@query("""WITH i AS (SELECT o_orderkey, o_custkey * 173 % 2592000 AS lo, o_custkey * 173 % 2592000 + (1 + CAST(floor(o_totalprice) AS BIGINT) % 300) * CASE WHEN o_orderkey % 97 = 0 THEN 100 ELSE 1 END AS hi FROM orders),
+p AS (SELECT value, epoch_us(ts) // 1000000 - 1704067200 AS sec FROM events)
+SELECT o_orderkey, count(*) AS n, round(sum(value), 4) + 0.0 AS total FROM i JOIN p ON sec >= lo AND sec < hi GROUP BY 1""")
+def interval_join_events(spark, d):
+    """Intervals of seconds to hours, one an order, with the events that fall into each."""
+    start = F.expr("o_custkey * 173 % 2592000")
+    length = (1 + F.floor("o_totalprice").cast("long") % 300) * F.when(F.col("o_orderkey") % 97 == 0, 100).otherwise(1)
+    spans = table(spark, d, "orders").select("o_orderkey", start.alias("start"), (start + length).alias("end"))
+    seconds = F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ '2024-01-01', CAST(ts AS TIMESTAMP_NTZ))")
+    rows = joins.interval_join(table(spark, d, "events").select("value", seconds.alias("at")), spans, "at", small=1000)
+    return rows.groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("n"), (F.round(F.sum("value"), 4) + 0.0).alias("total"))
+
+
 @query("SELECT DISTINCT n_regionkey AS k FROM nation INTERSECT SELECT r_regionkey FROM region WHERE r_regionkey < 3")
 def group_intersection(spark, d):
     return joins.shared_keys(table(spark, d, "nation").select(F.col("n_regionkey").alias("k")), table(spark, d, "region").where("r_regionkey < 3").select(F.col("r_regionkey").alias("k")), ["k"])

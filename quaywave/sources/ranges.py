@@ -4,8 +4,13 @@ Python data sources. Paths are those of a folder that pyarrow can list (local or
 
 from __future__ import annotations
 
+import io
 import json
+import re
+import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -13,64 +18,132 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, Filter, InputPartition, WriterCommitMessage
 
 from ..ship import ship
 from .recordings import AT_CHANNELS, CNT_CHANNEL, CNT_HEADER, NOT_BRAIN, cnt_layout, npy_layout
 
+#: Where the session sets this, filters on keys choose files and ranges; else they are applied after the scan, to the same result.
+PUSH = "spark.sql.python.filterPushdown.enabled"
+#: Samples of each channel that a partition reads: 64 channels of four bytes make 64 MB.
+PACK = 1 << 18
 
 @dataclass
 class Part(InputPartition):
-    """One range of one file: its key, a number of its own, and [start, end) in samples or rows."""
+    """Some ranges of one file: its key, and (a number of its own, start, end) of each, in samples or rows."""
 
     path: str
     subject: int
     session: int
-    index: int
-    start: int
-    end: int
+    ranges: list[tuple[int, int, int]]
+    first: int = 0  # the number of the recording's first row
 
 
-def _files(folder: str, suffix: str) -> list[tuple[str, int, int]]:
-    """(path, subject, session) of names like 3_1.cnt or 3_1_raw.npy, in their order; other names are skipped."""
-    import re
+def packed(ranges: list[tuple[int, int, int]], most: int) -> Iterator[list[tuple[int, int, int]]]:
+    """Ranges in their order, put together up to `most` samples or rows a partition; a longer one stands alone."""
+    held, size = [], 0
+    for r in ranges:
+        if held and size + r[2] - r[1] > most:
+            yield held
+            held, size = [], 0
+        held.append(r)
+        size += r[2] - r[1]
+    if held:
+        yield held
+
+
+_TESTS = {"EqualTo": lambda a, b: a == b, "GreaterThan": lambda a, b: a > b, "GreaterThanOrEqual": lambda a, b: a >= b, "LessThan": lambda a, b: a < b, "LessThanOrEqual": lambda a, b: a <= b, "In": lambda a, b: a in b}
+
+
+class Keyed(DataSourceReader):
+    """Readers whose files and ranges have keys."""
+
+    keys: tuple[str, ...] = ()
+    wanted: tuple[tuple, ...] = ()
+
+    def passes(self, **keys: int) -> bool:
+        return all(_TESTS[name](keys[column], value) for column, name, value in self.wanted if column in keys)
+
+
+class Pushed:
+    """Mixed into a Keyed reader: comparisons of keys with constants choose what is opened at all."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        for f in filters:
+            name, against = type(f).__name__, getattr(f, "value", None)
+            column = getattr(f, "attribute", ())
+            if name == "IsNotNull" and len(column) == 1 and column[0] in self.keys:
+                continue  # keys are never null
+            if name in _TESTS and len(column) == 1 and column[0] in self.keys and against is not None:
+                self.wanted = (*self.wanted, (column[0], name, against))
+            else:
+                yield f
+
+
+def _store(folder: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
 
-    store, at = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+
+def _files(folder: str, suffix: str) -> list[tuple[str, int, int]]:
+    """(path, subject, session) of names like 3_1.cnt, 3_1_raw.npy or, for shards, 3_1_raw-00002.npy, in their order; other names are skipped."""
+    store, at = _store(folder)
     out = []
     for info in store.get_file_info(fs.FileSelector(at)):
-        key = re.fullmatch(r"(\d+)_(\d+)(?:_raw)?" + re.escape(suffix), info.base_name)
+        key = re.fullmatch(r"(\d+)_(\d+)(?:_raw)?(?:-(\d+))?" + re.escape(suffix), info.base_name)
         if key and info.is_file:
-            out.append((info.path, int(key[1]), int(key[2])))
-    return sorted(out, key=lambda x: x[1:])
+            out.append((int(key[1]), int(key[2]), int(key[3] or 0), info.path))
+    return [(path, subject, session) for subject, session, _, path in sorted(out)]
+
+
+class Opened:
+    """A file, opened once for all of its ranges."""
+
+    def __init__(self, folder: str, path: str) -> None:
+        self.file = _store(folder)[0].open_input_file(path)
+
+    def __enter__(self) -> Opened:
+        return self
 
+    def __exit__(self, *_) -> None:
+        self.file.close()
 
-def _bytes(folder: str, path: str, start: int, size: int) -> bytes:
-    store = fs.FileSystem.from_uri(folder)[0] if "://" in folder or folder.startswith("file:") else fs.LocalFileSystem()
-    with store.open_input_file(path) as file:
-        return file.read_at(size, start)
+    def bytes(self, start: int, size: int) -> bytes:
+        return self.file.read_at(size, start)
 
 
-class CntReader(DataSourceReader):
+class CntReader(Keyed):
+    keys = ("subject", "session", "trial_idx")
+
     def __init__(self, options: dict) -> None:
-        self.folder, self.width = options["path"], int(options.get("width", 4))
+        self.folder, self.width, self.pack = options["path"], int(options.get("width", 4)), int(options.get("pack", PACK))
         self.ranges, self.drop = json.loads(options["ranges"]), set(json.loads(options["drop"]))
 
     def partitions(self) -> list[Part]:
-        return [Part(path, subject, session, int(i), int(a), int(b)) for path, subject, session in _files(self.folder, ".cnt") for i, a, b in self.ranges]
+        ranges = [(int(i), int(a), int(b)) for i, a, b in self.ranges if self.passes(trial_idx=i)]
+        files = [f for f in _files(self.folder, ".cnt") if self.passes(subject=f[1], session=f[2])]
+        return [Part(*file, part) for file in files for part in packed(ranges, self.pack)]
 
     def read(self, part: Part) -> Iterator[pa.RecordBatch]:
-        head = _bytes(self.folder, part.path, 0, CNT_HEADER)
-        n = int.from_bytes(head[AT_CHANNELS : AT_CHANNELS + 2], "little")
-        head = _bytes(self.folder, part.path, 0, CNT_HEADER + n * CNT_CHANNEL)
-        names, rate, base, scale, stop = cnt_layout(head)
-        row, first = self.width * max(n, 1), len(head)
-        last = min(part.end, (stop - first) // row)
-        if n and part.start < last:
-            raw = _bytes(self.folder, part.path, first + part.start * row, (last - part.start) * row)
-            data = np.frombuffer(raw, dtype=f"<i{self.width}").reshape(-1, n)
+        with Opened(self.folder, part.path) as file:
+            n = int.from_bytes(file.bytes(AT_CHANNELS, 2), "little")
+            head = file.bytes(0, CNT_HEADER + n * CNT_CHANNEL)
+            names, rate, base, scale, stop = cnt_layout(head)
+            row, first = self.width * max(n, 1), len(head)
             keep = [k for k, name in enumerate(names) if name not in self.drop]
-            values = ((data[:, keep] - base[keep]) * scale[keep]).T.astype(np.float32)
-            yield pa.RecordBatch.from_pylist([{"subject": part.subject, "session": part.session, "trial_idx": part.index, "channel": c, "channel_name": names[k], "fs": rate, "samples": v.tolist()} for c, (k, v) in enumerate(zip(keep, values))], _CNT)
+            for index, start, end in part.ranges:
+                last = min(end, (stop - first) // row)
+                if not n or start >= last:
+                    continue
+                data = np.frombuffer(file.bytes(first + start * row, (last - start) * row), dtype=f"<i{self.width}").reshape(-1, n)
+                values = ((data[:, keep] - base[keep]) * scale[keep]).T.astype(np.float32)
+                same = lambda x, t: pa.array(np.full(len(keep), x), t)
+                samples = pa.ListArray.from_arrays(pa.array(np.arange(len(keep) + 1) * (last - start), pa.int32()), pa.array(values.ravel()))
+                columns = [same(part.subject, pa.int32()), same(part.session, pa.int32()), same(index, pa.int32()), pa.array(range(len(keep)), pa.int32()), pa.array([names[k] for k in keep]), same(rate, pa.int32()), samples]
+                yield pa.RecordBatch.from_arrays(columns, schema=_CNT)
+
+
+class PushedCntReader(Pushed, CntReader):
+    pass
 
 
 _CNT = pa.schema([("subject", pa.int32()), ("session", pa.int32()), ("trial_idx", pa.int32()), ("channel", pa.int32()), ("channel_name", pa.string()), ("fs", pa.int32()), ("samples", pa.list_(pa.float32()))])
@@ -85,38 +158,132 @@ class CntRanges(DataSource):
         return "subject int, session int, trial_idx int, channel int, channel_name string, fs int, samples array<float>"
 
     def reader(self, schema) -> CntReader:
-        return CntReader(self.options)
+        return (PushedCntReader if self.options.get("pushed") == "true" else CntReader)(self.options)
 
 
-class NpyReader(DataSourceReader):
+class NpyReader(Keyed):
+    keys = ("subject", "session")
+
     def __init__(self, options: dict) -> None:
         self.folder, self.rows, self.decimate = options["path"], int(options.get("rows", 64)), int(options.get("decimate", 1))
 
     def _layout(self, path: str) -> tuple:
-        return npy_layout(_bytes(self.folder, path, 0, 1 << 12))
+        with Opened(self.folder, path) as file:
+            return npy_layout(file.bytes(0, 1 << 12))
 
     def partitions(self) -> list[Part]:
-        out, index = [], 0
-        for path, subject, session in _files(self.folder, ".npy"):
-            n = self._layout(path)[1][0]
-            out += [Part(path, subject, session, index + a, a, min(a + self.rows, n)) for a in range(0, n, self.rows)]
+        """The collection's index counts the windows of all files, whichever are wanted; headers are read sixteen at a time."""
+        files = _files(self.folder, ".npy")
+        with ThreadPoolExecutor(16) as pool:
+            sizes = [layout[1][0] for layout in pool.map(self._layout, (f[0] for f in files))]
+        out, index, first = [], 0, {}
+        for (path, subject, session), n in zip(files, sizes):
+            start = first.setdefault((subject, session), index)
+            if self.passes(subject=subject, session=session):
+                out += [Part(path, subject, session, [(index + a, a, min(a + self.rows, n))], start) for a in range(0, n, self.rows)]
             index += n
         return out
 
     def read(self, part: Part) -> Iterator[pa.RecordBatch]:
-        kind, shape, first, fortran = self._layout(part.path)
-        if fortran:
-            raise ValueError(f"{part.path}: rows of a tensor in Fortran order aren't ranges of bytes")
-        row = int(np.prod(shape[1:])) * kind.itemsize
-        data = np.frombuffer(_bytes(self.folder, part.path, first + part.start * row, (part.end - part.start) * row), dtype=kind)
-        data = data.reshape(-1, *shape[1:])[..., :: self.decimate].astype(np.float32)
-        for k, window in enumerate(data):
-            yield pa.RecordBatch.from_pylist([{"global_idx": part.index + k, "subject": part.subject, "session": part.session, "row_idx": part.start + k, "channel": c, "samples": v.tolist()} for c, v in enumerate(window)], _NPY)
+        with Opened(self.folder, part.path) as file:
+            kind, shape, first, fortran = npy_layout(file.bytes(0, 1 << 12))
+            if fortran:
+                raise ValueError(f"{part.path}: rows of a tensor in Fortran order aren't ranges of bytes")
+            row = int(np.prod(shape[1:])) * kind.itemsize
+            for index, start, end in part.ranges:
+                data = np.frombuffer(file.bytes(first + start * row, (end - start) * row), dtype=kind)
+                data = data.reshape(-1, *shape[1:])[..., :: self.decimate].astype(np.float32)
+                for k, window in enumerate(data):
+                    yield pa.RecordBatch.from_pylist([{"global_idx": index + k, "subject": part.subject, "session": part.session, "row_idx": index + k - part.first, "channel": c, "samples": v.tolist()} for c, v in enumerate(window)], _NPY)
+
+
+class PushedNpyReader(Pushed, NpyReader):
+    pass
 
 
 _NPY = pa.schema([("global_idx", pa.int64()), ("subject", pa.int32()), ("session", pa.int32()), ("row_idx", pa.int64()), ("channel", pa.int32()), ("samples", pa.list_(pa.float32()))])
 
 
+@dataclass
+class Shards(WriterCommitMessage):
+    """What a task wrote: (temporary path, subject, session, first row) of each shard."""
+
+    shards: list[tuple[str, int, int, int]]
+
+
+class NpyWriter(DataSourceArrowWriter):
+    """Rows (subject, session, row_idx, samples) to shards of .npy files, in the order they come.
+
+    A shard holds `rows` rows of one recording at most, so a task holds no more in memory and knows the header before it
+    writes. Shards are written under names that no reader takes; commit gives them their numbers, in the order of
+    their first rows, and abort deletes them. A task that fails deletes its own; those of lost executors go
+    with the commit."""
+
+    def __init__(self, options: dict, overwrite: bool) -> None:
+        self.folder, self.shape, self.rows = options["path"], tuple(json.loads(options["shape"])), int(options.get("rows", 4096))
+        self.overwrite, self.job = overwrite, uuid.uuid4().hex
+
+    def write(self, batches: Iterator[pa.RecordBatch]) -> Shards:
+        store, at = _store(self.folder)
+        store.create_dir(at, recursive=True)
+        out, held, key = Shards([]), [], None
+
+        def flush() -> None:
+            if held:
+                path, data = f"{at}/.{self.job}-{uuid.uuid4().hex}", np.stack([x for _, x in held]).reshape(-1, *self.shape)
+                out.shards.append((path, *key, held[0][0]))
+                head = io.BytesIO()
+                np.lib.format.write_array_header_1_0(head, {"descr": "<f4", "fortran_order": False, "shape": data.shape})
+                with store.open_output_stream(path) as file:
+                    file.write(head.getvalue())
+                    file.write(data.tobytes())
+                held.clear()
+
+        try:
+            for batch in batches:
+                subject, session, row, samples = (batch.column(batch.schema.get_field_index(c)) for c in ("subject", "session", "row_idx", "samples"))
+                for s, t, r, x in zip(subject.to_pylist(), session.to_pylist(), row.to_pylist(), samples):
+                    if (s, t) != key or len(held) == self.rows:
+                        flush()
+                        key = (s, t)
+                    held.append((r, np.asarray(x.values, dtype="<f4")))
+            flush()
+        except BaseException:
+            self._delete([p for p, *_ in out.shards])
+            raise
+        return out
+
+    def _delete(self, paths: list[str]) -> None:
+        store = _store(self.folder)[0]
+        for path in paths:
+            if store.get_file_info(path).type != fs.FileType.NotFound:
+                store.delete_file(path)
+
+    def _left(self) -> list[str]:
+        store, at = _store(self.folder)
+        found = store.get_file_info(fs.FileSelector(at, allow_not_found=True))
+        return [f.path for f in found if f.base_name.startswith(f".{self.job}-")]
+
+    def commit(self, messages: list[Shards | None]) -> None:
+        store, at = _store(self.folder)
+        store.create_dir(at, recursive=True)
+        before = [path for path, *_ in _files(self.folder, ".npy")]
+        if self.overwrite:
+            self._delete(before)
+        number: dict[tuple[int, int], int] = {}
+        for path in [] if self.overwrite else before:
+            subject, session, shard = re.fullmatch(r".*/(\d+)_(\d+)_raw(?:-(\d+))?\.npy", path).groups()
+            number[int(subject), int(session)] = max(number.get((int(subject), int(session)), 0), int(shard or 0) + 1)
+        for path, subject, session, _ in sorted((x for m in messages if m for x in m.shards), key=lambda x: x[1:]):
+            k = number.get((subject, session), 0)
+            number[subject, session] = k + 1
+            store.move(path, f"{at}/{subject}_{session}_raw-{k:05}.npy")
+        self._delete(self._left())
+
+    def abort(self, messages: list[Shards | None]) -> None:
+        self._delete(self._left())
+
+
 class NpyRows(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -126,14 +293,31 @@ class NpyRows(DataSource):
         return "global_idx long, subject int, session int, row_idx long, channel int, samples array<float>"
 
     def reader(self, schema) -> NpyReader:
-        return NpyReader(self.options)
+        return (PushedNpyReader if self.options.get("pushed") == "true" else NpyReader)(self.options)
+
+    def writer(self, schema, overwrite: bool) -> NpyWriter:
+        return NpyWriter(self.options, overwrite)
+
+
+@contextmanager
+def pushed_down(spark: SparkSession) -> Iterator[None]:
+    """Within it, filters are handed to the sources of this module by what runs there; the session's setting is restored."""
+    before = spark.conf.get(PUSH, "false")
+    spark.conf.set(PUSH, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(PUSH, before)
 
 
-def read_cnt_ranges(spark: SparkSession, path: str, ranges: list[tuple[int, int, int]], drop: tuple[str, ...] = NOT_BRAIN, width: int = 4) -> DataFrame:
-    """One partition and read per (file, range): subject, session, trial_idx, channel, channel_name, fs, samples. Ranges end with the file."""
+def read_cnt_ranges(spark: SparkSession, path: str, ranges: list[tuple[int, int, int]], drop: tuple[str, ...] = NOT_BRAIN, width: int = 4, pack: int = PACK) -> DataFrame:
+    """subject, session, trial_idx, channel, channel_name, fs, samples of every (trial_idx, start, end) of every file. Ranges end with the file.
+
+    A partition reads ranges of one file, up to `pack` samples of each channel; its file is opened, and its header read, once.
+    Comparisons of subject, session and trial_idx with constants choose files and ranges before anything is read, where the session sets PUSH."""
     ship(spark)
     spark.dataSource.register(CntRanges)
-    return spark.read.format("cnt_ranges").options(path=path, ranges=json.dumps(ranges), drop=json.dumps(list(drop)), width=str(width)).load()
+    return spark.read.format("cnt_ranges").options(path=path, ranges=json.dumps(ranges), drop=json.dumps(list(drop)), width=str(width), pack=str(pack), pushed=spark.conf.get(PUSH, "false")).load()
 
 
 def read_npy_rows(spark: SparkSession, path: str, rows: int = 64, decimate: int = 1) -> DataFrame:
@@ -142,7 +326,7 @@ def read_npy_rows(spark: SparkSession, path: str, rows: int = 64, decimate: int
     A partition reads `rows` windows of a file; every `decimate`-th sample is kept."""
     ship(spark)
     spark.dataSource.register(NpyRows)
-    return spark.read.format("npy_rows").options(path=path, rows=str(rows), decimate=str(decimate)).load()
+    return spark.read.format("npy_rows").options(path=path, rows=str(rows), decimate=str(decimate), pushed=spark.conf.get(PUSH, "false")).load()
 
 
 def write_files(files: DataFrame, folder: str) -> int:
@@ -150,9 +334,7 @@ def write_files(files: DataFrame, folder: str) -> int:
     ship(files.sparkSession)
 
     def write(batches):
-        import uuid
-
-        store, at = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+        store, at = _store(folder)
         store.create_dir(at, recursive=True)
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -163,3 +345,15 @@ def write_files(files: DataFrame, folder: str) -> int:
             yield pa.RecordBatch.from_arrays([batch.column(0)], names=["name"])
 
     return files.select("name", "content").mapInArrow(write, "name string").agg(F.count(F.lit(1)).alias("n")).first()["n"]
+
+
+def write_npy(rows: DataFrame, path: str, shape: tuple[int, ...], most: int = 4096, overwrite: bool = True) -> None:
+    """rows: subject, session, row_idx, samples (flat, of `shape`). Written as .npy shards that read_npy_rows reads in the order of row_idx.
+
+    Rows are dealt by ranges of their keys, so a recording may be many tasks' work and no task holds one whole."""
+    ship(rows.sparkSession)
+    rows.sparkSession.dataSource.register(NpyRows)
+    keys = ["subject", "session", "row_idx"]
+    cast = rows.select(F.col("subject").cast("int"), F.col("session").cast("int"), F.col("row_idx").cast("long"), F.col("samples").cast("array<float>"))
+    dealt = cast.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    dealt.write.format("npy_rows").mode("overwrite" if overwrite else "append").options(path=path, shape=json.dumps(list(shape)), rows=str(most)).save()
