@@ -11,7 +11,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import functions as F
 
 from ..functions import kernels, transforms
-from ..operators import estimators, information, scaling, spectral, windows
+from ..operators import blocks, estimators, information, scaling, spectral, sums, windows
 from ..ship import ship
 from ..streaming.hopping import hopping_features
 from .registry import L, query, r6, table, trials
@@ -156,6 +156,16 @@ def yeo_johnson(spark, d):
     return scaling.transform(moved, F.broadcast(scaling.fit_standard(moved, ["feature_idx"])), ["feature_idx"]).select("vec_id", "feature_idx", r6("scaled"))
 
 
+@query()
+def filter_long_series(spark, d):
+    """Band-pass and notch over series of any length, in blocks of 256 samples: an event type's values in order of time."""
+    series = table(spark, d, "events").where("event_type IS NOT NULL AND value IS NOT NULL").select("event_type", "ts", "event_id", "value")
+    numbered = windows.number_samples(series, "event_type", ["ts", "event_id"], F.date_trunc("day", "ts"))
+    cut = blocks.cut_blocks(numbered, "event_type", "value", 256)
+    calm = blocks.zero_phase_blocks(blocks.zero_phase_blocks(cut, "event_type", kernels.butterworth_bandpass(4, 1, 50, FS)), "event_type", kernels.notch(50, 30, FS))
+    return calm.select("event_type", "block", F.posexplode("x").alias("idx", "value")).select("event_type", "block", "idx", r6("value"))
+
+
 def _psi(n: str) -> str:
     """information.digamma as SQL text."""
     x = f"(CAST({n} AS DOUBLE) + 6)"
@@ -184,7 +194,10 @@ def _folded(spark, d):
 
 def _fold_accuracy(name):
     def run(spark, d):
-        out = estimators.predict_folds(_folded(spark, d), ["subject", "session"], "embedding", "y", "fold", "vec_id", [name])
+        if name in sums.FITS:  # from sums: one pass for all folds
+            out = sums.predict_from_sums(_folded(spark, d), ["subject", "session"], "embedding", "y", "fold", "vec_id", (name,))
+        else:
+            out = estimators.predict_folds(_folded(spark, d), ["subject", "session"], "embedding", "y", "fold", "vec_id", [name])
         return estimators.accuracy(out, ["subject", "session", "fold", "model"], "y").select("subject", "session", "fold", "model", "n", r6("accuracy"))
 
     run.__name__ = f"{name}_fold_accuracy"

@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from ..operators import features, spectral, windows
+from ..operators import features, scaling, spectral, windows
 from .registry import E, L, query, r6, table, trials
 
 N, FS = 64, 128.0
@@ -157,12 +157,18 @@ def welch_psd(spark, d):
     return out.select("vec_id", F.posexplode("psd").alias("bin", "density")).select("vec_id", "bin", r6("density"))
 
 
-@query(f"""
-SELECT 'kept' AS rule, band, low, high FROM (VALUES ('theta', 4.0::DOUBLE, 8.0::DOUBLE), ('alpha1', 8.0, 10.0), ('alpha2', 10.0, 13.0), ('beta1', 13.0, 20.0)) v(band, low, high)
-UNION ALL SELECT 'clamped', * FROM (VALUES ('theta', 4.0::DOUBLE, 8.0::DOUBLE), ('alpha1', 8.0, 10.0), ('alpha2', 10.0, 13.0), ('beta1', 13.0, 20.0), ('beta2', 20.0, 23.0)) v(band, low, high)""")
+_EMOTION = ", ".join(f"('{name}', {low}::DOUBLE, {high}::DOUBLE)" for name, low, high in spectral.BANDS_EMOTION)
+
+
+@query(f"""WITH {E}, b(band, low, high) AS (VALUES {_EMOTION}), r AS (SELECT vec_id, 40.0::DOUBLE + 15 * session AS fs FROM e),
+k AS (SELECT fs, 'kept' AS rule, band, low, high FROM r, b WHERE high <= 0.99 * fs / 2 UNION ALL SELECT fs, 'clamped', band, low, least(high, fs / 2 - 2) FROM r, b WHERE least(high, fs / 2 - 2) > low)
+SELECT fs, rule, band, low, high, count(*) AS recordings FROM k GROUP BY ALL""")
 def nyquist_bands(spark, d):
-    rows = [("kept", *b) for b in spectral.safe_bands(spectral.BANDS_EMOTION, 50.0)] + [("clamped", *b) for b in spectral.clamped_bands(spectral.BANDS_EMOTION, 50.0)]
-    return spark.createDataFrame(rows, "rule string, band string, low double, high double")
+    """Sessions were sampled at 40, 55 and 70 Hz: the bands that each trial's rate can tell, whole or cut."""
+    rows = trials(spark, d).select("vec_id", (40.0 + 15 * F.col("session")).alias("fs"))
+    rules = {"kept": spectral.valid_bands(spectral.BANDS_EMOTION, F.col("fs")), "clamped": spectral.cut_bands(spectral.BANDS_EMOTION, F.col("fs"))}
+    one = lambda name: rows.select("fs", F.lit(name).alias("rule"), F.inline(rules[name]))
+    return one("kept").unionByName(one("clamped")).groupBy("fs", "rule", "band", "low", "high").agg(F.count(F.lit(1)).alias("recordings"))
 
 
 def _sides_sql(pairs, channels, bands):
@@ -202,8 +208,10 @@ WITH f AS (SELECT user_id, avg(value) AS m, stddev_pop(value) AS s, avg(value *
 SELECT user_id, round(m, 6) AS mean, round(s, 6) AS std, CASE WHEN s > 0 THEN round((m3 - 3 * m * m2 + 2 * m * m * m) / (s * s * s), 6) + 0.0 END AS skew, round(k, 6) + 0.0 AS kurt,
   round(med, 6) AS median, round(p25, 6) AS p25, round(p75, 6) AS p75, round(ptp, 6) AS ptp FROM f""")
 def moments_wide(spark, d):
-    q = lambda p: F.percentile("value", F.lit(p))
-    out = _series(spark, d).groupBy("user_id").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.skewness("value").alias("skew"), F.kurtosis("value").alias("kurt"), q(0.5).alias("median"), q(0.25).alias("p25"), q(0.75).alias("p75"), (F.max("value") - F.min("value")).alias("ptp"))
+    rows = _series(spark, d).select("user_id", F.col("value"))
+    out = rows.groupBy("user_id").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.skewness("value").alias("skew"), F.kurtosis("value").alias("kurt"), (F.max("value") - F.min("value")).alias("ptp"))
+    ranks = scaling.exact_quantiles(rows, ["user_id"], [0.25, 0.5, 0.75])
+    out = out.join(ranks, "user_id").select("user_id", "mean", "std", "skew", "kurt", F.col("q")[1].alias("median"), F.col("q")[0].alias("p25"), F.col("q")[2].alias("p75"), "ptp")
     return out.select("user_id", *[r6(c) for c in out.columns[1:]])
 
 
@@ -235,8 +243,8 @@ def clean_nonfinite(spark, d):
 
 
 @query(f"""
-WITH {L} SELECT vec_id, CAST(feature_idx // 12 AS INT) AS band, CAST(feature_idx % 12 AS INT) AS channel, CAST(feature_idx % 5 AS INT) AS band_minor, CAST(feature_idx // 5 AS INT) AS channel_major, round(value, 6) + 0.0 AS value FROM l WHERE feature_idx < 60""")
+WITH {L} SELECT vec_id, CAST(feature_idx // 16 AS INT) AS band, CAST(feature_idx % 16 AS INT) AS channel, CAST(feature_idx % 4 AS INT) AS band_minor, CAST(feature_idx // 4 AS INT) AS channel_major, round(value, 6) + 0.0 AS value FROM l""")
 def reshape_band_channel(spark, d):
-    rows = features.unflatten(trials(spark, d).select("vec_id", "embedding"), "embedding", 12, 5)
-    minor, major = features.layout(F.col("feature_idx"), 12, 5, band_major=False)
+    rows = features.unflatten(trials(spark, d).select("vec_id", "embedding"), "embedding", 16, 4)
+    minor, major = features.layout(F.col("feature_idx"), 16, 4, band_major=False)
     return rows.select("vec_id", "band", "channel", minor.alias("band_minor"), major.alias("channel_major"), r6(F.col("value").cast("double"), "value"))

@@ -63,3 +63,29 @@ def test_event_time_windows_over_a_stream_equal_the_batch(spark, tmp_path):
     batch = hopping.hopping_features(spark.read.parquet(str(tmp_path / "in")), "user", "ts", "value")
     key = lambda r: (r["user"], str(r["window_start"]), r["n"], r["mean"])
     assert sorted(map(key, spark.table("hops").collect())) == sorted(map(key, batch.collect()))
+
+
+def test_windows_in_order_of_time_from_shuffled_files(spark, tmp_path):
+    import datetime as dt
+    import random
+
+    rng, first = random.Random(3), dt.datetime(2024, 1, 1)
+    rows = {k: [(k, first + dt.timedelta(seconds=i), i, float((i * i) % 23)) for i in range(60)] for k in ("a", "b")}
+    every = sorted((x for r in rows.values() for x in r), key=lambda x: x[1])
+    for k in range(0, 120, 10):  # shuffled within twenty seconds
+        part = every[k : k + 20] if k % 20 == 0 else []
+        rng.shuffle(part)
+        for half in (part[:9], part[9:]):
+            if half:
+                spark.createDataFrame(half, "key string, ts timestamp, nth long, value double").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    end = [(k, first + dt.timedelta(days=1), 0, 0.0) for k in ("a", "b")]
+    spark.createDataFrame(end, "key string, ts timestamp, nth long, value double").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("key string, ts timestamp, nth long, value double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    with hopping.ordered_state(spark):
+        out = hopping.ordered_windows(stream, "key", "ts", "nth", "value", 6, 4, late="40 seconds")
+        running = out.writeStream.format("memory").queryName("ordered").option("checkpointLocation", str(tmp_path / "ck")).outputMode("append").trigger(availableNow=True).start()
+        running.awaitTermination()
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == before
+    got = {(r["key"], r["window_idx"]): round(r["mean"], 9) for r in spark.table("ordered").collect()}
+    assert got == {(k, w): round(float(np.mean([x[3] for x in r[w * 4 : w * 4 + 6]])), 9) for k, r in rows.items() for w in range((60 - 6) // 4 + 1)}
