@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..ship import ship
-from .common import materialize
+from .common import materialize, spread_join
 
 
 @dataclass(frozen=True)
@@ -165,6 +165,12 @@ def probe_lists(graph: CentroidGraph, x: np.ndarray, s: Settings) -> list[list[i
     return out
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times a power of two each, so that squares neither overflow nor vanish: no cosine changes by it."""
+    most = np.abs(x).max(axis=1, keepdims=True, initial=0.0) if x.size else np.zeros((len(x), 1))
+    return np.ldexp(x, -np.frexp(most)[1])
+
+
 def _best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Columns of the k largest of a row, ties to smaller ids, whole."""
     if len(score) > 4 * k:
@@ -195,12 +201,15 @@ def nearest_neighbours(vectors: DataFrame, id_col: str = "vec_id", vector_col: s
     rows = rows.where(F.size("v") == dims)
     first = rows.withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("r") <= k + 1)
     distinct = materialize(first.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids")).select(F.col("ids")[0].alias("key"), "v", "ids"), "ann-vectors")
-    asked = rows.where(F.pmod("id", F.lit(every)) == 0).join(distinct.select("key", "v"), "v").select(F.col("id").alias("query_id"), F.col("key").alias("qkey"))
+    # Many queries may share one vector, here and where they get their answers.
+    queries = materialize(rows.where(F.pmod("id", F.lit(every)) == 0), "ann-asking")
+    asked = spread_join(queries, distinct.select("key", "v"), ["v"], ["id"]).select(F.col("id").alias("query_id"), F.col("key").alias("qkey"))
     asked = materialize(asked, "ann-queries")
     n = distinct.count()
     held = distinct.orderBy(F.xxhash64(F.lit(s.seed), "key"), "key").limit(s.sample + s.tune).select("v").toArrow().column(0).combine_chunks()
     sample = held.flatten().to_numpy().reshape(-1, max(dims, 1))
-    unit = sample / np.maximum(np.linalg.norm(sample, axis=1, keepdims=True), 1e-300)
+    unit = _scaled(sample)
+    unit = unit / np.maximum(np.linalg.norm(unit, axis=1, keepdims=True), 1e-300)
     asking, apart, unit = np.split(unit, [min(s.tune, len(unit) // 4) // 8, min(s.tune, len(unit) // 4)])
     many = int(np.clip(n // s.list_size, 1, min(s.most_centroids, max(1, len(unit) // 4))))
     graph = CentroidGraph(balanced_centroids(unit, many, s.seed), s.degree, s.seed) if len(unit) else None
@@ -214,7 +223,7 @@ def nearest_neighbours(vectors: DataFrame, id_col: str = "vec_id", vector_col: s
             for batch in batches:
                 for a in range(0, batch.num_rows, 1024):
                     part = batch.slice(a, 1024)
-                    x = part.column(1).flatten().to_numpy().reshape(part.num_rows, -1)
+                    x = _scaled(part.column(1).flatten().to_numpy().reshape(part.num_rows, -1))
                     found = choose(own, x / np.linalg.norm(x, axis=1, keepdims=True), s)
                     yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.list_(pa.int32()))], names=["key", "v", "lists"])
 
@@ -246,10 +255,10 @@ def nearest_neighbours(vectors: DataFrame, id_col: str = "vec_id", vector_col: s
         def scan(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
             out = []
             if len(q) and len(p):
-                y, ids = np.stack(p["v"].to_numpy()), p["key"].to_numpy()
+                y, ids = _scaled(np.stack(p["v"].to_numpy())), p["key"].to_numpy()
                 norm = np.linalg.norm(y, axis=1)
                 for a in range(0, len(q), 512):
-                    x, keys, floors = np.stack(q["v"].to_numpy()[a : a + 512]), q["key"].to_numpy()[a : a + 512], q["floor"].to_numpy()[a : a + 512]
+                    x, keys, floors = _scaled(np.stack(q["v"].to_numpy()[a : a + 512])), q["key"].to_numpy()[a : a + 512], q["floor"].to_numpy()[a : a + 512]
                     score = (x @ y.T) / (np.linalg.norm(x, axis=1)[:, None] * norm)
                     for key, line, floor in zip(keys, score, floors):
                         best = _best(line, ids, k + 1)
@@ -263,8 +272,9 @@ def nearest_neighbours(vectors: DataFrame, id_col: str = "vec_id", vector_col: s
     def answers(found: DataFrame, queries: DataFrame) -> DataFrame:
         """A result row never needs more of the vectors than the k + 1 nearest, nor more ids of one than k + 1."""
         named = found.join(distinct.select("key", "ids"), "key").select("qkey", "score", F.explode("ids").alias("vec_id"))
-        few = named.withColumn("r", F.row_number().over(Window.partitionBy("qkey").orderBy(F.desc("score"), "vec_id"))).where(F.col("r") <= k + 1).drop("r")
-        out = queries.join(few, "qkey").where("query_id <> vec_id")
+        few = named.withColumn("r", F.row_number().over(Window.partitionBy("qkey").orderBy(F.desc("score"), "vec_id"))).where(F.col("r") <= k + 1)
+        few = few.groupBy("qkey").agg(F.collect_list(F.struct("score", "vec_id")).alias("few"))
+        out = spread_join(queries, few, ["qkey"], ["query_id"]).select("query_id", F.inline("few")).where("query_id <> vec_id")
         out = out.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
         return out.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

@@ -14,18 +14,18 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..ship import ship
-from .common import text_of
+from .common import materialize, text_of
 
 _TOKEN = re.compile(r"[^\W_]+")
 
 
 @dataclass(frozen=True)
 class Shape:
-    """Sizes of the network and of its training; sample bounds the documents that training sees, each of them whole."""
+    """Sizes of the network and of its training; sample and sample_words bound the documents that training sees, each of them whole."""
 
     window: int = 48
     stride: int = 36
@@ -36,6 +36,7 @@ class Shape:
     hidden: int = 12
     attend: int = 12
     sample: int = 2000  # documents of each label
+    sample_words: int = 1 << 23  # and words of all of them together: documents past that are left out of training, whole
     early: float = 0.5  # share of the windows that each of the first two epochs draws
     early_most: int = 12  # about so many of one document: a long one shall not outweigh the others
     epochs: int = 7
@@ -358,7 +359,8 @@ class Scorer:
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, shape: Shape = Shape()) -> Network:
-    """Trains on at most shape.sample documents of each label (those first by a seeded hash of the id).
+    """Trains on at most shape.sample documents of each label (those first by a seeded hash of the id), and of these on
+    as many as hold shape.sample_words words together, in the same order: what reaches the driver is bounded in both.
 
     docs: doc_id, text; labels: doc_id, toxic. A document with several labels counts as toxic if one says so;
     of a doc_id that repeats, the text that sorts first is seen. Of a sampled document all windows are seen. Null labels,
@@ -374,7 +376,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, shape: Shape = Shape()) ->
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(words, pa.string())], names=["id", "y", "words"])
 
     rows = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(sample), "doc_id").select(F.col("doc_id").cast("long"), F.col("toxic").cast("int"), "text")
-    held = rows.mapInArrow(cut, "id long, y int, words string").collect()
+    one = rows.mapInArrow(cut, "id long, y int, words string").groupBy("id", "y").agg(F.min("words").alias("words"))  # at most 2 * shape.sample rows
+    one = materialize(one.withColumn("n", F.regexp_count("words", F.lit(" ")) + 1), "toxicity-sample")
+    upto = F.sum("n").over(Window.orderBy(F.xxhash64(F.lit(shape.seed), "id"), "id"))
+    kept = one.select("id", "n").withColumn("upto", upto).where(F.col("upto") <= shape.sample_words).select("id")
+    held = one.join(F.broadcast(kept), "id").select("id", "y", "words").collect()
     lexicon, samples, last = Lexicon(), [], None
     for r in sorted(held, key=lambda r: (r["id"], r["words"])):
         if r["id"] != last:

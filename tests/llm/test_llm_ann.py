@@ -88,3 +88,22 @@ def test_lists_beyond_the_beam_are_read_without_loss(spark):
     out = nearest_neighbours(table(spark, rows), settings=Settings(list_size=40, sample=2000, beam=8, block=64, probe_ratio=1.6, nearest=1.2)).collect()
     told = brute(rows)
     assert len(out) == 5 * len(told) and sum(r["vec_id"] == told[r["query_id"]][r["rank"] - 1][0] for r in out) >= 0.99 * len(out)
+
+
+def test_a_vector_that_many_ask_for(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, [1.0, 2.0, 3.0] if i % 3 == 0 else rng.normal(size=3).astype(np.float32).tolist()) for i in range(1200)]
+    out = nearest_neighbours(table(spark, rows), every=2).collect()
+    told, got = brute(rows, every=2), {}
+    for r in sorted(out, key=lambda r: (r["query_id"], r["rank"])):
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert set(got) == set(told) and all(got[q] == ([0, 3, 6, 9, 12, 15] if q > 15 else [i for i in (0, 3, 6, 9, 12, 15) if i != q])[:5] for q in told if q % 3 == 0)
+
+
+def test_lengths_that_square_out_of_range(spark):
+    rows = [(k, [float(a) * 1e200, float(b) * 1e200]) for k, (a, b) in enumerate([(1, 0), (1, 1), (0, 1), (-1, 0)])] + [(50, [1e-200, 2e-200])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r["query_id"]: [] for r in nearest_neighbours(frame).collect()}
+    for r in nearest_neighbours(frame).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], round(r["score"], 6)))
+    assert got == {0: [(1, 0.707107), (50, 0.447214), (2, 0.0), (3, -1.0)], 50: [(1, 0.948683), (2, 0.894427), (0, 0.447214), (3, -0.447214)]}

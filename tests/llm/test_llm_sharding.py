@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 
-from quaywave.llm.sharding import even_out, place, shard_documents
+from quaywave.llm.sharding import even_out, place, plan_shards, shard_documents
 
 
 def check(rows, out, shards=24):
@@ -56,3 +56,30 @@ def test_placement_balances_all_dimensions():
         assert load.max() < 1.05 * load.mean()
     load = np.bincount(even_out(v, owner, 8), weights=v[:, 0], minlength=8)
     assert load.max() - load.min() < 0.01 * load.mean()
+
+
+def test_every_group_is_placed_by_the_rule():
+    rng = np.random.default_rng(3)
+    single = [("g", 0, 900.0, 100.0, 3.0), ("h", 0, 700.0, 90.0, 2.0)]
+    classes = [(f"c{k}", int(n), *(float(n) * rng.gamma(2, size=3)).tolist()) for k, n in enumerate(rng.integers(1, 200, 60))]
+    owner, turns = plan_shards(single, classes, 8)
+    vectors, told = [np.array(s[2:]) for s in single], list(owner)
+    for (name, groups, *held), (same, each, shards_of) in zip(classes, turns):
+        sizes = [min(each, groups - k * each) for k in range(len(shards_of))]
+        assert name == same and sum(sizes) == groups and min(sizes) > 0
+        vectors += [np.array(held) / groups * n for n in sizes]
+        told += shards_of
+    stacked = np.stack(vectors)
+    assert len(stacked) <= 2 + 60 + 3 * 128 * 8 and np.allclose(stacked.sum(axis=0), sum(np.array(c[2:]) for c in classes) + [1600.0, 190.0, 5.0])
+    assert told == even_out(stacked, place(stacked, 8), 8).tolist()
+    assert plan_shards([], [], 8) == ([], [])
+
+
+def test_many_empty_texts_and_ids(docs_of):
+    rows = [(None if i % 2 else i, None if i % 3 else "") for i in range(900)] + [(i, f"text {i} " * (i % 90)) for i in range(2000)]
+    out = shard_documents(docs_of(rows)).collect()
+    check(rows, out)
+    load = Counter()
+    for r in out:
+        load[r["shard"]] += r["size"]
+    assert max(load.values()) < 1.03 * sum(load.values()) / 24

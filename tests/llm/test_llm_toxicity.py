@@ -144,3 +144,14 @@ def test_the_middle_of_a_long_run_is_read():
         assert max(map(len, got)) <= 60 and all(any(text[a : a + 30] in g for g in got) for a in range(max(1, len(text) - 29)))
     grams = [set(hashed(tokens(text), Shape())[1].tolist()) for text in (run, run[:500] + "zzworse" + run[507:], "zzworse")]
     assert len(grams[1] - grams[0]) >= 8 and len(grams[2] - grams[1]) <= 4  # all but those with an end mark
+
+
+def test_the_sample_is_bounded_in_words(spark):
+    rows = [(i, f"good words number {i} " * 10 if i % 2 else f"vile nasty stuff {i} " * 10) for i in range(60)]
+    docs = spark.createDataFrame([*rows, *rows[:20]], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(60)], "doc_id long, toxic int")
+    few = Shape(window=8, stride=6, words=512, grams=1024, epochs=1, batch=64, sample_words=400)
+    net = fit_toxicity(docs, labels, few)  # ten documents
+    assert net.shape.sample_words == 400
+    scored = {r["doc_id"]: r["score"] for r in score_toxicity(docs, net).collect()}
+    assert all(0 <= s <= 1 for s in scored.values())
