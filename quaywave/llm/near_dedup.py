@@ -185,17 +185,20 @@ def tokens_of(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(text, times), mix(np.repeat(hashes, times) + nth.astype(np.uint64) * _GOLD)
 
 
-def prefixes(texts: list[bytes], k: int, least: float, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(text, token): of n tokens of a text the n - ceil(least * n) + 1 that come first by (count, token).
+def prefixes(texts: list[bytes], k: int, least: float, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, token, short): of n tokens of a text the n - ceil(least * n) + 1 that come first by (count, token).
 
-    Two texts of overlap `least` or more share at least ceil(least * n) tokens of each, so one of their prefixes' at least."""
+    short marks the first n - ceil(2 * least / (1 + least) * n) + 1 of them. Two texts of overlap `least` or more share at least
+    least / (1 + least) of the tokens of both together, which is no less than that share of twice the smaller text, and than
+    `least` of the larger one: so a token of the larger text's prefix is in the smaller one's short prefix."""
     text, token = tokens_of(texts, k)
     order = np.lexsort((token, counts[(token % np.uint64(len(counts))).astype(np.int64)], text))
     text, token = text[order], token[order]
     n = np.bincount(text, minlength=len(texts))
     rank = np.arange(len(text)) - (np.cumsum(n) - n)[text]
-    first = rank < (n - np.ceil(least * n - 1e-9) + 1)[text]
-    return text[first], token[first]
+    upto = lambda share: (n - np.ceil(share * n - 1e-9) + 1)[text]
+    first = rank < upto(least)
+    return text[first], token[first], (rank < upto(2 * least / (1 + least)))[first]
 
 
 def _count_tokens(texts: DataFrame, k: int) -> np.ndarray:
@@ -220,8 +223,10 @@ def _prefix_links(open_: DataFrame, texts: DataFrame, k: int, least: float, bloc
     """open_: rep, cls, words. All links between texts of different classes that connect them as all would.
 
     Texts are grouped by the tokens of their prefixes, the rarest first; of groups with the same members one
-    remains, and none in which all have one class. A group that outgrows a block meets in cells of two blocks
-    each: only texts that share the same rare shingles and yet aren't one class cost more than their number."""
+    remains, and none in which all have one class or no text holds the token in its short prefix. A group that outgrows a
+    block meets in cells of a block of those texts and a block of all. A template that many texts share is in the short
+    prefixes only of those of which it makes up some eight ninths, and these are alike: so texts that a template
+    brings together without being alike don't meet by it."""
     held = materialize(open_.join(texts.hint("merge"), "rep").select("rep", "cls", "words", "content"), "near-open")
     counts = held.sparkSession.sparkContext.broadcast(_count_tokens(held, k))
 
@@ -229,18 +234,24 @@ def _prefix_links(open_: DataFrame, texts: DataFrame, k: int, least: float, bloc
         for batch in batches:
             part = [x.as_py() for x in batch.column(3)]
             for a, b in _chunks(part):
-                text, token = prefixes(part[a:b], k, least, counts.value)
+                text, token, short = prefixes(part[a:b], k, least, counts.value)
                 rows = batch.slice(a, b - a).take(pa.array(text))
-                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), rows.column(2), pa.array(token.view(np.int64))], names=["rep", "cls", "words", "token"])
-
-    rows = materialize(held.mapInArrow(run, "rep binary, cls binary, words long, token long"), "near-prefixes")
-    sets = rows.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.sum("words").alias("w"), F.min("rep").alias("low"), F.bit_xor(F.xxhash64("rep")).alias("who"), (F.min("cls") != F.max("cls")).alias("mixed"))
-    groups = sets.where("n > 1 AND mixed").groupBy("n", "w", "low", "who").agg(F.min("token").alias("token"))
-    groups = materialize(groups.select("token", F.col("n").alias("_n"), _blocks(block, block_words)), "near-groups")
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), rows.column(2), pa.array(token.view(np.int64)), pa.array(short)], names=["rep", "cls", "words", "token", "short"])
+
+    rows = materialize(held.mapInArrow(run, "rep binary, cls binary, words long, token long, short boolean"), "near-prefixes")
+    hash_, short = F.xxhash64("rep"), F.col("short")
+    sets = rows.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.sum("words").alias("w"), F.min("rep").alias("low"), F.bit_xor(hash_).alias("who"), F.count_if(short).alias("few"), F.coalesce(F.sum(F.when(short, F.col("words"))), F.lit(0)).alias("few_w"), F.coalesce(F.bit_xor(F.when(short, hash_)), F.lit(0)).alias("few_who"), (F.min("cls") != F.max("cls")).alias("mixed"))
+    groups = sets.where("n > 1 AND mixed AND few > 0").groupBy("n", "w", "low", "who", "few", "few_w", "few_who").agg(F.min("token").alias("token"))
+    few_blocks = F.ceil(F.greatest(F.col("few") / F.lit(block), F.col("few_w") / F.lit(block_words))).cast("int")
+    groups = materialize(groups.select("token", F.col("n").alias("_n"), _blocks(block, block_words), few_blocks.alias("few_blocks")), "near-groups")
     cells = spread_join(rows, groups.drop("_n"), ["token"], ["rep"], sizes=groups.select("token", "_n"))
-    own = F.pmod(F.xxhash64("token", "rep"), F.col("blocks")).cast("int")
-    cells = cells.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = cells.select("rep", "cls", "token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    at = lambda n: F.pmod(F.xxhash64("token", "rep"), F.col(n)).cast("int")
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    # A short one lies in a row of cells, every text in a column; where both are one cell it is there once.
+    across = F.when(F.col("short"), F.transform(every("blocks"), lambda j: F.struct(at("few_blocks").alias("i"), j.alias("j"))))
+    down = F.transform(every("few_blocks"), lambda i: F.struct(i.alias("i"), at("blocks").alias("j")))
+    places = F.array_distinct(F.concat(down, F.coalesce(across, F.array().cast("array<struct<i:int,j:int>>"))))
+    cells = cells.select("rep", "cls", "token", F.inline(places))
     return cells.join(held.select("rep", "content").hint("merge"), "rep").groupBy("token", "i", "j").applyInPandas(_links(k, least), _LINK)
 
 

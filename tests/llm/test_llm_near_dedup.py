@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 
 from quaywave.llm.components import connected_components
-from quaywave.llm.near_dedup import COUNTERS, NEVER, Overlaps, _shingled, bag_minhash, keep_representatives, near_duplicates, near_links, prefixes
+from quaywave.llm.near_dedup import COUNTERS, NEVER, Overlaps, _shingled, bag_minhash, keep_representatives, near_duplicates, near_links, prefixes, tokens_of
 from quaywave.llm.shingles import multisets
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -131,10 +131,28 @@ def test_edges(docs_of, edge):
 
 def test_prefixes_of_like_texts_meet():
     texts = [t.encode() for _, t in corpus(5)][:70] + [b"same " * 50, b"same " * 55, b"a", b"a b c d e f", b""]
-    text, token = prefixes(texts, 5, 0.8, np.random.default_rng(0).integers(0, 9, COUNTERS))
+    text, token, short = prefixes(texts, 5, 0.8, np.random.default_rng(0).integers(0, 9, COUNTERS))
     sets = [set(token[text == i].tolist()) for i in range(len(texts))]
+    few = [set(token[(text == i) & short].tolist()) for i in range(len(texts))]
+    sizes = [sum(shingles(t.decode()).values()) for t in texts]
     like = [(i, j) for i in range(len(texts)) for j in range(i) if jaccard(shingles(texts[i].decode()), shingles(texts[j].decode())) >= 0.8]
     assert len(like) > 100 and all(sets[i] & sets[j] for i, j in like)
+    assert all(few[i] & sets[j] if sizes[i] <= sizes[j] else few[j] & sets[i] for i, j in like)
+
+
+def test_a_template_alone_brings_no_texts_together():
+    rng = random.Random(9)
+    passage = " ".join(f"t{k}" for k in range(160))
+    texts = [f"{passage} {' '.join(f'u{g}x{k}' for k in range(30))} {rng.random()}".encode() for g in range(300)]
+    text, token, short = prefixes(texts, 5, 0.8, _count(texts))
+    members, index = Counter(token.tolist()), Counter(token[short].tolist())
+    assert max(members.values()) > 250 and max((members[t] for t in index), default=0) < 10
+
+
+def _count(texts):
+    counts = np.zeros(COUNTERS, dtype=np.int64)
+    np.add.at(counts, (tokens_of(texts, 5)[1] % np.uint64(COUNTERS)).astype(np.int64), 1)
+    return counts
 
 
 def template(seed, groups=40, each=3):

@@ -1,3 +1,4 @@
+import os
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -114,3 +115,12 @@ def test_very_long_white_space_is_encoded():
 
     for text in (" " * 1_000_000, "a" + " \n" * 1_000_000 + "b"):
         assert encoder()(text) == encoder("byte_bpe_50k.json")(text)
+
+
+def test_ids_of_every_code_point_and_of_whole_tables(spark, sf):
+    fast, plain = encoder(), encoder("byte_bpe_50k.json")
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = [sep.join(points[k : k + 512]) for k in range(0, len(points), 512) for sep in ("", "a", " ", "'s1 ", "<|endoftext|>")]
+    whole = "/root/testdata/sf0.1" if os.path.isdir("/root/testdata/sf0.1") else sf
+    texts += [r["text"] for r in spark.read.parquet(f"{whole}/documents.parquet").where("text IS NOT NULL").select("text").collect()]
+    assert all(fast(t) == plain(t) for t in texts)
