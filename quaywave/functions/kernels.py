@@ -4,6 +4,8 @@ Own designs from the textbook definitions; everything is vectorised over leading
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 
 
@@ -72,6 +74,38 @@ def zero_phase(sos: np.ndarray, x: np.ndarray) -> np.ndarray:
     return y[..., pad:-pad] if pad > 0 else y
 
 
+def polynomials(sos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(b, a): sections multiplied out into one direct form."""
+    b, a = np.ones(1), np.ones(1)
+    for s in sos:
+        b, a = np.convolve(b, s[:3]), np.convolve(a, s[3:])
+    return b, a
+
+
+def zero_phase_direct(b: np.ndarray, a: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """zero_phase in one direct form, with that form's own extension of three times its length: the older filters' numbers."""
+    pad = min(3 * len(a), x.shape[-1] - 1)
+    if pad > 0:
+        x = np.concatenate([2 * x[..., :1] - x[..., pad:0:-1], x, 2 * x[..., -1:] - x[..., -2 : -pad - 2 : -1]], axis=-1)
+    level, calm = b.sum() / a.sum(), np.zeros(len(a))
+    for k in range(len(a) - 1, 0, -1):  # the state that a constant input of 1 leaves unchanged
+        calm[k - 1] = b[k] - a[k] * level + calm[k]
+
+    def run(x: np.ndarray) -> np.ndarray:
+        y = np.moveaxis(np.array(x, dtype=float), -1, 0)
+        state = calm[: len(a) - 1].reshape(-1, *[1] * (y.ndim - 1)) * y[0]
+        out = np.empty_like(y)
+        for t in range(len(y)):
+            out[t] = b[0] * y[t] + state[0]
+            state[:-1] = state[1:]
+            state[-1] = 0
+            state += np.multiply.outer(b[1:], y[t]) - np.multiply.outer(a[1:], out[t])
+        return np.moveaxis(out, 0, -1)
+
+    y = run(run(x)[..., ::-1])[..., ::-1]
+    return y[..., pad:-pad] if pad > 0 else y
+
+
 # --- transforms --------------------------------------------------------------------------------------------
 
 
@@ -271,11 +305,13 @@ def kernel_matrix(x: np.ndarray, z: np.ndarray, gamma: float, degree: int = 0) -
 def svm_fit(x: np.ndarray, y: np.ndarray, c: float = 1.0, gamma: float | None = None, degree: int = 0, rounds: int = 2000, tol: float = 1e-3) -> tuple:
     """Two-class support vectors by sequential minimal optimisation on the pair that violates most; balanced weights.
 
-    Returns classes, support vectors, coefficients, offset, gamma, degree."""
+    Warns if it has not converged in `rounds` steps, or a hundred a row. Returns classes, support vectors, coefficients,
+    offset, gamma, degree."""
     classes, index = np.unique(y, return_inverse=True)
     t = np.where(index == 1, 1.0, -1.0)
     gamma = gamma or 1.0 / (x.shape[1] * max(x.var(), 1e-12))
     kernel = kernel_matrix(x, x, gamma, degree)
+    rounds = max(rounds, 100 * len(t))
     limit = c * len(t) / (2 * np.where(t > 0, (t > 0).sum(), (t < 0).sum()))
     alpha, grad = np.zeros(len(t)), -np.ones(len(t))
     for _ in range(rounds):
@@ -292,6 +328,8 @@ def svm_fit(x: np.ndarray, y: np.ndarray, c: float = 1.0, gamma: float | None =
         alpha[i] += t[i] * move
         alpha[j] -= t[j] * move
         grad += t * move * (kernel[:, i] - kernel[:, j])
+    else:
+        warnings.warn(f"support vectors of {len(t)} rows not converged in {rounds} steps", RuntimeWarning, stacklevel=2)
     score, free = -t * grad, (alpha > 1e-9) & (alpha < limit - 1e-9)
     offset = score[free].mean() if free.any() else (score[up].max() + score[down].min()) / 2
     held = alpha > 1e-9

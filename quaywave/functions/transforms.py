@@ -42,6 +42,22 @@ def remove_hum(column: str | Column, fs: float, centre: float = 50.0, quality: f
     return _stacked(column, lambda x: kernels.zero_phase(sos, x))
 
 
+def bandpass_direct(column: str | Column, fs: float, low: float = 1.0, high: float = 50.0, order: int = 4) -> Column:
+    b, a = kernels.polynomials(kernels.butterworth_bandpass(order, low, high, fs))
+    return _stacked(column, lambda x: kernels.zero_phase_direct(b, a, x))
+
+
+def remove_hum_direct(column: str | Column, fs: float, centre: float = 50.0, quality: float = 30.0) -> Column:
+    b, a = kernels.polynomials(kernels.notch(centre, quality, fs))
+    return _stacked(column, lambda x: kernels.zero_phase_direct(b, a, x))
+
+
+def band_log_power(column: str | Column, fs: float, bands, order: int = 3) -> Column:
+    """Log of the variance in each band: what stands in where spatial patterns give nothing."""
+    filters = [kernels.butterworth_bandpass(order, low, high, fs) for _, low, high in bands]
+    return _stacked(column, lambda x: np.stack([np.log(kernels.zero_phase(f, x).var(axis=-1) + 1e-10) for f in filters], axis=-1))
+
+
 def stockwell_entropy(column: str | Column, fs: float, bands, low: float = 1.0, high: float = 50.0, count: int = 75) -> Column:
     return _stacked(column, lambda x: kernels.stockwell_entropy(x, fs, bands, low, high, count))
 

@@ -84,11 +84,11 @@ def probabilities(name: str, x: np.ndarray, y: np.ndarray, z: np.ndarray) -> tup
             pick = rng.integers(0, len(x), len(x))
             votes.append(_svm()(x[pick], y[pick], z) if len(np.unique(y[pick])) > 1 else np.full(len(z), y[pick][0]))
         return classes, np.stack([(np.stack(votes) == c).mean(axis=0) for c in classes], axis=1)
-    degree = 3 if name == "poly_svm" else 0
+    degree, c = (3, 1.0) if name == "poly_svm" else (0, 5.0)
     if len(classes) == 2:
-        margin = kernels.svm_margin(kernels.svm_fit(x, y, degree=degree), z)
+        margin = kernels.svm_margin(kernels.svm_fit(x, y, c, degree=degree), z)
         return classes, _softmax(np.stack([-margin / 2, margin / 2], axis=1))
-    return classes, _softmax(np.stack([kernels.svm_margin(kernels.svm_fit(x, (y == c).astype(int), degree=degree), z) for c in classes], axis=1))
+    return classes, _softmax(np.stack([kernels.svm_margin(kernels.svm_fit(x, (y == k).astype(int), c, degree=degree), z) for k in classes], axis=1))
 
 
 def _dealt(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -129,10 +129,10 @@ def accuracy(predictions: DataFrame, by: list[str], label: str) -> DataFrame:
     return predictions.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg((F.col(label) == F.col("predicted")).cast("double")).alias("accuracy"))
 
 
-def nested_grid(rows: DataFrame, by: list[str], array: str, label: str, fold: str, grid: list[tuple[float, float]], inner: int = 3) -> DataFrame:
+def nested_grid(rows: DataFrame, by: list[str], array: str, label: str, fold: str, grid: list[tuple[float, float | None]], inner: int = 3) -> DataFrame:
     """by, fold, c, gamma, accuracy: RBF machines, (c, gamma) chosen by inner group folds of the training part.
 
-    Inner groups are the outer folds that remain, dealt round; ties go to the first of the grid."""
+    A gamma of None is 1 / (features x variance) of the rows at hand, which the result names for the chosen one. Inner groups are the outer folds that remain, dealt round; ties go to the first of the grid."""
     ship(rows.sparkSession)
     kinds = dict(rows.dtypes)
 
@@ -140,7 +140,7 @@ def nested_grid(rows: DataFrame, by: list[str], array: str, label: str, fold: st
         x, y, folds = np.stack(part[array].to_numpy()).astype(float), part[label].to_numpy(), part[fold].to_numpy()
         out = []
 
-        def score(train: np.ndarray, test: np.ndarray, c: float, gamma: float) -> float:
+        def score(train: np.ndarray, test: np.ndarray, c: float, gamma: float | None) -> float:
             if len(np.unique(y[train])) != 2 or not test.any():
                 return 0.0
             mean, std = x[train].mean(axis=0), x[train].std(axis=0)
@@ -152,8 +152,34 @@ def nested_grid(rows: DataFrame, by: list[str], array: str, label: str, fold: st
             order = {g: k % inner for k, g in enumerate(np.unique(folds[~test]))}
             own = np.array([order.get(g, -1) for g in folds])
             best = max(range(len(grid)), key=lambda k: (np.mean([score((own >= 0) & (own != i), own == i, *grid[k]) for i in range(inner)]), -k))
-            out.append((*part[by].iloc[0], f, *grid[best], score(~test, test, *grid[best])))
+            c, gamma = grid[best]
+            z = x[~test]
+            used = gamma or 1.0 / (x.shape[1] * max(((z - z.mean(axis=0)) / np.where(z.std(axis=0) == 0, 1, z.std(axis=0))).var(), 1e-12))
+            out.append((*part[by].iloc[0], f, c, used, score(~test, test, c, gamma)))
         return pd.DataFrame(out, columns=[*by, fold, "c", "gamma", "accuracy"])
 
     schema = ", ".join(f"{c} {kinds[c]}" for c in [*by, fold]) + ", c double, gamma double, accuracy double"
     return _dealt(rows.select(*by, fold, label, array), by).groupBy(*by).applyInPandas(run, schema)
+
+
+def inner_errors(rows: DataFrame, points: DataFrame, by: list[str], array: str, label: str, fold: str, c: str = "c", gamma: str = "gamma") -> DataFrame:
+    """points with loss: the error of an RBF machine of each point's (c, gamma) over the folds of its group. points: by, a column each, any others.
+
+    A group's rows and points meet in one task, as its machines must; groups are (subject, session) sized."""
+    ship(rows.sparkSession)
+
+    def run(part: pd.DataFrame, tried: pd.DataFrame) -> pd.DataFrame:
+        x, y, folds = np.stack(part[array].to_numpy()).astype(float), part[label].to_numpy(), part[fold].to_numpy()
+        losses = []
+        for a, b in zip(tried[c], tried[gamma]):
+            right = []
+            for f in np.unique(folds):
+                train = folds != f
+                if len(np.unique(y[train])) == 2:
+                    mean, std = x[train].mean(axis=0), x[train].std(axis=0)
+                    z = (x - mean) / np.where(std == 0, 1, std)
+                    right.append((kernels.svm_decide(kernels.svm_fit(z[train], y[train], a, b), z[~train]) == y[~train]).mean())
+            losses.append(1 - float(np.mean(right)) if right else None)
+        return tried.assign(loss=losses)
+
+    return rows.select(*by, fold, label, array).groupBy(*by).cogroup(points.groupBy(*by)).applyInPandas(run, ", ".join(f"{n} {t}" for n, t in points.dtypes) + ", loss double")

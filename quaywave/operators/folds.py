@@ -57,7 +57,8 @@ def stratified_group_kfold(rows: DataFrame, by: list[str], group: str, label: st
 
 
 def stratified_group_greedy(rows: DataFrame, by: list[str], group: str, label: str, k: int) -> DataFrame:
-    """Each group to the fold that keeps the label shares of folds closest; sequential, one partition's groups per task."""
+    """Each group to the fold that keeps the label shares of folds closest (to nine places; ties to the fold of fewest rows, then the
+    lowest), those of the most uneven labels first; sequential, one partition's groups per task."""
     counts = rows.groupBy(*by, group, label).agg(F.count(F.lit(1)).alias("c"))
     ship(rows.sparkSession)
     kinds = dict(counts.dtypes)
@@ -65,14 +66,14 @@ def stratified_group_greedy(rows: DataFrame, by: list[str], group: str, label: s
     def deal(part: pd.DataFrame) -> pd.DataFrame:
         table = part.pivot_table(index=group, columns=label, values="c", fill_value=0, aggfunc="sum")
         total = table.sum()
-        order = table.assign(_s=-table.std(axis=1, ddof=0), _g=table.index).sort_values(["_s", "_g"]).index
+        order = table.assign(_s=-table.std(axis=1, ddof=0).round(9), _g=table.index).sort_values(["_s", "_g"]).index
         folds = pd.DataFrame(0.0, index=range(k), columns=table.columns)
         out = {}
         for g in order:
             def spread(f: int) -> tuple[float, float]:
                 trial = folds.copy()
                 trial.loc[f] += table.loc[g]
-                return float((trial / total).std(axis=0, ddof=0).mean()), float(trial.loc[f].sum())
+                return round(float((trial / total).std(axis=0, ddof=0).mean()), 9), float(trial.loc[f].sum())
 
             best = min(range(k), key=lambda f: (*spread(f), f))
             folds.loc[best] += table.loc[g]

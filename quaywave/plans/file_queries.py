@@ -152,3 +152,25 @@ def counted_stream_windows(spark, d):
     running = counted_windows(stream, "user_id", "value", 16, 8).writeStream.format("parquet").option("path", out).option("checkpointLocation", scratch(spark, "stream-state")).outputMode("append").trigger(availableNow=True).start()
     running.awaitTermination()
     return spark.read.parquet(out).select("user_id", "window_idx", r6("mean"), r6("std"))
+
+
+@query(f"""WITH {E} SELECT DISTINCT 'skipped_' || subject || '.' || CASE session WHEN 0 THEN 'txt' ELSE 'md' END AS name FROM e WHERE session < 2""")
+def skipped_files(spark, d):
+    """The report of what the extension filter leaves out: one file a subject and kind beside the recordings."""
+    path = scratch(spark, "mixed")
+    keys = trials(spark, d).select("subject", "session").distinct()
+    kept = keys.select(F.concat_ws("_", "subject", F.concat("session", F.lit("_raw.npy"))).alias("name"), F.lit(b"x").alias("content"))
+    others = keys.where("session < 2").select(F.concat(F.lit("skipped_"), "subject", F.when(F.col("session") == 0, ".txt").otherwise(".md")).alias("name"), F.lit(b"x").alias("content"))
+    ranges.write_files(kept.unionByName(others), path)
+    return recordings.skipped(spark, path, ".npy")
+
+
+@query(f"""WITH {L} SELECT vec_id, CAST(subject AS INT) AS subject, CAST(label AS INT) AS label, feature_idx, round(CAST(CAST(value AS FLOAT) AS DOUBLE), 6) + 0.0 AS value FROM l WHERE label IS NOT NULL""")
+def meta_features_split(spark, d):
+    """A wide table of features is split by its meta columns alone, and put together as arrays."""
+    from . import lifecycle
+
+    names = [f"f{k}" for k in range(64)]
+    wide = lifecycle.to_wide(trials(spark, d).select("vec_id", "subject", "label", F.col("embedding").alias("features")), names)
+    rows = lifecycle.from_wide(wide, ("vec_id", "subject", "label"))
+    return rows.where("label IS NOT NULL").select("vec_id", "subject", "label", F.posexplode("features").alias("feature_idx", "v")).select("vec_id", "subject", "label", "feature_idx", r6("v", "value"))

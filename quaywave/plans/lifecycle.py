@@ -29,7 +29,8 @@ def window_table(recording: DataFrame, fs: float, size: int, step: int, cap: int
     keys = ["subject", "session", "trial_idx", "window_idx", "y"]
     gathered = entropy.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("channel", "de"))).alias("c"))  # one row per channel
     complete = gathered.where(F.size("c") == channels)
-    de = F.flatten(F.array(*[F.transform("c", lambda x, b=b: F.get(x["de"], F.lit(b))) for b in range(len(usable))]))
+    band = lambda b: F.transform("c", lambda x: F.get(x["de"], F.lit(b)))
+    de = F.flatten(F.array(*map(band, range(len(usable)))))
     rows = complete.select(*keys, de.alias("de"))
     value = lambda b, c: F.get("de", F.lit(b * channels + c))
     asym = F.array(*[features.difference_right_left(value(b, left), value(b, right)) for b in range(len(usable)) for left, right in pairs])
@@ -110,11 +111,11 @@ class FoldPipeline:
         return np.concatenate([z, (z - self.mean) @ self.axes], axis=1)[:, self.chosen]
 
 
-def cross_validate(table: DataFrame, k: int = 5, top: int = 150, models: tuple[str, ...] = ("lda", "ridge", "rbf_svm")) -> DataFrame:
+def cross_validate(table: DataFrame, k: int = 5, top: int = 150, models: tuple[str, ...] = ("rbf_svm", "extra_trees", "lda", "boosted")) -> DataFrame:
     """classifier, subject, session, fold, accuracy: every session is one grouped task; folds never split a group.
 
     table: subject, session, group, y, features. Folds are dealt over groups in Spark, the models' mean
-    probability decides as `ensemble`. Folds with one class on either side are left out."""
+    probability decides as `ensemble`. A forest and a perceptron have pooled forms only (plans/model_queries). Folds with one class on either side are left out."""
     ship(table.sparkSession)
     by = ["subject", "session"]
     dealt = folds.group_kfold_greedy(folds.group_sizes(table, by, "group"), by, "group", k).select(*by, "group", "fold")

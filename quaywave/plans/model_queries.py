@@ -11,7 +11,8 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import functions as F
 
 from ..functions import kernels, transforms
-from ..operators import blocks, estimators, information, scaling, spectral, sums, windows
+from ..functions.stages import FoldFeatures
+from ..operators import blocks, estimators, information, scaling, search, spectral, sums, windows
 from ..ship import ship
 from ..streaming.hopping import hopping_features
 from .registry import L, query, r6, table, trials
@@ -51,9 +52,9 @@ def band_filtered_de(spark, d):
 
 @query()
 def filter_per_window(spark, d):
-    """The older order: windows first, each filtered on its own; numbers at the edges differ from whole trials."""
+    """The older order and form: windows first, each filtered on its own by one direct form; other numbers than whole trials by sections."""
     cut = windows.cut_windows(trials(spark, d), "embedding", 32, 16)
-    rows = cut.withColumn("x", transforms.remove_hum(transforms.bandpass("samples", FS, 1.0, 50.0), FS))
+    rows = cut.withColumn("x", transforms.remove_hum_direct(transforms.bandpass_direct("samples", FS), FS))
     return rows.select("vec_id", "window_idx", F.posexplode("x").alias("idx", "filtered")).select("vec_id", "window_idx", "idx", r6("filtered"))
 
 
@@ -66,6 +67,15 @@ def welch_band_power(spark, d):
     return spectral.band_power(rows, "vec_id", "psd", FS / 32, bands).select("vec_id", "band", r6("log_power"))
 
 
+@query()
+def band_log_powers(spark, d):
+    """Every other channel of eight: log variance in three bands."""
+    channels = trials(spark, d).select("vec_id", F.posexplode(F.array(*[F.slice("embedding", 1 + 8 * c, 8) for c in range(0, 8, 2)])).alias("c", "x"))
+    bands = [("theta", 4.0, 8.0), ("alpha", 8.0, 13.0), ("beta", 13.0, 30.0)]
+    out = channels.withColumn("p", transforms.band_log_power("x", FS, bands)).select("vec_id", (2 * F.col("c")).alias("channel"), F.posexplode("p").alias("band", "v"))
+    return out.select("vec_id", "channel", "band", r6("v", "log_power"))
+
+
 @query()
 def wavelet_logvar(spark, d):
     return _values(trials(spark, d).withColumn("w", transforms.wavelet_log_variance("embedding")), "vec_id", "w", "logvar")
@@ -98,11 +108,17 @@ def ica_unmix(spark, d):
     return _values(rows.withColumn("s", transforms.project("embedding", mean, white @ unmix.T)), "vec_id", "s", "source")
 
 
+def _time_points():
+    """A vector as 8 channels of 8 samples: the channels' values at each time, an array of arrays."""
+    at = lambda t: F.transform(F.sequence(F.lit(0), F.lit(7)), lambda c: F.get("embedding", c * 8 + t))
+    return F.array(*map(at, range(8)))
+
+
 @query()
 def csp_logpower(spark, d):
     """Common spatial patterns over 8 channels of 8 samples: class covariances are distributed sums of outer products."""
     rows = trials(spark, d).where("y <> 0")
-    series = rows.select("vec_id", "y", F.posexplode(F.array(*[F.transform(F.sequence(F.lit(0), F.lit(7)), lambda c, t=t: F.get("embedding", c * 8 + t)) for t in range(8)])).alias("t", "x"))
+    series = rows.select("vec_id", "y", F.posexplode(_time_points()).alias("t", "x"))
     sums = {r["y"]: r for r in transforms.second_moments(series, ["y"], "x").collect()}  # one row per class
     cov = {y: np.array(r["products"]).reshape(8, 8) / r["n"] for y, r in sums.items()}
     filters = kernels.csp_filters(cov[-1], cov[1], 4)
@@ -111,6 +127,26 @@ def csp_logpower(spark, d):
     return long.groupBy("vec_id", "component").agg(r6(F.ln(F.avg(F.col("v") * F.col("v")) + 1e-10), "log_power"))
 
 
+@query(f"""WITH {L}, x AS (SELECT vec_id, y, feature_idx // 8 AS c, feature_idx % 8 AS t, value FROM l WHERE y <> 0)
+SELECT a.y, CAST(a.c AS INT) AS c1, CAST(b.c AS INT) AS c2, round(avg(a.value * b.value), 6) + 0.0 AS cov FROM x a JOIN x b ON a.vec_id = b.vec_id AND a.t = b.t GROUP BY ALL""")
+def csp_covariances(spark, d):
+    """The class covariances that the patterns are solved from: distributed sums of outer products."""
+    rows = trials(spark, d).where("y <> 0")
+    series = rows.select("y", F.explode(_time_points()).alias("x"))
+    sums_ = transforms.second_moments(series, ["y"], "x").select("y", "n", F.posexplode("products").alias("at", "p"))
+    return sums_.select("y", F.expr("at div 8").cast("int").alias("c1"), (F.col("at") % 8).cast("int").alias("c2"), r6(F.col("p") / F.col("n"), "cov"))
+
+
+@query(f"""WITH {L} SELECT feature_idx, count(*) AS n, round(avg(value), 6) + 0.0 AS mean, round(var_pop(value), 6) + 0.0 AS variance FROM l GROUP BY 1""")
+def pca_moments(spark, d):
+    """Means and variances of the row of sums that the components are solved from; the components' variances add up to theirs."""
+    held = transforms.second_moments(trials(spark, d), [], "embedding")
+    mean = lambda i: F.get("total", i) / F.col("n")
+    square = F.get("products", F.col("feature_idx") * 65) / F.col("n")
+    each = held.select("n", "total", "products", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("feature_idx"))
+    return each.select("feature_idx", "n", r6(mean(F.col("feature_idx")), "mean"), r6(square - mean(F.col("feature_idx")) * mean(F.col("feature_idx")), "variance"))
+
+
 @query()
 def csp_multiband(spark, d):
     """Patterns of each of three bands: the channels' series band-passed first, covariances per band and class from one pass."""
@@ -135,7 +171,7 @@ def csp_multiband(spark, d):
 def csp_one_vs_rest(spark, d):
     """Patterns of each of the three classes against the rest: the rest's covariance is a difference of sums."""
     rows = trials(spark, d)
-    series = rows.select("vec_id", "y", F.posexplode(F.array(*[F.transform(F.sequence(F.lit(0), F.lit(7)), lambda c, t=t: F.get("embedding", c * 8 + t)) for t in range(8)])).alias("t", "x"))
+    series = rows.select("vec_id", "y", F.posexplode(_time_points()).alias("t", "x"))
     sums = transforms.second_moments(series, ["y"], "x").collect()  # one row per class
     total, n = sum(np.array(r["products"]) for r in sums), sum(r["n"] for r in sums)
     parts = []
@@ -156,6 +192,26 @@ def yeo_johnson(spark, d):
     return scaling.transform(moved, F.broadcast(scaling.fit_standard(moved, ["feature_idx"])), ["feature_idx"]).select("vec_id", "feature_idx", r6("scaled"))
 
 
+@query(f"""WITH {L}, g(lam) AS (VALUES (-1.0::DOUBLE), (0.0), (0.5), (1.0), (2.0), (3.5)),
+t AS (SELECT feature_idx, lam, CASE WHEN value >= 0 THEN CASE WHEN lam = 0 THEN ln(1 + value) ELSE (pow(value + 1, lam) - 1) / lam END
+        ELSE CASE WHEN lam = 2 THEN -ln(1 - value) ELSE -(pow(1 - value, 2 - lam) - 1) / (2 - lam) END END AS z FROM l, g)
+SELECT feature_idx, lam, round(avg(z), 6) + 0.0 AS mean, round(var_pop(z), 6) + 0.0 AS variance FROM t GROUP BY ALL""")
+def yeo_johnson_at(spark, d):
+    """The power transform at six exponents, its two limits among them."""
+    rows = scaling.long_form(trials(spark, d), ["vec_id"], "embedding").withColumn("lam", F.explode(F.array(*map(F.lit, (-1.0, 0.0, 0.5, 1.0, 2.0, 3.5)))))
+    z = scaling.yeo_johnson(F.col("value"), F.col("lam"))
+    return rows.groupBy("feature_idx", "lam").agg(r6(F.avg(z), "mean"), r6(F.var_pop(z), "variance"))
+
+
+@query()
+def stage_features(spark, d):
+    """The fitted features as a stage: fitted on two folds, applied to the third."""
+    rows = trials(spark, d).where("y <> 0").withColumn("label", (F.col("y") == 1).cast("double"))
+    model = FoldFeatures(inputCol="embedding", top=20).fit(rows.where("trial % 3 <> 0"))
+    out = model.transform(rows.where("trial % 3 = 0")).select("vec_id", vector_to_array("chosen").alias("v"))
+    return _values(out, "vec_id", "v", "value")
+
+
 @query()
 def filter_long_series(spark, d):
     """Band-pass and notch over series of any length, in blocks of 256 samples: an event type's values in order of time."""
@@ -210,7 +266,7 @@ for _name in estimators.MODELS:
 
 @query()
 def nested_grid(spark, d):
-    grid = [(c, g) for c in (0.1, 1.0, 10.0, 100.0) for g in (0.001, 0.01, 0.1, 1.0)]
+    grid = [(c, g) for c in (1.0, 5.0, 10.0, 20.0) for g in (None, 0.001, 0.01, 0.1)]  # None: 1 / (features x variance)
     out = estimators.nested_grid(_folded(spark, d).withColumn("fold", F.col("trial")), ["subject", "session"], "embedding", "y", "fold", grid)
     return out.select("subject", "session", "fold", "c", "gamma", r6("accuracy"))
 
@@ -228,6 +284,21 @@ def search_log_uniform(spark, d):
     return out.select("subject", "session", "fold", r6("c"), r6("gamma"), r6("accuracy"))
 
 
+@query()
+def search_tpe(spark, d):
+    """Fifty trials of C and gamma for every session, led by two Parzen densities; the ten first anywhere, then ten a round for all sessions."""
+    rows, by, bounds = _folded(spark, d), ["subject", "session"], [(1e-2, 1e3), (1e-4, 1e1)]
+
+    def errors(points):
+        c, gamma = search.to_range("x", bounds)
+        return estimators.inner_errors(rows, points.withColumns({"c": c, "gamma": gamma}), by, "embedding", "y", "fold")
+
+    done = search.search(rows.select(*by).distinct(), by, 2, errors, trials=50, start=10, batch=10)
+    best = done.groupBy(*by).agg(F.min_by(F.struct("x", "loss"), F.struct(F.coalesce("loss", F.lit(2.0)), "nth")).alias("b"), F.count(F.lit(1)).alias("trials"))
+    c, gamma = search.to_range(F.col("b.x"), bounds)
+    return best.select(*by, "trials", r6(c, "c"), r6(gamma, "gamma"), r6(1 - F.col("b.loss"), "accuracy"))
+
+
 def _pooled(spark, d):
     """Pooled over sessions: vectors, a 0/1 target, balanced weights."""
     rows = _folded(spark, d).withColumn("target", (F.col("y") == 1).cast("double"))

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import functions as F
 
+from ..functions.tables import register_tables
 from ..operators import features, scaling, spectral, windows
 from .registry import E, L, query, r6, table, trials
 
@@ -43,6 +45,19 @@ def window_features_events(spark, d):
     return out.select("user_id", "window_idx", *[rounded(c) for c in out.columns[2:]])
 
 
+@query(f"""WITH {_SERIES}, w AS (SELECT user_id, value, CAST(unnest(range(greatest(0, pos // 8 - 1), pos // 8 + 1)) AS INT) AS window_idx, pos, n FROM s)
+SELECT user_id, window_idx, count(*) AS n, round(avg(value), 6) + 0.0 AS mean, round(max(value), 6) + 0.0 AS most FROM w WHERE window_idx * 8 + 16 <= n AND pos >= window_idx * 8 AND pos < window_idx * 8 + 16 GROUP BY ALL""")
+def windows_in_sql(spark, d):
+    """Windows by the SQL table function over each user's events."""
+    register_tables(spark)
+    name = f"series_{uuid.uuid4().hex}"
+    _series(spark, d).createOrReplaceTempView(name)
+    rows = spark.sql(f"SELECT * FROM sliding_windows(TABLE(SELECT * FROM {name}) PARTITION BY user_id ORDER BY (ts, event_id), key => 'user_id', value => 'value', size => 16, step => 8)")
+    out = rows.select("user_id", "window_idx", F.size("samples").cast("long").alias("n"), r6(F.aggregate("samples", F.lit(0.0), lambda a, x: a + x) / 16, "mean"), r6(F.array_max("samples"), "most"))
+    spark.catalog.dropTempView(name)
+    return out
+
+
 @query("""
 SELECT user_id, n AS samples, CAST(CASE WHEN n < 16 THEN 0 ELSE (n - 16) // 8 + 1 END AS INT) AS windows,
        CAST(CASE WHEN n <= 16 THEN 0 ELSE (n - 17) // 8 + 1 END AS INT) AS windows_open
@@ -202,6 +217,13 @@ def asymmetry_clipped(spark, d):
     return features.asymmetry(trials(spark, d), "embedding", features.PAIRS27, 62, 1).select("vec_id", "band", "pair", r6(features.clip(F.col("l") - F.col("r"), -500.0, 500.0), "dasm"), r6(features.clip(ratio, -500.0, 500.0), "rasm"))
 
 
+@query(f"WITH {L} SELECT vec_id, CAST(feature_idx // 8 AS INT) AS channel, round(avg(value), 6) + 0.0 AS mean FROM l GROUP BY ALL")
+def channel_means(spark, d):
+    """The last resort among features: each channel's mean, within the row."""
+    means = F.array(*[windows.mean_of(F.slice("embedding", 1 + 8 * c, 8)) for c in range(8)])
+    return trials(spark, d).select("vec_id", F.posexplode(means).alias("channel", "v")).select("vec_id", "channel", r6("v", "mean"))
+
+
 @query("""
 WITH f AS (SELECT user_id, avg(value) AS m, stddev_pop(value) AS s, avg(value * value) AS m2, avg(value * value * value) AS m3, kurtosis_pop(value) AS k,
   median(value) AS med, quantile_cont(value, 0.25) AS p25, quantile_cont(value, 0.75) AS p75, max(value) - min(value) AS ptp FROM events GROUP BY 1)

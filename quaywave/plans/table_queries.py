@@ -162,7 +162,24 @@ def stratified_group_kfold(spark, d):
     return folds.stratified_group_kfold(trials(spark, d), ["session"], "trial", "y", 3).select("session", "trial", "dominant", "fold")
 
 
-@query()
+def _trial_sql(f: int) -> str:
+    """What a fold would be worth for a group: (spread of the label shares over folds, its rows, its number)."""
+    at = lambda g, c: f"(g.load[{3 * g + c + 1}] + {f'o.n[{c + 1}]' if g == f else '0'})"
+    spread = lambda c: f"list_stddev_pop([{', '.join(f'{at(g, c)} / o.total[{c + 1}]' for g in range(3))}])"
+    return f"{{'s': round((coalesce({spread(0)}, 0) + coalesce({spread(1)}, 0) + coalesce({spread(2)}, 0)) / o.kinds, 9), 'n': {' + '.join(at(f, c) for c in range(3))}, 'f': {f}}}"
+
+
+@query(f"""WITH RECURSIVE {E},
+z AS (SELECT session, trial, [CAST(count(*) FILTER (y = -1) AS DOUBLE), count(*) FILTER (y = 0), count(*) FILTER (y = 1)] AS n FROM e GROUP BY ALL),
+w AS (SELECT session, [nullif(sum(n[1]), 0), nullif(sum(n[2]), 0), nullif(sum(n[3]), 0)] AS total FROM z GROUP BY 1),
+o AS (SELECT z.session, trial, n, total, len(list_filter(total, lambda x: x IS NOT NULL)) AS kinds,
+        row_number() OVER (PARTITION BY z.session ORDER BY round(-list_stddev_pop(list_filter(n, lambda v, i: total[i] IS NOT NULL)), 9), trial) AS r FROM z JOIN w USING (session)),
+g(session, r, load, trial, fold) AS (
+  SELECT DISTINCT session, CAST(0 AS BIGINT), [0.0::DOUBLE, 0, 0, 0, 0, 0, 0, 0, 0], CAST(NULL AS INT), CAST(NULL AS INT) FROM o
+  UNION ALL
+  SELECT session, r, list_transform(load, lambda v, i: v + CASE WHEN (i - 1) // 3 = best.f THEN n[(i - 1) % 3 + 1] ELSE 0 END), trial, CAST(best.f AS INT)
+  FROM (SELECT o.session, o.r, g.load, o.trial, o.n, list_min([{_trial_sql(0)}, {_trial_sql(1)}, {_trial_sql(2)}]) AS best FROM g JOIN o ON o.session = g.session AND o.r = g.r + 1))
+SELECT session, trial, fold FROM g WHERE r > 0""")
 def stratified_group_greedy(spark, d):
     return folds.stratified_group_greedy(trials(spark, d), ["session"], "trial", "y", 3).select("session", "trial", "fold")
 

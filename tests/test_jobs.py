@@ -70,6 +70,18 @@ def test_two_runs_over_growing_input(spark, tmp_path, caplog):
     assert spark.conf.get("spark.sql.sources.partitionOverwriteMode") == "STATIC"
 
 
+def test_growing_copy_of_the_given_events(spark, sf, tmp_path):
+    given = spark.read.parquet(f"{'/root/testdata/sf0.01' if os.path.isdir('/root/testdata/sf0.01') else sf}/events.parquet")
+    source, out, mark = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "mark")
+    sizes = []
+    for part in (0, 1):  # the second half brings more of every day
+        given.where(F.pmod("event_id", F.lit(2)) == part).coalesce(2).write.mode("append").parquet(source)
+        event_windows.run(spark, source, out, mark, event_windows.settings())
+        sizes.append(sum(state(spark, out).values()))
+    every = event_windows.day_windows(given.where("value IS NOT NULL").withColumn("day", F.to_date("ts")), 16, 8)
+    assert sizes[0] < sizes[1] and state(spark, out) == Counter(tuple(r) for r in every.select(*(F.round(c, 9).alias(c) if t == "double" else c for c, t in every.dtypes)).collect())
+
+
 def test_a_repeated_batch_changes_nothing(spark, tmp_path):
     out, config = str(tmp_path / "out"), event_windows.settings()
     batch = spark.createDataFrame(events([0, 4]), EVENTS)

@@ -105,3 +105,23 @@ def test_mirrored_wavelet_ends():
     out = k.wavelet_log_variance(x, level=1)
     assert first.shape[1] == (37 + 7) // 2 and np.allclose(out[:, 0], np.log(first.var(axis=1) + 1e-10))
     assert k.wavelet_log_variance(x, mode="periodic").shape == k.wavelet_log_variance(x).shape == (2, 6)
+
+
+def test_direct_form_equals_sections_in_the_middle():
+    rng = np.random.default_rng(0)
+    x, sos = rng.normal(size=(3, 2000)), k.butterworth_bandpass(4, 1, 50, 200)
+    b, a = k.polynomials(sos)
+    assert len(a) == 9 and abs(a[0] - 1) < 1e-12
+    one, two = k.zero_phase_direct(b, a, x), k.zero_phase(sos, x)
+    assert np.abs(one - two)[:, 500:-500].max() < 1e-6 and one.shape == x.shape
+    flat = np.full((1, 40), 3.0)
+    hum = k.polynomials(k.notch(50, 30, 200))
+    assert np.allclose(k.zero_phase_direct(*hum, flat), 3.0)
+
+
+def test_unfinished_support_vectors_warn():
+    rng = np.random.default_rng(1)
+    x, y = rng.normal(size=(30, 4)), np.arange(30) % 2
+
+    with pytest.warns(RuntimeWarning, match="not converged"):
+        k.svm_fit(x, y, 1e6, tol=-1.0)

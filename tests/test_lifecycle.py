@@ -2,6 +2,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quaywave.functions import kernels
+from quaywave.operators import spectral
 from quaywave.plans import lifecycle
 
 
@@ -22,9 +24,23 @@ def test_recordings_to_report(spark):
     assert all(np.isfinite(r["features"]).all() for r in rows) and {r["y"] for r in rows} == {-1, 1}
     results = lifecycle.cross_validate(table.withColumn("group", F.col("trial_idx")), k=3, top=10)
     out = results.collect()
-    assert {r["classifier"] for r in out} == {"lda", "ridge", "rbf_svm", "ensemble"}
+    assert {r["classifier"] for r in out} == {"lda", "extra_trees", "boosted", "rbf_svm", "ensemble"}
     assert np.mean([r["accuracy"] for r in out if r["classifier"] == "ensemble"]) > 0.8
-    assert lifecycle.report_table(results).count() == 4
+    assert lifecycle.report_table(results).count() == 5
+
+
+def test_features_are_band_major(spark):
+    whole = recording(spark, trials=3)
+    got = {(r["trial_idx"], r["window_idx"]): r["features"] for r in lifecycle.window_table(whole, 200.0, 200, 100, 3, [(0, 1), (2, 3)], 4).collect()}
+    usable = spectral.clamped_bands(lifecycle.BANDS, 200.0)
+    clean = {}
+    for r in whole.where("y <> 0").collect():
+        x = kernels.zero_phase(kernels.butterworth_bandpass(4, 1.0, 45.0, 200.0), np.array(r["samples"]))
+        clean[r["trial_idx"], r["channel"]] = kernels.zero_phase(kernels.notch(50.0, 30.0, 200.0), x)
+    for (trial, w), features in got.items():
+        told = [kernels.stockwell_entropy(clean[trial, c][w * 100 : w * 100 + 200], 200.0, usable, 1.0, 50.0) for c in range(4)]
+        assert np.allclose(features[: 4 * len(usable)], [told[c][b] for b in range(len(usable)) for c in range(4)], atol=1e-8)
+        assert np.allclose(features[4 * len(usable) :], [told[r][b] - told[left][b] for b in range(len(usable)) for left, r in ((0, 1), (2, 3))], atol=1e-8)
 
 
 def test_pipeline_fits_on_training_rows_alone():
