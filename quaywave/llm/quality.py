@@ -84,14 +84,15 @@ def _measures() -> Column:
 
 
 def fit_cutoffs(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", risk: float = 0.05, doubt: float = 0.05, price: float = 50.0) -> DataFrame:
-    """stratum (null and named: pooled false; the rest: pooled true), rule, cutoff, good, allowed, lost, bad, caught.
+    """stratum (null and named: pooled false; the rest: pooled true), rule, cutoff, good, allowed, lost, bad, caught, own_lost, own_caught.
 
     Good texts among the labelled ones that pass the base are the holdout of a stratum. All whole numbers are
     candidate cutoffs of a rule, tested from the mildest on until one loses more than the exact bound allows:
     such a fixed sequence needs no correction of its own, and what it passes holds at once. The rules of a stratum share
     `risk`, all rules of all strata share `doubt` (Bonferroni): with probability 1 - doubt no stratum loses
     more than `risk` of its good texts. Of the cutoffs that pass, the one with the largest share of bad texts caught less
-    `price` times the share of good ones lost is taken, the mildest of equals; a rule that gains nothing has none.
+    `price` times the share of good ones lost is taken, the mildest of equals. A rule that gains nothing has none,
+    nor has one that gains nothing by the texts which no better rule of the stratum catches (own_lost, own_caught).
 
     Equal texts count once, since copies are no independent witnesses; one that has both labels is good. Labels
     may repeat, lack an id or a value. Strata of under 1 / STRATA of the labelled texts are judged together, as
@@ -104,7 +105,8 @@ def fit_cutoffs(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", lab
     named = held.groupBy("stratum").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > F.lit(total // STRATA)).select(F.col("stratum").alias("_named"))
     own = held.join(F.broadcast(named), F.col("stratum").eqNullSafe(F.col("_named")), "left_semi").withColumn("pooled", F.lit(False))  # fewer than STRATA rows
     rest = held.join(F.broadcast(named), F.col("stratum").eqNullSafe(F.col("_named")), "left_anti").withColumn("pooled", F.lit(True)).withColumn("stratum", F.lit(None).cast("string"))
-    each = own.unionByName(rest).select("pooled", "stratum", "good", F.posexplode("measures").alias("rule", "cutoff"))
+    texts = own.unionByName(rest)
+    each = texts.select("pooled", "stratum", "good", F.posexplode("measures").alias("rule", "cutoff"))
     good = F.col("good").cast("long")
     counts = each.groupBy("pooled", "stratum", "rule", "cutoff").agg(F.sum(good).alias("g"), F.sum(1 - good).alias("b"))  # at most 1001 a rule
     group = Window.partitionBy("pooled", "stratum", "rule")
@@ -117,9 +119,20 @@ def fit_cutoffs(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", lab
     tried = tried.join(F.broadcast(limits), (F.col("pooled") == F.col("_p")) & F.col("stratum").eqNullSafe(F.col("_s"))).drop("_p", "_s")  # STRATA rows at most
     worth = F.col("caught") / F.greatest("bad", F.lit(1)) - F.lit(price) * F.col("lost") / F.greatest("good", F.lit(1))
     tried = tried.where("lost <= allowed").withColumn("worth", worth).where("worth > 0")
-    best = F.max_by(F.struct("cutoff", "good", "allowed", "lost", "bad", "caught"), F.struct(F.round("worth", 12), "cutoff"))
+    best = F.max_by(F.struct(F.round("worth", 12).alias("worth"), "cutoff", "good", "allowed", "lost", "bad", "caught"), F.struct(F.round("worth", 12), "cutoff"))
+    chosen = tried.groupBy("pooled", "stratum", "rule").agg(best.alias("x")).select("pooled", "stratum", "rule", "x.*")
+    chosen = materialize(chosen, "quality-chosen")  # a row a rule and stratum
+
+    # A rule that only repeats what better ones catch would cost good texts for nothing: each text counts for the best that it meets.
+    order = F.array_sort(F.collect_list(F.struct((-F.col("worth")).alias("minus"), "rule", "cutoff"))).alias("order")
+    named_order = chosen.groupBy("pooled", "stratum").agg(order).select(F.col("pooled").alias("_p"), F.col("stratum").alias("_s"), "order")
+    met = texts.join(F.broadcast(named_order), (F.col("pooled") == F.col("_p")) & F.col("stratum").eqNullSafe(F.col("_s")))
+    met = met.withColumn("first", F.get(F.filter("order", lambda x: F.get("measures", x["rule"]) >= x["cutoff"]), F.lit(0))["rule"])
+    first = met.where("first IS NOT NULL").groupBy("_p", "_s", "first").agg(F.sum(good).alias("own_lost"), F.sum(1 - good).alias("own_caught"))
+    adds = F.col("own_caught") / F.greatest("bad", F.lit(1)) - F.lit(price) * F.col("own_lost") / F.greatest("good", F.lit(1))
+    out = chosen.join(F.broadcast(first), (F.col("pooled") == F.col("_p")) & F.col("stratum").eqNullSafe(F.col("_s")) & (F.col("rule") == F.col("first"))).where(adds > 0)
     names = F.array(*(F.lit(r) for r in RULES))
-    return tried.groupBy("pooled", "stratum", "rule").agg(best.alias("x")).select("pooled", "stratum", names[F.col("rule")].alias("rule"), "x.*")
+    return out.select("pooled", "stratum", names[F.col("rule")].alias("rule"), "cutoff", "good", "allowed", "lost", "bad", "caught", "own_lost", "own_caught")
 
 
 def apply_cutoffs(stats: DataFrame, cutoffs: DataFrame) -> DataFrame:

@@ -181,7 +181,13 @@ def _quality_sql() -> str:
         sums AS (SELECT *, sum(p) OVER (PARTITION BY pooled, stratum ORDER BY k) AS below FROM terms),
         limits AS (SELECT pooled, stratum, coalesce(max(k) FILTER (below <= 0.05 / ({rules} * (SELECT count(*) FROM sizes))), -1) AS allowed FROM sums GROUP BY ALL),
         passed AS (SELECT t.*, caught / greatest(bad, 1) - 50 * lost / greatest(good, 1) AS worth FROM tried t JOIN limits l ON t.pooled = l.pooled AND t.stratum IS NOT DISTINCT FROM l.stratum WHERE lost <= allowed),
-        cutoffs AS (SELECT pooled, stratum, rule, max_by(cutoff, (round(worth, 12), cutoff)) AS cutoff FROM passed WHERE worth > 0 GROUP BY ALL),
+        chosen AS (SELECT pooled, stratum, rule, max_by(cutoff, (round(worth, 12), cutoff)) AS cutoff, max(round(worth, 12)) AS worth, any_value(good) AS good, any_value(bad) AS bad FROM passed WHERE worth > 0 GROUP BY ALL),
+        met AS (SELECT h.good, h.measures, NOT named AS pooled, CASE WHEN named THEN h.stratum END AS stratum, row_number() OVER () AS text FROM held h JOIN shares s ON h.stratum IS NOT DISTINCT FROM s.stratum),
+        firsts AS (SELECT m.good, m.pooled, m.stratum, c.rule FROM met m JOIN chosen c ON m.pooled = c.pooled AND m.stratum IS NOT DISTINCT FROM c.stratum AND m.measures[c.rule + 1] >= c.cutoff
+                   QUALIFY row_number() OVER (PARTITION BY m.text ORDER BY c.worth DESC, c.rule) = 1),
+        owns AS (SELECT pooled, stratum, rule, count(*) FILTER (good) AS lost, count(*) FILTER (NOT good) AS caught FROM firsts GROUP BY ALL),
+        cutoffs AS (SELECT c.pooled, c.stratum, c.rule, c.cutoff FROM chosen c JOIN owns o ON c.pooled = o.pooled AND c.stratum IS NOT DISTINCT FROM o.stratum AND c.rule = o.rule
+                    WHERE o.caught / greatest(c.bad, 1) - 50 * o.lost / greatest(c.good, 1) > 0),
         hit AS (
             SELECT DISTINCT row FROM measured m JOIN cutoffs c ON m.measures[c.rule + 1] >= c.cutoff
             AND CASE WHEN EXISTS (SELECT 1 FROM cutoffs o WHERE NOT o.pooled AND o.stratum IS NOT DISTINCT FROM m.stratum)

@@ -102,6 +102,20 @@ def test_small_strata_are_judged_together(spark, docs_of, monkeypatch):
     assert not out[9001]["kept"] and out[9001]["reason"] == "symbols"
 
 
+def test_a_rule_that_adds_nothing_is_left_out(spark, docs_of):
+    """Bad texts are full of symbols and of long words; a few good ones have long words. Symbols tell all that is to tell."""
+    rng, rows, labels = random.Random(6), [], []
+    for k in range(2500):
+        bad, long = k % 10 == 0, k % 10 == 0 or k % 700 == 1
+        rows.append((k, " ".join(f"{'w' * (12 if long else 2)}{rng.randrange(10**4)}" + ("##" if bad else "") for _ in range(60))))
+        labels.append((k, int(not bad)))
+    told = spark.createDataFrame(labels, "doc_id long, quality int")
+    found = fit_cutoffs(text_stats(docs_of(rows)), told, price=1.0).collect()
+    assert [(r["rule"], r["own_lost"], r["own_caught"]) for r in found] == [("symbols", 0, 250)]
+    out = {r["doc_id"]: r["kept"] for r in judge_quality(docs_of(rows), told, price=1.0).collect()}
+    assert all(out[k] == bool(good) for k, good in labels)
+
+
 def test_copies_count_once_and_edges(spark, docs_of, edge):
     docs = docs_of([(r[0], r[1]) for r in edge] + [(50 + k, " ".join(f"v{j}" for j in range(80))) for k in range(300)])
     told = spark.createDataFrame([(50 + k, 1) for k in range(300)] + [(1, 0), (3, 1)], "doc_id long, quality int")
