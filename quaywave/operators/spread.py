@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import settle
+
 
 def spread_join(many: DataFrame, one: DataFrame, keys: list[str], salt: list[str], how: str = "inner", parts: int = 1024) -> DataFrame:
     """many.join(one, keys, how), "inner" or "left", where a key of `many` may be hot and `one` holds each key once at most.
@@ -13,7 +15,7 @@ def spread_join(many: DataFrame, one: DataFrame, keys: list[str], salt: list[str
     key are dealt into shares by the hash of the columns `salt`, and its row of `one` is repeated for each
     share, so that no task gets much over 1 / parts of the rows on account of a key. Counting reads the
     keys of `many` once more. Null keys match nothing; under "left" they are kept, and dealt by the salt."""
-    sizes = many.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = settle(many.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), "key-sizes")
     total = sizes.agg(F.sum("_n")).first()[0] or 0
     limit = max(1, total // parts)
     hot = F.broadcast(sizes.where(F.col("_n") > limit).select(*keys, F.ceil(F.col("_n") / F.lit(limit)).cast("int").alias("_shares")))
