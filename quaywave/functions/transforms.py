@@ -78,11 +78,11 @@ def welch_density(column: str | Column, fs: float, nperseg: int) -> Column:
     return _stacked(column, lambda x: kernels.welch_density(x, fs, nperseg)[1])
 
 
-def second_moments(rows: DataFrame, by: list[str], array: str, held: int = 1000) -> DataFrame:
+def second_moments(rows: DataFrame, by: list[str], array: str, most: int = 1000) -> DataFrame:
     """by, n, total (array), products (flattened outer products).
 
-    A task sums its rows first (of `held` groups at a time), then the entries are summed by position:
-    no row ever holds more than one matrix, whatever the number of tasks."""
+    A task sums its rows first (of `most` groups at a time), then pieces of 64 entries are summed by position:
+    no row ever holds more than one matrix, or 64 numbers of every task."""
     ship(rows.sparkSession)
     kinds = dict(rows.dtypes)
 
@@ -99,7 +99,7 @@ def second_moments(rows: DataFrame, by: list[str], array: str, held: int = 1000)
                 x, key = np.stack(group[array].to_numpy()).astype(float), key if isinstance(key, tuple) else (key,)
                 n, total, products = sums.get(key, (0, 0.0, 0.0))
                 sums[key] = (n + len(x), total + x.sum(axis=0), products + x.T @ x)
-            if len(sums) > held:
+            if len(sums) > most:
                 yield out()
                 sums.clear()
         if sums:
@@ -107,8 +107,10 @@ def second_moments(rows: DataFrame, by: list[str], array: str, held: int = 1000)
 
     schema = ", ".join([f"{c} {kinds[c]}" for c in by] + ["n long", "entries array<double>"])
     parts = rows.where(F.col(array).isNotNull()).select(*by, array).mapInPandas(part, schema)
-    entries = parts.select(*by, "n", F.posexplode("entries").alias("at", "v")).groupBy(*by, "at").agg(F.sum("n").alias("n"), F.sum("v").alias("v"))
-    whole = entries.groupBy(*by).agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("at", "v"))), lambda x: x["v"]).alias("e"))  # a matrix
+    pieces = F.transform(F.sequence(F.lit(0), F.floor((F.size("entries") - 1) / 64).cast("int")), lambda k: F.slice("entries", k * 64 + 1, F.lit(64)))
+    held = parts.select(*by, "n", F.posexplode(pieces).alias("at", "v")).groupBy(*by, "at").agg(F.sum("n").alias("n"), F.collect_list("v").alias("vs"))  # 64 numbers a task
+    added = F.aggregate(F.slice("vs", F.lit(2), F.size("vs")), F.get("vs", F.lit(0)), lambda a, x: F.zip_with(a, x, lambda u, v: u + v))
+    whole = held.withColumn("v", added).groupBy(*by).agg(F.max("n").alias("n"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "v"))), lambda x: x["v"])).alias("e"))  # a matrix
     d = ((F.sqrt(1 + 4 * F.size("e").cast("double")) - 1) / 2).cast("int")
     return whole.withColumn("d", F.round(d).cast("int")).select(*by, "n", F.expr("slice(e, 1, d)").alias("total"), F.expr("slice(e, d + 1, d * d)").alias("products"))
 
