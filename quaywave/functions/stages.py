@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
@@ -13,9 +15,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import scaling, selection
+from ..operators.windows import let
 from .transforms import fit_pca, second_moments
 
 
+def _constant(numbers: list) -> Column:
+    """Numbers, or lists of them, as one constant of the plan, where an array of literals would be a node for each."""
+    return F.from_json(F.lit(json.dumps(numbers)), "array<array<double>>" if numbers and isinstance(numbers[0], list) else "array<double>")
+
+
 def _param(name: str, doc: str, kind) -> Param:
     return Param(Params._dummy(), name, doc, typeConverter=kind)
 
@@ -72,24 +80,23 @@ class FoldFeaturesModel(Model, HasInputCol, HasOutputCol, DefaultParamsReadable,
         return self._set(inputCol=estimator.getInputCol(), outputCol=estimator.getOutputCol(), **fitted)
 
     def scaled(self, x: Column) -> Column:
-        get = self.getOrDefault
-        parts = zip(get(self.keep), get(self.centre), get(self.scale))
-        return F.array(*((F.get(x, k) - c) / s for k, c, s in parts))
+        keep, centre, scale = (_constant(self.getOrDefault(p)) for p in (self.keep, self.centre, self.scale))
+        place = F.sequence(F.lit(0), F.lit(len(self.getOrDefault(self.keep)) - 1))
+        return F.transform(place, lambda i: (F.get(x, F.get(keep, i).cast("int")) - F.get(centre, i)) / F.get(scale, i))
 
     def joined(self, x: Column) -> Column:
         """Scaled features, then their components."""
         mean, axes = np.array(self.getOrDefault(self.mean)), np.array(self.getOrDefault(self.axes))
         if not len(axes):
             return self.scaled(x)
-        table = F.array(*(F.array(*map(F.lit, axis.tolist())) for axis in axes.reshape(-1, len(mean))))
-        middle = F.array(*map(F.lit, mean.tolist()))
+        table, middle = _constant(axes.reshape(-1, len(mean)).tolist()), _constant(mean.tolist())
         dot = lambda z, a: F.aggregate(F.zip_with(z, a, lambda u, v: u * v), F.lit(0.0), lambda s, v: s + v)
-        of = lambda z: F.concat(z, F.transform(table, lambda a: dot(F.zip_with(z, middle, lambda u, m: u - m), a)))
-        return F.element_at(F.transform(F.array(self.scaled(x)), of), 1)
+        of = lambda z: F.concat(z, let(F.zip_with(z, middle, lambda u, m: u - m), lambda c: F.transform(table, lambda a: dot(c, a))))
+        return let(self.scaled(x), of)
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
         doubles = F.transform(self.getInputCol(), lambda x: x.cast("double"))
         wide = self.joined(doubles)
-        places = F.array(*map(F.lit, self.getOrDefault(self.chosen))).cast("array<int>")
-        kept = F.element_at(F.transform(F.array(wide), lambda z: F.transform(places, lambda k: F.get(z, k))), 1)
+        places = _constant(self.getOrDefault(self.chosen)).cast("array<int>")
+        kept = let(wide, lambda z: F.transform(places, lambda k: F.get(z, k)))
         return dataset.withColumn(self.getOutputCol(), array_to_vector(kept))
