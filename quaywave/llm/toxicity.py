@@ -68,8 +68,15 @@ def windows_of(n: int, shape: Shape) -> list[int]:
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def hashed(kinds: list[str], shape: Shape) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each word: its bucket, the buckets of its character n-grams (3 and 4, its ends marked), how many those are."""
+def hashed(kinds: list[str], shape: Shape, block: int = 1 << 13) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each word: its bucket, the buckets of its character n-grams (3 and 4, its ends marked), how many those are.
+
+    Words are hashed `block` at a time: what that takes on its way is many times what it gives."""
+    parts = [_hashed(kinds[a : a + block], shape) for a in range(0, len(kinds), block)]
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
+def _hashed(kinds: list[str], shape: Shape) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     raw = [f"<{k}>" for k in kinds]
     code = np.frombuffer("".join(raw).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
     sizes = np.array([len(r) for r in raw])
@@ -85,15 +92,15 @@ def hashed(kinds: list[str], shape: Shape) -> tuple[np.ndarray, np.ndarray, np.n
             found.append((h[good] >> np.uint64(20)) % np.uint64(shape.grams))
     order = np.argsort(np.concatenate(owners), kind="stable")
     words = np.array([zlib.crc32(k.encode("utf-8", "surrogatepass")) % shape.words for k in kinds], dtype=np.int64)
-    return words, np.concatenate(found)[order].astype(np.int64), np.bincount(np.concatenate(owners), minlength=len(raw))
+    return words, np.concatenate(found)[order].astype(np.int32), np.bincount(np.concatenate(owners), minlength=len(raw))
 
 
-def sum_by(spots: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct spots and the sums of their rows."""
+def sum_by(spots: np.ndarray, values: np.ndarray, rows: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct spots and the sums of their rows of values: one each in turn, or those numbered in `rows`."""
     order = np.argsort(spots, kind="stable")
     ordered = spots[order]
     first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-    return ordered[first], np.add.reduceat(values[order], first, axis=0)
+    return ordered[first], np.add.reduceat(values[order if rows is None else rows[order]], first, axis=0)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -122,10 +129,16 @@ class Network:
         }
         return cls(shape, p)
 
-    def inputs(self, word: np.ndarray, gram: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        mean = np.add.reduceat(self.p["C"][gram], first, axis=0) / sizes[:, None].astype(np.float32) ** 0.5
-        return np.concatenate([self.p["E"][word], mean], axis=1)
+    def inputs(self, word: np.ndarray, gram: np.ndarray, sizes: np.ndarray, block: int = 1 << 12) -> np.ndarray:
+        """The n-grams' rows are gathered for `block` words at a time."""
+        out, last = np.empty((len(word), self.shape.word_dim + self.shape.char_dim), np.float32), np.cumsum(sizes)
+        out[:, : self.shape.word_dim] = self.p["E"][word]
+        for a in range(0, len(word), block):
+            n = sizes[a : a + block]
+            start, end = last[a] - sizes[a], last[a + len(n) - 1]
+            sums = np.add.reduceat(self.p["C"][gram[start:end]], last[a : a + block] - n - start, axis=0)
+            out[a : a + block, self.shape.word_dim :] = sums / n[:, None].astype(np.float32) ** 0.5
+        return out
 
     def gates(self, x: np.ndarray) -> np.ndarray:
         """The inputs' part of both directions' gates, and last the row for padding, which keeps the state."""
@@ -136,12 +149,11 @@ class Network:
 
     def gates_of(self, word: np.ndarray, gram: np.ndarray, sizes: np.ndarray, block: int = 1 << 14) -> np.ndarray:
         """gates(inputs(..)) of a whole lexicon, in blocks that bound what the n-grams' rows take."""
-        ends, parts = np.cumsum(sizes), []
+        ends, out = np.cumsum(sizes), np.empty((2, len(word) + 1, 3 * self.shape.hidden), np.float32)
         for a in range(0, len(word), block):
             b = min(a + block, len(word))
-            made = self.gates(self.inputs(word[a:b], gram[ends[a] - sizes[a] : ends[b - 1]], sizes[a:b]))
-            parts.append(made if b == len(word) else made[:, :-1])
-        return np.concatenate(parts, axis=1)
+            out[:, a : b + 1] = self.gates(self.inputs(word[a:b], gram[ends[a] - sizes[a] : ends[b - 1]], sizes[a:b]))  # the next block covers the row for padding
+        return out
 
     def states(self, gates: np.ndarray, index: np.ndarray, trail: list | None = None) -> np.ndarray:
         """index: windows x words into the gates, -1 for padding. Returns states (words, windows, 2h)."""
@@ -229,8 +241,7 @@ def train(samples: list[tuple[list[np.ndarray], int]], lexicon: Lexicon, shape:
     carry its label; later, of all its windows, only the most toxic one of each toxic document does, and clean documents
     give their most toxic window and some others."""
     net, rng = Network.fresh(shape), np.random.default_rng(shape.seed)
-    kinds = list(lexicon.at) or ["-"]
-    word, grams, sizes = hashed(kinds, shape)
+    word, grams, sizes = hashed(list(lexicon.at) or ["-"], shape)
     first = np.cumsum(sizes) - sizes
     index = np.full((sum(len(w) for w, _ in samples), shape.window), -1, dtype=np.int32)
     owner, label, row = [], [], 0
@@ -252,6 +263,7 @@ def train(samples: list[tuple[list[np.ndarray], int]], lexicon: Lexicon, shape:
             gates = net.gates_of(word, grams, sizes)
             score = np.full(len(index), -np.inf)
             score[learn] = net.logits(gates, index[learn])
+            del gates
             order = learn[np.lexsort((-score[learn], owner[learn]))]
             best = order[np.concatenate([[True], owner[order][1:] != owner[order][:-1]])]
             mine = ~apart[owner]
@@ -280,9 +292,9 @@ def train(samples: list[tuple[list[np.ndarray], int]], lexicon: Lexicon, shape:
                 m[0] = 0.9 * m[0] + 0.1 * g
                 m[1] = 0.99 * m[1] + 0.01 * g * g
                 net.p[k] -= (rate * (m[0] / (1 - 0.9**step)) / (np.sqrt(m[1] / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
-            spread = np.repeat(d_x[:, shape.word_dim :] / n[:, None].astype(np.float32) ** 0.5, n, axis=0)
-            for k, ids, g in (("E", word[used], d_x[:, : shape.word_dim]), ("C", gram, spread)):
-                spots, total = sum_by(ids, g)
+            spread = d_x[:, shape.word_dim :] / n[:, None].astype(np.float32) ** 0.5
+            for k, ids, g, of in (("E", word[used], d_x[:, : shape.word_dim], None), ("C", gram, spread, np.repeat(np.arange(len(n), dtype=np.int32), n))):
+                spots, total = sum_by(ids, g, of)
                 square[k][spots] += (total * total).mean(axis=1)
                 net.p[k][spots] -= 5 * rate * total / (np.sqrt(square[k][spots])[:, None] + 1e-6)
     if len(samples) and 0 < label.sum() < len(label):

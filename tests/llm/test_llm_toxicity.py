@@ -155,3 +155,19 @@ def test_the_sample_is_bounded_in_words(spark):
     assert net.shape.sample_words == 400
     scored = {r["doc_id"]: r["score"] for r in score_toxicity(docs, net).collect()}
     assert all(0 <= s <= 1 for s in scored.values())
+
+
+def test_hashing_a_lexicon_takes_little_more_than_what_it_gives():
+    """The driver hashes the whole lexicon of the sample: all words at once took over ten times the result on the way."""
+    import tracemalloc
+
+    kinds = [f"word{k}of{k * 7919 % 100003}" for k in range(60_000)]
+    tracemalloc.start()
+    word, grams, sizes = hashed(kinds, Shape())
+    peak, held = tracemalloc.get_traced_memory()[1], word.nbytes + grams.nbytes + sizes.nbytes
+    tracemalloc.stop()
+    assert peak < 4 * held
+    some = [hashed(kinds[a : a + 1], Shape()) for a in (0, 8191, 8192, 59_999)]
+    at = np.cumsum(sizes)
+    for a, (w, g, n) in zip((0, 8191, 8192, 59_999), some):
+        assert w[0] == word[a] and n[0] == sizes[a] and np.array_equal(g, grams[at[a] - sizes[a] : at[a]])
