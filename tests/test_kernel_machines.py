@@ -59,3 +59,20 @@ def test_every_outer_fold_is_a_task_of_its_own_and_scores_are_those_of_the_plain
             means = [np.mean([score(x, y, (own >= 0) & (own != i), own == i, *p) for i in range(3)]) for p in grid]
             c, gamma = grid[int(np.argmax(means))]
             assert told[g, f][0] == c and told[g, f][2] == score(x, y, fold != f, fold == f, c, gamma)
+
+
+def test_points_of_a_group_are_dealt_to_tasks(spark, monkeypatch):
+    rows = table(spark)
+    points = spark.createDataFrame([(g, n, 10.0 ** (n - 2), 0.1) for g in range(3) for n in range(5)], "g int, nth int, c double, gamma double")
+    keys, dealt = [], estimators._dealt
+    monkeypatch.setattr(estimators, "_dealt", lambda r, by: keys.append(r.select(*by).distinct().count()) or dealt(r, by))
+    told = estimators.inner_errors(rows, points, ["g"], "x", "y", "fold").toPandas()
+    assert keys == [10, 15] and len(told) == 15  # before, a group's points were one task
+    assert told[told["g"] == 2]["loss"].isna().all()  # a group without rows
+    x, y = planted(60, 1)
+    fold, right = np.arange(60) % 4, []
+    for f in range(4):
+        train = fold != f
+        z = (x - x[train].mean(axis=0)) / x[train].std(axis=0)
+        right.append((k.svm_decide(k.svm_fit(z[train], y[train], 10.0, 0.1), z[~train]) == y[~train]).mean())
+    assert told[(told["g"] == 1) & (told["nth"] == 3)]["loss"].iloc[0] == pytest.approx(1 - np.mean(right), abs=1e-12)
