@@ -61,12 +61,19 @@ def padding(sos: np.ndarray) -> int:
     return 3 * (2 * len(sos) + 1 - zeros)
 
 
+def _some(batches: Iterator[pd.DataFrame], rows: int = 512) -> Iterator[pd.DataFrame]:
+    """Batches in pieces of a few rows: a row is a whole block, and each step copies its rows several times."""
+    for batch in batches:
+        for a in range(0, len(batch), rows):
+            yield batch.iloc[a : a + rows]
+
+
 def _one_way(rows: DataFrame, key: str, sos: np.ndarray, backward: bool) -> DataFrame:
     """rows: key, block, blocks, x. x filtered along the series, in or against its direction."""
     n, step = 2 * len(sos), -1 if backward else 1
 
     def ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in _some(batches):
             for _, part in batch.groupby(batch["x"].map(len)):
                 x = np.stack(part["x"].to_numpy())[:, ::step]
                 _, end = run_sections(sos, x, np.zeros((len(x), len(sos), 2)))
@@ -83,7 +90,7 @@ def _one_way(rows: DataFrame, key: str, sos: np.ndarray, backward: bool) -> Data
         return part[[key, "block"]].assign(state=out)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in _some(batches):
             for _, part in batch.groupby(batch["x"].map(len)):
                 x = np.stack(part["x"].to_numpy())[:, ::step]
                 y, _ = run_sections(sos, x, np.stack(part["state"].to_numpy()).reshape(-1, len(sos), 2))
@@ -104,7 +111,7 @@ def zero_phase_blocks(rows: DataFrame, key: str, sos: np.ndarray) -> DataFrame:
     pad = padding(sos)
 
     def extend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in _some(batches):
             out = []
             for block, blocks, x in zip(batch["block"], batch["blocks"], batch["x"]):
                 most = min(pad, len(x) - 1)
@@ -116,7 +123,7 @@ def zero_phase_blocks(rows: DataFrame, key: str, sos: np.ndarray) -> DataFrame:
             yield batch.assign(x=out)
 
     def trim(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in _some(batches):
             out = []
             for block, blocks, x in zip(batch["block"], batch["blocks"], batch["x"]):
                 most = pad if blocks > 1 else min(pad, (len(x) - 1) // 3)  # a short series of m samples became 3 m - 2
