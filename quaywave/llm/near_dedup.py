@@ -88,6 +88,14 @@ def _chunks(texts: list[bytes], size: int = 1 << 20, rows: int = 1024) -> Iterat
         yield a, len(texts)
 
 
+def _read(column: pa.Array, rows: int = 1024) -> Iterator[tuple[int, int, list[bytes]]]:
+    """Texts of a batch's column by chunks, from a up to b; no more than `rows` of them are taken out of the batch at a time."""
+    for at in range(0, len(column), rows):
+        texts = column.slice(at, rows).to_pylist()
+        for a, b in _chunks(texts, rows=rows):
+            yield at + a, at + b, texts[a:b]
+
+
 def fingerprint(text_col: str) -> Column:
     """128 bits of the SHA-256 of a text (null: empty): what stands for the text in slim tables."""
     return F.unhex(F.substring(F.sha2(text_of(text_col), 256), 1, 32))
@@ -99,9 +107,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [x.as_py() for x in batch.column(2)]
-            for a, b in _chunks(texts):
-                part = texts[a:b]
+            for a, b, part in _read(batch.column(2)):
                 text, hashes, words = _shingled(part, k)
                 keys = band_keys(bag_minhash(*multisets(text, hashes), len(part)))
                 has = words > 0
@@ -207,9 +213,8 @@ def _count_tokens(texts: DataFrame, k: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(COUNTERS, dtype=np.int64)
         for batch in batches:
-            part = [x.as_py() for x in batch.column(0)]
-            for a, b in _chunks(part):
-                counts += np.bincount((tokens_of(part[a:b], k)[1] % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+            for _, _, part in _read(batch.column(0)):
+                counts += np.bincount((tokens_of(part, k)[1] % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
         held = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(counts[held])], names=["at", "n"])
 
@@ -232,9 +237,8 @@ def _prefix_links(open_: DataFrame, texts: DataFrame, k: int, least: float, bloc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            part = [x.as_py() for x in batch.column(3)]
-            for a, b in _chunks(part):
-                text, token, short = prefixes(part[a:b], k, least, counts.value)
+            for a, b, part in _read(batch.column(3)):
+                text, token, short = prefixes(part, k, least, counts.value)
                 rows = batch.slice(a, b - a).take(pa.array(text))
                 yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), rows.column(2), pa.array(token.view(np.int64)), pa.array(short)], names=["rep", "cls", "words", "token", "short"])
 

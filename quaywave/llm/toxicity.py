@@ -317,15 +317,18 @@ def _cut(score: np.ndarray, truth: np.ndarray, clean: float = 3.0) -> float:
 
 
 class Scorer:
-    """Scores texts; remembers the gates of words it has met, up to `memory` of them."""
+    """Scores texts; remembers the gates of words it has met, up to `memory` of them besides those of the texts at hand.
 
-    def __init__(self, net: Network, memory: int = 1 << 17) -> None:
+    Room for these is taken at once, of which the system gives what is used: growing it would hold it twice on the way."""
+
+    def __init__(self, net: Network, memory: int = 1 << 16) -> None:
         self.net, self.memory = net, memory
         self._forget()
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.gates = np.zeros((2, 1 << 12, 3 * self.net.shape.hidden), np.float32)
+        self.gates = None  # the old ones go first
+        self.gates = np.zeros((2, self.memory + (1 << 15), 3 * self.net.shape.hidden), np.float32)
 
     def _learn(self, fresh: list[str], block: int = 1 << 12) -> None:
         while len(self.known) + len(fresh) >= self.gates.shape[1] - 1:
@@ -336,7 +339,7 @@ class Scorer:
             self.gates[:, a : a + len(words)], self.gates[:, -1] = made[:, :-1], made[:, -1]
             self.known |= zip(words, range(a, a + len(words)))
 
-    def scores(self, texts: list[str], words_at_once: int = 1 << 17) -> np.ndarray:
+    def scores(self, texts: list[str], words_at_once: int = 1 << 14) -> np.ndarray:
         out, a = np.empty(len(texts)), 0
         while a < len(texts):
             b, held, parts = a, 0, []

@@ -171,3 +171,18 @@ def test_hashing_a_lexicon_takes_little_more_than_what_it_gives():
     at = np.cumsum(sizes)
     for a, (w, g, n) in zip((0, 8191, 8192, 59_999), some):
         assert w[0] == word[a] and n[0] == sizes[a] and np.array_equal(g, grams[at[a] - sizes[a] : at[a]])
+
+
+def test_a_scorer_holds_few_words_at_a_time():
+    """Words of 2^17 tokens at once, and gates that doubled as a copy, took most of a Python worker's memory."""
+    import tracemalloc
+
+    texts = [" ".join(f"w{k * 7919 % 1000003}x{k}" for k in range(a, a + 200)) for a in range(0, 140_000, 200)]
+    net = Network.fresh(Shape())
+    tracemalloc.start()
+    scores = Scorer(net).scores(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64e6
+    some = [0, 1, 350, 699]  # alike, whatever was met before
+    assert np.allclose(scores[some], [Scorer(net).scores([texts[k]])[0] for k in some], atol=1e-5)
