@@ -20,7 +20,7 @@ def test_a_set_of_folds_is_left_out_once_for_all_that_it_serves():
 
 def test_there_are_more_tasks_than_cores(spark):
     """With a task a core the longest of twelve took 35 s of the query's 52."""
-    assert estimators._dealt(table(spark), ["g", "fold"]).rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+    assert estimators._dealt(table(spark), ["g", "fold"]).rdd.getNumPartitions() >= 8 * spark.sparkContext.defaultParallelism
 
 
 def test_shared_fits_tell_what_the_plain_loop_tells(spark):
